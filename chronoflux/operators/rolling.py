@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronoflux.functions.frames import centred, min_periods, trailing
 from chronoflux.operators.timeline import (
     carry_forward,
-    exact_quantiles,
     flag_runs,
     rolling_quantile,
     sliding_sums,
@@ -23,7 +22,7 @@ SIGMA_FLOOR = 1.0
 
 def rolling_mean(
     df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, before: int, after: int,
-    minimum: int, size: int, segment: Sequence[str] = (),
+    minimum: int, size: int | None, segment: Sequence[str] = (),
 ) -> DataFrame:
     """Null-skipping mean; constant work per row once the frame is long."""
     if before + after + 1 <= SHORT_FRAME:
@@ -40,13 +39,13 @@ def rolling_mean(
     ).drop("__sum", "__cnt")
 
 
-def boxcar(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, width: int, size: int) -> DataFrame:
+def boxcar(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, width: int, size: int | None) -> DataFrame:
     """Centred mean over ``width`` cells that needs a quarter of them."""
     before, after = centred(width)
     return rolling_mean(df, keys, pos, value, out, before, after, max(1, width // 4), size)
 
 
-def dilate(df: DataFrame, keys: Sequence[str], pos: str, flag: str, out: str, pad: int, size: int) -> DataFrame:
+def dilate(df: DataFrame, keys: Sequence[str], pos: str, flag: str, out: str, pad: int, size: int | None) -> DataFrame:
     """Grow a flag by ``pad`` cells on both sides."""
     if 2 * pad + 1 <= SHORT_FRAME:
         def build(w: WindowSpec) -> Column:
@@ -65,7 +64,7 @@ def background(
     out: str,
     window: int,
     min_quiet: int,
-    size: int,
+    size: int | None,
     event_flag: str | None = None,
     pad: int = 0,
     widen: int = 4,
@@ -77,6 +76,7 @@ def background(
     padded events; without, the rolling low quantile. Rows whose window holds too few
     quiet samples fall back to a ``widen`` times longer window, then to the whole
     segment; a segment without any quiet sample takes the median of all its samples.
+    The keys must hold the reset period (the day): it bounds a segment.
     """
     q = 0.5 if event_flag else low_quantile
     keys = list(keys)
@@ -91,25 +91,12 @@ def background(
     rows = rolling_quantile(rows, keys, pos, "__quiet", "__b1", q, before, after, min_quiet, size, ["__seg"])
     before, after = centred(window * widen)
     rows = rolling_quantile(
-        rows, keys, pos, "__quiet", "__b2", q, before, after, max(1, min_quiet // 2), size * widen, ["__seg"]
+        rows, keys, pos, "__quiet", "__b2", q, before, after, max(1, min_quiet // 2), size and size * widen, ["__seg"]
     )
-    inside = rows.filter(F.col(gti))
-    part = [*keys, "__seg"]
-    short = inside.groupBy(*part).agg(
-        F.bool_or(F.coalesce("__b1", "__b2").isNull()).alias("__short"), F.count("__quiet").alias("__nq")
-    ).filter("__short")
-    needed = inside.join(short, part).withColumn(
-        "__pool", F.when(F.col("__nq") > 0, F.col("__quiet")).otherwise(F.col(value))
+    whole = Window.partitionBy(*keys, "__seg")
+    rows = rows.withColumn(
+        "__b3", F.coalesce(F.percentile("__quiet", q).over(whole), F.percentile(value, 0.5).over(whole))
     )
-    levels = exact_quantiles(needed, part, "__pool", sorted({q, 0.5}), buckets=64)
-    levels = levels.groupBy(*part).agg(
-        F.max(F.when(F.col("q") == q, F.col("quantile"))).alias("__lq"),
-        F.max(F.when(F.col("q") == 0.5, F.col("quantile"))).alias("__med"),
-    )
-    levels = levels.join(short, part).select(
-        *part, F.when(F.col("__nq") > 0, F.col("__lq")).otherwise(F.col("__med")).alias("__b3")
-    )
-    rows = rows.join(levels, part, "left")
     level = F.when(F.col(gti), F.coalesce("__b1", "__b2", "__b3"))
     return rows.withColumn(out, level).drop("__seg", "__quiet", "__b1", "__b2", "__b3")
 
@@ -124,7 +111,7 @@ def excess(value: str, level: str) -> Column:
 
 
 def compute_excess(
-    df: DataFrame, keys: Sequence[str], pos: str, rate: str, gti: str, size: int,
+    df: DataFrame, keys: Sequence[str], pos: str, rate: str, gti: str, size: int | None,
     smooth: int = 70, window: int = 1800, min_quiet: int = 120, pad: int = 1800,
     event_flag: str | None = None,
 ) -> DataFrame:
@@ -147,7 +134,7 @@ def trailing_stats(
     pos: str,
     value: str,
     windows: Mapping[str, int],
-    size: int,
+    size: int | None,
     stats: Sequence[str] = ("mean", "std", "max"),
     prefix: str = "",
     fraction: float = 0.5,
@@ -185,11 +172,9 @@ def _trailing_native(value: str, stat: str, width: int, minimum: int):
 
 
 def _trailing_long(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int, minimum: int, size: int,
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int, minimum: int, size: int | None,
     stats: Sequence[str], prefix: str, name: str,
 ) -> DataFrame:
-    from pyspark.sql import Window
-
     from chronoflux.operators.timeline import CHUNK, HOME, spread
 
     keys = list(keys)
@@ -252,7 +237,7 @@ def _trailing_long(
 
 
 def threshold_crossings(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int, size: int, out: str,
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int, size: int | None, out: str,
     nsigma: float = 3.0,
 ) -> DataFrame:
     """Cells above background + n sigma in the trailing window; background is its median."""
@@ -278,7 +263,7 @@ def hardness(hard: str, soft: str) -> Column:
     return F.try_divide(F.col(hard), F.nullif(F.col(soft), F.lit(0.0)))
 
 
-def central_difference(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, size: int) -> DataFrame:
+def central_difference(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, size: int | None) -> DataFrame:
     """(next - previous) / 2, one-sided at the ends of the series."""
     def build(w: WindowSpec) -> Column:
         ahead, behind = F.lead(value).over(w), F.lag(value).over(w)
@@ -293,7 +278,7 @@ def central_difference(df: DataFrame, keys: Sequence[str], pos: str, value: str,
 
 def trailing_counts(
     grid: DataFrame, events: DataFrame, keys: Sequence[str], grid_pos: str, event_pos: str,
-    widths: Mapping[str, int], size: int,
+    widths: Mapping[str, int], size: int | None,
 ) -> DataFrame:
     """Events in (t - w, t] for every grid row, from one union and shared frames."""
     keys = list(keys)
@@ -306,7 +291,7 @@ def trailing_counts(
     return counted.filter(F.col("__row").isNotNull()).select("__row.*", *widths)
 
 
-def persistence(df: DataFrame, keys: Sequence[str], pos: str, flag: str, segment: str, out: str, k: int, size: int) -> DataFrame:
+def persistence(df: DataFrame, keys: Sequence[str], pos: str, flag: str, segment: str, out: str, k: int, size: int | None) -> DataFrame:
     """Any positive among the ``k`` previous rows of the same segment."""
     def build(w: WindowSpec) -> Column:
         return F.coalesce(F.max(F.col(flag).cast("int")).over(w.rowsBetween(-k, -1)), F.lit(0))
@@ -314,7 +299,7 @@ def persistence(df: DataFrame, keys: Sequence[str], pos: str, flag: str, segment
 
 
 def trailing_arrays(
-    df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str], length: int, size: int, out: str
+    df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str], length: int, size: int | None, out: str
 ) -> DataFrame:
     """The last ``length`` rows as an array of structs; shorter histories give no row."""
     def build(w: WindowSpec) -> Column:
@@ -323,5 +308,5 @@ def trailing_arrays(
     return rows.filter(F.size(out) == length)
 
 
-def last_known(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, size: int) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, size: int | None) -> DataFrame:
     return carry_forward(df, keys, pos, {out: F.col(value)}, size)

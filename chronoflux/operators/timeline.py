@@ -11,6 +11,10 @@ frame and scan is cut into time chunks instead:
   over one summary row per chunk, so its size is set by the time range and not by
   the number of rows (:func:`carry_forward`, :func:`running_sum`).
 
+With ``size=None`` the groups of ``keys`` are taken as bounded, because the keys hold
+a reset period such as the day (at most 86,400 rows of second data): one plain window
+per group then does the work with a single shuffle.
+
 No primitive emits pairs of rows: tolerance matches are as-of lookups.
 """
 
@@ -49,7 +53,7 @@ def with_frames(
     columns: Mapping[str, Callable[[WindowSpec], Column]],
     before: int,
     after: int,
-    size: int,
+    size: int | None,
     segment: Sequence[str] = (),
     order: Sequence[str] = (),
 ) -> DataFrame:
@@ -59,6 +63,9 @@ def with_frames(
     column whose frame stays within ``before``/``after``. ``segment`` columns cut
     frames further (a run id, say), without widening the partitioning.
     """
+    if size is None:
+        w = Window.partitionBy(*keys, *segment).orderBy(pos, *order)
+        return df.select("*", *[build(w).alias(name) for name, build in columns.items()])
     part = [*keys, CHUNK, *segment]
     w = Window.partitionBy(*part).orderBy(pos, *order)
     out = spread(df, pos, size, before, after)
@@ -73,7 +80,7 @@ def sliding_sums(
     columns: Mapping[str, Column],
     before: int,
     after: int,
-    size: int,
+    size: int | None,
     segment: Sequence[str] = (),
 ) -> DataFrame:
     """Frame sums on a dense grid in constant time per row.
@@ -82,11 +89,14 @@ def sliding_sums(
     cost does not grow with the frame as it does for a native sliding frame.
     Null counts as zero; pass 0/1 indicators to count.
     """
+    if size is None:
+        out = df.withColumn(CHUNK, F.lit(0)).withColumn(HOME, F.lit(True))
+    else:
+        out = spread(df, pos, size, before, after)
     part = [*keys, CHUNK, *segment]
     w = Window.partitionBy(*part).orderBy(pos)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = spread(df, pos, size, before, after)
     zero = {n: F.coalesce(c, F.lit(0)) for n, c in columns.items()}
     out = out.select("*", *[F.sum(c).over(upto).alias(f"__r_{n}") for n, c in zero.items()])
     ends = {
@@ -112,7 +122,7 @@ def rolling_quantile(
     before: int,
     after: int,
     minimum: int,
-    size: int,
+    size: int | None,
     segment: Sequence[str] = (),
 ) -> DataFrame:
     """Exact rolling quantile (linear interpolation) on a dense grid.
@@ -137,9 +147,12 @@ def rolling_quantile(
         padded = pd.concat([series, pd.Series([float("nan")] * after)], ignore_index=True)
         rolled = padded.rolling(before + after + 1, min_periods=max(1, minimum)).quantile(q)
         pdf[out] = rolled.to_numpy()[after:]
-        return pdf.loc[pdf[HOME], [*names, out]]
+        return pdf.loc[pdf[HOME].astype(bool), [*names, out]]
 
-    spread_rows = spread(df, pos, size, before, after)
+    if size is None:
+        spread_rows = df.withColumn(CHUNK, F.lit(0)).withColumn(HOME, F.lit(True))
+    else:
+        spread_rows = spread(df, pos, size, before, after)
     result = spread_rows.groupBy(*keys, CHUNK, *segment).applyInPandas(per_chunk, schema)
     return result.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
@@ -149,7 +162,7 @@ def _carry(
     keys: Sequence[str],
     pos: str,
     values: Mapping[str, Column],
-    size: int,
+    size: int | None,
     order: Sequence[str],
     inclusive: bool,
     forward: bool,
@@ -157,6 +170,11 @@ def _carry(
     """Shared body of carry_forward/carry_back."""
     keys = list(keys)
     columns = df.columns
+    if size is None:
+        directed = [F.col(c) if forward else F.col(c).desc() for c in (pos, *order)]
+        w = Window.partitionBy(*keys).orderBy(*directed)
+        w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.select("*", *[F.last(v, ignorenulls=True).over(w).alias(n) for n, v in values.items()])
     chunked = with_chunk(df, pos, size)
     chunked = chunked.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
     where = F.struct(pos, *order)
@@ -189,7 +207,7 @@ def carry_forward(
     keys: Sequence[str],
     pos: str,
     values: Mapping[str, Column],
-    size: int,
+    size: int | None,
     order: Sequence[str] = (),
     inclusive: bool = True,
 ) -> DataFrame:
@@ -202,7 +220,7 @@ def carry_back(
     keys: Sequence[str],
     pos: str,
     values: Mapping[str, Column],
-    size: int,
+    size: int | None,
     order: Sequence[str] = (),
     inclusive: bool = True,
 ) -> DataFrame:
@@ -215,7 +233,7 @@ def running_sum(
     keys: Sequence[str],
     pos: str,
     values: Mapping[str, Column],
-    size: int,
+    size: int | None,
     order: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sums without putting a series into one task."""
@@ -236,7 +254,7 @@ def running_sum(
 
 
 def flag_runs(
-    df: DataFrame, keys: Sequence[str], pos: str, flag: Column, size: int, out: str = "run"
+    df: DataFrame, keys: Sequence[str], pos: str, flag: Column, size: int | None, out: str = "run"
 ) -> DataFrame:
     """Gaps and islands on a flag: ``out`` is the position where the row's run began.
 
@@ -259,7 +277,7 @@ def gap_runs(
     keys: Sequence[str],
     pos: str,
     gap: int,
-    size: int,
+    size: int | None,
     order: Sequence[str] = (),
     end: str | None = None,
     out: str = "run",
@@ -268,10 +286,13 @@ def gap_runs(
 
     Without ``end`` the distance is to the previous position; with it, to the
     largest ``end`` so far (interval merging). ``out`` numbers the runs by their
-    first position.
+    first position. A predecessor further away than ``gap`` starts a run just like a
+    missing one, so looking back needs no more than an edge of ``gap`` positions.
     """
     if end is None:
-        seen = carry_forward(df, keys, pos, {"__prev": F.col(pos)}, size, order, inclusive=False)
+        seen = with_frames(
+            df, keys, pos, {"__prev": lambda w: F.lag(pos).over(w)}, gap, 0, size and max(size, gap), order=order
+        )
     else:
         seen = _running_max_before(df, keys, pos, end, size, order)
     fresh = F.col("__prev").isNull() | (F.col(pos) - F.col("__prev") > gap)
@@ -281,10 +302,13 @@ def gap_runs(
 
 
 def _running_max_before(
-    df: DataFrame, keys: Sequence[str], pos: str, value: str, size: int, order: Sequence[str]
+    df: DataFrame, keys: Sequence[str], pos: str, value: str, size: int | None, order: Sequence[str]
 ) -> DataFrame:
     keys = list(keys)
     columns = df.columns
+    if size is None:
+        w = Window.partitionBy(*keys).orderBy(pos, *order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("__prev", F.max(value).over(w))
     chunked = with_chunk(df, pos, size)
     by_chunk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
     summary = chunked.groupBy(*keys, CHUNK).agg(F.max(value).alias("__s"))
@@ -305,7 +329,7 @@ def asof(
     left_pos: str,
     right_pos: str,
     values: Sequence[str],
-    size: int,
+    size: int | None,
     direction: str = "backward",
     strict: bool = False,
     order: Sequence[str] = (),

@@ -1,6 +1,6 @@
 """All registered queries; importing a plans module fills the registry."""
 
-from chronoflux.plans import q_grid  # noqa: F401
+from chronoflux.plans import q_events, q_grid, q_rolling  # noqa: F401
 from chronoflux.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ def local_session(cpus: int | str = 8, name: str = "chronoflux", **conf: str) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -27,6 +29,14 @@ def local_session(cpus: int | str = 8, name: str = "chronoflux", **conf: str) ->
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder for intermediate tables, in the shared folder of the cluster if it names one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/chronoflux-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="chronoflux-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder of the cluster, so that lost executors cost no rerun.
 
