@@ -89,7 +89,8 @@ def class_rank(letter: str | Column) -> Column:
 
 
 def rank_letter(rank: str | Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in CLASS_LETTERS]), F.nullif(col(rank), F.lit(0)).cast("int"))
+    letters = F.array(*[F.lit(x) for x in CLASS_LETTERS])
+    return F.when(col(rank) > 0, F.get(letters, (col(rank) - 1).cast("int")))
 
 
 # --- coordinates and names -------------------------------------------------

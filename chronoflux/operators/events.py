@@ -40,10 +40,10 @@ def merge_runs(runs: DataFrame, keys: Sequence[str], link_gap: int, size: int |
     return linked.groupBy(*keys, "__m").agg(F.max("run_end").alias("run_end")).withColumnRenamed("__m", "run_start")
 
 
-def rows_in_runs(runs: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, size: int | None = None) -> DataFrame:
+def rows_in_runs(runs: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, bucket: int = BUCKET) -> DataFrame:
     """The grid rows of every run; ``keys`` may hold fewer columns than the runs carry."""
     closed = runs.withColumn("__last", F.col("run_end") - 1)
-    return range_join(closed, df, keys, "run_start", "__last", pos, size or BUCKET).drop("__last")
+    return range_join(closed, df, keys, "run_start", "__last", pos, bucket).drop("__last")
 
 
 def first_argmax(df: DataFrame, keys: Sequence[str], pos: str, value: str) -> DataFrame:
@@ -140,36 +140,60 @@ def prominent_peaks(
     return found.filter(F.col("prominence") >= minimum)
 
 
+def _run_peaks(values: np.ndarray, distance: int, prominence: float) -> np.ndarray:
+    """Peak offsets of one run: local maxima, spaced, prominent; else the first largest value."""
+    edges = np.flatnonzero(np.diff(values) != 0)
+    first = np.concatenate(([0], edges + 1))
+    last = np.concatenate((edges, [len(values) - 1]))
+    level = values[first]
+    inner = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    peaks = (first[inner] + last[inner]) // 2
+    kept: list[int] = []
+    for p in sorted(peaks, key=lambda i: (-values[i], -i)):
+        if all(abs(p - other) >= distance for other in kept):
+            kept.append(p)
+    found = np.array(sorted(kept), dtype=np.int64)
+    if len(found):
+        found = found[_prominences(values, found) >= prominence]
+    return found if len(found) else np.array([int(np.argmax(values))])
+
+
 def peaks_in_runs(
-    runs: DataFrame, rows: DataFrame, run_keys: Sequence[str], pos: str, value: str,
-    distance: int, prominence: float, size: int | None,
+    rows: DataFrame, run_keys: Sequence[str], pos: str, value: str, distance: int, prominence: float,
 ) -> DataFrame:
-    """Peaks per run: spaced, then prominent; a run without any takes its first largest value."""
-    candidates = spaced_peaks(local_maxima(rows, run_keys, pos, value, size), run_keys, distance, size)
-    found = prominent_peaks(candidates, rows, run_keys, pos, value, prominence).select(*run_keys, "peak", "height")
-    without = rows.join(found.select(*run_keys).distinct(), list(run_keys), "left_anti")
-    return found.unionByName(first_argmax(without, run_keys, pos, value))
+    """Peaks of every run in one shuffle of the run rows, with the bounds towards their neighbours.
 
+    Same result as local_maxima, spaced_peaks and prominent_peaks in turn, with a first
+    largest value for runs that have no peak. The last run key must be the exclusive end.
+    """
+    start, end = run_keys[-2:]
+    fields = [f for f in rows.schema.fields if f.name in run_keys]
+    schema = T.StructType([
+        *fields, *[T.StructField(n, T.LongType()) for n in ("peak", "left_bound", "right_bound")]
+    ])
 
-def with_neighbours(peaks: DataFrame, run_keys: Sequence[str]) -> DataFrame:
-    """Bounds of each peak: the peaks beside it, else the run ends."""
-    from pyspark.sql import Window
+    def per_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        at = _run_peaks(pdf[value].fillna(LOWEST).to_numpy(), distance, prominence)
+        out = pdf.iloc[at][[f.name for f in fields]].copy()
+        peak = pdf[pos].to_numpy()[at]
+        out["peak"] = peak
+        out["left_bound"] = np.concatenate(([out[start].iloc[0]], peak[:-1]))
+        out["right_bound"] = np.concatenate((peak[1:], [out[end].iloc[0] - 1]))
+        return out
 
-    w = Window.partitionBy(*run_keys).orderBy("peak")
-    return peaks.withColumn("left_bound", F.coalesce(F.lag("peak").over(w), F.col("run_start"))).withColumn(
-        "right_bound", F.coalesce(F.lead("peak").over(w), F.col("run_end") - 1)
-    )
+    return rows.select(*run_keys, pos, value).groupBy(*run_keys).applyInPandas(per_run, schema)
 
 
 def valley_bounds(
-    peaks: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, smoothed: str, edge: int, size: int | None = None
+    peaks: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, smoothed: str, edge: int, bucket: int = BUCKET
 ) -> DataFrame:
     """First lowest smoothed value on each side of the peak, at most ``edge`` cells away."""
     reach = peaks.withColumn("__lo", F.greatest(F.col("left_bound"), F.col("peak") - edge)).withColumn(
         "__hi", F.least(F.col("right_bound"), F.col("peak") + edge)
     )
     rows = df.select(*keys, pos, F.col(smoothed).alias("__sm"))
-    near = range_join(reach, rows, keys, "__lo", "__hi", pos, size or BUCKET)
+    near = range_join(reach, rows, keys, "__lo", "__hi", pos, bucket)
     low = F.struct(F.col("__sm").alias("v"), F.col(pos).alias("p"))
     seen = F.col("__sm").isNotNull()
     columns = [c for c in peaks.columns]
@@ -199,7 +223,7 @@ def event_attributes(
         F.col("excess").alias("__ex"), F.col("background").alias("__bg"),
     )
     columns = bounded.columns
-    near = range_join(reach, rows, keys, "__lo", "end", pos, size or BUCKET)
+    near = range_join(reach, rows, keys, "__lo", "end", pos, bucket)
     p = F.col(pos)
     in_event = p >= F.col("start")
     by_peak = in_event & (F.abs(p - F.col("peak")) <= sep) & F.col("__rate").isNotNull()
@@ -236,7 +260,8 @@ def event_attributes(
 
 def detect_from_excess(
     ex: DataFrame, keys: Sequence[str], pos: str, rate: str, gti: str, thresholds: Sequence[float],
-    min_run: int, link_gap: int, edge: int, sep: int, prominence: float, pre: int, min_duration: int, size: int | None,
+    min_run: int, link_gap: int, edge: int, sep: int, prominence: float, pre: int, min_duration: int,
+    size: int | None = None, bucket: int = BUCKET,
 ) -> DataFrame:
     """Events at every threshold from one excess table (columns of compute_excess).
 
@@ -250,11 +275,11 @@ def detect_from_excess(
     swept = [*keys, "thr"]
     runs = persistence_runs(hits, swept, pos, F.lit(True), min_run, size)
     runs = merge_runs(runs, swept, link_gap, size)
-    rows = rows_in_runs(runs, ex.select(*keys, pos, "excess"), keys, pos, size)
+    rows = rows_in_runs(runs, ex.select(*keys, pos, "excess"), keys, pos, bucket)
     run_keys = [*swept, "run_start", "run_end"]
-    peaks = with_neighbours(peaks_in_runs(runs, rows, run_keys, pos, "excess", sep, prominence, size), run_keys)
-    bounded = valley_bounds(peaks, ex, keys, pos, "smoothed", edge, size)
-    return event_attributes(bounded, ex, keys, pos, rate, gti, sep, pre, min_duration, size)
+    peaks = peaks_in_runs(rows, run_keys, pos, "excess", sep, prominence)
+    bounded = valley_bounds(peaks, ex, keys, pos, "smoothed", edge, bucket)
+    return event_attributes(bounded, ex, keys, pos, rate, gti, sep, pre, min_duration, bucket)
 
 
 # --- fusion across series ---------------------------------------------------

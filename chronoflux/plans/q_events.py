@@ -15,6 +15,7 @@ from chronoflux.plans.tables import (
 
 D = ["series"]
 RUN = ["series", "run_start", "run_end"]
+BUCKET = 24
 GRID_CHUNK = None  # the period in the series key bounds every group
 
 
@@ -27,7 +28,7 @@ def run_rows(t):
     ex = cut_lineage(t.excess().select("series", "k", "excess", "gti"))
     found = V.persistence_runs(ex, D, "k", F.col("gti") & (F.col("excess") >= THRESHOLD), MIN_RUN, GRID_CHUNK)
     merged = V.merge_runs(found, D, LINK_GAP, GRID_CHUNK)
-    return V.rows_in_runs(merged, ex.drop("gti"), D, "k", GRID_CHUNK)
+    return V.rows_in_runs(merged, ex.drop("gti"), D, "k", BUCKET)
 
 
 @query("f1_persistence_runs", "SELECT series, run_start, run_end FROM runs", "runs")
@@ -72,9 +73,9 @@ def _(t):
 def bounded(t):
     ex = cut_lineage(t.excess())
     merged = V.merge_runs(runs(t, ex), D, LINK_GAP, GRID_CHUNK)
-    rows = V.rows_in_runs(merged, ex.select("series", "k", "excess"), D, "k", GRID_CHUNK)
-    peaks = V.peaks_in_runs(merged, rows, RUN, "k", "excess", PEAK_SEP, PROMINENCE, GRID_CHUNK)
-    return ex, V.valley_bounds(V.with_neighbours(peaks, RUN), ex, D, "k", "smoothed", EDGE, GRID_CHUNK)
+    rows = V.rows_in_runs(merged, ex.select("series", "k", "excess"), D, "k", BUCKET)
+    peaks = V.peaks_in_runs(rows, RUN, "k", "excess", PEAK_SEP, PROMINENCE)
+    return ex, V.valley_bounds(peaks, ex, D, "k", "smoothed", EDGE, BUCKET)
 
 
 @query("f7_valley_bounds", "SELECT series, run_start, peak, start, stop FROM bounds", "bounds")
@@ -84,7 +85,7 @@ def _(t):
 
 def measured(t):
     ex, found = bounded(t)
-    return V.event_attributes(found, ex, D, "k", "rate", "gti", PEAK_SEP, PRE_CELLS, MIN_RUN, GRID_CHUNK)
+    return V.event_attributes(found, ex, D, "k", "rate", "gti", PEAK_SEP, PRE_CELLS, MIN_RUN, BUCKET)
 
 
 @query("f8_refined_peaks", """
@@ -94,9 +95,9 @@ def _(t):
 
 
 ATTRIBUTES = ("peak_rate", "preflare_bg", "peak_bgsub", "max_significance", "max_derivative")
-_ROUNDED = """round(peak_rate, 8) AS peak_rate, round(preflare_bg, 8) AS preflare_bg,
-  round(peak_rate-preflare_bg, 8) AS peak_bgsub, round(max_significance, 8) AS max_significance,
-  round(max_derivative, 8) AS max_derivative"""
+_ROUNDED = """round(peak_rate, 7) AS peak_rate, round(preflare_bg, 7) AS preflare_bg,
+  round(peak_rate-preflare_bg, 7) AS peak_bgsub, round(max_significance, 7) AS max_significance,
+  round(max_derivative, 11) AS max_derivative"""
 
 
 @query("f9_event_attributes", f"""
@@ -104,21 +105,21 @@ SELECT series, run_start, start, stop, peak, duration, CAST(rise_time AS BIGINT)
 def _(t):
     return measured(t).select(
         "series", "run_start", "start", F.col("end").alias("stop"), "peak", "duration",
-        F.col("rise_time").cast("bigint").alias("rise_time"), *[F.round(c, 8).alias(c) for c in ATTRIBUTES],
+        F.col("rise_time").cast("bigint").alias("rise_time"), *[F.round(c, 11 if c == "max_derivative" else 7).alias(c) for c in ATTRIBUTES],
     )
 
 
 def swept(t, thresholds):
     ex = cut_lineage(t.excess())
     return V.detect_from_excess(
-        ex, D, "k", "rate", "gti", thresholds, MIN_RUN, LINK_GAP, EDGE, PEAK_SEP, PROMINENCE, PRE_CELLS, MIN_RUN, GRID_CHUNK
+        ex, D, "k", "rate", "gti", thresholds, MIN_RUN, LINK_GAP, EDGE, PEAK_SEP, PROMINENCE, PRE_CELLS, MIN_RUN, GRID_CHUNK, BUCKET
     )
 
 
 @query("f10_detect_events", f"SELECT series, start, stop, peak, {_ROUNDED} FROM events_found", "events_found")
 def _(t):
     return swept(t, [THRESHOLD]).select(
-        "series", "start", F.col("end").alias("stop"), "peak", *[F.round(c, 8).alias(c) for c in ATTRIBUTES]
+        "series", "start", F.col("end").alias("stop"), "peak", *[F.round(c, 11 if c == "max_derivative" else 7).alias(c) for c in ATTRIBUTES]
     )
 
 

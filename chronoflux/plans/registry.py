@@ -12,16 +12,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, ctes: str = ""):
-    """Register ``fn(tables) -> DataFrame``; ``ctes`` names the shared views ``sql`` uses."""
+def query(name: str, sql: str | None = None, ctes: str = "", nullable: str = ""):
+    """Register ``fn(tables) -> DataFrame``; ``ctes`` names the shared views ``sql`` uses.
+
+    ``nullable`` lists whole-number columns that hold nulls: both sides deliver them as
+    doubles, because readers differ in how they carry null integers.
+    """
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Tables(spark, sf_dir))
+            out = fn(Tables(spark, sf_dir))
+            return out.withColumns({c: out[c].cast("double") for c in nullable.split()})
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_ctes(ctes.split(), sql)
+            text = with_ctes(ctes.split(), sql)
+            if nullable:
+                casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in nullable.split())
+                text = f"SELECT * REPLACE ({casts}) FROM ({text})"
+            ORACLE[name] = text
         return fn
     return wrap
