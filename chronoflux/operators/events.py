@@ -208,7 +208,7 @@ def valley_bounds(
 
 def event_attributes(
     bounded: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, rate: str, gti: str,
-    sep: int, pre: int, min_duration: int, size: int | None,
+    sep: int, pre: int, min_duration: int, bucket: int = BUCKET,
 ) -> DataFrame:
     """Refine each peak on the raw rate and measure the event, in one range join.
 
