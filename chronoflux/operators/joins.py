@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import SECONDS_PER_DAY, floor_div
+from chronoflux.operators.timeline import asof_both
 
 
 def overlap_days(obs: DataFrame, start: str, end: str, day: str = "day_no") -> DataFrame:
@@ -46,14 +47,11 @@ def merge_daily(left: DataFrame, right: DataFrame, key: str, right_values: Seque
 
 def nearest_row(df: DataFrame, at: DataFrame, t: str, at_t: str, values: Sequence[str], size: int, order: Sequence[str]) -> DataFrame:
     """The row nearest to each requested time, without a limit; earlier on a tie."""
-    from chronoflux.operators.timeline import asof
-
     wanted = [t, *values]
     unique = df.groupBy(t).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("__v")).select(
         t, *[F.col(f"__v.{v}").alias(v) for v in values]
     )
-    rows = asof(at, unique, [], at_t, t, wanted, size, "backward", prefix="__b_")
-    rows = asof(rows, unique, [], at_t, t, wanted, size, "forward", prefix="__f_")
+    rows = asof_both(at, unique, [], at_t, t, wanted, size, back="__b_", ahead="__f_")
     back = F.col(at_t) - F.col(f"__b_{t}")
     ahead = F.col(f"__f_{t}") - F.col(at_t)
     use_back = back.isNotNull() & (ahead.isNull() | (back <= ahead))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import floor_div, rank_letter
-from chronoflux.operators.timeline import asof, explode_interval, with_frames
+from chronoflux.operators.timeline import asof_both, explode_interval, with_frames
 
 HORIZON_CAP = 6 * 3600
 # Phase precedence, highest wins.
@@ -73,8 +73,7 @@ def peak_distances(
 ) -> DataFrame:
     """Seconds to the next and since the last peak (null beyond ``cap``) and "peak in (t, t + H]" flags."""
     peaks = events.select("peak_t").distinct()
-    rows = asof(grid, peaks, [], t, "peak_t", ["peak_t"], size, "forward", strict=True, prefix="__n_")
-    rows = asof(rows, peaks, [], t, "peak_t", ["peak_t"], size, "backward", prefix="__l_")
+    rows = asof_both(grid, peaks, [], t, "peak_t", ["peak_t"], size, strict_ahead=True, back="__l_", ahead="__n_")
     ahead = F.col("__n_peak_t") - F.col(t)
     behind = F.col(t) - F.col("__l_peak_t")
     flags = [

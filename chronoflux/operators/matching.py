@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoflux.operators.timeline import asof, gap_runs
+from chronoflux.operators.timeline import asof, asof_both, gap_runs
 
 
 def near_any(
@@ -42,8 +42,7 @@ def nearest_within(
     unique = catalogue.groupBy(*keys, cat_pos).agg(
         F.min_by(F.struct(*wanted), F.struct(*order)).alias("__row")
     ).select(*keys, cat_pos, *[F.col(f"__row.{v}").alias(v) for v in wanted if v != cat_pos])
-    back = asof(df, unique, keys, pos, cat_pos, wanted, size, "backward", prefix="__b_")
-    both = asof(back, unique, keys, pos, cat_pos, wanted, size, "forward", prefix="__f_")
+    both = asof_both(df, unique, keys, pos, cat_pos, wanted, size, back="__b_", ahead="__f_")
     db = F.col(pos) - F.col(f"__b_{cat_pos}")
     df_ = F.col(f"__f_{cat_pos}") - F.col(pos)
     use_back = (db <= tol) & (df_.isNull() | (db <= df_))

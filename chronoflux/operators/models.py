@@ -131,10 +131,10 @@ def climatology(rows: DataFrame, y: str, train: Column) -> DataFrame:
 
 def persistence_baseline(rows: DataFrame, counts: Sequence[str], y: str, validation: Column, test: Column) -> DataFrame:
     """Best trailing count by validation TSS, its threshold, and its scores on test."""
-    long = rows.select(y, validation.alias("__v"), test.alias("__t"), F.inline(F.array(*[
+    long = rows.select(y, validation.alias("__val"), test.alias("__test"), F.inline(F.array(*[
         F.struct(F.lit(-i).alias("n"), F.lit(c).alias("score"), F.coalesce(F.col(c), F.lit(0)).cast("double").alias("x"))
         for i, c in enumerate(counts)])))
-    tuned = best_threshold(long.filter("__v"), ["n", "score"], "x", F.col(y) == 1)
+    tuned = best_threshold(long.filter("__val"), ["n", "score"], "x", F.col(y) == 1)
     best = tuned.agg(F.max(F.struct("tss", "n", "score", "threshold")).alias("b")).select("b.score", "b.threshold")
-    judged = long.filter("__t").join(F.broadcast(best), "score")
+    judged = long.filter("__test").join(F.broadcast(best), "score")
     return scores(contingency(judged, ["score", "threshold"], F.col(y) == 1, F.col("x") >= F.col("threshold")))

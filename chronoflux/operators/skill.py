@@ -236,17 +236,25 @@ def lead_times(
 ) -> DataFrame:
     """First crossing of each threshold in [peak - search, peak]; coverage of the last ``coverage`` seconds.
 
-    Each is one forward as-of lookup from the window start.
+    Every question is a probe row with its own kind; one forward as-of lookup keyed by
+    kind answers them all.
     """
-    rows = asof(events.withColumn("__from", F.col(peak) - coverage), forecasts.select(F.col(t).alias("__t")).distinct(),
-                [], "__from", "__t", ["__t"], size, "forward", prefix="__c")
-    rows = rows.withColumn("coverage", F.coalesce(F.col("__c__t") <= F.col(peak), F.lit(False))).drop("__c__t", "__from")
-    for name, thr in thresholds.items():
-        alarms = forecasts.filter(F.col(p) >= thr).select(F.col(t).alias("__t")).distinct()
-        rows = asof(rows.withColumn("__from", F.col(peak) - search), alarms, [], "__from", "__t", ["__t"], size, "forward", prefix="__a")
-        hit = F.when(F.col("__a__t") <= F.col(peak), (F.col(peak) - F.col("__a__t")) / 60.0)
-        rows = rows.withColumn(f"lead_{name}", F.round(hit, 1)).drop("__a__t", "__from")
-    return rows
+    columns = events.columns
+    probe = lambda kind, back: F.struct(F.lit(kind).alias("__kind"), (F.col(peak) - back).alias("__from"))
+    probes = events.select(
+        F.struct(*columns).alias("__e"),
+        F.inline(F.array(probe("coverage", coverage), *[probe(n, search) for n in thresholds])),
+    )
+    kinds = F.array(F.lit("coverage"), *[F.when(F.col(p) >= thr, F.lit(n)) for n, thr in thresholds.items()])
+    alarms = forecasts.select(F.col(t).alias("__t"), F.explode(F.array_compact(kinds)).alias("__kind")).distinct()
+    hits = asof(probes, alarms, ["__kind"], "__from", "__t", ["__t"], size, "forward", prefix="__a")
+    found = F.when(F.col("__a__t") <= F.col(f"__e.{peak}"), F.col("__a__t"))
+    out = hits.select("__e", "__kind", found.alias("__at")).groupBy("__e").agg(
+        F.max(F.when(F.col("__kind") == "coverage", F.col("__at"))).isNotNull().alias("coverage"),
+        *[F.max(F.when(F.col("__kind") == n, F.col("__at"))).alias(f"__at_{n}") for n in thresholds],
+    )
+    return out.select("__e.*", "coverage", *[
+        F.round((F.col(f"__e.{peak}") - F.col(f"__at_{n}")) / 60.0, 1).alias(f"lead_{n}") for n in thresholds])
 
 
 def lead_summary(leads: DataFrame, keys: Sequence[str], lead: str) -> DataFrame:

@@ -361,6 +361,61 @@ def asof(
     return carried.select("__row.*", *[F.col(f"__match.{v}").alias(prefix + v) for v in values])
 
 
+def asof_both(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_pos: str,
+    right_pos: str,
+    values: Sequence[str],
+    size: int,
+    strict_ahead: bool = False,
+    order: Sequence[str] = (),
+    back: str = "back_",
+    ahead: str = "ahead_",
+) -> DataFrame:
+    """Backward (at or before) and forward as-of join in one union, one shuffle and one carry.
+
+    ``strict_ahead`` looks strictly after the row. Ties follow ``asof``.
+    """
+    keys = list(keys)
+    payload = F.struct(*[F.col(v).alias(v) for v in values])
+    tie = F.struct(*[F.col(c) for c in order]) if order else F.lit(None).cast("bigint")
+    lookup = right.select(
+        *keys, F.col(right_pos).cast("bigint").alias("__pos"), F.lit(0).alias("__side"), tie.alias("__tie"), payload.alias("__hit")
+    )
+    rows = left.select(
+        *keys, F.col(left_pos).cast("bigint").alias("__pos"), F.lit(1).alias("__side"),
+        F.struct(*[F.col(c) for c in left.columns]).alias("__row"),
+    )
+    both = with_chunk(rows.unionByName(lookup, allowMissingColumns=True), "__pos", size)
+    where = F.when(F.col("__hit").isNotNull(), F.struct("__pos", "__tie"))
+    summary = both.groupBy(*keys, CHUNK).agg(
+        F.max_by("__hit", where).alias("__last"), F.min_by("__hit", where).alias("__first")
+    )
+    by_chunk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
+    summary = summary.select(
+        *keys, CHUNK,
+        F.last("__last", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("__cb"),
+        F.first("__first", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)).alias("__cf"),
+    )
+    part = Window.partitionBy(*keys, CHUNK)
+    so_far = (Window.unboundedPreceding, 0)
+    wb = part.orderBy("__pos", "__side", "__tie").rowsBetween(*so_far)
+    side = F.col("__side").desc() if strict_ahead else F.col("__side")
+    wf = part.orderBy(F.col("__pos").desc(), side, F.col("__tie").desc()).rowsBetween(*so_far)
+    local = both.select(
+        *keys, CHUNK, "__row", F.last("__hit", ignorenulls=True).over(wb).alias("__lb"),
+        F.last("__hit", ignorenulls=True).over(wf).alias("__lf"),
+    ).filter(F.col("__row").isNotNull())
+    joined = local.join(summary, [*keys, CHUNK], "left").select(
+        "__row", F.coalesce("__lb", "__cb").alias("__b"), F.coalesce("__lf", "__cf").alias("__f")
+    )
+    return joined.select(
+        "__row.*", *[F.col(f"__b.{v}").alias(back + v) for v in values], *[F.col(f"__f.{v}").alias(ahead + v) for v in values]
+    )
+
+
 def explode_interval(
     df: DataFrame, low: Column, high: Column, out: str, size: int = 86_400
 ) -> DataFrame:

@@ -112,7 +112,7 @@ CTES["near_row"] = ("signals", """
 
 @query("q8_signal_times", """
 SELECT wid, round(found, 8) AS period, arg_max(tau, [round(p, 8), -tau]) AS tau FROM (
-  SELECT q.wid, q.found, b.j AS tau, (sum(a.x*exp(-((a.j-b.j)/per)**2/1.5)*cos(2*pi()*(a.j-b.j)/per))**2 + sum(a.x*exp(-((a.j-b.j)/per)**2/1.5)*sin(2*pi()*(a.j-b.j)/per))**2)/(pi()*1.5*any_value(per)) AS p
+  SELECT q.wid, q.found, b.j AS tau, (sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*cos(2*pi()*(a.j-b.j)/per))**2 + sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*sin(2*pi()*(a.j-b.j)/per))**2)/(pi()*1.5*any_value(per)) AS p
   FROM near_row q JOIN resid a USING (wid) JOIN resid b ON b.wid=a.wid WHERE abs(a.j-b.j) <= ceil(per*5) GROUP BY 1, 2, 3) GROUP BY 1, 2""", "near_row resid")
 def _(t):
     residual, _, _, done = tested(t)
