@@ -34,8 +34,9 @@ def second_grid(t: Tables):
     """1 Hz grid of all detectors and days; every sample holds for its minute."""
     held = fractional(t).withColumn("t", F.explode(F.sequence(F.rint("t").cast("bigint"), F.rint("t").cast("bigint") + 59)))
     cells = G.bin_samples(held, ["detector"], "t", "rate", "event_id")
-    dense = G.densify(cells, ["detector"], "t", ["rate"], 86_400)
-    return dense.withColumn("gti", F.col("rate").isNotNull()).withColumn("day_no", F.floor(F.col("t") / 86400))
+    extent = G.extents(fractional(t), ["detector"], "t")
+    dense = G.densify(cells, ["detector"], "t", ["rate"], 86_400, extent, chunk_as="day_no")
+    return dense.withColumn("gti", F.col("rate").isNotNull())
 
 
 def build_days(t: Tables):

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoflux.operators.timeline import carry_forward, gap_runs, range_join, with_frames
+from chronoflux.operators.timeline import asof, carry_forward, gap_runs, range_join, with_frames
+from chronoflux.session import stage_table
 
 LOWEST = -1e308
+FOLD_LIMIT = 10_000  # rows of one island that a single ordered fold may hold
 BUCKET = 3600  # positions per bucket of the event x sample joins
 
 
@@ -290,11 +292,47 @@ def link_clusters(
     to the first member at most ``span``.
 
     A gap above ``window`` always starts a cluster, so the anchor is folded only inside
-    islands of linked rows.
+    islands of linked rows. Islands above ``FOLD_LIMIT`` rows are not folded in one task
+    but resolved by pointer doubling over their distinct positions.
     """
     keys = list(keys)
     columns = df.columns
     islands = gap_runs(df, keys, pos, window, size, order=[order], out="__isl")
+    large = islands.groupBy(*keys, "__isl").agg(F.count("*").alias("__n")).filter(F.col("__n") > FOLD_LIMIT).drop("__n")
+    if large.isEmpty():
+        return _fold_clusters(islands, keys, columns, pos, order, span, out)
+    islands = stage_table(islands)
+    large = stage_table(large)
+    small = _fold_clusters(islands.join(large, [*keys, "__isl"], "left_anti"), keys, columns, pos, order, span, out)
+    hot = islands.join(large, [*keys, "__isl"], "left_semi")
+    anchors = _double_pointers(hot.select(*keys, "__isl", pos).distinct(), keys, pos, span, size)
+    marked = asof(hot, anchors, [*keys, "__isl"], pos, "__a", ["__a"], size, prefix="__at")
+    return small.unionByName(marked.select(*columns, F.col("__at__a").alias(out)))
+
+
+def _double_pointers(points: DataFrame, keys: list[str], pos: str, span: int, size: int) -> DataFrame:
+    """Cluster anchors (keys..., __isl, __a) of large islands, in logarithmically many rounds.
+
+    If p is an anchor, the next one is the first position beyond p + span. Doubling that
+    pointer reaches all anchors of an island from its start.
+    """
+    part = [*keys, "__isl"]
+    starts = points.select(*part, (F.col(pos) + span).alias("__from"), F.col(pos).alias("__p"))
+    jumps = asof(starts, points.withColumnRenamed(pos, "__q"), part, "__from", "__q", ["__q"], size, "forward", strict=True, prefix="__n")
+    jumps = stage_table(jumps.filter(F.col("__n__q").isNotNull()).select(*part, "__p", F.col("__n__q").alias("__to")))
+    reached = stage_table(points.groupBy(*part).agg(F.min(pos).alias("__p")))
+    while not jumps.isEmpty():
+        further = reached.join(jumps, [*part, "__p"]).select(*part, F.col("__to").alias("__p"))
+        reached = stage_table(reached.unionByName(further).distinct())
+        second = jumps.select(*part, F.col("__p").alias("__to"), F.col("__to").alias("__far"))
+        jumps = stage_table(jumps.join(second, [*part, "__to"]).select(*part, "__p", F.col("__far").alias("__to")))
+    return reached.withColumnRenamed("__p", "__a")
+
+
+def _fold_clusters(
+    islands: DataFrame, keys: list[str], columns: Sequence[str], pos: str, order: str, span: int, out: str
+) -> DataFrame:
+    """Anchor of every row by one ordered fold per island."""
     row = F.struct(F.col(pos).cast("bigint").alias("__p"), F.col(order).alias("__o"), F.struct(*columns).alias("__row"))
     at_start = F.struct(F.lit(None).cast("bigint").alias("a"), F.array().cast("array<bigint>").alias("l"))
 

@@ -23,7 +23,7 @@ from chronoflux.operators.rolling import (
     trailing_stats,
 )
 from chronoflux.operators.timeline import asof, with_frames
-from chronoflux.session import cut_lineage
+from chronoflux.session import stage_table
 
 STATS = ("mean", "std", "max")
 
@@ -112,9 +112,9 @@ def feature_matrix(
 ) -> DataFrame:
     """All feature groups and the aligned targets; lineage is cut after each big stage."""
     rows = detector_features(grid, pos, "detector", "rate", "gti", names, windows, short, long, step, size, soft, hard, ddt)
-    rows = cut_lineage(rows.withColumn("t", F.col(pos) * cell))
+    rows = stage_table(rows.withColumn("t", F.col(pos) * cell))
     rows = event_features(rows, master, periodic, "t", event_size, rates)
-    rows = cut_lineage(rows)
+    rows = stage_table(rows)
     lagged = daily.select("day_no", *[F.col(c).alias(f"{c}_lag1") for c in context])
     rows = day_context(rows, lagged, "t", [f"{c}_lag1" for c in context], 1)
     rows = peak_distances(rows, catalogue, "t", event_size).drop("time_to_next_peak", "time_since_last_peak")

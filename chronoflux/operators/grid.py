@@ -24,23 +24,31 @@ def cell_means(df: DataFrame, keys: Sequence[str], t: str, value: str, cell: int
     )
 
 
+def extents(df: DataFrame, keys: Sequence[str], t: str, cell: int = 1) -> DataFrame:
+    """First and last cell of every series: (keys..., lo, hi). Take it from the narrowest input at hand."""
+    return df.groupBy(*keys).agg(floor_div(F.min(t), cell).alias("lo"), floor_div(F.max(t), cell).alias("hi"))
+
+
 def densify(
     cells: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str], size: int,
-    span: DataFrame | None = None,
+    extent: DataFrame | None = None, chunk_as: str | None = None,
 ) -> DataFrame:
     """Add the missing positions of every series, with null values.
 
     All series cover the same whole chunks of ``size`` positions. The rows are
     widened in place, from each row up to the next one of its chunk, so the dense
-    grid itself is never shuffled and no join against a spine is needed. ``span``
-    (one row: first, last chunk) defaults to the range of the data.
+    grid itself is never shuffled and no join against a spine is needed. ``extent``
+    (see extents) spares a second pass over expensive cells. With ``chunk_as`` the chunk
+    number stays as a column, and later windows over (keys, chunk) need no new shuffle.
     """
     keys = list(keys)
     rows = with_chunk(cells.select(*keys, pos, *values), pos, size)
-    if span is None:
-        span = rows.agg(F.min(CHUNK).alias("__c0"), F.max(CHUNK).alias("__c1"))
-    series = rows.select(*keys).distinct()
-    anchors = series.join(F.broadcast(span)).select(
+    series = extent if extent is not None else extents(cells, keys, pos)
+    # One row per series: the common span is a window over that small table.
+    every = Window.partitionBy(F.lit(0))
+    anchors = series.select(
+        *keys, floor_div(F.min("lo").over(every), size).alias("__c0"), floor_div(F.max("hi").over(every), size).alias("__c1")
+    ).select(
         *keys, F.explode(F.sequence("__c0", "__c1")).alias(CHUNK)
     ).withColumn(pos, F.col(CHUNK) * size).withColumn("__real", F.lit(0))
     both = rows.withColumn("__real", F.lit(1)).unionByName(anchors, allowMissingColumns=True)
@@ -50,8 +58,9 @@ def densify(
     wide = wide.withColumnRenamed(pos, "__p").withColumn(
         pos, F.explode(F.sequence(F.col("__p"), F.col("__next") - 1))
     )
+    kept = [F.col(CHUNK).alias(chunk_as)] if chunk_as else []
     return wide.select(
-        *keys, pos, *[F.when(F.col("__p") == F.col(pos), F.col(v)).alias(v) for v in values]
+        *keys, pos, *kept, *[F.when(F.col("__p") == F.col(pos), F.col(v)).alias(v) for v in values]
     )
 
 

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronoflux.operators.timeline import asof, asof_both, gap_runs
+from chronoflux.operators.timeline import CHUNK, HOME, asof, asof_both, gap_runs, spread
+from chronoflux.session import stage_table
+
+FOLD_LIMIT = 10_000  # positions of one island that a single ordered fold may hold
+PIECE = 20_000
 
 
 def near_any(
@@ -72,7 +79,8 @@ def greedy_match(
     Catalogue rows in time order each take the nearest free detection within ``tol``,
     the earliest among equally near. ``side`` is 'det' or 'cat'; ``rank`` numbers rows
     of equal time. No match bridges a gap above ``tol`` in the merged time line, so the
-    order-dependent fold runs inside islands only.
+    order-dependent fold runs inside islands only. Islands above ``FOLD_LIMIT`` positions
+    are cut into pieces that are folded side by side, in rounds (see _match_in_pieces).
     """
     keys = list(keys)
     both = detections.select(*keys, F.col(det_pos).cast("bigint").alias("t"), F.lit("det").alias("side")).unionByName(
@@ -83,6 +91,70 @@ def greedy_match(
         F.count_if(F.col("side") == "det").alias("nd"), F.count_if(F.col("side") == "cat").alias("nc")
     )
     islands = gap_runs(merged, keys, "t", tol, size, out="island")
+    part = [*keys, "island"]
+    large = islands.groupBy(*part).agg(F.count("*").alias("__n")).filter(F.col("__n") > FOLD_LIMIT).drop("__n")
+    if large.isEmpty():
+        return _match_in_islands(islands, keys, tol)
+    islands, large = stage_table(islands), stage_table(large)
+    small = _match_in_islands(islands.join(large, part, "left_anti"), keys, tol)
+    return small.unionByName(_match_in_pieces(islands.join(large, part, "left_semi"), keys, tol, max(PIECE, 2 * tol)))
+
+
+def _match_in_pieces(islands: DataFrame, keys: list[str], tol: int, size: int) -> DataFrame:
+    """Exact matching of large islands, piece by piece of ``size`` positions.
+
+    A piece depends on the one before only through the detections near their border that
+    are already taken. Every round folds all pieces with the borders of the last round,
+    until no border changes; a piece never holds more than ``size + 2 tol`` positions.
+    """
+    part = [*keys, "island"]
+    fields = [f for f in islands.schema.fields if f.name in part]
+    schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in (CHUNK, "t", "nd", "nc", "used", "hits")],
+                           T.StructField(HOME, T.BooleanType())])
+    rows = stage_table(spread(islands, "t", size, tol, tol))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        t, free = pdf["t"].to_numpy(), (pdf["nd"] - pdf["used"]).to_numpy()
+        hits = np.zeros(len(pdf), dtype=np.int64)
+        for c in np.flatnonzero(pdf[HOME].to_numpy(dtype=bool) & (pdf["nc"].to_numpy() > 0)):
+            low, high = np.searchsorted(t, t[c] - tol), np.searchsorted(t, t[c] + tol, side="right")
+            near = low + np.argsort(np.abs(t[low:high] - t[c]), kind="stable")
+            for _ in range(int(pdf["nc"].iloc[c])):
+                open_ = near[free[near] > 0]
+                if len(open_):
+                    free[open_[0]] -= 1
+                    hits[c] += 1
+        pdf["used"], pdf["hits"] = pdf["nd"] - free, hits
+        return pdf[[f.name for f in schema.fields]]
+
+    borders = None
+    while True:
+        if borders is None:
+            entry = rows.withColumn("used", F.lit(0).cast("bigint"))
+        else:
+            entry = rows.join(borders, [*part, CHUNK, "t"], "left").fillna(0, ["used"])
+        done = stage_table(entry.groupBy(*part, CHUNK).applyInPandas(fold, schema))
+        edge = (F.col(CHUNK) + 1) * size
+        left = done.filter((F.col("used") > 0) & (F.abs(F.col("t") - edge) <= tol)).select(
+            *part, (F.col(CHUNK) + 1).alias(CHUNK), "t", "used"
+        )
+        if borders is None:
+            settled = left.isEmpty()
+        else:
+            settled = left.exceptAll(borders).isEmpty() and borders.exceptAll(left).isEmpty()
+        if settled:
+            break
+        borders = stage_table(left)
+    cats = done.filter(F.col(HOME) & (F.col("nc") > 0)).select(
+        *keys, F.lit("cat").alias("side"), "t", F.col("nc").alias("n"), F.col("hits").alias("matched"))
+    dets = done.filter("nd > 0").groupBy(*keys, "t").agg(F.first("nd").alias("n"), F.max("used").alias("matched")).select(
+        *keys, F.lit("det").alias("side"), "t", "n", "matched")
+    return cats.unionByName(dets)
+
+
+def _match_in_islands(islands: DataFrame, keys: list[str], tol: int) -> DataFrame:
+    """One ordered fold per island."""
     grouped = islands.groupBy(*keys, "island").agg(
         F.array_sort(F.collect_list(F.struct("t", "nd", "nc"))).alias("rows")
     )

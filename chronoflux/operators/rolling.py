@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoflux.functions.frames import centred, min_periods, trailing
 from chronoflux.operators.timeline import (
+    NATIVE_FRAME,
     carry_forward,
     flag_runs,
     rolling_quantile,
@@ -85,6 +89,9 @@ def background(
     if event_flag:
         rows = dilate(rows, keys, pos, event_flag, "__near", pad, size)
         quiet = quiet & ~F.col("__near")
+    if window * widen > NATIVE_FRAME:
+        rows = rows.withColumn("__quiet", F.coalesce(quiet, F.lit(False))).drop("__near")
+        return _background_by_series(rows, keys, pos, value, gti, out, window, min_quiet, widen, q)
     rows = flag_runs(rows, keys, pos, F.col(gti), size, out="__seg")
     rows = rows.withColumn("__quiet", F.when(quiet, F.col(value))).drop("__near")
     before, after = centred(window)
@@ -101,6 +108,49 @@ def background(
     return rows.withColumn(out, level).drop("__seg", "__quiet", "__b1", "__b2", "__b3")
 
 
+def _quiet_level(values: np.ndarray, quiet: np.ndarray, window: int, minimum: int, widen: int, q: float) -> np.ndarray:
+    """Background of one gap-free segment."""
+    pool = pd.Series(np.where(quiet, values, np.nan))
+    seen = int(pool.notna().sum())
+    if seen == 0:
+        return np.full(len(values), np.nanmedian(values) if np.isfinite(values).any() else np.nan)
+    level = np.full(len(values), np.nan)
+    for width, least in ((window, minimum), (window * widen, max(1, minimum // 2))):
+        open_ = np.isnan(level)
+        if seen >= least and open_.any():
+            after = centred(width)[1]
+            padded = pd.concat([pool, pd.Series(np.full(after, np.nan))], ignore_index=True)
+            rolled = padded.rolling(width, min_periods=least).quantile(q).to_numpy()[after:]
+            level = np.where(open_, rolled, level)
+    return np.where(np.isnan(level), pool.quantile(q), level)
+
+
+def _background_by_series(
+    rows: DataFrame, keys: Sequence[str], pos: str, value: str, gti: str, out: str, window: int, minimum: int, widen: int, q: float
+) -> DataFrame:
+    """Long windows: Spark brings one series and reset period together, pandas rolls inside.
+
+    The wider window and the segment level are worked out only where the shorter ones
+    leave holes.
+    """
+    names = [c for c in rows.columns if c != "__quiet"]
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__quiet"], T.StructField(out, T.DoubleType())])
+
+    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        good = pdf[gti].to_numpy(dtype=bool)
+        values, quiet = pdf[value].to_numpy(dtype="float64"), pdf["__quiet"].to_numpy(dtype=bool)
+        level = np.full(len(pdf), np.nan)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], good.astype(np.int8), [0]))))
+        for a, b in zip(edges[::2], edges[1::2]):
+            level[a:b] = _quiet_level(values[a:b], quiet[a:b], window, minimum, widen, q)
+        pdf[out] = level
+        return pdf[[*names, out]]
+
+    done = rows.groupBy(*keys).applyInPandas(per_series, schema)
+    return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+
+
 def poisson_sigma(level: str | Column) -> Column:
     c = F.col(level) if isinstance(level, str) else level
     return F.sqrt(F.when(c.isNotNull(), F.greatest(c, F.lit(SIGMA_FLOOR))))

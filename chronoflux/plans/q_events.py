@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoflux.operators import events as V
 from chronoflux.operators.matching import near_any_member
 from chronoflux.plans.registry import query
-from chronoflux.session import cut_lineage
+from chronoflux.session import stage_table
 from chronoflux.plans.tables import (
     EDGE, EVENT_CHUNK, LINK_GAP, LINK_WINDOW, MATCH_TOL, MAX_SPAN, MIN_RUN, PEAK_SEP,
     PRE_CELLS, PROMINENCE, THRESHOLD,
@@ -25,7 +25,7 @@ def runs(t, ex=None):
 
 
 def run_rows(t):
-    ex = cut_lineage(t.excess().select("series", "k", "excess", "gti"))
+    ex = stage_table(t.excess().select("series", "k", "excess", "gti"))
     found = V.persistence_runs(ex, D, "k", F.col("gti") & (F.col("excess") >= THRESHOLD), MIN_RUN, GRID_CHUNK)
     merged = V.merge_runs(found, D, LINK_GAP, GRID_CHUNK)
     return V.rows_in_runs(merged, ex.drop("gti"), D, "k", BUCKET)
@@ -71,7 +71,7 @@ def _(t):
 
 
 def bounded(t):
-    ex = cut_lineage(t.excess())
+    ex = stage_table(t.excess())
     merged = V.merge_runs(runs(t, ex), D, LINK_GAP, GRID_CHUNK)
     rows = V.rows_in_runs(merged, ex.select("series", "k", "excess"), D, "k", BUCKET)
     peaks = V.peaks_in_runs(rows, RUN, "k", "excess", PEAK_SEP, PROMINENCE)
@@ -110,7 +110,7 @@ def _(t):
 
 
 def swept(t, thresholds):
-    ex = cut_lineage(t.excess())
+    ex = stage_table(t.excess())
     return V.detect_from_excess(
         ex, D, "k", "rate", "gti", thresholds, MIN_RUN, LINK_GAP, EDGE, PEAK_SEP, PROMINENCE, PRE_CELLS, MIN_RUN, GRID_CHUNK, BUCKET
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import class_rank, day_key, floor_div, unix_of
 from chronoflux.operators.events import fuse_clusters, link_clusters
-from chronoflux.operators.grid import cell_means, densify, time_split
+from chronoflux.operators.grid import cell_means, densify, extents, time_split
 from chronoflux.operators.rolling import background, boxcar, excess, poisson_sigma
 from chronoflux.operators.timeline import asof
 from chronoflux.session import cut_lineage
@@ -223,8 +223,9 @@ class Tables:
         )
 
     def grid(self, cell: int = HOUR) -> DataFrame:
-        cells = cell_means(self.sample(), ["detector"], "t", "rate", cell)
-        dense = densify(cells, ["detector"], "k", ["rate"], 86_400 // cell)
+        sample = self.sample()
+        cells = cell_means(sample, ["detector"], "t", "rate", cell)
+        dense = densify(cells, ["detector"], "k", ["rate"], 86_400 // cell, extents(sample, ["detector"], "t", cell))
         return dense.withColumn("gti", F.col("rate").isNotNull())
 
     def smoothed(self) -> DataFrame:

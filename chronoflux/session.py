@@ -49,3 +49,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoflux-ckpt-"))
     return df.checkpoint()
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a large intermediate as Parquet in the shared folder and read it back.
+
+    Unlike a checkpoint the stage keeps columns apart: later steps read only the ones
+    they use and push their filters into the scan.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/stage"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
