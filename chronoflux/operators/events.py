@@ -292,22 +292,26 @@ def link_clusters(
     to the first member at most ``span``.
 
     A gap above ``window`` always starts a cluster, so the anchor is folded only inside
-    islands of linked rows. Islands above ``FOLD_LIMIT`` rows are not folded in one task
-    but resolved by pointer doubling over their distinct positions.
+    islands of linked rows. Islands above ``FOLD_LIMIT`` positions are not folded in one
+    task but resolved by pointer doubling.
+    The anchor depends on the position only: it is found per distinct position and joined
+    back, so rows that share a position never gather in one task.
     """
     keys = list(keys)
-    columns = df.columns
-    islands = gap_runs(df, keys, pos, window, size, order=[order], out="__isl")
-    large = islands.groupBy(*keys, "__isl").agg(F.count("*").alias("__n")).filter(F.col("__n") > FOLD_LIMIT).drop("__n")
+    points = df.select(*keys, F.col(pos).cast("bigint").alias(pos)).distinct()
+    islands = gap_runs(points, keys, pos, window, size, out="__isl")
+    part = [*keys, "__isl"]
+    large = islands.groupBy(*part).agg(F.count("*").alias("__n")).filter(F.col("__n") > FOLD_LIMIT).drop("__n")
     if large.isEmpty():
-        return _fold_clusters(islands, keys, columns, pos, order, span, out)
-    islands = stage_table(islands)
-    large = stage_table(large)
-    small = _fold_clusters(islands.join(large, [*keys, "__isl"], "left_anti"), keys, columns, pos, order, span, out)
-    hot = islands.join(large, [*keys, "__isl"], "left_semi")
-    anchors = _double_pointers(hot.select(*keys, "__isl", pos).distinct(), keys, pos, span, size)
-    marked = asof(hot, anchors, [*keys, "__isl"], pos, "__a", ["__a"], size, prefix="__at")
-    return small.unionByName(marked.select(*columns, F.col("__at__a").alias(out)))
+        anchors = _fold_clusters(islands, keys, pos, span, out)
+    else:
+        islands, large = stage_table(islands), stage_table(large)
+        anchors = _fold_clusters(islands.join(large, part, "left_anti"), keys, pos, span, out)
+        hot = islands.join(large, part, "left_semi")
+        starts = _double_pointers(hot, keys, pos, span, size)
+        marked = asof(hot, starts, part, pos, "__a", ["__a"], size, prefix="__at")
+        anchors = anchors.unionByName(marked.select(*keys, pos, F.col("__at__a").alias(out)))
+    return df.join(anchors, [*keys, pos]).select(*df.columns, out)
 
 
 def _double_pointers(points: DataFrame, keys: list[str], pos: str, span: int, size: int) -> DataFrame:
@@ -329,22 +333,18 @@ def _double_pointers(points: DataFrame, keys: list[str], pos: str, span: int, si
     return reached.withColumnRenamed("__p", "__a")
 
 
-def _fold_clusters(
-    islands: DataFrame, keys: list[str], columns: Sequence[str], pos: str, order: str, span: int, out: str
-) -> DataFrame:
-    """Anchor of every row by one ordered fold per island."""
-    row = F.struct(F.col(pos).cast("bigint").alias("__p"), F.col(order).alias("__o"), F.struct(*columns).alias("__row"))
+def _fold_clusters(islands: DataFrame, keys: list[str], pos: str, span: int, out: str) -> DataFrame:
+    """Anchor of every position by one ordered fold per island."""
     at_start = F.struct(F.lit(None).cast("bigint").alias("a"), F.array().cast("array<bigint>").alias("l"))
 
-    def step(acc, x):
-        p = x["__p"]
+    def step(acc, p):
         anchor = F.when(acc["a"].isNull() | (p - acc["a"] > span), p).otherwise(acc["a"])
         return F.struct(anchor.alias("a"), F.concat(acc["l"], F.array(anchor)).alias("l"))
 
-    folded = islands.groupBy(*keys, "__isl").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    anchors = F.aggregate("__rows", at_start, step, lambda acc: acc["l"])
-    return folded.select(F.explode(F.arrays_zip(F.col("__rows").alias("r"), anchors.alias("a"))).alias("__x")).select(
-        "__x.r.__row.*", F.col("__x.a").alias(out)
+    folded = islands.groupBy(*keys, "__isl").agg(F.array_sort(F.collect_list(pos)).alias("__p"))
+    anchors = F.aggregate("__p", at_start, step, lambda acc: acc["l"])
+    return folded.select(*keys, F.explode(F.arrays_zip(F.col("__p").alias("p"), anchors.alias("a"))).alias("__x")).select(
+        *keys, F.col("__x.p").alias(pos), F.col("__x.a").alias(out)
     )
 
 

@@ -22,7 +22,7 @@ from chronoflux.operators.rolling import (
     trailing_counts,
     trailing_stats,
 )
-from chronoflux.operators.timeline import asof, with_frames
+from chronoflux.operators.timeline import asof, at_positions, with_frames
 from chronoflux.session import stage_table
 
 STATS = ("mean", "std", "max")
@@ -94,15 +94,14 @@ def event_features(
         "__e_rate", "last_det_peak_rate").withColumnRenamed("__e_n_detectors", "last_det_n_detectors").drop("__e_t_event")
     out = trailing_counts(out, master, [], t, "t_event", {f"det_rate_{n}": w for n, w in rates.items()}, size)
     # All regimes in one pass: flags per event time, summed over the same frame.
-    marks = periodic.groupBy(F.col("t_event").alias("__p")).agg(
+    marks = periodic.groupBy(F.col("t_event").cast("bigint").alias("__pos")).agg(
         F.count("*").alias("__all"), *[F.count_if(F.col("regime") == r).alias(f"__{r}") for r in regimes]
     )
-    both = out.select(F.col(t).alias("__p"), F.struct(*out.columns).alias("__row")).unionByName(marks, allowMissingColumns=True)
     def build(c: str):
         return lambda w: F.coalesce(F.sum(c).over(w.rangeBetween(-(recent - 1), 0)), F.lit(0))
     frames = {"qpp_count": build("__all"), **{f"qpp_count_{r}": build(f"__{r}") for r in regimes}}
-    counted = with_frames(both, [], "__p", frames, recent - 1, 0, size).filter(F.col("__row").isNotNull())
-    return counted.select("__row.*", *frames).withColumn("qpp_present", (F.col("qpp_count") > 0).cast("int"))
+    counted = at_positions(out, marks, [], t, frames, recent - 1, 0, size)
+    return counted.withColumn("qpp_present", (F.col("qpp_count") > 0).cast("int"))
 
 
 def feature_matrix(

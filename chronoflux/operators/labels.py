@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import floor_div, rank_letter
-from chronoflux.operators.timeline import asof_both, explode_interval, with_frames
+from chronoflux.operators.timeline import asof_both, at_positions, explode_interval
 
 HORIZON_CAP = 6 * 3600
 # Phase precedence, highest wins.
@@ -87,12 +87,10 @@ def peak_distances(
 
 def max_class_ahead(grid: DataFrame, events: DataFrame, t: str, window: int, size: int) -> DataFrame:
     """Highest class letter peaking in (t, t + window], null if none has a class."""
-    marks = events.groupBy(F.col("peak_t").alias("__p")).agg(F.max("rnk").alias("__r"))
-    rows = grid.select(F.col(t).alias("__p"), F.struct(*grid.columns).alias("__row"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
+    marks = events.groupBy(F.col("peak_t").cast("bigint").alias("__pos")).agg(F.max("rnk").alias("__r"))
     frames = {"__m": lambda w: F.max("__r").over(w.rangeBetween(1, window))}
-    out = with_frames(both, [], "__p", frames, 0, window, size)
-    return out.filter(F.col("__row").isNotNull()).select("__row.*", rank_letter("__m").alias("max_class"))
+    out = at_positions(grid, marks, [], t, frames, 0, window, size)
+    return out.select(*grid.columns, rank_letter("__m").alias("max_class"))
 
 
 def buffered_slice(days: DataFrame, events: DataFrame, before: int = 6 * 3600, after: int = 6 * 3600) -> DataFrame:

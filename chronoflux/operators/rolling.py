@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from chronoflux.functions.frames import centred, min_periods, trailing
 from chronoflux.operators.timeline import (
     NATIVE_FRAME,
+    at_positions,
     carry_forward,
     flag_runs,
     rolling_quantile,
@@ -330,15 +331,13 @@ def trailing_counts(
     grid: DataFrame, events: DataFrame, keys: Sequence[str], grid_pos: str, event_pos: str,
     widths: Mapping[str, int], size: int | None,
 ) -> DataFrame:
-    """Events in (t - w, t] for every grid row, from one union and shared frames."""
+    """Events in (t - w, t] for every row, from one union of positions and shared frames."""
     keys = list(keys)
-    marks = events.groupBy(*keys, F.col(event_pos).alias("__p")).agg(F.count("*").alias("__e"))
-    rows = grid.select(*keys, F.col(grid_pos).alias("__p"), F.struct(*grid.columns).alias("__row"))
-    both = rows.unionByName(marks, allowMissingColumns=True)
+    marks = events.groupBy(*keys, F.col(event_pos).cast("bigint").alias("__pos")).agg(F.count("*").alias("__e"))
     def build(width: int):
         return lambda w: F.coalesce(F.sum("__e").over(w.rangeBetween(-(width - 1), 0)), F.lit(0))
-    counted = with_frames(both, keys, "__p", {n: build(x) for n, x in widths.items()}, max(widths.values()) - 1, 0, size)
-    return counted.filter(F.col("__row").isNotNull()).select("__row.*", *widths)
+    frames = {n: build(x) for n, x in widths.items()}
+    return at_positions(grid, marks, keys, grid_pos, frames, max(widths.values()) - 1, 0, size)
 
 
 def persistence(df: DataFrame, keys: Sequence[str], pos: str, flag: str, segment: str, out: str, k: int, size: int | None) -> DataFrame:

@@ -93,7 +93,7 @@ def threshold_table(df: DataFrame, keys: Sequence[str], score: str, obs: Column,
     grid = exact_quantiles(base, by, score, qs).groupBy(*by).agg(
         F.array_sort(F.collect_set("quantile")).alias("__t")
     )
-    placed = base.join(grid, by).withColumn(
+    placed = base.join(grid if keys else F.broadcast(grid), by).withColumn(
         "__i", F.size(F.filter("__t", lambda x: x <= F.col(score)))
     )
     counts = placed.groupBy(*by, "__i").agg(F.count_if("__y").alias("__p"), F.count_if(~F.col("__y")).alias("__n"))

@@ -338,27 +338,44 @@ def asof(
     """As-of join: the last right row at or before (first at or after) each left row.
 
     ``strict`` excludes equal positions. ``order`` breaks ties among right rows with
-    equal positions: backward takes the largest, forward the smallest. Runs as one
-    union and one carry, so no candidate pairs exist. Adds ``prefix + value`` columns.
+    equal positions: backward takes the largest, forward the smallest. Adds
+    ``prefix + value`` columns.
+
+    Both sides are reduced to one row per position first, so a chunk holds at most two
+    rows per position however many rows share it; the result is joined back by position.
+    No candidate pairs exist.
     """
     keys = list(keys)
     forward = direction == "forward"
-    payload = F.struct(*[F.col(v).alias(v) for v in values])
-    tie = F.struct(*[F.col(c) for c in order]) if order else F.lit(None).cast("bigint")
     side = 0 if (strict == forward) else 1
-    lookup = right.select(
-        *keys, F.col(right_pos).cast("bigint").alias("__pos"), F.lit(side).alias("__side"),
-        tie.alias("__tie"), payload.alias("__hit"),
-    )
-    rows = left.select(
-        *keys, F.col(left_pos).cast("bigint").alias("__pos"), F.lit(1 - side).alias("__side"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("__row"),
-    )
-    both = rows.unionByName(lookup, allowMissingColumns=True)
-    carried = _carry(both, keys, "__pos", {"__match": F.col("__hit")}, size,
-                     ["__side", "__tie"], True, not forward)
-    carried = carried.filter(F.col("__row").isNotNull())
-    return carried.select("__row.*", *[F.col(f"__match.{v}").alias(prefix + v) for v in values])
+    lookup = _lookup_rows(right, keys, right_pos, values, order, not forward).withColumn("__side", F.lit(side))
+    probes = _probe_rows(left, keys, left_pos).withColumn("__side", F.lit(1 - side))
+    both = probes.unionByName(lookup, allowMissingColumns=True)
+    carried = _carry(both, keys, "__pos", {"__match": F.col("__hit")}, size, ["__side"], True, not forward)
+    found = carried.filter(F.col("__side") == 1 - side).select(*keys, "__pos", "__match")
+    return _join_back(left, found, keys, left_pos, {prefix + v: F.col(f"__match.{v}") for v in values})
+
+
+def _lookup_rows(
+    right: DataFrame, keys: list[str], pos: str, values: Sequence[str], order: Sequence[str], last: bool
+) -> DataFrame:
+    """One payload per position: the last or first row in ``order``."""
+    payload = F.struct(*[F.col(v).alias(v) for v in values])
+    if order:
+        pick = F.max_by if last else F.min_by
+        payload = pick(payload, F.struct(*[F.col(c) for c in order]))
+    else:
+        payload = F.first(payload)
+    return right.groupBy(*keys, F.col(pos).cast("bigint").alias("__pos")).agg(payload.alias("__hit"))
+
+
+def _probe_rows(left: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    return left.select(*keys, F.col(pos).cast("bigint").alias("__pos")).filter(F.col("__pos").isNotNull()).distinct()
+
+
+def _join_back(left: DataFrame, found: DataFrame, keys: list[str], pos: str, columns: Mapping[str, Column]) -> DataFrame:
+    rows = left.withColumn("__pos", F.col(pos).cast("bigint"))
+    return rows.join(found, [*keys, "__pos"], "left").select(*left.columns, *[c.alias(n) for n, c in columns.items()])
 
 
 def asof_both(
@@ -376,22 +393,23 @@ def asof_both(
 ) -> DataFrame:
     """Backward (at or before) and forward as-of join in one union, one shuffle and one carry.
 
-    ``strict_ahead`` looks strictly after the row. Ties follow ``asof``.
+    ``strict_ahead`` looks strictly after the row. Ties follow ``asof``, and so does the
+    reduction to one row per position.
     """
     keys = list(keys)
-    payload = F.struct(*[F.col(v).alias(v) for v in values])
-    tie = F.struct(*[F.col(c) for c in order]) if order else F.lit(None).cast("bigint")
-    lookup = right.select(
-        *keys, F.col(right_pos).cast("bigint").alias("__pos"), F.lit(0).alias("__side"), tie.alias("__tie"), payload.alias("__hit")
-    )
-    rows = left.select(
-        *keys, F.col(left_pos).cast("bigint").alias("__pos"), F.lit(1).alias("__side"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("__row"),
-    )
-    both = with_chunk(rows.unionByName(lookup, allowMissingColumns=True), "__pos", size)
-    where = F.when(F.col("__hit").isNotNull(), F.struct("__pos", "__tie"))
+    last = _lookup_rows(right, keys, right_pos, values, order, True)
+    lookup = last
+    if order:
+        first = _lookup_rows(right, keys, right_pos, values, order, False).withColumnRenamed("__hit", "__hit1")
+        lookup = last.join(first, [*keys, "__pos"])
+    else:
+        lookup = last.withColumn("__hit1", F.col("__hit"))
+    lookup = lookup.withColumn("__side", F.lit(0))
+    probes = _probe_rows(left, keys, left_pos).withColumn("__side", F.lit(1))
+    both = with_chunk(probes.unionByName(lookup, allowMissingColumns=True), "__pos", size)
+    where = F.when(F.col("__side") == 0, F.col("__pos"))
     summary = both.groupBy(*keys, CHUNK).agg(
-        F.max_by("__hit", where).alias("__last"), F.min_by("__hit", where).alias("__first")
+        F.max_by("__hit", where).alias("__last"), F.min_by("__hit1", where).alias("__first")
     )
     by_chunk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
     summary = summary.select(
@@ -401,19 +419,30 @@ def asof_both(
     )
     part = Window.partitionBy(*keys, CHUNK)
     so_far = (Window.unboundedPreceding, 0)
-    wb = part.orderBy("__pos", "__side", "__tie").rowsBetween(*so_far)
+    wb = part.orderBy("__pos", "__side").rowsBetween(*so_far)
     side = F.col("__side").desc() if strict_ahead else F.col("__side")
-    wf = part.orderBy(F.col("__pos").desc(), side, F.col("__tie").desc()).rowsBetween(*so_far)
+    wf = part.orderBy(F.col("__pos").desc(), side).rowsBetween(*so_far)
     local = both.select(
-        *keys, CHUNK, "__row", F.last("__hit", ignorenulls=True).over(wb).alias("__lb"),
-        F.last("__hit", ignorenulls=True).over(wf).alias("__lf"),
-    ).filter(F.col("__row").isNotNull())
-    joined = local.join(summary, [*keys, CHUNK], "left").select(
-        "__row", F.coalesce("__lb", "__cb").alias("__b"), F.coalesce("__lf", "__cf").alias("__f")
-    )
-    return joined.select(
-        "__row.*", *[F.col(f"__b.{v}").alias(back + v) for v in values], *[F.col(f"__f.{v}").alias(ahead + v) for v in values]
+        *keys, CHUNK, "__pos", "__side", F.last("__hit", ignorenulls=True).over(wb).alias("__lb"),
+        F.last("__hit1", ignorenulls=True).over(wf).alias("__lf"),
+    ).filter(F.col("__side") == 1)
+    found = local.join(summary, [*keys, CHUNK], "left").select(
+        *keys, "__pos", F.coalesce("__lb", "__cb").alias("__b"), F.coalesce("__lf", "__cf").alias("__f")
     )
+    return _join_back(left, found, keys, left_pos, {
+        **{back + v: F.col(f"__b.{v}") for v in values}, **{ahead + v: F.col(f"__f.{v}") for v in values}})
+
+
+def at_positions(
+    left: DataFrame, marks: DataFrame, keys: Sequence[str], left_pos: str,
+    frames: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int, size: int,
+) -> DataFrame:
+    """Bounded frames over ``marks`` (keys..., __pos, values; one row per position) seen from every left row."""
+    keys = list(keys)
+    probes = _probe_rows(left, keys, left_pos).withColumn("__probe", F.lit(True))
+    both = probes.unionByName(marks, allowMissingColumns=True)
+    seen = with_frames(both, keys, "__pos", frames, before, after, size).filter("__probe").select(*keys, "__pos", *frames)
+    return _join_back(left, seen, keys, left_pos, {n: F.col(n) for n in frames})
 
 
 def explode_interval(
@@ -479,6 +508,8 @@ def exact_quantiles(
     base = base.filter(F.col(value).isNotNull())
     counts = base.groupBy(*spark_keys, value).agg(F.count("*").alias("__n"))
     marks = [i / buckets for i in range(1, buckets)]
+    # Without keys there is one row of borders: broadcast it, or all counts would meet in one task.
+    aside = (lambda df: df) if keys else F.broadcast
     borders = base.groupBy(*spark_keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(10_000)).alias("__b"),
         F.count("*").alias("__total"),
@@ -488,7 +519,7 @@ def exact_quantiles(
         steps, F.lit(0),
         lambda at, step: at + F.when(F.get(F.col("__b"), at + step - 1) < F.col(value), step).otherwise(0),
     )
-    placed = counts.join(borders, spark_keys).withColumn("__cell", cell).drop("__b")
+    placed = counts.join(aside(borders), spark_keys).withColumn("__cell", cell).drop("__b")
     totals = placed.groupBy(*spark_keys, "__cell").agg(F.sum("__n").alias("__m"), F.first("__total").alias("__total"))
     before = Window.partitionBy(*spark_keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.lit(float(q)) for q in qs])

@@ -77,7 +77,7 @@ def lead15(t):
 
 
 @query("k4_replay_days", f"""
-WITH {LEAD15}, s AS (SELECT day, count(*) AS n_points FROM pred GROUP BY 1)
+WITH {LEAD15}, s AS (SELECT day, count(DISTINCT t//60) AS n_points FROM pred GROUP BY 1)
 SELECT s.day, s.n_points, coalesce(x.n, 0)::INT AS n_flares, coalesce(d.n, 0)::INT AS n_detections, coalesce(x.fl, 0)::INT AS n_flagged, coalesce(x.nc, 0)::INT AS n_no_coverage
 FROM s LEFT JOIN (SELECT day, count(*) AS n, count(first) AS fl, count(*) FILTER (first IS NULL AND NOT cov) AS nc FROM l GROUP BY 1) x USING (day)
 LEFT JOIN (SELECT strftime(make_timestamp(master_peak*1000000), '%Y%m%d') AS day, count(*) AS n FROM master GROUP BY 1) d USING (day)""", "pred flare master")
@@ -85,7 +85,9 @@ def _(t):
     flares = t.flare().select(day_key("peak_t").alias("day"), "peak_t", "letter", "flare_id")
     found = t.master().select(day_key("master_peak").alias("day"), F.col("master_peak").alias("t"), "n_detectors", "detectors", "confidence")
     leads = lead15(t).select("day", "peak_t", "lead_w", "flagged", "reason", "flare_id")
-    docs = V.replay_days(t.pred().select("day", "t", "p", "event_id"), flares, found, leads, "day")
+    # Minute means bound the series of a day to 1,440 points.
+    series = t.pred().groupBy("day", (floor_div("t", 60) * 60).alias("t")).agg(F.avg("p").alias("p"))
+    docs = V.replay_days(series, flares, found, leads, "day")
     def size(c):
         return F.when(c.isNull(), 0).otherwise(F.size(c))
     return docs.select(

@@ -117,7 +117,8 @@ def _(t):
     )
     head = ":Product: Daily Summary\nI.  Regions with Sunspots.  Locations Valid at 2400Z\nNmbr Location  Lo  Area  Z   LL   NN Mag Type\n"
     tail = "\nIA. H-alpha Plages without Spots.\nNmbr  Location  Lo\n9999 N10W10 100 10 Axx 1 1 Alpha\nII. Regions Due to Return\n"
-    docs = t.flare().groupBy(day_key("peak_t").alias("day")).agg(F.array_join(F.collect_list(row), "\n").alias("body"))
+    # Ten minutes per report keep each text small.
+    docs = t.flare().groupBy(day_key("peak_t").alias("day"), F.floor(F.col("peak_t") / 600)).agg(F.array_join(F.collect_list(row), "\n").alias("body"))
     docs = docs.select(F.concat("day", F.lit("SRS.txt")).alias("name"), F.concat(F.lit(head), "body", F.lit(tail)).alias("content"))
     out = S.parse_reports(docs)
     return out.select(F.col("date").cast("string").alias("date"), "noaa_ar", "lat_hg", "lon_hg", "area_millionths", "num_spots", "mag_class")
