@@ -89,10 +89,11 @@ def event_features(
 
     ``master`` has (t, rate, n_detectors, id); ``periodic`` has (t, regime), one row per event.
     """
-    out = asof(rows, master, [], t, "t_event", ["t_event", "rate", "n_detectors"], size, order=["id"], prefix="__e_")
-    out = out.withColumn("time_since_last_det_s", F.col(t) - F.col("__e_t_event")).withColumnRenamed(
-        "__e_rate", "last_det_peak_rate").withColumnRenamed("__e_n_detectors", "last_det_n_detectors").drop("__e_t_event")
-    out = trailing_counts(out, master, [], t, "t_event", {f"det_rate_{n}": w for n, w in rates.items()}, size)
+    at = rows.select(t).distinct()
+    age = asof(at, master, [], t, "t_event", ["t_event", "rate", "n_detectors"], size, order=["id"], prefix="__e_").select(
+        t, (F.col(t) - F.col("__e_t_event")).alias("time_since_last_det_s"), F.col("__e_rate").alias("last_det_peak_rate"),
+        F.col("__e_n_detectors").alias("last_det_n_detectors"))
+    counts = trailing_counts(at, master, [], t, "t_event", {f"det_rate_{n}": w for n, w in rates.items()}, size)
     # All regimes in one pass: flags per event time, summed over the same frame.
     marks = periodic.groupBy(F.col("t_event").cast("bigint").alias("__pos")).agg(
         F.count("*").alias("__all"), *[F.count_if(F.col("regime") == r).alias(f"__{r}") for r in regimes]
@@ -100,8 +101,16 @@ def event_features(
     def build(c: str):
         return lambda w: F.coalesce(F.sum(c).over(w.rangeBetween(-(recent - 1), 0)), F.lit(0))
     frames = {"qpp_count": build("__all"), **{f"qpp_count_{r}": build(f"__{r}") for r in regimes}}
-    counted = at_positions(out, marks, [], t, frames, recent - 1, 0, size)
-    return counted.withColumn("qpp_present", (F.col("qpp_count") > 0).cast("int"))
+    recent_signals = at_positions(at, marks, [], t, frames, recent - 1, 0, size)
+    recent_signals = recent_signals.withColumn("qpp_present", (F.col("qpp_count") > 0).cast("int"))
+    return beside(rows, t, age, counts, recent_signals)
+
+
+def beside(rows: DataFrame, t: str, *parts: DataFrame) -> DataFrame:
+    """Join features worked out per time, side by side, so that no plan nests in another."""
+    for part in parts:
+        rows = rows.join(part, t, "left")
+    return rows
 
 
 def feature_matrix(
@@ -116,10 +125,11 @@ def feature_matrix(
     rows = stage_table(rows)
     lagged = daily.select("day_no", *[F.col(c).alias(f"{c}_lag1") for c in context])
     rows = day_context(rows, lagged, "t", [f"{c}_lag1" for c in context], 1)
-    rows = peak_distances(rows, catalogue, "t", event_size).drop("time_to_next_peak", "time_since_last_peak")
-    for h in (15, 30, 60):
-        rows = rows.withColumnRenamed(f"flare_in_next_{h}min", f"y_{h}min")
-    rows = max_class_ahead(rows, catalogue, "t", 1800, event_size).withColumnRenamed("max_class", "y_class30")
+    at = rows.select("t").distinct()
+    ahead = peak_distances(at, catalogue, "t", event_size).drop("time_to_next_peak", "time_since_last_peak")
+    ahead = ahead.withColumnsRenamed({f"flare_in_next_{h}min": f"y_{h}min" for h in (15, 30, 60)})
+    best = max_class_ahead(at, catalogue, "t", 1800, event_size).withColumnRenamed("max_class", "y_class30")
+    rows = beside(rows, "t", ahead, best)
     return rows.withColumn("day_no", floor_div("t", 86400))
 
 

@@ -121,9 +121,11 @@ def model_rows(t):
     ev = t.ev().select("event_id", F.col("value").alias("f1"), F.when(F.col("user_id") % 10 != 0, (F.col("user_id") % 7).cast("double")).alias("f2"))
     rows = t.pred().select("event_id", "t", "y", "split").join(ev, "event_id")
     det = t.det_other().select("peak_t", "det_id")
-    rows = trailing_counts(rows, det, [], "t", "peak_t", {"n_1h": 3600, "n_3h": 10800, "n_6h": 21600}, EVENT_CHUNK)
-    rows = asof(rows, det, [], "t", "peak_t", ["peak_t"], EVENT_CHUNK, order=["det_id"])
-    return rows.withColumn("age", (F.col("t") - F.col("peak_t")).cast("double")).drop("peak_t")
+    at = t.ev().select("t").distinct()
+    counts = trailing_counts(at, det, [], "t", "peak_t", {"n_1h": 3600, "n_3h": 10800, "n_6h": 21600}, EVENT_CHUNK)
+    last = asof(at, det, [], "t", "peak_t", ["peak_t"], EVENT_CHUNK, order=["det_id"])
+    age = last.select("t", (F.col("t") - F.col("peak_t")).cast("double").alias("age"))
+    return X.beside(rows, "t", counts, age)
 
 
 def train():
