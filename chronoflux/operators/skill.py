@@ -12,7 +12,6 @@ from chronoflux.operators.rolling import trailing_counts
 from chronoflux.operators.timeline import asof, exact_quantiles, flag_runs
 
 MATCH_BIN = 360
-ZERO = 0.0
 
 
 def ratio(num: Column, den: Column) -> Column:
