@@ -72,7 +72,7 @@ def day_status(coverage: DataFrame, other_days: DataFrame, full: float = FULL_SH
         F.when(has & (share >= full), "FULL").when(has & (share > 0), "PARTIAL")
         .when(has_other & ~has, "MISSING").when(has & ~has_other, "NO_SOLEXS").otherwise("NEITHER")
     )
-    return rows.select("day_no", has_other.alias("has_solexs"), has.alias("has_hel1os"), share.alias("fraction"), status.alias("status"))
+    return rows.select("day_no", has_other.alias("has_soft"), has.alias("has_hard"), share.alias("fraction"), status.alias("status"))
 
 
 def missing_days(days: DataFrame) -> DataFrame:

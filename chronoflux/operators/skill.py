@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoflux.operators.matching import greedy_match
 from chronoflux.operators.rolling import trailing_counts
 from chronoflux.operators.timeline import asof, exact_quantiles, flag_runs
+from chronoflux.session import stage_table
 
 MATCH_BIN = 360
 
@@ -88,7 +89,8 @@ def threshold_table(df: DataFrame, keys: Sequence[str], score: str, obs: Column,
     keys = list(keys)
     by = keys or ["__g"]
     base = df.withColumn("__g", F.lit(0)) if not keys else df
-    base = base.withColumn("__y", obs)
+    # Read five times below: a narrow stage spares recomputing what made the scores.
+    base = stage_table(base.select(*by, score, obs.alias("__y")))
     grid = exact_quantiles(base, by, score, qs).groupBy(*by).agg(
         F.array_sort(F.collect_set("quantile")).alias("__t")
     )

@@ -91,7 +91,7 @@ WITH a AS (SELECT DISTINCT t//86400 AS day_no FROM sample WHERE detector='click'
 b AS (SELECT DISTINCT t//86400 AS day_no FROM sample WHERE detector='view' AND rate>200),
 g AS (SELECT k//24 AS day_no, count(*) AS n_rows, count(DISTINCT detector) FILTER (gti AND rate>=75) AS n_det,
    count(*) FILTER (gti AND detector='click')*3600 AS soft_gti, count(*) FILTER (gti AND detector<>'click')*3600 AS hard_gti FROM grid GROUP BY 1)
-SELECT day_no, (a.day_no IS NOT NULL)::INT AS has_solexs, (b.day_no IS NOT NULL)::INT AS has_hel1os, n_rows, n_det, soft_gti, hard_gti,
+SELECT day_no, (a.day_no IS NOT NULL)::INT AS has_soft, (b.day_no IS NOT NULL)::INT AS has_hard, n_rows, n_det, soft_gti, hard_gti,
   CASE WHEN g.day_no%3<>0 AND n_det<5 THEN 'partial_coverage_'||n_det||'of5_detectors' WHEN g.day_no%3<>0 THEN ''
    WHEN a.day_no IS NOT NULL AND b.day_no IS NOT NULL THEN 'build_missing' WHEN a.day_no IS NOT NULL THEN 'solexs_only' WHEN b.day_no IS NOT NULL THEN 'hel1os_only' ELSE 'no_raw_data' END AS notes
 FROM g LEFT JOIN a USING (day_no) LEFT JOIN b USING (day_no)""", "sample grid")
@@ -109,7 +109,7 @@ def _(t):
     )
     rows = g.join(days("click", 250, "a"), "day_no", "left").join(days("view", 200, "b"), "day_no", "left").fillna(False, ["a", "b"])
     note = A.coverage_note(F.col("a"), F.col("b"), F.col("day_no") % 3 != 0, F.col("n_det"))
-    return rows.select("day_no", F.col("a").cast("int").alias("has_solexs"), F.col("b").cast("int").alias("has_hel1os"), "n_rows", "n_det", "soft_gti", "hard_gti", note.alias("notes"))
+    return rows.select("day_no", F.col("a").cast("int").alias("has_soft"), F.col("b").cast("int").alias("has_hard"), "n_rows", "n_det", "soft_gti", "hard_gti", note.alias("notes"))
 
 
 @query("i7_gti_statistics", """
