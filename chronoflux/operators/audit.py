@@ -11,6 +11,8 @@ from chronoflux.functions.scalars import SECONDS_PER_DAY, floor_div, utc_of
 from chronoflux.operators.joins import overlap_days
 from chronoflux.operators.timeline import exact_quantiles, explode_interval, gap_runs, range_join, with_frames
 
+# The status words FULL, PARTIAL, MISSING, NO_SOLEXS, NEITHER and the note words
+# below are stored in existing coverage tables and stay as they are.
 FULL_SHARE = 0.9
 SPAN_GAP = 60
 MISSING_GAP = 300

@@ -44,12 +44,9 @@ def densify(
     keys = list(keys)
     rows = with_chunk(cells.select(*keys, pos, *values), pos, size)
     series = extent if extent is not None else extents(cells, keys, pos)
-    # One row per series: the common span is a window over that small table.
-    every = Window.partitionBy(F.lit(0))
-    anchors = series.select(
-        *keys, floor_div(F.min("lo").over(every), size).alias("__c0"), floor_div(F.max("hi").over(every), size).alias("__c1")
-    ).select(
-        *keys, F.explode(F.sequence("__c0", "__c1")).alias(CHUNK)
+    span = series.agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))  # one row
+    anchors = series.select(*keys).join(F.broadcast(span)).select(
+        *keys, F.explode(F.sequence(floor_div("__lo", size), floor_div("__hi", size))).alias(CHUNK)
     ).withColumn(pos, F.col(CHUNK) * size).withColumn("__real", F.lit(0))
     both = rows.withColumn("__real", F.lit(1)).unionByName(anchors, allowMissingColumns=True)
     w = Window.partitionBy(*keys, CHUNK).orderBy(pos, "__real")
