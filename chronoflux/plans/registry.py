@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoflux.plans.tables import Tables, with_ctes
+from chronoflux.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +22,7 @@ def query(name: str, sql: str | None = None, ctes: str = "", nullable: str = "")
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             out = fn(Tables(spark, sf_dir))
             return out.withColumns({c: out[c].cast("double") for c in nullable.split()})
         if name in QUERIES:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,25 +31,46 @@ def local_session(cpus: int | str = 8, name: str = "chronoflux", **conf: str) ->
     return spark
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder for intermediate tables, in the shared folder of the cluster if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/chronoflux-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    A local session (tests) without the setting gets a fresh temporary folder; any other
+    session without it is refused, because executors would write to their own disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     return tempfile.mkdtemp(prefix="chronoflux-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the cluster, so that lost executors cost no rerun.
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder for intermediate tables, in the shared folder."""
+    return f"{shared_folder(spark)}/chronoflux-{uuid.uuid4().hex}"
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests) a fresh temporary folder is taken.
-    """
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_chronoflux_sent", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="chronoflux-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in package.rglob("*.py"):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._chronoflux_sent = True
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so that lost executors cost no rerun."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoflux-ckpt-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
