@@ -4,15 +4,17 @@ A document is the set of its distinct word shingles (64-bit hashes). Two collect
 ``HALVES`` short signatures (``ROWS`` minhashes each) are computed; the key of table
 (i, j) combines signature i of the first with signature j of the second, so
 HALVES^2 tables need only 2 * HALVES * ROWS minhashes. Two sets of similarity 0.85 miss
-every table with probability below 0.001, of 0.9 below 0.00003.
+every table with probability 0.0003, of 0.9 below 0.00001.
 
 Equal sets collapse to one representative (the smallest id) first. Signatures that no
 other set has are dropped before keys are combined, which loses no key that two sets
-share. Inside a bucket nobody is paired with everybody: a hub is compared with the
-members that are not yet in its component, confirmed links merge components, and the hub
-leaves the bucket. That repeats until every bucket lies in one component, so every pair
-of a bucket is compared or already connected. Only pairs whose set sizes allow the
-threshold are compared.
+share. Sets that a chain of shared keys connects are a family; no pairs are emitted in it.
+
+1. Each set is compared with the best-connected member of its buckets, and confirmed
+   links merge components. That is linear and settles the copies of one original.
+2. What the largest component of a family left over is compared with the whole family
+   in blocks: a task gets two blocks of sets, counts all common shingles in memory and
+   returns only links that connect components. Block sizes follow the family's size.
 
 Defined cases: texts without words (null, empty) have an empty set, component their own
 id, and are kept; rows without an id have a null component and are kept; rows that repeat
@@ -22,7 +24,6 @@ an id count as one vertex where that id stands for them; an empty table gives no
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from chronoflux.llm.common import mix64, table, texts_of
 from chronoflux.session import stage_table
 
-HALVES, ROWS, WORDS = 8, 3, 5
+HALVES, ROWS, WORDS = 12, 4, 5
+#: Blocks of a family, and bounds of the members and shingles of a block.
+BLOCKS, BLOCK_MEMBERS, BLOCK_SHINGLES = 32, (32, 512), 500_000
 _random = np.random.default_rng(20)
 _MULTIPLY = _random.integers(1, 2**63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _random.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,12 +114,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("hub", "rep", "sa", "sb").mapInArrow(check, "hub long, rep long, good boolean").where("good").select("hub", "rep")
 
 
-def _merge(rows: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and component table after confirmed links (by component) are merged."""
-    roots = components(links)
-    moved = roots.where("node <> root").select(F.col("node").alias("comp"), "root")
-    new = lambda df: stage_table(df.join(moved, "comp", "left").select(*(c for c in df.columns if c != "comp"), F.coalesce("root", "comp").alias("comp")))
-    return new(rows), new(comps)
+def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The component table (rep, ..., comp) after links (a, b) between components."""
+    moved = components(links).where("node <> root").select(F.col("node").alias("comp"), "root")
+    return stage_table(comps.join(moved, "comp", "left").select(*(c for c in comps.columns if c != "comp"), F.coalesce("root", "comp").alias("comp")))
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of the edges (a, b) that connects what they connect."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x] = up.get(up[x], up[x])
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        rx, ry = top(x), top(y)
+        if rx != ry:
+            up[rx] = ry
+            out.append((x, y))
+    return out
+
+
+def _compare_blocks(percent: int, width: int = 4096):
+    """Links between the components of two blocks of sets (or within one)."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        comp, block = t.column("comp").to_numpy(), t.column("block").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        shared = np.flatnonzero(count[token] > 1)
+        token, owner = np.unique(token[shared], return_inverse=True)[1], owner[shared]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(token.max(initial=-1)) + 1, width):
+            here = (token >= lo) & (token < lo + width)
+            x = np.zeros((len(sets), width), np.float32)
+            x[owner[here], token[here] - lo] = 1
+            both += x[left] @ x[right].T
+        total = n[left][:, None] + n[right][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * total) & (comp[left][:, None] != comp[right][None, :]))
+        edges = _spanning(comp[left[i]], comp[right[j]])
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return compare
+
+
+def _block_links(comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that full comparison finds between the components of each family; ``comps``: rep, n, family, comp."""
+    groups = stage_table(comps.groupBy("family", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
+    main = groups.groupBy("family").agg(F.max(F.struct("c", "s", "comp")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    least, most = BLOCK_MEMBERS
+    size = lambda c: F.least(F.greatest(F.col(c) / BLOCKS, F.lit(least)), F.lit(most))
+    blocks = lambda c, s: F.greatest(F.ceil(c / size("c")), F.ceil(s / F.lit(BLOCK_SHINGLES))).cast("int")
+    plan = stage_table(main.select("family", F.col("m.comp").alias("main"), blocks(F.col("m.c"), F.col("m.s")).alias("n_main"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("n_rest")))
+    # blocks of the rest are 0 to n_rest - 1, those of the main component follow
+    rest = F.col("comp") != F.col("main")
+    at = F.pmod(F.xxhash64("rep"), F.when(rest, F.col("n_rest")).otherwise(F.col("n_main"))).cast("int")
+    placed = comps.join(plan, "family").withColumn("block", F.when(rest, at).otherwise(F.col("n_rest") + at))
+    others = F.when(rest, F.sequence(F.lit(0), F.col("n_rest") + F.col("n_main") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") - 1))
+    dealt = placed.join(sets, "rep").select("family", "rep", "comp", "block", "set", F.explode(others).alias("other"))
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "comp", "block", "set")
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -133,33 +196,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = stage_table(active.select("rep", "n", "y", F.explode("x").alias("x")).select("rep", "n", "x", F.explode("y").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep", "n"))
     sizes = stage_table(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     rows = stage_table(keyed.join(sizes, "key"))
-    weight = stage_table(rows.groupBy("rep").agg(F.sum("size").alias("weight")))
-    rows = stage_table(rows.select("key", "rep", "n").join(weight, "rep").select("key", "rep", "n", "weight", F.col("rep").alias("comp")))
-    comps = weight.select("rep", F.col("rep").alias("comp"))
+    weight = stage_table(rows.groupBy("rep").agg(F.first("n").alias("n"), F.sum("size").alias("weight")))
+    rows = stage_table(rows.select("key", "rep").join(weight, "rep"))
+    hubs = stage_table(rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "rep", "n")).alias("hub"), F.min("rep").alias("least")))
+    met = rows.join(hubs, "key")
+    families = components(met.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
 
     ids = weight.select("rep")
     sets = stage_table(body.join(ids, body.doc_id == ids.rep).select("rep", "body").mapInArrow(_sets, "rep long, set binary"))
-    fits = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
-    tested: list[DataFrame] = []
-    first = True
-    while True:
-        spread = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "rep", "n", "comp")).alias("hub"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-        hubs = stage_table(spread.where("least <> most").select("key", "hub"))
-        if hubs.isEmpty():
-            break
-        met = rows.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & F.expr(fits))
-        if first:  # each set with its best hub only; settles most buckets
-            pairs = met.groupBy("rep").agg(F.max("hub").alias("hub"), F.first("comp").alias("comp")).select(F.col("hub.rep").alias("hub"), "rep", F.col("hub.comp").alias("a"), F.col("comp").alias("b"))
-        else:
-            pairs = met.select(F.col("hub.rep").alias("hub"), "rep", F.col("hub.comp").alias("a"), F.col("comp").alias("b")).distinct()
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["hub", "rep"], "left_anti")
-        pairs = stage_table(pairs)
-        links = _confirmed(pairs.select("hub", "rep"), sets, percent).join(pairs, ["hub", "rep"]).select("a", "b")
-        if not first:
-            rows = rows.join(hubs.select("key", F.col("hub.rep").alias("gone")), "key").where("rep <> gone").drop("gone")
-        rows, comps = _merge(rows, links, comps)
-        tested.append(pairs.select("hub", "rep"))
-        first = False
+    comps = weight.select("rep", "n").join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep").withColumn("comp", F.col("rep"))
+    best = met.where((F.col("rep") != F.col("hub.rep")) & F.expr(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")).groupBy("rep").agg(F.max("hub")["rep"].alias("hub"))
+    first = _confirmed(best, sets, percent)
+    comps = _merge(comps, first.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    comps = _merge(comps, _block_links(comps, sets, percent)).select("rep", "comp")
 
     found = stage_table(reps.select("set_id", "rep").join(comps, "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("component_id")))
     out = members.select("doc_id", "n", "set_id").join(found, "set_id", "left")
