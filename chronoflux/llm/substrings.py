@@ -235,11 +235,19 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string()), spans], ["doc_id", "part", "n_removed", "n_spans", "sha", "spans"])
 
 
-def _with_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """Texts beside the places found in them, by id and text."""
-    grouped = places.groupBy("doc_id", "part").agg(F.collect_set("place").alias("places"))
-    t, g = texts.alias("t"), grouped.alias("g")
-    return t.join(g, F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("t.part") == F.col("g.part"))).select("t.doc_id", "t.part", "t.body", "g.places")
+def _with_places(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``texts`` with ``places`` to cut further and (more) ``spans``; texts without either drop out.
+
+    Both sides grow with the corpus, so the join always shuffles.
+    """
+    found = marks.groupBy("doc_id", "part").agg(F.collect_set(F.when(F.col("probe"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("span"), F.col("place"))).alias("more"))
+    t, g = texts.alias("t"), found.alias("g").hint("merge")
+    join = F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("t.part") == F.col("g.part"))
+    if "spans" not in texts.columns:
+        return t.join(g, join).select("t.doc_id", "t.part", "t.body", "g.places", F.col("g.more").alias("spans"))
+    more = F.coalesce("g.more", F.array().cast("array<long>"))
+    out = t.join(g, join, "left").select("t.doc_id", "t.part", "t.body", F.coalesce("g.places", F.array().cast("array<long>")).alias("places"), F.concat("t.spans", more).alias("spans"))
+    return out.where("size(places) + size(spans) > 0")
 
 
 def repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,16 +255,16 @@ def repeated_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     body = body.select("doc_id", F.hash("body").alias("part"), "body")
     long = body.where(F.octet_length("body") >= LENGTH)
-    runs = stage_table(marked(long.mapInArrow(_first, ROW)))
-    ids = stage_table(runs.select("doc_id", "part").distinct())
-    join = F.col("t.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("t.part") == F.col("i.part"))
-    texts = stage_table(long.alias("t").join(ids.alias("i"), join, "left_semi").distinct())
-    blocks = stage_table(marked(_with_texts(texts, runs.where("probe")).mapInArrow(_finer(STEP), ROW)))
-    single = stage_table(marked(_with_texts(texts, blocks.where("probe")).mapInArrow(_finer(1), ROW)))
-    spans = runs.where("span").union(blocks.where("span")).union(single.where("span"))
+    texts = stage_table(_with_places(long, marked(long.mapInArrow(_first, ROW))))
+    for step in (STEP, 1):
+        finer = texts.where("size(places) > 0").select("doc_id", "part", "body", "places").mapInArrow(_finer(step), ROW)
+        texts = _with_places(texts, marked(finer))
+        if step > 1:
+            texts = stage_table(texts)
     schema = "doc_id long, part int, n_removed long, n_spans long, sha string, spans array<struct<from:bigint,upto:bigint>>"
-    cut = stage_table(_with_texts(texts, spans).mapInArrow(_cut, schema))
-    plain = stage_table(body.select("doc_id", "part", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole")))
+    cut = stage_table(texts.where("size(spans) > 0").select("doc_id", "part", "body", F.col("spans").alias("places")).mapInArrow(_cut, schema))
+    cut = cut.dropDuplicates(["doc_id", "part"])  # rows that repeat an id and a text
+    plain = body.select("doc_id", "part", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
     out = plain.alias("p").join(cut.alias("c"), F.col("p.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("p.part") == F.col("c.part")), "left")
     return out.select("p.doc_id", "p.n_bytes", F.coalesce("c.n_removed", F.lit(0)).alias("n_removed"), F.coalesce("c.n_spans", F.lit(0)).alias("n_spans"),
                       F.coalesce("c.sha", "p.whole").alias("kept_sha256"), F.coalesce("c.spans", F.array()).alias("spans"))
