@@ -70,7 +70,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     candidates = stage_table(hits.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").select("doc_id", "text_hash", "item_id"))
     b, c = body.alias("b"), candidates.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("items")).alias("c")
     near = b.join(c, F.col("b.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("b.text_hash") == F.col("c.text_hash")))
-    near = near.select("b.doc_id", "b.text_hash", shingle_texts(words(F.col("b.body"))).alias("have"), F.explode("c.items").alias("item_id"))
+    # the words of a candidate are cut once, before they are put together to shingles
+    near = near.select("b.doc_id", "b.text_hash", words(F.col("b.body")).alias("w"), "c.items").select("doc_id", "text_hash", "items", shingle_texts(F.col("w")).alias("have"))
+    near = near.select("doc_id", "text_hash", "have", F.explode("items").alias("item_id"))
     pairs = near.join(items, "item_id").select("doc_id", "text_hash", "item_id", F.col("n").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "have")).alias("n_found"))
     return pairs.where(100 * F.col("n_found") >= percent * F.col("n_item_shingles")).distinct()
 
