@@ -48,7 +48,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], factor: float, ca
     s = s.select("*", hi.alias("upto"), F.sum("target").over(everything).alias("all"))
     s = s.select("*", F.coalesce(F.lag("upto").over(one), F.lit(0.0)).alias("from"))
     return s.select("source", "source_size", "target", F.expr("from / all").alias("lo"), F.expr("upto / all").alias("hi"),
-                    F.greatest(F.lit(1), F.ceil(F.col("all") / SLOTS)).alias("block_words"))
+                    F.greatest(F.lit(1), F.ceil(F.col("all") / SLOTS)).alias("block_words"), F.col("all").alias("all_words"))
 
 
 def slots(spark: SparkSession, targets: DataFrame, cells: int = 4096) -> DataFrame:
@@ -56,7 +56,7 @@ def slots(spark: SparkSession, targets: DataFrame, cells: int = 4096) -> DataFra
     point = spark.range(SLOTS).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN)).alias("x"))
     point = point.withColumn("cell", F.floor(F.col("x") * cells))
     spans = targets.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
-    hit = point.join(spans, "cell").where("x >= lo AND x < hi")
+    hit = point.join(spans, "cell").where("x >= lo AND x < hi AND slot * block_words < all_words")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
     blocks = F.ceil(F.col("source_size") / F.col("block_words"))
     hit = hit.select("slot", "source", rank.alias("rank"), blocks.alias("n"), "block_words")
@@ -117,7 +117,7 @@ s4 AS (SELECT source, source_size, least(most, coalesce(rate * weight, most)) AS
 s5 AS (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(target) OVER () AS al FROM s4),
 s6 AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY source NULLS LAST), 0) / al AS lo, upto / al AS hi, greatest(1, ceil(al / {SLOTS}))::BIGINT AS bw FROM s5),
 points AS (SELECT k, k::DOUBLE * {GOLDEN}::DOUBLE - floor(k::DOUBLE * {GOLDEN}::DOUBLE) AS x FROM range({SLOTS}) t(k)),
-hits AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS r, ceil(source_size / bw)::BIGINT AS n FROM points JOIN s6 ON x >= lo AND x < hi),
+hits AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS r, ceil(source_size / bw)::BIGINT AS n FROM points JOIN s6 ON x >= lo AND x < hi AND k * bw < al),
 turns AS (SELECT source, r % n AS block, count(*) AS times FROM hits WHERE r // n < 2 GROUP BY ALL),
 placed AS (SELECT s.*, t.source_size, t.target, t.bw, (sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start, row_number() OVER () AS line FROM sized s JOIN s6 t ON s.source IS NOT DISTINCT FROM t.source),
 cut AS (SELECT line, source, start, size, bw, unnest(range(start // bw, (start + size - 1) // bw + 1)) AS block FROM placed WHERE size > 0),
