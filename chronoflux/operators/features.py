@@ -165,7 +165,7 @@ def subsample_negatives(rows: DataFrame, y: str, key: str, factor: int = 4, cell
     Whole hash cells are taken up to the wanted number; only the one cell at the border
     is ranked, so no global sort is needed.
     """
-    h = F.pmod(F.col(key) * F.lit(2654435761), F.lit(4294967296))
+    h = F.pmod(F.pmod(F.col(key), F.lit(2147483648)) * F.lit(2654435761), F.lit(4294967296))  # the product stays below 2^63
     marked = rows.withColumn("__h", h).withColumn("__cell", floor_div("__h", 4294967296 // cells))
     counts = marked.groupBy("__cell").agg(F.count_if(F.col(y) == 0).alias("__n"), F.count_if(F.col(y) == 1).alias("__p"))
     w = Window.partitionBy(F.lit(0))  # one row per cell

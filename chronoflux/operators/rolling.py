@@ -231,6 +231,7 @@ def _trailing_long(
     keys = list(keys)
     rows = df
     before = width - 1
+    size = size or 1 << 40  # without a size a key is one chunk
     if {"mean", "std"} & set(stats):
         # Centre on the first value of the chunk: spreads survive the subtraction of sums.
         rows = spread(rows, pos, max(size, width), before, 0)

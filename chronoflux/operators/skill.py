@@ -187,20 +187,18 @@ def brier_and_ece(df: DataFrame, keys: Sequence[str], p: str, y: str, bins: int
 
 
 def bootstrap_draws(days: DataFrame, n_boot: int) -> DataFrame:
-    """(b, day): ``n_boot`` resamples of the days with replacement, from integer arithmetic.
+    """(b, day): ``n_boot`` resamples of the days with replacement, drawn by a hash of (b, i).
 
-    The draws come from a fixed congruential mix of (b, i), so that a rerun, another
-    engine or a lost executor gives the same ones.
+    The digest mixes its input, so draws of a resample and of different resamples are as
+    good as independent, while a rerun, another engine or a lost executor gives the same.
     """
     numbered = days.select("day").distinct().withColumn(
         "i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")) - 1
     )
     total = F.count("*").over(Window.partitionBy(F.lit(0)))
     slots = numbered.withColumn("n", total).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    x = F.col("b").cast("bigint") * F.col("n") + F.col("i")
-    u = F.pmod(x * F.lit(1103515245) + 12345, F.lit(2147483648))
-    u = F.pmod(u * F.lit(1103515245) + 12345, F.lit(2147483648))
-    picks = slots.select("b", F.pmod(F.floor(u / 65536), F.col("n")).alias("i"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "i").cast("binary")), 1, 12), 16, 10).cast("bigint")
+    picks = slots.select("b", F.pmod(u, F.col("n")).alias("i"))
     return picks.join(numbered.select("i", "day"), "i").select("b", "day")
 
 

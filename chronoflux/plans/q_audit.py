@@ -13,7 +13,7 @@ from chronoflux.plans.registry import query
 from chronoflux.plans.tables import CTES, GRID_CHUNK
 
 CTES["obs_raw"] = ("", """SELECT o_orderkey AS obs_id, epoch_us(o_orderdate)//1000000 + (o_orderkey*7919)%86400 AS start_t,
-  epoch_us(o_orderdate)//1000000 + (o_orderkey*7919)%86400 + (o_orderkey*104729)%20000 AS end_t, o_custkey FROM orders WHERE o_orderkey%5=0""")
+  epoch_us(o_orderdate)//1000000 + (o_orderkey*7919)%86400 + (o_orderkey*104729)%20000 AS end_t, o_custkey FROM orders""")
 CTES["pieces_d"] = ("obs_raw", """SELECT obs_id, day_no, greatest(start_t, day_no*86400) AS s, least(end_t, (day_no+1)*86400) AS e FROM (
   SELECT *, unnest(range(start_t//86400, (end_t-1)//86400+1)) AS day_no FROM obs_raw WHERE end_t > start_t)""")
 CTES["coverage"] = ("pieces_d", "SELECT day_no, count(*) AS n_obs, CAST(sum(e-s) AS BIGINT) AS seconds, least(1.0, sum(e-s)/86400.0)::DOUBLE AS fraction FROM pieces_d GROUP BY 1")
@@ -25,14 +25,14 @@ CTES["missing_d"] = ("pieces_d", """SELECT day_no FROM (SELECT unnest(range((SEL
   WHERE day_no NOT IN (SELECT day_no FROM pieces_d)""")
 
 
-CTES["flare_days"] = ("", "SELECT DISTINCT epoch_us(o_orderdate)//86400000000 AS day_no FROM orders WHERE o_totalprice > 480000")
+CTES["flare_days"] = ("", "SELECT DISTINCT d + d//5*3 AS day_no FROM (SELECT epoch_us(o_orderdate)//86400000000 AS d FROM orders)")
 
 
 def raw_obs(t):
-    """A gappy fifth of the orders as observations of up to five and a half hours."""
+    """The orders as observations of up to five and a half hours."""
     k = F.col("o_orderkey")
     start = unix_of("o_orderdate") + (k * 7919) % 86400
-    rows = t.read("orders").filter(k % 5 == 0)
+    rows = t.read("orders")
     return rows.select(k.alias("obs_id"), start.alias("start_t"), (start + (k * 104729) % 20000).alias("end_t"), "o_custkey")
 
 
@@ -60,11 +60,11 @@ def _(t):
     return A.missing_parts(A.merged_spans(pieces(t)))
 
 
-OTHER = "SELECT DISTINCT epoch_us(l_shipdate)//86400000000 AS day_no FROM lineitem WHERE l_quantity >= 49"
+OTHER = "SELECT DISTINCT epoch_us(l_shipdate)//86400000000 AS day_no FROM lineitem"
 
 
 def other_days(t):
-    return t.read("lineitem").filter("l_quantity >= 49").select(floor_div(unix_of("l_shipdate"), 86400).alias("day_no")).distinct()
+    return t.read("lineitem").select(floor_div(unix_of("l_shipdate"), 86400).alias("day_no")).distinct()
 
 
 @query("i4_day_status", f"""
@@ -82,7 +82,8 @@ WITH b AS (SELECT day_no FROM flare_days), m AS (SELECT unnest(range((SELECT min
 SELECT min(day_no) AS run_start, max(day_no) AS run_end, count(*) AS length FROM (
   SELECT day_no, day_no-row_number() OVER (ORDER BY day_no) AS g FROM m WHERE day_no NOT IN (SELECT day_no FROM b)) GROUP BY g""", "flare_days")
 def _(t):
-    days = t.read("orders").filter("o_totalprice > 480000").select(floor_div(unix_of("o_orderdate"), 86400).alias("day_no"))
+    day = floor_div(unix_of("o_orderdate"), 86400)  # three days without data after each five
+    days = t.read("orders").select((day + floor_div(day, 5) * 3).alias("day_no"))
     return A.day_runs(A.missing_days(days))
 
 

@@ -114,12 +114,12 @@ def _(t):
 
 
 @query("s12_human_bytes", """
-WITH b AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE)*pow(10, o_orderkey%12-3) AS n FROM orders)
+WITH b AS (SELECT o_orderkey, floor(CAST(o_totalprice AS DOUBLE)*pow(10, o_orderkey%12-3)) AS n FROM orders)
 SELECT o_orderkey, CASE WHEN n<1024 THEN format('{:.1f} B', n) WHEN n/1024<1024 THEN format('{:.1f} KB', n/1024)
  WHEN n/1048576<1024 THEN format('{:.1f} MB', n/1048576) WHEN n/1073741824<1024 THEN format('{:.1f} GB', n/1073741824)
  WHEN n/1099511627776<1024 THEN format('{:.1f} TB', n/1099511627776) ELSE format('{:.1f} PB', n/1125899906842624) END AS size
-FROM b WHERE n >= 1024""")
+FROM b""")
 def _(t):
     n = F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 12 - 3)
-    rows = t.read("orders").select("o_orderkey", n.alias("n")).filter("n >= 1024")
+    rows = t.read("orders").select("o_orderkey", F.floor(n).cast("double").alias("n"))  # sizes are whole bytes
     return rows.select("o_orderkey", S.human_bytes("n").alias("size"))

@@ -30,14 +30,14 @@ CTES["bins"] = ("grid10 flare det_other", """
     SELECT b.bin, b.bin//24 AS day_no, EXISTS (SELECT 1 FROM flare f WHERE f.peak_t//3600 = b.bin) AS obs,
       EXISTS (SELECT 1 FROM det_other d WHERE d.peak_t//3600 = b.bin) AS pred,
       b.bin - row_number() OVER (PARTITION BY b.bin//24 ORDER BY b.bin) AS seg
-    FROM (SELECT k//6 AS bin FROM (SELECT DISTINCT k FROM grid10 WHERE gti AND detector IN ('click', 'view')) GROUP BY 1 HAVING count(*)*600/3600.0 > 0.5) b""")
+    FROM (SELECT k//6 AS bin FROM (SELECT DISTINCT k FROM grid10 WHERE gti) GROUP BY 1 HAVING count(*)*600/3600.0 > 0.5) b""")
 CTES["bins_pers"] = ("bins", """
     SELECT *, coalesce(max(obs::INT) OVER (PARTITION BY day_no, seg ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), 0)=1 AS p1,
       coalesce(max(obs::INT) OVER (PARTITION BY day_no, seg ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0)=1 AS p5 FROM bins""")
 
 
 def bins(t):
-    good = t.grid(600).filter("gti AND detector IN ('click', 'view')").select((F.col("k") * 600).alias("t"))
+    good = t.grid(600).filter("gti").select((F.col("k") * 600).alias("t"))
     return K.score_bins(good, t.flare(), t.det_other(), "t", "peak_t", "peak_t", 3600, 600, None)
 
 
@@ -262,8 +262,7 @@ WITH comp AS (SELECT day, least(floor(p*10), 9) AS bin, count(*) FILTER (y=1 AND
   count(*) FILTER (y=1 AND p<0.45) AS fn, count(*) FILTER (y=0 AND p<0.45) AS tn, count(*) AS n, sum(p) AS sp, sum(y) AS sy, sum((p-y)*(p-y)) AS se
   FROM pred WHERE split='TEST' GROUP BY 1, 2),
 days AS (SELECT day, row_number() OVER (ORDER BY day)-1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM comp)),
-u1 AS (SELECT b, n, ((b*n+i)*1103515245+12345)%2147483648 AS u FROM days, (SELECT unnest(range(2000)) AS b)),
-picks AS (SELECT b, (((u*1103515245+12345)%2147483648)//65536)%n AS i FROM u1),
+picks AS (SELECT b, ('0x' || substr(md5(b || '|' || i), 1, 12))::BIGINT % n AS i FROM days, (SELECT unnest(range(2000)) AS b)),
 pb AS (SELECT b, bin, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, sum(c.n) AS n, sum(sp) AS sp, sum(sy) AS sy, sum(se) AS se
   FROM picks JOIN days USING (i) JOIN comp c USING (day) GROUP BY 1, 2),
 pd AS (SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, sum(n) AS n, sum(se) AS se, sum(abs(sy-sp)) AS gap FROM pb GROUP BY 1),

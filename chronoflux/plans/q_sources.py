@@ -125,10 +125,10 @@ def _(t):
 
 
 @query("a7_json_export", f"""
-SELECT {DAY_SQL} AS day, count(*) AS n_points, count(rate) AS n_seen, round(sum(round(rate, 9)), 5) AS total FROM grid WHERE detector='view' GROUP BY 1""", "grid")
+SELECT {DAY_SQL} || '-' || detector AS day, count(*) AS n_points, count(rate) AS n_seen, round(sum(round(rate, 9)), 5) AS total FROM grid GROUP BY 1""", "grid")
 def _(t):
     path = scratch_folder(t.spark) + "/json"
-    S.write_json(S.day_documents(day_grid(t).filter("detector = 'view'"), "day", "k", ["rate"], 9), path)
+    S.write_json(S.day_documents(day_grid(t).withColumn("day", F.concat_ws("-", "day", "detector")), "day", "k", ["rate"], 9), path)
     back = t.spark.read.schema("day string, n_points bigint, points array<struct<k:bigint,rate:double>>").json(path)
     rates = F.filter("points.rate", lambda x: x.isNotNull())
     return back.select("day", "n_points", F.size(rates).cast("bigint").alias("n_seen"),

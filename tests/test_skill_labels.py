@@ -1,5 +1,7 @@
 """Scores, thresholds, calibration, labels and text sources on small hand-made frames."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -124,3 +126,18 @@ def test_negative_subsample_is_exact(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 50 == 0).cast("int").alias("y"))
     out = X.subsample_negatives(df, "y", "k", 4).groupBy("y").count().collect()
     assert {r.y: r["count"] for r in out} == {1: 100, 0: 400}
+
+
+def test_bootstrap_draws_are_random(spark):
+    days = spark.range(60).select(F.col("id").alias("day"))
+    rows = K.bootstrap_draws(days, 400).groupBy("b").agg(F.count("*").alias("n"), F.count_distinct("day").alias("d"), F.avg("day").alias("m")).collect()
+    assert all(r["n"] == 60 for r in rows)
+    assert abs(sum(r["d"] for r in rows) / 400 / 60 - (1 - math.exp(-1))) < 0.01
+    mean = sum(r["m"] for r in rows) / 400
+    spread = math.sqrt(sum((r["m"] - mean) ** 2 for r in rows) / 400)
+    assert abs(spread / (math.sqrt((60**2 - 1) / 12) / math.sqrt(60)) - 1) < 0.12
+
+
+def test_subsample_takes_large_keys(spark):
+    rows = spark.range(200).select((F.col("id") + 4_000_000_000).alias("k"), (F.col("id") % 20 == 0).cast("int").alias("y"))
+    assert X.subsample_negatives(rows, "y", "k", 4).groupBy("y").count().orderBy("y").collect()[0]["count"] == 40
