@@ -111,14 +111,14 @@ def satellite_number(name: str | Column) -> Column:
 
 
 def human_bytes(n: str | Column) -> Column:
-    """``1536`` -> ``1.5 KB``; beyond TB the unit stays PB."""
+    """``1536`` -> ``1.5 KB``; beyond TB the unit stays PB; ties round to even."""
     value = col(n).cast("double")
     out = None
     for i, unit in enumerate(BYTE_UNITS):
         scaled = value / float(1024**i)
-        text = F.format_string(f"%.1f {unit}", scaled)
+        text = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
         out = F.when(scaled < 1024, text) if out is None else out.when(scaled < 1024, text)
-    return out.otherwise(F.format_string("%.1f PB", value / float(1024**5)))
+    return out.otherwise(F.format_string("%.1f PB", F.bround(value / float(1024**5), 1)))
 
 
 # --- numbers ---------------------------------------------------------------
