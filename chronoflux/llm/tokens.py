@@ -94,11 +94,19 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     uses = blocks.select("block", F.posexplode("words").alias("at", "word"))
 
     def pieces(batches):
+        """Counts of sorted words: each distinct word is encoded once, also where batches part it."""
+        last, known = None, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_piece_counts(model, b.column(0).to_pylist()))], ["word", "n"])
-
-    distinct = uses.select("word").distinct().mapInArrow(pieces, "word binary, n long")
-    back = uses.join(distinct, "word").groupBy("block").agg(F.array_agg(F.struct("at", F.col("n").cast("int").alias("n"))).alias("found"))
+            words = b.column("word").to_pylist()
+            new = list(dict.fromkeys(w for w in words if w != last))
+            found = dict(zip(new, _piece_counts(model, new).tolist(), strict=True)) | ({} if last is None else {last: known})
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array([found[w] for w in words], pa.int32())], ["block", "at", "n"])
+            if words:
+                last, known = words[-1], found[words[-1]]
+
+    # equal words of all blocks meet in one task, at most one from each block
+    counted = uses.repartition("word").sortWithinPartitions("word").select("block", "at", "word").mapInArrow(pieces, "block long, at int, n int")
+    back = counted.groupBy("block").agg(F.array_agg(F.struct("at", "n")).alias("found"))
 
     def total(batches):
         for b in batches:
