@@ -110,14 +110,15 @@ def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
 
     def total(batches):
         for b in batches:
-            for r in b.to_pylist():
-                n = np.zeros(len(r["found"] or ()), np.int64)
+            for i in range(b.num_rows):
+                cell = lambda name: b.column(name)[i]  # noqa: B023, E731
+                found = cell("found").values  # Arrow arrays, no Python object per word
+                n = np.zeros(0 if found is None else len(found), np.int64)
                 if len(n):
-                    at, each = np.array([(x["at"], x["n"]) for x in r["found"]]).T
-                    n[at] = each
-                sums = np.concatenate(([0], np.cumsum(n[_numbers(r["word"])] * _numbers(r["freq"]))))
-                ptr = _numbers(r["ptr"])
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"], pa.int64()), pa.array(r["n_bytes"], pa.int64()), pa.array(sums[ptr[1:]] - sums[ptr[:-1]])], ["doc_id", "n_bytes", "n_tokens"])
+                    n[found.field("at").to_numpy()] = found.field("n").to_numpy()
+                sums = np.concatenate(([0], np.cumsum(n[_numbers(cell("word").as_py())] * _numbers(cell("freq").as_py()))))
+                ptr = _numbers(cell("ptr").as_py())
+                yield pa.RecordBatch.from_arrays([cell("doc_id").values, cell("n_bytes").values, pa.array(sums[ptr[1:]] - sums[ptr[:-1]])], ["doc_id", "n_bytes", "n_tokens"])
 
     return blocks.drop("words").join(back, "block", "left").drop("block").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
 
