@@ -11,9 +11,10 @@ Files (Parquet, in ``folder``): ``blocks`` with part, seq, start (ids before the
 doc_id and n_tokens lists, n_ids, bits, checkpoints; ``codebook`` with id and bits of
 each code, in canonical order.
 
-Texts are cut before runs of white space, where the byte-level pre-tokenizer cuts too;
-each worker remembers the ids of parts it has seen (bounded; only saves time). If a
-tokenizer file does not allow that cut, whole texts are encoded.
+Texts are cut before runs of white space and before the last space of a run, where the
+byte-level pre-tokenizer cuts too; each worker remembers the ids of parts it has seen
+(bounded; only saves time) and encodes new parts in rows, told apart by the bytes of each
+id. If a tokenizer file does not allow that cut, whole texts are encoded.
 
 Defined cases: null and empty texts hold only the end id; ids repeat in the order of the
 hash of their texts, null ids come first; an empty table gives empty files.
@@ -47,25 +48,73 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.met = Tokenizer.from_file(path), {}
+        self.model, self.met, self.spaced = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
-        pre = d.get("pre_tokenizer") or {}
-        plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(f"[{_SPACE}]", a["content"])) for a in d.get("added_tokens") or ())
+        pre, added = d.get("pre_tokenizer") or {}, d.get("added_tokens") or ()
+        plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(f"[{_SPACE}]", a["content"])) for a in added)
         self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and d.get("normalizer") is None and plain
+        if self.cut:  # bytes of each id: one per character of a byte-level piece
+            own = {a["id"]: len(a["content"].encode()) for a in added}
+            vocab = self.model.get_vocab()
+            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            for piece, i in vocab.items():
+                self.width[i] = own.get(i, len(piece))
+
+    def _alone(self, parts: list[str]):
+        """Ids of each part, encoded by itself."""
+        for i in range(0, len(parts), 20_000):
+            for e in self.model.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def _rows(self, parts: list[str], row: int = 256):
+        """Ids of each part that starts with a space and ends otherwise; a row of parts is one text for the library."""
+        for i in range(0, len(parts), row * 64):
+            rows = [parts[k : k + row] for k in range(i, min(i + row * 64, len(parts)), row)]
+            for some, e in zip(rows, self.model.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum([len(p.encode()) for p in some])
+                upto = np.cumsum(self.width[ids])
+                at = np.searchsorted(upto, ends) + 1
+                if not (len(upto) and np.array_equal(upto[at - 1], ends)):  # bytes unknown to the vocabulary
+                    yield from self._alone(some)
+                    continue
+                raw, lo = ids.tobytes(), 0
+                for hi in (at * 4).tolist():
+                    yield raw[lo:hi]
+                    lo = hi
+
+    def _learn(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.met]
+        self.met.update(zip(new, self._alone(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        parts = [_PART.findall(t) if self.cut else [t] for t in texts]
-        if len(self.met) > REMEMBERED:
-            self.met = {}
-        new = list({p for ps in parts for p in ps if p not in self.met})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.met[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.met.__getitem__
-        return [b"".join(map(get, ps)) for ps in parts]
+        """Ids of each text as little-endian 32-bit numbers.
+
+        A text whose spaces stand alone is split at them. One with runs of spaces, or a
+        part of white space only, is cut by ``_PART``.
+        """
+        if len(self.met) + len(self.spaced) > REMEMBERED:
+            self.met, self.spaced = {}, {}
+        if not self.cut:
+            return list(self._alone(texts))
+        split, odd, new = [], [], set()
+        for t in texts:
+            head, *rest = t.split(" ")
+            unknown = set(rest).difference(self.spaced)
+            if rest and (not head or head.isspace() or any(not p or p.isspace() for p in unknown)):
+                split.append(None), odd.append(_PART.findall(t))
+            else:
+                split.append((head, rest)), odd.append([head] if head else [])
+                new |= unknown
+        self._learn({p for ps in odd for p in ps})
+        words = list(new)
+        solid = [w for w in words if not w[-1].isspace()]
+        self.spaced.update(zip(solid, self._rows([" " + w for w in solid]), strict=True))
+        ragged = [w for w in words if w[-1].isspace()]
+        self.spaced.update(zip(ragged, self._alone([" " + w for w in ragged]), strict=True))
+        met, spaced = self.met.__getitem__, self.spaced.__getitem__
+        return [b"".join(map(met, o)) + (b"".join(map(spaced, s[1])) if s else b"") for s, o in zip(split, odd, strict=True)]
 
 
 def planes(ids: np.ndarray) -> bytes:
@@ -143,7 +192,7 @@ class Codebook:
         self.most = int(self.bits.max()) if len(self.bits) else 1
         width = np.uint64(1) << (self.most - self.bits).astype(np.uint64)
         self.first = np.concatenate((np.zeros(1, np.uint64), np.cumsum(width)))[:-1]  # left-aligned codes
-        self._table: tuple | None = None
+        self._table: np.ndarray | None = None
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of the ids (most significant first) and the bit length of each segment."""
@@ -164,27 +213,29 @@ class Codebook:
         words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
         return words.astype(">u8").tobytes()[: int(upto[-1] + 7) // 8], np.add.reduceat(n, np.arange(0, len(n), SEGMENT))
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> np.ndarray:
+        """Id and length (lowest 6 bits) for each prefix of the longest code's length."""
         if self._table is None:
             width = 1 << (self.most - self.bits)
             fill = (1 << self.most) - int(width.sum())
-            self._table = (np.concatenate((np.repeat(self.ids, width), np.zeros(fill, np.int64))).astype(np.uint32), np.concatenate((np.repeat(self.bits, width), np.ones(fill, np.int64))))
+            kind = np.uint32 if not len(self.ids) or self.ids.max() < 1 << 26 else np.uint64
+            self._table = np.concatenate((np.repeat((self.ids << 6 | self.bits).astype(kind), width), np.ones(fill, kind)))
         return self._table
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n_ids: int) -> np.ndarray:
         """All ids of a block; every segment starts at its checkpoint."""
-        value, length = self.table()
+        table = self.table()
         words = np.frombuffer(bits + bytes(-len(bits) % 8 + 16), ">u8").astype(np.uint64)
         at = np.cumsum(checkpoints) - checkpoints
-        out = np.empty((len(at), SEGMENT), np.uint32)
+        out = np.empty((SEGMENT, len(at)), table.dtype)
         last = len(words) * 64 - 128
         for i in range(SEGMENT):
             word, s = at >> 6, (at & 63).astype(np.uint64)
             peek = (words[word] << s) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - s))
             peek = (peek >> np.uint64(64 - self.most)).astype(np.int64)
-            out[:, i] = value[peek]
-            at = np.minimum(at + length[peek], last)
-        return out.ravel()[:n_ids]
+            out[i] = table[peek]
+            at = np.minimum(at + (out[i] & 63).astype(np.int64), last)
+        return (out.T.ravel()[:n_ids] >> 6).astype(np.uint32)
 
 
 _BOOKS: dict = {}
