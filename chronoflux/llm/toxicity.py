@@ -4,8 +4,8 @@ Labelled examples (a bounded, documented sample of labelled rows) are vectors ov
 terms whose use differs between the two labels (chi-square of documents); idf comes from
 all documents. The examples stand in an inverted index cut into blocks of consecutive
 examples, with the largest weight of each term in each block. A query visits blocks in
-the order of their upper bound (its weights times the block maxima) and stops when the
-bound falls below its k-th best cosine, so the k nearest are exact. Ties go to the lower
+waves, in the order of their upper bound (its weights times the block maxima), and stops
+when the bound falls below its k-th best cosine, so the k nearest are exact. Ties go to the lower
 example id. Neighbours vote with weight cosine squared; a logistic curve fitted on the
 examples' own left-out votes, weighted to the true share of labels, calibrates them.
 
@@ -33,6 +33,8 @@ from chronoflux.session import stage_table
 
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 BLOCK = 64
+#: Blocks scored before the first look at the bound; each later wave is four times as many.
+FIRST_WAVE = 8
 
 
 def terms_of(raw: bytes) -> Counter:
@@ -102,21 +104,35 @@ class Index:
         if not len(at):
             return np.empty(0, np.int64), np.empty(0)
         bound = w @ self.most[at]
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
         best_i, best_s = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                lo, hi = self.ptr[t, b], self.ptr[t, b + 1]
-                score[self.rows[lo:hi] - b * BLOCK] += x * self.weights[lo:hi]
-            here = np.flatnonzero(score)
-            here = here[here + b * BLOCK != skip]
-            i, s = np.concatenate((best_i, here + b * BLOCK)), np.concatenate((best_s, np.round(score[here], 12)))
-            order = np.lexsort((i, -s))[:k]
-            best_i, best_s = i[order], s[order]
+        wave = FIRST_WAVE
+        while len(order):
+            i, s = self._cosines(at, w, order[:wave])
+            if skip >= 0:
+                i, s = i[i != skip], s[i != skip]
+            i, s = np.concatenate((best_i, i)), np.concatenate((best_s, s))
+            if len(s) > k:
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                i, s = i[near], s[near]
+            sort = np.lexsort((i, -s))[:k]
+            best_i, best_s = i[sort], s[sort]
+            order = order[wave:]
+            if len(best_s) == k:
+                order = order[bound[order] >= best_s[-1] - 1e-12]
+            wave *= 4
         return best_i, best_s
 
+    def _cosines(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the examples of some blocks that share a term with the query."""
+        lo = self.ptr[at[:, None], blocks]
+        n = (self.ptr[at[:, None], blocks + 1] - lo).ravel()
+        posting = np.repeat(lo.ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        total = np.bincount(self.rows[posting], np.repeat(np.repeat(w, len(blocks)), n) * self.weights[posting])
+        here = np.flatnonzero(total)
+        return here, np.round(total[here], 12)
+
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         """Weighted share of label 1, drawn to zero when all neighbours are far."""
         return float((s**2 * self.labels[i]).sum() / (s**2).sum()) if len(i) else 0.0
