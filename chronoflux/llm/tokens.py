@@ -3,9 +3,10 @@
 The vocabulary's pieces carry the space mark only at their start, so merges never cross
 the point before a run of spaces. A text is cut there into pre-tokens; its token count
 is the sum over them. Texts are read in blocks. A block becomes one row: its distinct
-pre-tokens, and for each document which of them it has how often (numbers, not texts).
-Distinct pre-tokens of all blocks are counted once, joined back to the blocks, and summed
-there; no token id is kept. Sizes of blocks are bounded by bytes of text; one text longer
+pre-tokens in packets by hash, and for each document which of them it has how often
+(numbers, not texts). Packets of one hash meet in one task, where each distinct pre-token
+is counted once; the counts are joined back to the blocks and summed there; no token id
+is kept. Sizes of blocks are bounded by bytes of text; one text longer
 than that is a block of its own.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted each; an
@@ -15,6 +16,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from chronoflux.llm.common import table, texts_of
 from chronoflux.session import stage_table
 
 MARK = "\u2581".encode()
+#: Between the pre-tokens of a packet; no byte of UTF-8 text.
+END, BAD = b"\xff", "\ufffd".encode()
+PACKETS = 1024
 _RUNS = re.compile(b" *[^ ]+| +")
 
 
@@ -32,7 +37,7 @@ def pre_tokens(raw: bytes) -> list[bytes]:
     """Pre-tokens of a text, each without its first space (every text begins with one)."""
     if not raw:
         return []
-    raw = raw.replace(MARK, b" ")
+    raw = raw.replace(MARK, b" ").replace(END, BAD)
     parts = raw.split(b" ")
     return parts if all(parts) else [x[1:] for x in _RUNS.findall(b" " + raw)]
 
@@ -47,15 +52,23 @@ def _numbers(raw: bytes) -> np.ndarray:
 
 
 def _blocks(batches, block_bytes: int):
-    """One row per block: ids, sizes, vocabulary, and (document, word, count) as numbers."""
-    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("words", pa.list_(pa.binary())), ("ptr", pa.binary()), ("word", pa.binary()), ("freq", pa.binary())])
+    """One row per block: ids, sizes, packets of its vocabulary, and (document, word, count) as numbers."""
+    packet = pa.list_(pa.struct([("packet", pa.int32()), ("words", pa.binary())]))
+    schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("packets", packet), ("dealt", pa.binary()), ("ptr", pa.binary()), ("word", pa.binary()), ("freq", pa.binary())])
     vocab: dict[bytes, int] = {}
     ids, sizes, found, counts = [], [], [], []
 
     def block():
         ptr = np.cumsum([0, *map(len, found)])
         both = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, counts)]
-        return pa.RecordBatch.from_pydict({"doc_id": [ids], "n_bytes": [sizes], "words": [list(vocab)], "ptr": [_planes(ptr)], "word": [_planes(both[0])], "freq": [_planes(both[1])]}, schema)
+        words = list(vocab)
+        dealt = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % PACKETS
+        order = np.argsort(dealt, kind="stable")
+        names, first = np.unique(dealt[order], return_index=True)
+        packets = [{"packet": int(k), "words": END.join([words[i] for i in part])} for k, part in zip(names, np.split(order, first[1:]), strict=bool(words))]
+        steps = np.diff(both[0], prepend=0).astype(np.uint32)  # ascending within a document
+        row = {"doc_id": [ids], "n_bytes": [sizes], "packets": [packets], "dealt": [_planes(dealt)], "ptr": [_planes(ptr)], "word": [_planes(steps)], "freq": [_planes(both[1])]}
+        return pa.RecordBatch.from_pydict(row, schema)
 
     room = block_bytes
     for b in batches:
@@ -89,38 +102,42 @@ def _piece_counts(path: str, words: list[bytes]) -> np.ndarray:
 def count_tokens(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, for a sentencepiece model file."""
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    rows = body.mapInArrow(lambda it: _blocks(it, block_bytes), "doc_id array<long>, n_bytes array<long>, words array<binary>, ptr binary, word binary, freq binary")
+    packed = "doc_id array<long>, n_bytes array<long>, packets array<struct<packet:int,words:binary>>, dealt binary, ptr binary, word binary, freq binary"
+    rows = body.mapInArrow(lambda it: _blocks(it, block_bytes), packed)
     blocks = stage_table(rows.withColumn("block", F.monotonically_increasing_id()))
-    uses = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    uses = blocks.select("block", F.inline("packets"))
 
     def pieces(batches):
-        """Counts of sorted words: each distinct word is encoded once, also where batches part it."""
-        last, known = None, 0
+        """Counts of the words of packets in order; each distinct word is encoded once."""
+        now, known = None, {}
         for b in batches:
-            words = b.column("word").to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            found = dict(zip(new, _piece_counts(model, new).tolist(), strict=True)) | ({} if last is None else {last: known})
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("at"), pa.array([found[w] for w in words], pa.int32())], ["block", "at", "n"])
-            if words:
-                last, known = words[-1], found[words[-1]]
-
-    # equal words of all blocks meet in one task, at most one from each block
-    counted = uses.repartition("word").sortWithinPartitions("word").select("block", "at", "word").mapInArrow(pieces, "block long, at int, n int")
-    back = counted.groupBy("block").agg(F.array_agg(F.struct("at", "n")).alias("found"))
+            found = []
+            for packet, raw in zip(b.column("packet").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if packet != now:
+                    now, known = packet, {}
+                words = raw.split(END)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, _piece_counts(model, new).tolist(), strict=True))
+                found.append(np.array([known[w] for w in words], "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("packet"), pa.array(found, pa.binary())], ["block", "packet", "n"])
+
+    # the packets of one hash meet in one task, at most one from each block
+    counted = uses.repartition("packet").sortWithinPartitions("packet").mapInArrow(pieces, "block long, packet int, n binary")
+    back = counted.groupBy("block").agg(F.sort_array(F.array_agg(F.struct("packet", "n")))["n"].alias("found"))
 
     def total(batches):
         for b in batches:
             for i in range(b.num_rows):
                 cell = lambda name: b.column(name)[i]  # noqa: B023, E731
-                found = cell("found").values  # Arrow arrays, no Python object per word
-                n = np.zeros(0 if found is None else len(found), np.int64)
-                if len(n):
-                    n[found.field("at").to_numpy()] = found.field("n").to_numpy()
-                sums = np.concatenate(([0], np.cumsum(n[_numbers(cell("word").as_py())] * _numbers(cell("freq").as_py()))))
+                order = np.argsort(_numbers(cell("dealt").as_py()), kind="stable")
+                n = np.zeros(len(order), np.int64)
+                n[order] = np.frombuffer(b"".join(cell("found").as_py() or ()), "<u4")
+                word = np.cumsum(_numbers(cell("word").as_py()), dtype=np.uint32)
+                sums = np.concatenate(([0], np.cumsum(n[word] * _numbers(cell("freq").as_py()))))
                 ptr = _numbers(cell("ptr").as_py())
                 yield pa.RecordBatch.from_arrays([cell("doc_id").values, cell("n_bytes").values, pa.array(sums[ptr[1:]] - sums[ptr[:-1]])], ["doc_id", "n_bytes", "n_tokens"])
 
-    return blocks.drop("words").join(back, "block", "left").drop("block").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    return blocks.drop("packets").join(back, "block", "left").drop("block").mapInArrow(total, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
