@@ -12,9 +12,9 @@ doc_id and n_tokens lists, n_ids, bits, checkpoints; ``codebook`` with id and bi
 each code, in canonical order.
 
 Texts are cut before runs of white space and before the last space of a run, where the
-byte-level pre-tokenizer cuts too; each worker remembers the ids of parts it has seen
-(bounded; only saves time) and encodes new parts in rows, told apart by the bytes of each
-id. If a tokenizer file does not allow that cut, whole texts are encoded.
+byte-level pre-tokenizer cuts too. The distinct parts of a run of texts are looked up once;
+each worker remembers the ids of parts it has met (bounded; only saves time) and encodes
+new parts in rows, told apart by the bytes of each id. If a tokenizer file does not allow that cut, whole texts are encoded.
 
 Defined cases: null and empty texts hold only the end id; ids repeat in the order of the
 hash of their texts, null ids come first; an empty table gives empty files.
@@ -28,6 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,12 +36,33 @@ from pyspark.sql.window import Window
 from chronoflux.llm.common import table
 from chronoflux.session import scratch_folder, stage_table
 
-BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED = 1 << 18, 256, 20, 600_000
+BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 400_000, 64
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ENCODERS: dict = {}
 
 
+class Memory:
+    """Ids of parts in two generations: what is not asked for in a while goes first."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def recall(self, parts: list[str], encode) -> list[bytes]:
+        """Ids of distinct parts; ``encode`` gives those of unknown ones, in order."""
+        got = list(map(self.young.get, parts))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        for i in gaps:
+            got[i] = self.old.get(parts[i])
+        new = [i for i in gaps if got[i] is None]
+        for i, ids in zip(new, encode([parts[i] for i in new]), strict=True):
+            got[i] = ids
+        if len(self.young) + len(gaps) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update((parts[i], got[i]) for i in gaps if len(parts[i]) <= LONGEST)
+        return got
+
+
 class Encoder:
     """A tokenizer file with the parts it has met."""
 
@@ -48,7 +70,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.met, self.spaced = Tokenizer.from_file(path), {}, {}
+        self.model, self.met, self.spaced = Tokenizer.from_file(path), Memory(REMEMBERED // 10), Memory(REMEMBERED)
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
         pre, added = d.get("pre_tokenizer") or {}, d.get("added_tokens") or ()
@@ -84,37 +106,59 @@ class Encoder:
                     yield raw[lo:hi]
                     lo = hi
 
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.met]
-        self.met.update(zip(new, self._alone(new), strict=True))
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it; no word is empty or white space only."""
+        ragged = [w[-1].isspace() for w in words]
+        solid = self._rows([" " + w for w, r in zip(words, ragged, strict=True) if not r])
+        others = self._alone([" " + w for w, r in zip(words, ragged, strict=True) if r])
+        return [next(others if r else solid) for r in ragged]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers.
 
-        A text whose spaces stand alone is split at them. One with runs of spaces, or a
-        part of white space only, is cut by ``_PART``.
+        A text whose spaces stand alone is split at them, and the ids of its words are
+        gathered by number. One with runs of spaces, or a part of white space only, is
+        cut by ``_PART``.
         """
-        if len(self.met) + len(self.spaced) > REMEMBERED:
-            self.met, self.spaced = {}, {}
         if not self.cut:
-            return list(self._alone(texts))
-        split, odd, new = [], [], set()
-        for t in texts:
-            head, *rest = t.split(" ")
-            unknown = set(rest).difference(self.spaced)
-            if rest and (not head or head.isspace() or any(not p or p.isspace() for p in unknown)):
-                split.append(None), odd.append(_PART.findall(t))
-            else:
-                split.append((head, rest)), odd.append([head] if head else [])
-                new |= unknown
-        self._learn({p for ps in odd for p in ps})
-        words = list(new)
-        solid = [w for w in words if not w[-1].isspace()]
-        self.spaced.update(zip(solid, self._rows([" " + w for w in solid]), strict=True))
-        ragged = [w for w in words if w[-1].isspace()]
-        self.spaced.update(zip(ragged, self._alone([" " + w for w in ragged]), strict=True))
-        met, spaced = self.met.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(met, o)) + (b"".join(map(spaced, s[1])) if s else b"") for s, o in zip(split, odd, strict=True)]
+            return list(self._alone(texts.to_pylist()))
+        parts = pc.split_pattern(texts, " ")
+        first, words = parts.offsets.to_numpy(), parts.flatten()
+        later = np.ones(len(words), bool)
+        later[first[:-1]] = False
+        heads = words.take(pa.array(first[:-1])).to_numpy(zero_copy_only=False).tolist()
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        vocab, which, sizes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(first) - 1
+        blank = np.fromiter((not w or w.isspace() for w in vocab), bool, len(vocab))
+        blanks = np.concatenate(([0], np.cumsum(blank[which])))[first - np.arange(len(first))]
+        odd = (np.diff(blanks) > 0) | (sizes > 0) & np.fromiter((not h or h.isspace() for h in heads), bool, len(heads))
+        which, sizes = which[np.repeat(~odd, sizes)], np.where(odd, 0, sizes)
+        used = np.zeros(len(vocab), bool)
+        used[which] = True
+        number = np.cumsum(used) - 1
+        found = self.spaced.recall([w for w, u in zip(vocab, used.tolist(), strict=True) if u], self._after_space)
+        width = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, which = np.cumsum(width) - width, number[which]
+        flat, n = np.frombuffer(b"".join(found), "<u4"), width[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(sizes)].tolist()
+        cut = [_PART.findall(t) if o else [h] if h else [] for t, h, o in zip(texts.to_pylist(), heads, odd.tolist(), strict=True)]
+        names = list({p for ps in cut for p in ps})
+        met = dict(zip(names, self.met.recall(names, self._alone), strict=True)).__getitem__
+        return [b"".join(map(met, ps)) + ids[lo:hi].tobytes() for ps, lo, hi in zip(cut, [0, *ends], ends, strict=False)]
+
+
+def runs_of_texts(texts: pa.Array, most: int = 4 << 20):
+    """(start, length) of runs of texts of about ``most`` bytes, or of one longer text."""
+    lo, room = 0, most
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > lo and n > room:
+            yield lo, i - lo
+            lo, room = i, most
+        room -= n
+    if len(texts):
+        yield lo, len(texts) - lo
 
 
 def planes(ids: np.ndarray) -> bytes:
@@ -142,9 +186,9 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: s
             return pa.RecordBatch.from_pydict({"seq": [seq], "doc_id": [names], "n_tokens": [sizes], "n_ids": [sum(sizes)], "ids": [planes(np.frombuffer(b"".join(held), "<u4"))]}, kind)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                for name, raw in zip(some.column("doc_id").to_pylist(), _ENCODERS[tokenizer].encode(some.column("body").to_pylist()), strict=True):
+            for lo, length in runs_of_texts(b.column("body")):
+                some = b.slice(lo, length)
+                for name, raw in zip(some.column("doc_id").to_pylist(), _ENCODERS[tokenizer].encode(some.column("body")), strict=True):
                     n = len(raw) // 4 + 1
                     if names and n > room:
                         yield block()
@@ -193,14 +237,17 @@ class Codebook:
         width = np.uint64(1) << (self.most - self.bits).astype(np.uint64)
         self.first = np.concatenate((np.zeros(1, np.uint64), np.cumsum(width)))[:-1]  # left-aligned codes
         self._table: np.ndarray | None = None
+        self._of_id: tuple[np.ndarray, np.ndarray] | None = None
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of the ids (most significant first) and the bit length of each segment."""
-        at = np.zeros(int(self.ids.max()) + 1, np.int64)
-        at[self.ids] = np.arange(len(self.ids))
-        which = at[ids]
-        n = self.bits[which]
-        code = self.first[which] >> (self.most - n).astype(np.uint64)
+        if self._of_id is None:  # code and bits of each id
+            code = np.zeros(int(self.ids.max()) + 1, np.uint64)
+            code[self.ids] = self.first >> (self.most - self.bits).astype(np.uint64)
+            bits = np.zeros(len(code), np.int64)
+            bits[self.ids] = self.bits
+            self._of_id = code, bits
+        code, n = (x[ids] for x in self._of_id)
         upto = np.cumsum(n)
         off = upto - n
         word, shift = off >> 6, 64 - (off & 63) - n
@@ -225,16 +272,17 @@ class Codebook:
     def decode(self, bits: bytes, checkpoints: np.ndarray, n_ids: int) -> np.ndarray:
         """All ids of a block; every segment starts at its checkpoint."""
         table = self.table()
-        words = np.frombuffer(bits + bytes(-len(bits) % 8 + 16), ">u8").astype(np.uint64)
+        room = 4 if self.most <= 25 else 8  # bytes that hold a longest code at any bit of the first
+        raw = np.frombuffer(bits + bytes(SEGMENT * self.most // 8 + 2 * room), np.uint8)  # a short last segment reads on
+        peeks = np.zeros(len(raw) - room, np.uint32 if room == 4 else np.uint64)
+        for k in range(room):
+            peeks = peeks << 8 | raw[k : k + len(peeks)]
         at = np.cumsum(checkpoints) - checkpoints
+        shift, mask = 8 * room - self.most, peeks.dtype.type((1 << self.most) - 1)
         out = np.empty((SEGMENT, len(at)), table.dtype)
-        last = len(words) * 64 - 128
         for i in range(SEGMENT):
-            word, s = at >> 6, (at & 63).astype(np.uint64)
-            peek = (words[word] << s) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - s))
-            peek = (peek >> np.uint64(64 - self.most)).astype(np.int64)
-            out[i] = table[peek]
-            at = np.minimum(at + (out[i] & 63).astype(np.int64), last)
+            out[i] = row = table[(peeks[at >> 3] >> (shift - (at & 7)).astype(peeks.dtype)) & mask]
+            at += row & 63
         return (out.T.ravel()[:n_ids] >> 6).astype(np.uint32)
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,6 +382,25 @@ def test_code_is_optimal_and_limited():
     assert np.array_equal(book.decode(bits, check, len(ids)), ids)
 
 
+def test_encoder_matches_the_library(monkeypatch):
+    """Spaces of all kinds, special strings and long parts, with a memory that forgets."""
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    encoder, draw = token_files.Encoder(tokenizer_path()), random.Random(1)
+    bits = [" ", "  ", "\n", "\t", "a", "B", "\u00e9", "1", ".", "'s", "<|endoftext|>", "\u3000", "word", "\x1c", "\xa0", "\u65e5\u672c", " x", " y", "z" * 70]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(4000)]
+    for lo in range(0, len(texts), 500):
+        some = texts[lo : lo + 500]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.model.encode_batch(some, add_special_tokens=False)]
+        assert encoder.encode(pa.array(some)) == want
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
+def test_runs_of_texts_cover_all():
+    texts = pa.array(["a" * n for n in (3, 0, 9, 30, 1, 1)])
+    assert list(token_files.runs_of_texts(texts, 10)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
+    assert list(token_files.runs_of_texts(texts.slice(0, 0), 10)) == []
+
+
 def test_token_files_round_trip(spark, docs, texts, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
