@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronoflux.functions.frames import centred, min_periods, trailing
 from chronoflux.operators.timeline import (
-    NATIVE_FRAME,
     at_positions,
     carry_forward,
     flag_runs,
     rolling_quantile,
+    running_difference,
     sliding_sums,
     with_frames,
 )
@@ -90,9 +87,6 @@ def background(
     if event_flag:
         rows = dilate(rows, keys, pos, event_flag, "__near", pad, size)
         quiet = quiet & ~F.col("__near")
-    if window * widen > NATIVE_FRAME:
-        rows = rows.withColumn("__quiet", F.coalesce(quiet, F.lit(False))).drop("__near")
-        return _background_by_series(rows, keys, pos, value, gti, out, window, min_quiet, widen, q)
     rows = flag_runs(rows, keys, pos, F.col(gti), size, out="__seg")
     rows = rows.withColumn("__quiet", F.when(quiet, F.col(value))).drop("__near")
     before, after = centred(window)
@@ -109,49 +103,6 @@ def background(
     return rows.withColumn(out, level).drop("__seg", "__quiet", "__b1", "__b2", "__b3")
 
 
-def _quiet_level(values: np.ndarray, quiet: np.ndarray, window: int, minimum: int, widen: int, q: float) -> np.ndarray:
-    """Background of one gap-free segment."""
-    pool = pd.Series(np.where(quiet, values, np.nan))
-    seen = int(pool.notna().sum())
-    if seen == 0:
-        return np.full(len(values), np.nanmedian(values) if np.isfinite(values).any() else np.nan)
-    level = np.full(len(values), np.nan)
-    for width, least in ((window, minimum), (window * widen, max(1, minimum // 2))):
-        open_ = np.isnan(level)
-        if seen >= least and open_.any():
-            after = centred(width)[1]
-            padded = pd.concat([pool, pd.Series(np.full(after, np.nan))], ignore_index=True)
-            rolled = padded.rolling(width, min_periods=least).quantile(q).to_numpy()[after:]
-            level = np.where(open_, rolled, level)
-    return np.where(np.isnan(level), pool.quantile(q), level)
-
-
-def _background_by_series(
-    rows: DataFrame, keys: Sequence[str], pos: str, value: str, gti: str, out: str, window: int, minimum: int, widen: int, q: float
-) -> DataFrame:
-    """Long windows: Spark brings one series and reset period together, pandas rolls inside.
-
-    The wider window and the segment level are worked out only where the shorter ones
-    leave holes.
-    """
-    names = [c for c in rows.columns if c != "__quiet"]
-    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "__quiet"], T.StructField(out, T.DoubleType())])
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        good = pdf[gti].to_numpy(dtype=bool)
-        values, quiet = pdf[value].to_numpy(dtype="float64"), pdf["__quiet"].to_numpy(dtype=bool)
-        level = np.full(len(pdf), np.nan)
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], good.astype(np.int8), [0]))))
-        for a, b in zip(edges[::2], edges[1::2]):
-            level[a:b] = _quiet_level(values[a:b], quiet[a:b], window, minimum, widen, q)
-        pdf[out] = level
-        return pdf[[*names, out]]
-
-    done = rows.groupBy(*keys).applyInPandas(per_series, schema)
-    return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
-
-
 def poisson_sigma(level: str | Column) -> Column:
     c = F.col(level) if isinstance(level, str) else level
     return F.sqrt(F.when(c.isNotNull(), F.greatest(c, F.lit(SIGMA_FLOOR))))
@@ -236,19 +187,11 @@ def _trailing_long(
         # Centre on the first value of the chunk: spreads survive the subtraction of sums.
         rows = spread(rows, pos, max(size, width), before, 0)
         w = Window.partitionBy(*keys, CHUNK).orderBy(pos)
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.withColumn("__ref", F.first(value, ignorenulls=True).over(whole))
         x = F.col(value) - F.col("__ref")
-        rows = rows.select(
-            "*",
-            F.sum(F.coalesce(x, F.lit(0.0))).over(upto).alias("__s"),
-            F.sum(F.coalesce(x * x, F.lit(0.0))).over(upto).alias("__ss"),
-            F.count(value).over(upto).alias("__n"),
-        )
-        def diff(c: str) -> Column:
-            return F.col(c) - F.coalesce(F.lag(c, width).over(w), F.lit(0))
-        rows = rows.select("*", diff("__s").alias("__ds"), diff("__ss").alias("__dss"), diff("__n").alias("__dn"))
+        totals = {"__ds": F.sum(F.coalesce(x, F.lit(0.0))), "__dss": F.sum(F.coalesce(x * x, F.lit(0.0))), "__dn": F.count(value)}
+        rows = rows.select("*", *[running_difference(c, w, before, 0).alias(n) for n, c in totals.items()])
         mean = F.col("__ref") + F.try_divide("__ds", "__dn")
         var = F.try_divide(F.col("__dss") - F.try_divide(F.col("__ds") * F.col("__ds"), F.col("__dn")), F.col("__dn") - 1)
         if "mean" in stats:
@@ -257,7 +200,7 @@ def _trailing_long(
             rows = rows.withColumn(
                 f"{prefix}std_{name}", min_periods(F.sqrt(F.greatest(var, F.when(var.isNotNull(), F.lit(0.0)))), F.col("__dn"), minimum)
             )
-        rows = rows.filter(HOME).drop(CHUNK, HOME, "__ref", "__s", "__ss", "__n", "__ds", "__dss", "__dn")
+        rows = rows.filter(HOME).drop(CHUNK, HOME, "__ref", "__ds", "__dss", "__dn")
     if "max" in stats:
         rows = spread(rows, pos, max(size, width), before, 0)
         rows = rows.withColumn("__block", F.floor(F.col(pos) / width))
@@ -266,17 +209,15 @@ def _trailing_long(
         down = block.orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("__down", F.max(value).over(down)).withColumn("__up", F.max(value).over(up))
         w = Window.partitionBy(*keys, CHUNK).orderBy(pos)
-        seen = F.sum(F.col(value).isNotNull().cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("__n", seen)
-        count = F.col("__n") - F.coalesce(F.lag("__n", width).over(w), F.lit(0))
-        first_pos = F.min(pos).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        # Before the first full window of the chunk the block prefix is all there is.
-        head = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("__left", F.lag("__down", before).over(w)).withColumn("__cnt", count)
-        rows = rows.withColumn("__first", first_pos).withColumn("__head", head)
-        best = F.when(F.col(pos) - F.col("__first") < before, F.col("__head")).otherwise(F.greatest("__left", "__up"))
+        # What the frame holds of the block before starts at the row after the last one ahead of the frame.
+        tail = F.struct("__block", "__down")
+        rows = rows.select("*", F.lead(tail).over(w).alias("__next"), F.first(tail).over(w).alias("__head"), running_difference(F.count(value), w, before, 0).alias("__cnt"))
+        ahead = F.last("__next").over(w.rangeBetween(Window.unboundedPreceding, -before - 1))
+        rows = rows.withColumn("__left", F.coalesce(ahead, "__head"))
+        left = F.when(F.col("__left.__block") < F.col("__block"), F.col("__left.__down"))
+        best = F.greatest(left, "__up")
         rows = rows.withColumn(f"{prefix}max_{name}", min_periods(best, F.col("__cnt"), minimum))
-        rows = rows.filter(HOME).drop(CHUNK, HOME, "__block", "__down", "__up", "__n", "__left", "__cnt", "__first", "__head")
+        rows = rows.filter(HOME).drop(CHUNK, HOME, "__block", "__down", "__up", "__next", "__head", "__left", "__cnt")
     if "median" in stats:
         rows = rolling_quantile(rows, keys, pos, value, f"{prefix}median_{name}", 0.5, before, 0, minimum, max(size, width))
     if "sum" in stats:

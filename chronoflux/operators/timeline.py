@@ -22,7 +22,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,15 @@ HOME = "__home"
 NATIVE_FRAME = 256
 
 
+class PositionFrame(BaseIndexer):
+    """Frames of a pandas rolling by position, so that holes shorten a frame and never shift it."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        start = np.searchsorted(self.positions, self.positions - self.before, "left")
+        end = np.searchsorted(self.positions, self.positions + self.after, "right")
+        return start.astype("int64"), end.astype("int64")
+
+
 def with_chunk(df: DataFrame, pos: str, size: int) -> DataFrame:
     return df.withColumn(CHUNK, floor_div(pos, size))
 
@@ -83,33 +94,27 @@ def sliding_sums(
     size: int | None,
     segment: Sequence[str] = (),
 ) -> DataFrame:
-    """Frame sums on a dense grid in constant time per row.
+    """Frame sums by position in constant time per row; a hole in the positions counts as zero.
 
-    Running sums inside the chunk are differenced with ``lag``/``lead``, so the
-    cost does not grow with the frame as it does for a native sliding frame.
+    Both ends are running sums over ranges that start at the first row, which grow row
+    by row, so the cost does not grow with the frame as it does for a sliding frame.
     Null counts as zero; pass 0/1 indicators to count.
     """
     if size is None:
         out = df.withColumn(CHUNK, F.lit(0)).withColumn(HOME, F.lit(True))
     else:
         out = spread(df, pos, size, before, after)
-    part = [*keys, CHUNK, *segment]
-    w = Window.partitionBy(*part).orderBy(pos)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys, CHUNK, *segment).orderBy(pos)
     zero = {n: F.coalesce(c, F.lit(0)) for n, c in columns.items()}
-    out = out.select("*", *[F.sum(c).over(upto).alias(f"__r_{n}") for n, c in zero.items()])
-    ends = {
-        n: F.col(f"__r_{n}") if after == 0
-        else F.coalesce(F.lead(f"__r_{n}", after).over(w), F.last(f"__r_{n}").over(whole))
-        for n in columns
-    }
-    out = out.select(
-        "*",
-        *[(e - F.coalesce(F.lag(f"__r_{n}", before + 1).over(w), F.lit(0))).alias(n)
-          for n, e in ends.items()],
-    )
-    return out.filter(HOME).drop(CHUNK, HOME, *[f"__r_{n}" for n in columns])
+    out = out.select("*", *[running_difference(F.sum(c), w, before, after).alias(n) for n, c in zero.items()])
+    return out.filter(HOME).drop(CHUNK, HOME)
+
+
+def running_difference(total: Column, w: WindowSpec, before: int, after: int) -> Column:
+    """A sum or count over ``before`` to ``after`` positions, as a difference of running ones."""
+    first = Window.unboundedPreceding
+    upto, earlier = total.over(w.rangeBetween(first, after)), total.over(w.rangeBetween(first, -before - 1))
+    return upto - F.coalesce(earlier, F.lit(0))
 
 
 def rolling_quantile(
@@ -125,7 +130,7 @@ def rolling_quantile(
     size: int | None,
     segment: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact rolling quantile (linear interpolation) on a dense grid.
+    """Exact rolling quantile (linear interpolation) of the rows ``before`` to ``after`` positions away.
 
     Short frames use Spark's ``percentile`` frame. That re-sorts the frame for
     every row, so longer frames run pandas' indexable skip list per chunk: a group
@@ -143,10 +148,8 @@ def rolling_quantile(
 
     def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        series = pdf[value].astype("float64")
-        padded = pd.concat([series, pd.Series([float("nan")] * after)], ignore_index=True)
-        rolled = padded.rolling(before + after + 1, min_periods=max(1, minimum)).quantile(q)
-        pdf[out] = rolled.to_numpy()[after:]
+        frame = PositionFrame(positions=pdf[pos].to_numpy(dtype="int64"), before=before, after=after)
+        pdf[out] = pdf[value].astype("float64").rolling(frame, min_periods=max(1, minimum)).quantile(q)
         return pdf.loc[pdf[HOME].astype(bool), [*names, out]]
 
     if size is None:

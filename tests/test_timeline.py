@@ -62,6 +62,60 @@ def test_long_trailing_stats_equal_short_path(series, frame):
         np.testing.assert_allclose(back(out, f"{stat}_w"), roll(stat), rtol=1e-7)
 
 
+@pytest.fixture(scope="module")
+def gappy(spark):
+    rng = np.random.default_rng(5)
+    k = np.sort(np.concatenate([np.arange(0, 130), np.arange(1000, 1090), rng.choice(np.arange(2000, 2300), 90, replace=False)]))
+    df = pd.DataFrame({"s": "a", "k": k, "x": rng.normal(50, 10, len(k)), "gti": True})
+    df.loc[rng.random(len(k)) < 0.1, "gti"] = False
+    return df, spark.createDataFrame(df).cache()
+
+
+def framed(df, before, after, f, least):
+    """``f`` of the values whose positions lie in each row's frame."""
+    k, x = df["k"].to_numpy(), df["x"].to_numpy()
+    found = [x[(k >= p - before) & (k <= p + after)] for p in k]
+    return np.array([f(v) if len(v) >= least else np.nan for v in found])
+
+
+@pytest.mark.parametrize("size", [None, 50])
+@pytest.mark.parametrize("width", [20, 90])
+@pytest.mark.parametrize("always_long", [False, True])
+def test_frames_follow_positions_across_holes(gappy, monkeypatch, size, width, always_long):
+    pdf, df = gappy
+    if always_long:
+        monkeypatch.setattr(R, "SHORT_FRAME", 0)
+        monkeypatch.setattr(T, "NATIVE_FRAME", 0)
+    out = R.trailing_stats(df, ["s"], "k", "x", {"w": width}, size, R.TRAILING_STATS)
+    stats = {"mean": np.mean, "std": lambda v: np.std(v, ddof=1), "max": np.max, "median": np.median, "sum": np.sum}
+    rows = out.orderBy("k").toPandas()
+    for stat in R.TRAILING_STATS:
+        np.testing.assert_allclose(rows[f"{stat}_w"], framed(pdf, width - 1, 0, stats[stat], width // 2), rtol=1e-9)
+    before, after = centred(width)
+    smooth = back(R.boxcar(df, ["s"], "k", "x", "m", width, size), "m")
+    np.testing.assert_allclose(smooth, framed(pdf, before, after, np.mean, width // 4), rtol=1e-9)
+
+
+@pytest.mark.parametrize("size", [None, 50])
+@pytest.mark.parametrize("window", [48, 120])
+def test_background_stays_in_its_segment(gappy, size, window):
+    """Windows whose widened frame is below and above the native limit, against a loop."""
+    pdf, df = gappy
+    got = back(R.background(df, ["s"], "k", "x", "gti", "b", window, 8, size), "b")
+    good, k = pdf["gti"].to_numpy(), pdf["k"].to_numpy()
+    starts = good & ~np.concatenate(([False], good[:-1] & (np.diff(k) == 1)))
+    segment, want = np.where(good, np.cumsum(starts), 0), np.full(len(k), np.nan)
+    for i in np.flatnonzero(good):
+        own = segment == segment[i]
+        for width, least in ((window, 8), (window * 4, 4), (10**6, 1)):
+            before, after = centred(width)
+            seen = pdf["x"][own & (k >= k[i] - before) & (k <= k[i] + after)]
+            if len(seen) >= least:
+                want[i] = seen.quantile(0.1)
+                break
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
 @pytest.mark.parametrize("size", [None, 7])
 def test_carry_is_forward_fill(series, frame, size):
     got = back(T.carry_forward(frame, ["s"], "k", {"f": F.col("x")}, size), "f")
