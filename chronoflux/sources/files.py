@@ -24,8 +24,8 @@ BROAD_NAMES = {"event_starttime": "start_utc", "event_peaktime": "peak_utc", "ev
 
 # --- partitioned tables -------------------------------------------------------
 def write_days(df: DataFrame, path: str, day: str = "day", mode: str = "overwrite") -> None:
-    """Day-partitioned zstd Parquet; rows of one day are brought together to avoid small files."""
-    df.repartition(day).write.mode(mode).option("compression", "zstd").option(
+    """Day-partitioned zstd Parquet; days are brought together by measured size, large ones in several tasks."""
+    df.hint("rebalance", F.col(day)).write.mode(mode).option("compression", "zstd").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(day).parquet(path)
 
