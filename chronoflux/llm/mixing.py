@@ -4,7 +4,11 @@ Each source's documents are shuffled by a hash of their id and laid end to end a
 stream of words, cut into blocks of equal words. Slot k of the mix is the golden-ratio
 point frac(k * 0.618...); the cumulative target shares map it to a source, its rank
 within the source says which block it takes, so at any prefix of the mix every source
-stands near its share. A source whose slots exceed its blocks begins another pass.
+stands near its share. A source whose slots exceed its blocks begins another pass. Blocks
+grow with the mix, so the slots of a source may come to more or fewer words than its
+target; where they miss it by more than its longest document, or by more than a 500th of
+it, the source takes its target to the word instead: whole passes, then the first words of
+its stream. ``OP5_SQL`` has the schedule alone and holds where no source misses.
 
 Targets: sources in code-point order (null last) carry the repeating ``weights`` and
 share ``factor`` times all words; a target stops at ``cap`` times its source's words and
@@ -18,6 +22,8 @@ text; rows that repeat an id are separate rows of the stream; an empty table giv
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,14 +33,16 @@ from chronoflux.session import stage_table
 
 GOLDEN = 0.6180339887498949
 SLOTS = 1 << 16
+#: Part of a target by which the slots of a source may miss it.
+MISS = 0.002
 #: Documents of a hash cell, and cells at most; they set the size of a task only.
 CELL_ROWS, MAX_CELLS = 512, 1 << 16
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], factor: float, cap: float) -> DataFrame:
-    """(source, source_size, target, lo, hi): lo and hi are the cumulative shares."""
+    """(source, source_size, longest, target, lo, hi): lo and hi are the cumulative shares."""
     one = Window.orderBy(F.col("source").isNull(), "source")
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest"))
     s = s.select("*", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(one) - 1) % len(weights) + 1).cast("int")).alias("weight"))
     everything = Window.partitionBy(F.lit(0))
     s = s.select("*", (factor * F.sum("source_size").over(everything)).alias("total"), (cap * F.col("source_size")).alias("most"))
@@ -43,11 +51,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], factor: float, ca
     s = s.select("*", ((F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)).alias("level"))
     s = s.select("*", F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level")))
                  .over(everything)["level"].alias("rate"))
-    s = s.select("source", "source_size", F.least("most", F.coalesce(F.col("rate") * F.col("weight"), F.col("most"))).alias("target"))
+    s = s.select("source", "source_size", "longest", F.least("most", F.coalesce(F.col("rate") * F.col("weight"), F.col("most"))).alias("target"))
     hi = F.sum("target").over(one.rowsBetween(Window.unboundedPreceding, 0))
     s = s.select("*", hi.alias("upto"), F.sum("target").over(everything).alias("all"))
     s = s.select("*", F.coalesce(F.lag("upto").over(one), F.lit(0.0)).alias("from"))
-    return s.select("source", "source_size", "target", F.expr("from / all").alias("lo"), F.expr("upto / all").alias("hi"),
+    return s.select("source", "source_size", "longest", "target", F.expr("from / all").alias("lo"), F.expr("upto / all").alias("hi"),
                     F.greatest(F.lit(1), F.ceil(F.col("all") / SLOTS)).alias("block_words"), F.col("all").alias("all_words"))
 
 
@@ -67,12 +75,23 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def exact_sources(targets: DataFrame, turns: DataFrame) -> DataFrame:
+    """Targets with ``goal`` (whole words) and ``exact``: the slots miss the target by too much."""
+    words = F.size("turns") * F.expr("least(t.block_words, t.source_size - b.block * t.block_words)")
+    got = targets.alias("t").join(turns.alias("b"), _same(F.col("t.source"), F.col("b.source"))).groupBy("t.source").agg(F.sum(words).alias("got"))
+    kept = targets.alias("t").join(F.broadcast(got).alias("g"), _same(F.col("t.source"), F.col("g.source")), "left")
+    miss = F.abs(F.coalesce(F.col("g.got"), F.lit(0)) - F.col("t.target"))
+    return kept.select("t.*", F.round("t.target").cast("long").alias("goal"), (miss > F.greatest(F.lit(1.0), F.least("t.longest", F.col("t.target") * MISS))).alias("exact"))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), factor: float = 1.5, cap: float = 2.0) -> DataFrame:
     """One row per document: size, source_size, target, and words taken in each pass (``taken`` array)."""
-    spark = docs.sparkSession
+    spark, turns_at_most = docs.sparkSession, math.ceil(cap)
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     sized = stage_table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")))
     targets = stage_table(source_targets(sized, weights, factor, cap))
+    turns = stage_table(slots(spark, targets).where(F.col("turn") < turns_at_most).groupBy("source", "block").agg(F.collect_set("turn").alias("turns")))
+    targets = stage_table(exact_sources(targets, turns))
     cells = max(1, min(MAX_CELLS, -(-sized.count() // CELL_ROWS)))
     at = sized.withColumn("cell", F.expr(f"(cast(conv(substr(key, 1, 8), 16, 10) as bigint) * {cells}) div 4294967296"))
     sums = at.groupBy("source", "cell").agg(F.sum("size").alias("words"))
@@ -80,16 +99,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     inner = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = at.select("*", inner.alias("inside")).alias("a").join(sums.alias("b"), _same(F.col("a.source"), F.col("b.source")) & (F.col("a.cell") == F.col("b.cell")))
     placed = placed.select("a.doc_id", "a.source", "a.size", "a.key", (F.col("b.base") + F.col("a.inside")).alias("start"))
-    placed = placed.alias("a").join(targets.alias("t"), _same(F.col("a.source"), F.col("t.source"))).select("a.*", "t.source_size", "t.target", "t.block_words")
+    placed = placed.alias("a").join(targets.alias("t"), _same(F.col("a.source"), F.col("t.source"))).select("a.*", "t.source_size", "t.target", "t.block_words", "t.goal", "t.exact")
     placed = stage_table(placed)
-    turns = stage_table(slots(spark, targets).where(F.col("turn") < int(cap)).groupBy("source", "block").agg(F.collect_set("turn").alias("turns")))
-    cut = placed.where("size > 0").select("source", "start", "size", "block_words", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")).alias("block"))
+    cut = placed.where("size > 0 AND NOT exact").select("source", "start", "size", "block_words", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")).alias("block"))
     used = cut.alias("a").join(turns.alias("b"), _same(F.col("a.source"), F.col("b.source")) & (F.col("a.block") == F.col("b.block")))
     words = F.expr("least(start + size, (a.block + 1) * block_words) - greatest(start, a.block * block_words)")
-    passes = [F.sum(F.when(F.array_contains("turns", F.lit(i).cast("long")), words).otherwise(0)).alias(f"p{i}") for i in range(int(cap))]
+    passes = [F.sum(F.when(F.array_contains("turns", F.lit(i).cast("long")), words).otherwise(0)).alias(f"p{i}") for i in range(turns_at_most)]
     taken = used.groupBy("a.source", "a.start").agg(*passes)
     back = placed.alias("a").join(taken.alias("b"), _same(F.col("a.source"), F.col("b.source")) & (F.col("a.start") == F.col("b.start")) & (F.col("a.size") > 0), "left")
-    return back.select("a.doc_id", "a.source", "a.size", "a.source_size", "a.target", F.array(*(F.coalesce(F.col(f"b.p{i}"), F.lit(0)).cast("long") for i in range(int(cap)))).alias("taken"))
+    exactly = [F.expr(f"greatest(0L, least(a.start + a.size, a.goal - {i} * a.source_size) - a.start)") for i in range(turns_at_most)]
+    each = (F.when(F.col("a.exact"), exactly[i]).otherwise(F.coalesce(F.col(f"b.p{i}"), F.lit(0))).cast("long") for i in range(turns_at_most))
+    return back.select("a.doc_id", "a.source", "a.size", "a.source_size", "a.target", F.array(*each).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

@@ -217,6 +217,20 @@ def test_mix_odd_rows(odd, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_gives_small_sources_their_target_beside_a_hot_one(spark):
+    hot = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 20000)").alias("text"), F.lit("hot").alias("source"))
+    small = [(1000 + i, "w " * n, source) for i, (n, source) in enumerate([(100, "a"), (100, "b"), (130, None), (100, "z"), (40, "many"), (70, "many"), (90, "many")])]
+    docs_ = hot.unionByName(spark.createDataFrame(small, "doc_id long, text string, source string"))
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs_).collect():
+        assert sum(r["taken"]) <= 2 * r["size"]
+        taken[r["source"]] += sum(r["taken"])
+        target[r["source"]] = r["target"]
+    assert len(target) == 6 and all(abs(taken[s] - target[s]) <= (20_000 if s == "hot" else 1) for s in target)
+    kept = {r["doc_id"] for r in mixing.mixed_documents(docs_).where("doc_id >= 1000").select("doc_id").collect()}
+    assert kept == {r[0] for r in small}
+
+
 # near duplicates
 
 
