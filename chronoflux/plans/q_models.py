@@ -170,12 +170,12 @@ def report(scored):
 @query("g6_logistic_regression")
 def _(t):
     rows = prepared(t)
-    model = M.fit_logistic(rows, FEATURES, "y", train(), 50)
+    model = M.fit_logistic(rows, FEATURES, "y", train())
     return report(M.predict(model, rows))
 
 
-def trees(rows, **kw):
-    return M.fit_trees(rows, FEATURES, "y", train(), val(), **{"trees": 12, "depth": 4, "rate": 0.1, **kw})
+def trees(rows):
+    return M.fit_trees(rows, FEATURES, "y", train(), val())
 
 
 @query("g7_boosted_trees")
@@ -187,7 +187,7 @@ def _(t):
 @query("g8_feature_importance")
 def _(t):
     rows = prepared(t)
-    return M.importances(trees(rows, trees=6), FEATURES, rows)
+    return M.importances(trees(rows), FEATURES, rows)
 
 
 @query("g9_climatology", "SELECT round(avg(y), 9) AS p FROM pred WHERE split='TRAIN'", "pred")
@@ -229,14 +229,21 @@ def _(t):
 @query("g13_score_series")
 def _(t):
     rows = prepared(t)
-    model = M.fit_logistic(rows, FEATURES, "y", train(), 25)
+    model = M.fit_logistic(rows, FEATURES, "y", train())
     scored = M.predict(model, rows.filter(val()), "p_raw")
     calibration = M.fit_isotonic(scored, "p_raw", "y")
     return M.score_series(model, calibration, rows.filter(test()), F.col("event_id") % 9 != 0).select("event_id", "t", "p", "p_lo", "p_hi")
 
 
+def horizon_rows(t):
+    """Model rows with one target per horizon: a peak in (t, t + minutes]."""
+    ahead = asof(t.ev().select("t").distinct(), t.flare(), [], "t", "peak_t", ["peak_t"], EVENT_CHUNK, "forward", strict=True, order=["flare_id"])
+    soon = {y: F.col("peak_t") <= F.col("t") + 60 * int(y[2:4]) for y in YS}
+    return X.beside(model_rows(t), "t", ahead.select("t", *[F.when(c, 1).otherwise(0).alias(y) for y, c in soon.items()]))
+
+
 @query("g14_feature_ablation")
 def _(t):
-    rows = prepared(t)
+    rows = cut_lineage(horizon_rows(t))
     groups = {"values": ["f1", "f2"], "history": ["age", "n_1h", "n_3h", "n_6h"], "combined": FEATURES}
-    return M.ablation(rows, groups, ["y"], train(), val(), test(), trees=5, depth=3, rate=0.2)
+    return M.ablation(rows, groups, YS, train(), val(), test())

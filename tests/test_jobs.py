@@ -84,3 +84,32 @@ def test_registry_is_consistent(spark):
 @pytest.mark.parametrize("name", ["b2_dense_grid", "f13_master_events", "h2_scores", "t1_streaming_decimation", "k9_record_validation"])
 def test_queries_run_on_the_smallest_tables(spark, name):
     assert entry_module.queries()[name](spark, SMALL).count() > 0
+
+
+def test_boosting_waits_before_it_stops():
+    falling = [1.0, 0.9, 0.95, 0.93, 0.8, 0.85, 0.84, 0.83, 0.82]
+    assert M.least_loss(falling, 3) == (5, True) and M.least_loss(falling, 5) == (5, False)
+    assert M.least_loss([float("nan")] * 4, 2) == (4, False)
+
+
+def test_models_are_trained_in_full(spark, monkeypatch):
+    from chronoflux.plans import q_models as Q
+
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def note(*args, **kw):
+        asked.append((args, kw))
+        raise Asked
+
+    monkeypatch.setattr(Q, "prepared", lambda t: None)
+    monkeypatch.setattr(Q, "horizon_rows", lambda t: spark.range(1))
+    for name in ("fit_trees", "fit_logistic", "ablation"):
+        monkeypatch.setattr(M, name, note)
+    for name in ("g6_logistic_regression", "g7_boosted_trees", "g8_feature_importance", "g13_score_series", "g14_feature_ablation"):
+        with pytest.raises(Asked):
+            entry_module.queries()[name](spark, SMALL)
+    assert all(not kw for _, kw in asked) and [len(a) for a, _ in asked] == [4, 5, 5, 4, 6]
+    assert list(asked[-1][0][2]) == ["y_15min", "y_30min", "y_60min"]
