@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronoflux.functions.frames import centred, min_periods, trailing
+from chronoflux.functions.frames import centred, min_periods
 from chronoflux.operators.timeline import (
+    RankTree,
     at_positions,
-    carry_forward,
+    exact_quantiles,
     flag_runs,
+    floats,
+    framed_chunks,
+    home_rows,
     rolling_quantile,
     running_difference,
     sliding_sums,
+    with_double,
     with_frames,
 )
+from chronoflux.session import stage_table
 
 SHORT_FRAME = 64
 SIGMA_FLOOR = 1.0
@@ -78,7 +86,12 @@ def background(
     padded events; without, the rolling low quantile. Rows whose window holds too few
     quiet samples fall back to a ``widen`` times longer window, then to the whole
     segment; a segment without any quiet sample takes the median of all its samples.
-    The keys must hold the reset period (the day): it bounds a segment.
+
+    A task gets one chunk with its edges and builds one rank tree, which serves both
+    windows; segment borders only clip the frames. A frame that holds its whole segment
+    has the segment's level, which is taken once per segment. Segments longer than a
+    chunk's view that need their own level are summarised by exact quantiles on Spark.
+    Without ``size`` the keys must hold the reset period (the day), which bounds a chunk.
     """
     q = 0.5 if event_flag else low_quantile
     keys = list(keys)
@@ -89,18 +102,76 @@ def background(
         quiet = quiet & ~F.col("__near")
     rows = flag_runs(rows, keys, pos, F.col(gti), size, out="__seg")
     rows = rows.withColumn("__quiet", F.when(quiet, F.col(value))).drop("__near")
-    before, after = centred(window)
-    rows = rolling_quantile(rows, keys, pos, "__quiet", "__b1", q, before, after, min_quiet, size, ["__seg"])
-    before, after = centred(window * widen)
-    rows = rolling_quantile(
-        rows, keys, pos, "__quiet", "__b2", q, before, after, max(1, min_quiet // 2), size and size * widen, ["__seg"]
-    )
-    whole = Window.partitionBy(*keys, "__seg")
-    rows = rows.withColumn(
-        "__b3", F.coalesce(F.percentile("__quiet", q).over(whole), F.percentile(value, 0.5).over(whole))
-    )
-    level = F.when(F.col(gti), F.coalesce("__b1", "__b2", "__b3"))
-    return rows.withColumn(out, level).drop("__seg", "__quiet", "__b1", "__b2", "__b3")
+    narrow, wide = centred(window), centred(window * widen)
+    find = _levels(pos, value, out, q, narrow, wide, min_quiet, max(1, min_quiet // 2), size is None)
+    chunks = framed_chunks(rows, keys, pos, *wide, size and max(size, window * widen))
+    found = chunks.applyInArrow(find, with_double(rows, out))
+    if size is not None:
+        found = _segment_levels(stage_table(found), [*keys, "__seg"], value, out, q)
+    return found.drop("__seg", "__quiet")
+
+
+def _levels(
+    pos: str, value: str, out: str, q: float, narrow: tuple[int, int], wide: tuple[int, int], least: int, least_wide: int, whole: bool
+):
+    """Background of one chunk; null where its segment reaches beyond what the chunk sees.
+
+    Frames are index ranges: positions of a segment follow one another without a hole.
+    """
+
+    def level(table: pa.Table) -> pa.Table:
+        table = table.sort_by(pos)
+        at, seg = table.column(pos).to_numpy(), floats(table.column("__seg"))
+        x, quiet = floats(table.column(value)), floats(table.column("__quiet"))
+        n, good = len(at), ~np.isnan(seg)
+        cut = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) & (good[1:] | good[:-1])))) if n else np.empty(0, int)
+        length = np.diff(np.append(cut, n))
+        first, last = np.repeat(cut, length), np.repeat(cut + length, length)
+        upto = np.concatenate(([0], np.cumsum(~np.isnan(quiet))))
+        tree = RankTree(quiet[~np.isnan(quiet)])
+        row, result = np.arange(n), np.full(n, np.nan)
+
+        def fill(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+            """Equal ranges follow one another where a frame holds its segment: each is asked for once."""
+            low, high = upto[low], upto[high]
+            new = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[: len(rows)]
+            if len(rows):
+                result[rows] = tree.quantile(low[new], high[new], q)[np.cumsum(new) - 1]
+
+        left = good
+        for (before, after), minimum in ((narrow, least), (wide, least_wide)):
+            low, high = np.maximum(first, row - before), np.minimum(last, row + after + 1)
+            enough = left & (upto[high] - upto[low] >= max(1, minimum))
+            fill(row[enough], low[enough], high[enough])
+            left = left & ~enough
+        if not whole:
+            # the wide frame saw the segment begin, and end before its own end
+            left = left & (at[np.minimum(low, n - 1)] == np.where(good, seg, 0)) & (at[high - 1] < at + after)
+        some = left & (upto[last] > upto[first])
+        fill(row[some], first[some], last[some])
+        rest = left & ~some
+        known = rest & ~np.isnan(x)
+        if known.any():
+            raw = RankTree(x[known])
+            count = np.concatenate(([0], np.cumsum(known)))
+            a, b = count[first[rest]], count[last[rest]]
+            result[row[rest][b > a]] = raw.quantile(a[b > a], b[b > a], 0.5)
+        return home_rows(table, out, result)
+
+    return level
+
+
+def _segment_levels(rows: DataFrame, segment: list[str], value: str, out: str, q: float) -> DataFrame:
+    """``rows`` with the level of the whole segment where none was found yet."""
+    open_segments = rows.filter(F.col("__seg").isNotNull() & F.col(out).isNull()).select(*segment).distinct()
+    samples = stage_table(rows.join(open_segments, segment, "left_semi").select(*segment, "__quiet", value))
+    if samples.isEmpty():
+        return rows
+    quiet = exact_quantiles(samples, segment, "__quiet", [q]).select(*segment, F.col("quantile").alias("__level"))
+    raw = exact_quantiles(samples, segment, value, [0.5]).select(*segment, F.col("quantile").alias("__raw"))
+    levels = raw.join(quiet, segment, "left").select(*segment, F.coalesce("__level", "__raw").alias("__level"))
+    kept = [c for c in rows.columns if c != out]
+    return rows.join(levels, segment, "left").select(*kept, F.coalesce(out, "__level").alias(out))
 
 
 def poisson_sigma(level: str | Column) -> Column:
@@ -297,7 +368,3 @@ def trailing_arrays(
         return F.collect_list(F.struct(*values)).over(w.rowsBetween(-(length - 1), 0))
     rows = with_frames(df, keys, pos, {out: build}, length - 1, 0, size)
     return rows.filter(F.size(out) == length)
-
-
-def last_known(df: DataFrame, keys: Sequence[str], pos: str, value: str, out: str, size: int | None) -> DataFrame:
-    return carry_forward(df, keys, pos, {out: F.col(value)}, size)

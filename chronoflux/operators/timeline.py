@@ -23,9 +23,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pandas.api.indexers import BaseIndexer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +35,50 @@ HOME = "__home"
 NATIVE_FRAME = 256
 
 
-class PositionFrame(BaseIndexer):
-    """Frames of a pandas rolling by position, so that holes shorten a frame and never shift it."""
+class RankTree:
+    """Order statistics of any ranges of a sequence, for all ranges together.
 
-    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
-        start = np.searchsorted(self.positions, self.positions - self.before, "left")
-        end = np.searchsorted(self.positions, self.positions + self.after, "right")
-        return start.astype("int64"), end.astype("int64")
+    The ranks of the values stand bit by bit, from the highest on, each level parted into
+    zeros and ones (a wavelet matrix). A range keeps its bounds from level to level by two
+    look-ups, so a quantile costs one step per bit whatever the range's length.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, rank = np.unique(values, return_inverse=True)
+        rank = rank.astype(np.int32)
+        self.bits = range(max(len(self.values) - 1, 0).bit_length() - 1, -1, -1)
+        self.levels = []
+        for bit in self.bits:
+            one = (rank >> bit) & 1 == 1
+            ones = np.concatenate(([0], np.cumsum(one, dtype=np.int32))).astype(np.int32)
+            self.levels.append((np.int32(len(rank) - ones[-1]), ones))
+            rank = np.concatenate((rank[~one], rank[one]))
+
+    def at_rank(self, low: np.ndarray, high: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The ``k``-th smallest (from 0) of values ``low`` to ``high - 1``."""
+        low, high, k = (x.astype(np.int32) for x in (low, high, k))
+        found = np.zeros(len(low), np.int32)
+        for bit, (zeros, ones) in zip(self.bits, self.levels, strict=True):
+            first, last = ones[low], ones[high]
+            below = high - low - (last - first)
+            right = k >= below
+            k = np.where(right, k - below, k)
+            found |= right.astype(np.int32) << np.int32(bit)
+            low, high = np.where(right, zeros + first, low - first), np.where(right, zeros + last, high - last)
+        return self.values[found]
+
+    def quantile(self, low: np.ndarray, high: np.ndarray, q: float) -> np.ndarray:
+        """Linearly interpolated quantile of values ``low`` to ``high - 1``; no range may be empty."""
+        at = q * (high - low - 1)
+        below = np.floor(at).astype(np.int64)
+        first = self.at_rank(low, high, below)
+        step = self.at_rank(low, high, np.minimum(below + 1, high - low - 1)) - first
+        return first + step * (at - below)
+
+
+def floats(column: pa.ChunkedArray) -> np.ndarray:
+    """A numeric column as floats, null as NaN."""
+    return column.cast(pa.float64()).to_numpy()
 
 
 def with_chunk(df: DataFrame, pos: str, size: int) -> DataFrame:
@@ -133,8 +169,8 @@ def rolling_quantile(
     """Exact rolling quantile (linear interpolation) of the rows ``before`` to ``after`` positions away.
 
     Short frames use Spark's ``percentile`` frame. That re-sorts the frame for
-    every row, so longer frames run pandas' indexable skip list per chunk: a group
-    is one chunk plus its edges, at most ``size + before + after`` rows.
+    every row, so longer frames query a rank tree per chunk: a group is one chunk
+    plus its edges, at most ``size + before + after`` rows.
     """
     if before + after + 1 <= NATIVE_FRAME:
         def build(w: WindowSpec) -> Column:
@@ -143,21 +179,37 @@ def rolling_quantile(
                           F.percentile(value, q).over(frame))
         return with_frames(df, keys, pos, {out: build}, before, after, size, segment)
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    names = df.columns
+    def per_chunk(table: pa.Table) -> pa.Table:
+        table = table.sort_by(pos)
+        at, x = table.column(pos).to_numpy(), floats(table.column(value))
+        seen = ~np.isnan(x)
+        upto = np.concatenate(([0], np.cumsum(seen)))
+        low, high = upto[np.searchsorted(at, at - before)], upto[np.searchsorted(at, at + after, "right")]
+        enough = high - low >= max(1, minimum)
+        level = np.full(len(x), np.nan)
+        if enough.any():
+            level[enough] = RankTree(x[seen]).quantile(low[enough], high[enough], q)
+        return home_rows(table, out, level)
 
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        frame = PositionFrame(positions=pdf[pos].to_numpy(dtype="int64"), before=before, after=after)
-        pdf[out] = pdf[value].astype("float64").rolling(frame, min_periods=max(1, minimum)).quantile(q)
-        return pdf.loc[pdf[HOME].astype(bool), [*names, out]]
+    return framed_chunks(df, keys, pos, before, after, size, segment).applyInArrow(per_chunk, with_double(df, out))
 
-    if size is None:
-        spread_rows = df.withColumn(CHUNK, F.lit(0)).withColumn(HOME, F.lit(True))
-    else:
-        spread_rows = spread(df, pos, size, before, after)
-    result = spread_rows.groupBy(*keys, CHUNK, *segment).applyInPandas(per_chunk, schema)
-    return result.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+
+def with_double(df: DataFrame, out: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+
+def framed_chunks(
+    df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int, size: int | None, segment: Sequence[str] = ()
+) -> GroupedData:
+    """Chunks with the rows their frames reach, for work inside the task; see :func:`home_rows`."""
+    rows = df.withColumn(CHUNK, F.lit(0)).withColumn(HOME, F.lit(True)) if size is None else spread(df, pos, size, before, after)
+    return rows.groupBy(*keys, CHUNK, *segment)
+
+
+def home_rows(table: pa.Table, out: str, values: np.ndarray) -> pa.Table:
+    """The chunk's own rows with one more column; NaN becomes null."""
+    table = table.append_column(out, pa.array(values, from_pandas=True))
+    return table.filter(table.column(HOME)).drop_columns([CHUNK, HOME])
 
 
 def _carry(

@@ -116,6 +116,61 @@ def test_background_stays_in_its_segment(gappy, size, window):
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
+@pytest.fixture(scope="module")
+def long_day(spark):
+    """A long segment with a padded event, one that is an event throughout, one without values, short ones."""
+    rng = np.random.default_rng(11)
+    n = 16_000
+    pdf = pd.DataFrame({"s": "a", "k": np.arange(n) - 300, "x": np.round(rng.normal(100, 20, n), 1), "gti": True, "hot": False})
+    pdf.loc[(pdf.index >= 4000) & (pdf.index < 4200), "hot"] = True
+    pdf.loc[(pdf.index >= 9000) & (pdf.index < 11_500), "hot"] = True
+    for a, b in ((7000, 7050), (7100, 7110), (7170, 7175), (8900, 8910), (13_500, 13_600), (13_650, 13_660)):
+        pdf.loc[a:b, "gti"] = False
+    pdf.loc[13_601:13_649, "x"] = np.nan
+    pdf.loc[rng.random(n) < 0.03, "x"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    return pdf, df.cache()
+
+
+@pytest.mark.parametrize("flag", [None, "hot"])
+@pytest.mark.parametrize("size", [None, 2500])
+@pytest.mark.parametrize("window,least,pad", [(1800, 120, 1800), (400, 120, 900), (400, 1500, 10)])
+def test_background_at_its_own_settings(long_day, size, flag, window, least, pad):
+    """Windows of seconds, segments longer than a chunk, event-only segments, against single frames."""
+    pdf, df = long_day
+    got = back(R.background(df, ["s"], "k", "x", "gti", "b", window, least, size, flag, pad), "b")
+    good, k, x = pdf["gti"].to_numpy(), pdf["k"].to_numpy(), pdf["x"].to_numpy()
+    near = np.convolve(pdf["hot"], np.ones(2 * pad + 1), "same") > 0 if flag else np.zeros(len(k), bool)
+    quiet, q = np.where(good & ~near, x, np.nan), 0.5 if flag else 0.1
+    border = np.flatnonzero(np.diff(np.concatenate(([0], good.astype(int), [0]))))
+    rows = np.unique(np.concatenate([np.arange(0, len(k), 61), *(np.arange(b - 2, b + 2) for b in border), np.arange(7000, 7200)]))
+    for i in rows[(rows >= 0) & (rows < len(k))]:
+        want = np.nan
+        if good[i]:
+            a = border[border <= i][-1]
+            z = border[border > i][0]
+            frames = [(max(a, i - w // 2), min(z, i + w - w // 2), m) for w, m in ((window, least), (window * 4, least // 2))]
+            for lo, hi, m in [*frames, (a, z, 1)]:
+                seen = quiet[lo:hi][~np.isnan(quiet[lo:hi])]
+                if len(seen) >= m:
+                    want = np.quantile(seen, q)
+                    break
+            else:
+                want = np.nanmedian(x[a:z]) if (~np.isnan(x[a:z])).any() else np.nan
+        np.testing.assert_allclose(got[i], want, rtol=1e-12, err_msg=str(i))
+
+
+def test_rank_tree_matches_sorting():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 63, 500):
+        x = np.round(rng.normal(0, 3, n), 1)
+        tree = T.RankTree(x)
+        low = rng.integers(0, n, 200)
+        high = rng.integers(low + 1, n + 1)
+        for q in (0.0, 0.1, 0.5, 1.0):
+            np.testing.assert_allclose(tree.quantile(low, high, q), [np.quantile(x[a:b], q) for a, b in zip(low, high, strict=True)], atol=1e-12)
+
+
 @pytest.mark.parametrize("size", [None, 7])
 def test_carry_is_forward_fill(series, frame, size):
     got = back(T.carry_forward(frame, ["s"], "k", {"f": F.col("x")}, size), "f")
