@@ -125,7 +125,12 @@ def _(t):
     return M.match_counts(greedy(t), [])
 
 
-@query("c8b_greedy_match_rows")
+@query("c8b_greedy_match_rows", GREEDY + """,
+times AS (SELECT island, list(t ORDER BY t) AS ts FROM c GROUP BY 1),
+cats AS (SELECT unnest(ts) AS t, unnest(f.hits) AS hit FROM folded JOIN times USING (island)),
+dets AS (SELECT q.t, q.u FROM (SELECT unnest(f.ds) AS q FROM folded))
+SELECT 'cat' AS side, t, count(*) AS n, CAST(sum(hit) AS BIGINT) AS matched FROM cats GROUP BY t
+UNION ALL SELECT 'det', t, CAST(nd AS BIGINT), coalesce(u, 0) FROM isl LEFT JOIN dets USING (t) WHERE nd > 0""", "det_other flare")
 def _(t):
     return greedy(t)
 

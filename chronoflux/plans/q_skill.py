@@ -163,11 +163,11 @@ def _(t):
     return out.select(F.round("threshold", 9).alias("threshold"), F.round("tss", 9).alias("tss"))
 
 
-H9_THR = (9.0, 10.0, 12.0, 15.0, 20.0)
+H9_THR = (9.0, 9.5, 10.0, 11.0, 12.0, 13.5, 15.0, 17.5, 20.0)
 
 
 @query("h9_tss_curve", f"""
-WITH thr AS (SELECT unnest([9.0, 10.0, 12.0, 15.0, 20.0])::DOUBLE AS thr),
+WITH thr AS (SELECT unnest({list(H9_THR)})::DOUBLE AS thr),
 {greedy_sql("SELECT detector||'@'||thr AS g, peak_t AS t FROM det, thr WHERE max_significance>=thr",
             "SELECT d.g||'@'||thr AS g, f.peak_t AS t, f.flare_id AS id, f.letter FROM flare f, thr, (SELECT unnest(['click','error','purchase','signup','view']) AS g) d")},
 c AS (SELECT g, count(*) FILTER (matched) AS tp, count(*) FILTER (NOT matched) AS fn, count(*) AS n_cat FROM events GROUP BY 1),

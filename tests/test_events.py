@@ -107,19 +107,72 @@ def brute_match(det, cat, tol):
     return hit, len(free), len(cat) - hit
 
 
-@pytest.mark.parametrize("limit,piece", [(10_000, 20_000), (5, 400)])
-def test_greedy_match(spark, monkeypatch, limit, piece):
-    monkeypatch.setattr(M, "FOLD_LIMIT", limit)
-    monkeypatch.setattr(M, "PIECE", piece)
+@pytest.mark.parametrize("size", [3600, 400])
+def test_greedy_match(spark, size):
     rng = np.random.default_rng(6)
     det = [int(x) for x in rng.integers(0, 9000, 90)]
     cat = [int(x) for x in rng.integers(0, 9000, 70)]
     d = spark.createDataFrame([(t,) for t in det], "t bigint")
     c = spark.createDataFrame([(t,) for t in cat], "t bigint")
-    r = M.match_counts(M.greedy_match(d, c, [], "t", "t", 180, 3600), []).collect()[0]
+    r = M.match_counts(M.greedy_match(d, c, [], "t", "t", 180, size), []).collect()[0]
     assert (r.tp, r.fp, r.fn) == brute_match(det, cat, 180)
 
 
+def brute_rows(det, cat, tol):
+    """(side, t) -> (rows, matched), by counts."""
+    free, out = dict(det), {("det", t): [n, 0] for t, n in det.items()} | {("cat", t): [n, 0] for t, n in cat.items()}
+    for c in sorted(cat):
+        for d in sorted((t for t in free if abs(t - c) <= tol), key=lambda t: (abs(t - c), t)):
+            take = min(free[d], cat[c] - out["cat", c][1])
+            free[d] -= take
+            out["cat", c][1] += take
+            out["det", d][1] += take
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def counted(spark, groups):
+    rows = [(g, int(t)) for g, found in groups.items() for t, n in found.items() for _ in range(n)]
+    return spark.createDataFrame(rows, "g string, t bigint")
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_match_of_one_island_over_the_whole_range(spark, batch):
+    """Pieces that hand on what is taken: crowded, scarce and shifting lines, in several groups."""
+    rng = np.random.default_rng(9)
+    det, cat = {}, {}
+    for g, (nd, nc) in {"even": (300, 300), "scarce": (60, 400), "rich": (500, 80)}.items():
+        det[g] = {int(t): int(n) for t, n in zip(rng.choice(4000, nd, replace=False), rng.integers(1, 4, nd), strict=True)}
+        cat[g] = {int(t): int(n) for t, n in zip(rng.choice(4000, nc, replace=False), rng.integers(1, 4, nc), strict=True)}
+    # every catalogue row takes the detection after the one that the row before took: no piece settles alone
+    det["shift"], cat["shift"] = {10 * i + 6: 1 for i in range(400)}, {10 * i: 1 for i in range(1, 400)}
+    del det["shift"][6]
+    cat["shift"][1] = 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = M.greedy_match(counted(spark, det), counted(spark, cat), ["g"], "t", "t", 17, 50).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in det:
+        assert {(r.side, r.t): (r.n, r.matched) for r in rows if r.g == g} == brute_rows(det[g], cat[g], 17)
+
+
+def test_match_of_a_hot_second(spark):
+    """10^5 rows of each side in one second are two counts."""
+    hot = spark.range(100_000).select(F.lit(500).cast("bigint").alias("t"))
+    more = spark.createDataFrame([(490,), (505,), (700,)], "t bigint")
+    rows = M.greedy_match(hot.union(more), hot.union(spark.createDataFrame([(505,), (506,), (690,)], "t bigint")), [], "t", "t", 10, 50).collect()
+    got = {(r.side, r.t): (r.n, r.matched) for r in rows}
+    assert got == {("det", 490): (1, 0), ("det", 500): (100_000, 100_000), ("det", 505): (1, 1), ("det", 700): (1, 1),
+                   ("cat", 500): (100_000, 100_000), ("cat", 505): (1, 1), ("cat", 506): (1, 0), ("cat", 690): (1, 1)}
+
+
+def test_member_flags_keep_every_row(spark):
+    rows = spark.createDataFrame([(1, [10, 500], "a"), (2, [300], "b"), (3, [], "c"), (4, None, "d")], "i int, times array<bigint>, hit string")
+    cat = spark.createDataFrame([(505,), (320,)], "c bigint")
+    out = M.near_any_member(rows, cat, ["i"], "times", "c", 10, 100, "near")
+    assert {r.i: (r.hit, r.near) for r in out.collect()} == {1: ("a", True), 2: ("b", False), 3: ("c", False), 4: ("d", False)}
+
+
 def test_match_ties_take_the_earlier_detection(spark):
     d = spark.createDataFrame([(90,), (110,)], "t bigint")
     c = spark.createDataFrame([(100,)], "t bigint")
