@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import SECONDS_PER_DAY, finite, floor_div, second_of_day
-from chronoflux.operators.timeline import CHUNK, carry_back, carry_forward, explode_interval, with_chunk
+from chronoflux.operators.timeline import CHUNK, carry_back, carry_forward, covered, explode_interval, with_chunk
 
 
 def bin_samples(df: DataFrame, keys: Sequence[str], t: str, value: str, order: str) -> DataFrame:
@@ -61,11 +61,13 @@ def densify(
     )
 
 
-def gti_seconds(intervals: DataFrame, keys: Sequence[str], start: str, stop: str) -> DataFrame:
-    """Seconds covered by the union of intervals: ceil(start) .. floor(stop), inclusive."""
-    return explode_interval(
-        intervals.select(*keys, start, stop), F.ceil(start), F.floor(stop), "t"
-    ).select(*keys, "t").distinct()
+def gti_seconds(intervals: DataFrame, keys: Sequence[str], start: str, stop: str, size: int = 86_400) -> DataFrame:
+    """Seconds covered by the union of intervals: ceil(start) .. floor(stop), inclusive.
+
+    The union is taken on the intervals; its seconds are spelled out once, at the end.
+    """
+    union = covered(intervals, keys, F.ceil(start), F.floor(stop), size)
+    return explode_interval(union, F.col("low"), F.col("high"), "t").select(*keys, "t")
 
 
 def stitch(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

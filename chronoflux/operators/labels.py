@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import floor_div, rank_letter
-from chronoflux.operators.timeline import asof_both, at_positions, explode_interval
+from chronoflux.operators.timeline import CHUNK, asof_both, at_positions, best_segments
 
 HORIZON_CAP = 6 * 3600
 # Phase precedence, highest wins.
@@ -16,19 +16,18 @@ PHASES = {"quiet": 0, "pre": 1, "flank": 2, "peak": 3}
 
 
 def paint(
-    grid: DataFrame, pieces: DataFrame, pos: str, cell: int, low: str, high: str, aggs: Mapping[str, Column]
+    grid: DataFrame, pieces: DataFrame, pos: str, cell: int, low: str, high: str, best: Column, out: str, size: int = 64
 ) -> DataFrame:
-    """Aggregate the closed intervals [low, high] seconds over the grid cells they hold.
+    """The largest ``best`` of the closed intervals [low, high] seconds at each grid cell, null without any.
 
-    Intervals are expanded only to the grid positions inside them, pre-aggregated per
-    position, and then joined once.
+    Overlapping intervals become disjoint segments of cells first (a sweep over their
+    ends), so rows follow the intervals and not the cells they hold; each grid row then
+    meets the segments of its own ``size`` cells.
     """
-    first = F.ceil(F.col(low) / cell)
-    last = F.floor(F.col(high) / cell)
-    hit = explode_interval(pieces, first, last, "__at").groupBy("__at").agg(
-        *[c.alias(n) for n, c in aggs.items()]
-    )
-    return grid.join(hit, F.col(pos) == F.col("__at"), "left").drop("__at")
+    segments = best_segments(pieces, [], F.ceil(F.col(low) / cell), F.floor(F.col(high) / cell), best, size)
+    segments = segments.select(F.col(CHUNK).alias("__at"), F.col("low").alias("__low"), F.col("high").alias("__high"), F.col("best").alias(out))
+    here = (floor_div(pos, size) == F.col("__at")) & F.col(pos).between(F.col("__low"), F.col("__high"))
+    return grid.join(segments, here, "left").drop("__at", "__low", "__high")
 
 
 def active_events(grid: DataFrame, events: DataFrame, pos: str, cell: int = 1) -> DataFrame:
@@ -37,8 +36,8 @@ def active_events(grid: DataFrame, events: DataFrame, pos: str, cell: int = 1) -
     An event without a class owns the row by id only, when no classed event is there.
     """
     by = F.struct("rnk", F.coalesce("mag", F.lit(-1.0)), "flare_id")
-    owner = F.max(F.struct(by.alias("by"), "flare_id", "rnk", "letter", "mag"))
-    out = paint(grid, events, pos, cell, "start_t", "end_t", {"__own": owner})
+    owner = F.struct(by.alias("by"), "flare_id", "rnk", "letter", "mag")
+    out = paint(grid, events, pos, cell, "start_t", "end_t", owner, "__own")
     classed = F.col("__own.rnk") > 0
     return out.select(
         *grid.columns, F.when(F.col("__own").isNotNull(), 1).otherwise(0).alias("is_flare"),
@@ -63,8 +62,7 @@ def phases(grid: DataFrame, events: DataFrame, pos: str, cell: int = 1, pre: int
         piece(1, "pre", s - pre, s - 1), piece(2, "rise", s, p - 1),
         piece(2, "decay", p + 1, e), piece(3, "peak", p - peak_pad, p + peak_pad),
     )))
-    best = F.max(F.struct("level", "by", "phase"))
-    out = paint(grid, pieces, pos, cell, "lo", "hi", {"__b": best})
+    out = paint(grid, pieces, pos, cell, "lo", "hi", F.struct("level", "by", "phase"), "__b")
     return out.select(*grid.columns, F.coalesce("__b.phase", F.lit("quiet")).alias("phase"))
 
 

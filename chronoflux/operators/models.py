@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -50,10 +53,12 @@ def fit_trees(
     """Weighted gradient-boosted trees, as many as give the least loss on the validation rows.
 
     Trees are added until ``patience`` of them in a row bring no lower loss (Spark's own
-    early stop ends at the first small step).
+    early stop ends at the first small step). One fitted ensemble serves all its
+    prefixes: losses come tree by tree, and the best prefix is kept without another fit.
+    Medians that fill gaps are those of the training rows.
     """
     data = class_weights(rows, y, train).filter(train | validation).withColumn("__val", validation)
-    filled = Pipeline(stages=_prepared(features)).fit(data)
+    filled = Pipeline(stages=_prepared(features)).fit(data.filter(~F.col("__val")))
     data = stage_table(filled.transform(data).select("__v", y, "weight", "__val"))
     booster = GBTClassifier(
         featuresCol="__v", labelCol=y, weightCol="weight", maxDepth=depth, stepSize=rate,
@@ -65,12 +70,21 @@ def fit_trees(
         model = booster.setMaxIter(n).fit(fitted)
         best, over = least_loss(model.evaluateEachIteration(judged), patience)
         if over or n == trees:
-            break
+            return PipelineModel([*filled.stages, first_trees(model, best)])
         n = min(trees, 2 * n)
-    # The seed makes the first trees the same, so a shorter fit is the longer one cut after ``best``.
-    if best < n:
-        model = booster.setMaxIter(best).fit(fitted)
-    return PipelineModel([*filled.stages, model])
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble of the first ``n`` trees."""
+    if n >= model.getNumTrees:
+        return model
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        kept[i], weights[i] = java.trees()[i], float(model.treeWeights[i])
+    short = GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, kept, weights))
+    return short.setFeaturesCol(model.getFeaturesCol())
 
 
 def least_loss(losses: Sequence[float], patience: int) -> tuple[int, bool]:
@@ -93,8 +107,9 @@ def predict(model: PipelineModel, rows: DataFrame, out: str = "p") -> DataFrame:
 
 def importances(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
     """Split-gain importance per feature with its rank; one row per feature."""
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    pairs = sorted(zip(features, values), key=lambda kv: (-kv[1], kv[0]))
+    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]  # ends at the last feature that splits
+    values += [0.0] * (len(features) - len(values))
+    pairs = sorted(zip(features, values, strict=True), key=lambda kv: (-kv[1], kv[0]))
     rows = [(name, value, rank) for rank, (name, value) in enumerate(pairs, start=1)]
     return df.sparkSession.createDataFrame(rows, "feature string, gain double, rank int")
 
@@ -141,18 +156,23 @@ def evaluate(rows: DataFrame, p: str, y: str, validation: Column, test: Column)
 
 
 def ablation(
-    rows: DataFrame, groups: dict[str, Sequence[str]], targets: Sequence[str], train: Column, validation: Column, test: Column, **kw
+    rows: DataFrame, groups: dict[str, Sequence[str]], targets: Sequence[str], train: Column, validation: Column, test: Column,
+    parallelism: int = 4, **kw
 ) -> DataFrame:
-    """Boosted trees per feature group and target, calibrated on validation, scored on test."""
-    out = None
-    for target in targets:
-        for name, features in groups.items():
-            model = fit_trees(rows, features, target, train, validation, **kw)
-            scored = predict(model, rows, "p_raw")
-            scored = fit_isotonic(scored.filter(validation), "p_raw", target).apply(scored, "p_raw", "p")
-            one = evaluate(scored, "p", target, validation, test).withColumns({"features": F.lit(name), "target": F.lit(target)})
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Boosted trees per feature group and target, calibrated on validation, scored on test.
+
+    ``parallelism`` fits run side by side, as their many short jobs leave executors idle.
+    """
+
+    def one(name: str, target: str) -> DataFrame:
+        model = fit_trees(rows, groups[name], target, train, validation, **kw)
+        scored = stage_table(predict(model, rows.filter(validation | test), "p_raw"))
+        scored = fit_isotonic(scored.filter(validation), "p_raw", target).apply(scored, "p_raw", "p")
+        return evaluate(scored, "p", target, validation, test).withColumns({"features": F.lit(name), "target": F.lit(target)})
+
+    tasks = [inheritable_thread_target(rows.sparkSession)(partial(one, name, target)) for target in targets for name in groups]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda task: task(), tasks))
 
 
 def climatology(rows: DataFrame, y: str, train: Column) -> DataFrame:

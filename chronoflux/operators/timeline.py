@@ -522,6 +522,44 @@ def explode_interval(
     ).drop("__lo", "__hi", "__piece")
 
 
+def covered(intervals: DataFrame, keys: Sequence[str], low: Column, high: Column, size: int) -> DataFrame:
+    """Union of the closed integer intervals [low, high] as disjoint ones: (keys..., low, high).
+
+    Runs of overlapping or touching intervals, found from the largest end so far; rows
+    follow the intervals, however long they are.
+    """
+    keys = list(keys)
+    spans = intervals.select(*keys, low.cast("bigint").alias("low"), high.cast("bigint").alias("high")).filter("low <= high")
+    spans = spans.groupBy(*keys, "low").agg(F.max("high").alias("high"))
+    runs = gap_runs(spans, keys, "low", 1, size, end="high", out="__first")
+    return runs.groupBy(*keys, F.col("__first").alias("low")).agg(F.max("high").alias("high"))
+
+
+def best_segments(intervals: DataFrame, keys: Sequence[str], low: Column, high: Column, best: Column, size: int) -> DataFrame:
+    """What is largest at every position of overlapping closed intervals: disjoint (keys..., chunk, low, high, best).
+
+    Intervals are cut at the borders of chunks of ``size`` positions. Cuts of equal ends
+    keep their largest value before they are shuffled, so a chunk holds at most
+    size * (size + 1) / 2 of them; between two neighbouring ends the owner does not change.
+    """
+    keys = list(keys)
+    spans = intervals.select(*keys, low.cast("bigint").alias("__lo"), high.cast("bigint").alias("__hi"), best.alias("__best")).filter("__lo <= __hi")
+    cuts = spans.withColumn(CHUNK, F.explode(F.sequence(floor_div("__lo", size), floor_div("__hi", size))))
+    cuts = cuts.groupBy(
+        *keys, CHUNK, F.greatest(F.col("__lo"), F.col(CHUNK) * size).alias("lo"), F.least(F.col("__hi"), (F.col(CHUNK) + 1) * size - 1).alias("hi")
+    ).agg(F.max("__best").alias("best"))
+    chunks = cuts.groupBy(*keys, CHUNK).agg(F.collect_list(F.struct("lo", "hi", "best")).alias("cuts"))
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.array(c["lo"], c["hi"] + 1)))))
+    chunks = chunks.withColumn("ends", ends)
+
+    def segment(first: Column, i: Column) -> Column:
+        here = F.filter("cuts", lambda c: (c["lo"] <= first) & (c["hi"] >= first))
+        return F.struct(first.alias("low"), (F.get("ends", i + 1) - 1).alias("high"), F.array_max(F.transform(here, lambda c: c["best"])).alias("best"))
+
+    inner = F.expr("slice(ends, 1, size(ends) - 1)")
+    return chunks.select(*keys, CHUNK, F.inline(F.transform(inner, segment))).filter("best IS NOT NULL")
+
+
 def range_join(
     intervals: DataFrame,
     points: DataFrame,

@@ -245,3 +245,30 @@ def test_half_even_binning_and_dense_grid(spark):
     dense = densify(binned, ["s"], "t", ["x"], 5).toPandas()
     assert len(dense) == 20 and dense["x"].notna().sum() == 3
     assert sorted(dense[dense.s == "a"].t) == list(range(10))
+
+
+@pytest.mark.parametrize("size", [7, 64])
+def test_interval_sweeps_equal_painting(spark, size):
+    """Nested, touching, equal, empty and chunk-crossing intervals of two series, cell by cell."""
+    rng = np.random.default_rng(8)
+    lo = rng.integers(-60, 400, 120)
+    rows = [("a" if i % 3 else "b", int(x), int(x + rng.integers(-3, 90)), int(rng.integers(0, 9)), i) for i, x in enumerate(lo)]
+    df = spark.createDataFrame(rows, "s string, lo bigint, hi bigint, rank int, i int")
+    best, union = {}, set()
+    for s, a, z, rank, i in rows:
+        for p in range(a, z + 1):
+            best[s, p] = max(best.get((s, p), (-1, -1)), (rank, i))
+            union.add((s, p))
+    segments = T.best_segments(df, ["s"], F.col("lo"), F.col("hi"), F.struct("rank", "i"), size).collect()
+    found = [((r.s, p), tuple(r.best)) for r in segments for p in range(r.low, r.high + 1)]
+    assert len(found) == len(best) and dict(found) == best
+    spans = T.covered(df, ["s"], F.col("lo"), F.col("hi"), size).collect()
+    cells = [(r.s, p) for r in spans for p in range(r.low, r.high + 1)]
+    assert len(cells) == len(union) and set(cells) == union
+    assert all((r.s, r.high + 1) not in union for r in spans)
+
+
+def test_a_hot_stretch_of_equal_intervals_is_one_cut(spark):
+    hot = spark.range(50_000).select(F.lit(10).alias("lo"), F.lit(200).alias("hi"), "id")
+    segments = T.best_segments(hot, [], F.col("lo"), F.col("hi"), F.col("id"), 64).collect()
+    assert sorted((r.low, r.high, r.best) for r in segments) == [(10, 63, 49_999), (64, 127, 49_999), (128, 191, 49_999), (192, 200, 49_999)]
