@@ -13,7 +13,7 @@ each code, in canonical order.
 
 Texts are cut before runs of white space and before the last space of a run, where the
 byte-level pre-tokenizer cuts too. The distinct parts of a run of texts are looked up once;
-each worker remembers the ids of parts it has met (bounded; only saves time) and encodes
+a task remembers the ids of parts it has met (bounded; only saves time) and encodes
 new parts in rows, told apart by the bytes of each id. If a tokenizer file does not allow that cut, whole texts are encoded.
 
 Defined cases: null and empty texts hold only the end id; ids repeat in the order of the
@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from chronoflux.llm.common import table
 from chronoflux.session import scratch_folder, stage_table
 
-BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 400_000, 64
+BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 200_000, 64
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ENCODERS: dict = {}
@@ -70,7 +70,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.met, self.spaced = Tokenizer.from_file(path), Memory(REMEMBERED // 10), Memory(REMEMBERED)
+        self.model = Tokenizer.from_file(path)
+        self.forget()
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
         pre, added = d.get("pre_tokenizer") or {}, d.get("added_tokens") or ()
@@ -83,6 +84,9 @@ class Encoder:
             for piece, i in vocab.items():
                 self.width[i] = own.get(i, len(piece))
 
+    def forget(self) -> None:
+        self.met, self.spaced = Memory(REMEMBERED // 10), Memory(REMEMBERED)
+
     def _alone(self, parts: list[str]):
         """Ids of each part, encoded by itself."""
         for i in range(0, len(parts), 20_000):
@@ -197,6 +201,7 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: s
                     room -= n
         if names:
             yield block()
+        _ENCODERS[tokenizer].forget()  # an idle worker holds no words
 
     rows = dealt.mapInArrow(work, "seq long, doc_id array<long>, n_tokens array<long>, n_ids long, ids binary")
     return rows.withColumn("part", F.spark_partition_id())
