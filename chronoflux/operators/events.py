@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,6 @@ from chronoflux.operators.timeline import asof, carry_forward, gap_runs, range_j
 from chronoflux.session import stage_table
 
 LOWEST = -1e308
-FOLD_LIMIT = 10_000  # rows of one island that a single ordered fold may hold
 BUCKET = 3600  # positions per bucket of the event x sample joins
 
 
@@ -291,26 +290,21 @@ def link_clusters(
     """Bounded single linkage: join while the gap is at most ``window`` and the distance
     to the first member at most ``span``.
 
-    A gap above ``window`` always starts a cluster, so the anchor is folded only inside
-    islands of linked rows. Islands above ``FOLD_LIMIT`` positions are not folded in one
-    task but resolved by pointer doubling.
-    The anchor depends on the position only: it is found per distinct position and joined
-    back, so rows that share a position never gather in one task.
+    A gap above ``window`` always starts a cluster. An island of linked positions that is
+    no longer than ``span`` is one cluster; the anchors of longer ones follow from the
+    start by pointers to the first position beyond ``span``, which are doubled. The anchor
+    depends on the position only: it is found per distinct position and joined back, so
+    rows that share a position never gather in one task.
     """
     keys = list(keys)
     points = df.select(*keys, F.col(pos).cast("bigint").alias(pos)).distinct()
-    islands = gap_runs(points, keys, pos, window, size, out="__isl")
     part = [*keys, "__isl"]
-    large = islands.groupBy(*part).agg(F.count("*").alias("__n")).filter(F.col("__n") > FOLD_LIMIT).drop("__n")
-    if large.isEmpty():
-        anchors = _fold_clusters(islands, keys, pos, span, out)
-    else:
-        islands, large = stage_table(islands), stage_table(large)
-        anchors = _fold_clusters(islands.join(large, part, "left_anti"), keys, pos, span, out)
-        hot = islands.join(large, part, "left_semi")
-        starts = _double_pointers(hot, keys, pos, span, size)
-        marked = asof(hot, starts, part, pos, "__a", ["__a"], size, prefix="__at")
-        anchors = anchors.unionByName(marked.select(*keys, pos, F.col("__at__a").alias(out)))
+    islands = stage_table(gap_runs(points, keys, pos, window, size, out="__isl"))
+    long = islands.groupBy(*part).agg(F.max(pos).alias("__last")).filter(F.col("__last") - F.col("__isl") > span).select(*part)
+    hot = stage_table(islands.join(long, part, "left_semi"))
+    starts = _double_pointers(hot, keys, pos, span, size)
+    marked = asof(hot, starts, part, pos, "__a", ["__a"], size, prefix="__at").select(*keys, pos, "__at__a")
+    anchors = islands.join(marked, [*keys, pos], "left").select(*keys, pos, F.coalesce("__at__a", "__isl").alias(out))
     return df.join(anchors, [*keys, pos]).select(*df.columns, out)
 
 
@@ -333,41 +327,35 @@ def _double_pointers(points: DataFrame, keys: list[str], pos: str, span: int, si
     return reached.withColumnRenamed("__p", "__a")
 
 
-def _fold_clusters(islands: DataFrame, keys: list[str], pos: str, span: int, out: str) -> DataFrame:
-    """Anchor of every position by one ordered fold per island."""
-    at_start = F.struct(F.lit(None).cast("bigint").alias("a"), F.array().cast("array<bigint>").alias("l"))
-
-    def step(acc, p):
-        anchor = F.when(acc["a"].isNull() | (p - acc["a"] > span), p).otherwise(acc["a"])
-        return F.struct(anchor.alias("a"), F.concat(acc["l"], F.array(anchor)).alias("l"))
-
-    folded = islands.groupBy(*keys, "__isl").agg(F.array_sort(F.collect_list(pos)).alias("__p"))
-    anchors = F.aggregate("__p", at_start, step, lambda acc: acc["l"])
-    return folded.select(*keys, F.explode(F.arrays_zip(F.col("__p").alias("p"), anchors.alias("a"))).alias("__x")).select(
-        *keys, F.col("__x.p").alias(pos), F.col("__x.a").alias(out)
-    )
-
-
 def fuse_clusters(df: DataFrame, keys: Sequence[str], anchor: str, n_series: int = 5) -> DataFrame:
-    """One row per cluster: median peak, outer bounds, members, detectors, confidence."""
-    per_series = df.groupBy(*keys, anchor, "detector").agg(
+    """One row per cluster: median peak, outer bounds, members, detectors, confidence.
+
+    ``member_peaks`` are the distinct peak positions in order and ``member_counts`` their
+    numbers of members. A cluster's span bounds both, however many detections share a
+    position; the median is read from the running counts.
+    """
+    part = [*keys, anchor]
+    per_series = df.groupBy(*part, "detector").agg(
         F.max("max_significance").alias("sig"), F.min("start_t").alias("s"), F.max("end_t").alias("e"),
-        F.collect_list("peak_t").alias("peaks"), F.max("peak_rate").alias("rate"), F.count("*").alias("n"),
+        F.max("peak_rate").alias("rate"), F.count("*").alias("n"),
     )
-    fused = per_series.groupBy(*keys, anchor).agg(
-        F.array_sort(F.flatten(F.collect_list("peaks"))).alias("member_peaks"),
+    fused = per_series.groupBy(*part).agg(
         F.min("s").alias("master_start"), F.max("e").alias("master_end"),
         F.count("*").alias("n_detectors"), F.sum("n").alias("n_members"),
         F.array_join(F.array_sort(F.collect_list("detector")), ",").alias("detectors"),
         F.max("sig").alias("max_significance"), F.max("rate").alias("peak_rate_max"),
         F.exp(F.avg(F.log(F.greatest("sig", F.lit(1e-6))))).alias("__g"),
     )
-    m = F.col("member_peaks")
-    n = F.size(m)
-    low = F.get(m, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(m, F.floor(n / 2).cast("int"))
-    return fused.select(
-        *keys, anchor, F.floor((low + high) / 2).cast("bigint").alias("master_peak"), "master_start", "master_end",
-        "n_detectors", "n_members", "detectors", "member_peaks", "max_significance", "peak_rate_max",
-        (F.col("n_detectors") / float(n_series) * F.col("__g")).alias("confidence"),
+    places = df.groupBy(*part, "peak_t").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*part)
+    places = places.select(*part, "peak_t", "n", F.sum("n").over(w.orderBy("peak_t")).alias("upto"), F.sum("n").over(w).alias("all"))
+    at_rank = lambda k: F.min(F.when(F.col("upto") > F.floor(k), F.col("peak_t")))
+    members = places.groupBy(*part).agg(
+        F.array_sort(F.collect_list(F.struct("peak_t", "n"))).alias("m"),
+        at_rank((F.col("all") - 1) / 2).alias("low"), at_rank(F.col("all") / 2).alias("high"),
+    )
+    return fused.join(members, part).select(
+        *part, F.floor((F.col("low") + F.col("high")) / 2).cast("bigint").alias("master_peak"), "master_start", "master_end",
+        "n_detectors", "n_members", "detectors", F.col("m.peak_t").alias("member_peaks"), F.col("m.n").alias("member_counts"),
+        "max_significance", "peak_rate_max", (F.col("n_detectors") / float(n_series) * F.col("__g")).alias("confidence"),
     )

@@ -155,9 +155,9 @@ SELECT anchor, master_peak, master_start, master_end, n_detectors, n_members, de
   array_to_string(member_peaks, ',') AS member_peaks, max_significance, peak_rate_max, round(confidence, 8) AS confidence
 FROM master JOIN confidence USING (anchor)""", "master confidence")
 def _(t):
-    return t.master().withColumn("member_peaks", F.array_join(F.col("member_peaks").cast("array<string>"), ",")).withColumn(
-        "confidence", F.round("confidence", 8)
-    )
+    members = F.flatten(F.zip_with("member_peaks", "member_counts", lambda p, n: F.array_repeat(p.cast("string"), n.cast("int"))))
+    rows = t.master().withColumn("member_peaks", F.array_join(members, ",")).drop("member_counts")
+    return rows.withColumn("confidence", F.round("confidence", 8))
 
 
 def with_status(t):

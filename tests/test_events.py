@@ -85,9 +85,7 @@ def brute_anchor(times, window, span):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000, 20])
-def test_bounded_linkage(spark, monkeypatch, limit):
-    monkeypatch.setattr(V, "FOLD_LIMIT", limit)
+def test_bounded_linkage(spark):
     rng = np.random.default_rng(5)
     times = [0, 150, 300, 1000, 1240, 2000, 2241, *map(int, 5000 + np.sort(rng.integers(0, 6000, 120)))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i bigint, t bigint")
@@ -186,3 +184,17 @@ def test_confidence_and_median(spark):
     r = V.fuse_clusters(df, [], "anchor").collect()[0]
     assert (r.master_peak, r.master_start, r.master_end, r.n_detectors) == (101, 50, 250, 2)
     assert r.confidence == pytest.approx(2 / 5 * 6.0)
+
+
+def test_a_hot_second_of_detections_is_one_count(spark):
+    """10^5 detections of one second and a few others: bounded members, median by counts."""
+    hot = spark.range(100_000).select(F.lit(1000).cast("bigint").alias("peak_t"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("detector"))
+    some = spark.createDataFrame([(900, "c"), (1100, "a"), (1200, "c"), (5000, "a")], "peak_t bigint, detector string")
+    rows = hot.union(some).withColumns({"i": F.monotonically_increasing_id(), "start_t": F.col("peak_t") - 5, "end_t": F.col("peak_t") + 5,
+                                        "max_significance": F.lit(4.0), "peak_rate": F.lit(1.0)})
+    linked = V.link_clusters(rows, [], "peak_t", "i", 180, 240, 3600)
+    got = {r.anchor: r for r in V.fuse_clusters(linked, [], "anchor").collect()}
+    assert sorted(got) == [900, 1200, 5000]
+    first = got[900]
+    assert (first.master_peak, first.n_members, first.n_detectors, first.member_peaks, first.member_counts) == (1000, 100_002, 3, [900, 1000, 1100], [1, 100_000, 1])
+    assert (got[1200].master_peak, got[5000].detectors) == (1200, "a")
