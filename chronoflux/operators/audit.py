@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import SECONDS_PER_DAY, floor_div, utc_of
 from chronoflux.operators.joins import overlap_days
-from chronoflux.operators.timeline import exact_quantiles, explode_interval, gap_runs, range_join, with_frames
+from chronoflux.operators.timeline import asof, exact_quantiles, explode_interval, gap_runs, range_join, running_sum, with_frames
 
 # The status words FULL, PARTIAL, MISSING, NO_SOLEXS, NEITHER and the note words
 # below are stored in existing coverage tables and stay as they are.
@@ -170,12 +170,21 @@ def trailing_recheck(
     feature_rows: DataFrame, raw: DataFrame, keys: Sequence[str], pos: str, value: str, feature: str,
     width: int, minimum: int, bucket: int, tolerance: float = 1e-6,
 ) -> DataFrame:
-    """Recompute a trailing mean from raw rows at or before each position and compare."""
-    reach = feature_rows.select(*keys, F.col(pos).alias("__p"), (F.col(pos) - width + 1).alias("__lo"), feature)
-    near = range_join(reach, raw.select(*keys, pos, value), keys, "__lo", "__p", pos, bucket)
-    again = near.groupBy(*keys, "__p", feature).agg(F.when(F.count(value) >= minimum, F.avg(value)).alias("__again"))
-    same = F.col("__again").eqNullSafe(F.col(feature)) | (F.abs(F.col("__again") - F.col(feature)) <= tolerance)
-    return again.select(*keys, F.col("__p").alias(pos), F.coalesce(same, F.lit(False)).alias("same"))
+    """Recompute a trailing mean from raw rows at or before each position and compare.
+
+    The mean is a difference of running sums at the position and just before the window,
+    each found by one as-of lookup, so the cost does not depend on ``width``.
+    """
+    keys = list(keys)
+    known = raw.filter(F.col(value).isNotNull()).groupBy(*keys, pos).agg(F.sum(value).alias("__x"), F.count("*").alias("__c"))
+    sums = running_sum(known, keys, pos, {"__s": F.col("__x"), "__n": F.col("__c")}, bucket).select(*keys, F.col(pos).alias("__at"), "__s", "__n")
+    rows = feature_rows.select(*keys, pos, (F.col(pos) - width).alias("__before"), feature)
+    seen = asof(rows, sums, keys, pos, "__at", ["__s", "__n"], bucket, prefix="__u")
+    seen = asof(seen, sums, keys, "__before", "__at", ["__s", "__n"], bucket, prefix="__l")
+    n = F.coalesce("__u__n", F.lit(0)) - F.coalesce("__l__n", F.lit(0))
+    again = F.when((n >= minimum) & (n > 0), (F.col("__u__s") - F.coalesce("__l__s", F.lit(0.0))) / n)
+    same = again.eqNullSafe(F.col(feature)) | (F.abs(again - F.col(feature)) <= tolerance)
+    return seen.select(*keys, pos, F.coalesce(same, F.lit(False)).alias("same"))
 
 
 def unpivot(df: DataFrame, index: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -208,8 +217,11 @@ def gap_rule(df: DataFrame, mean: str, std: str) -> DataFrame:
 
 def background_sanity(ex: DataFrame, keys: Sequence[str], pos: str, event: Column, edge: int) -> DataFrame:
     """Quiet floor, background under events relative to it, and the largest excess near events."""
-    quiet = F.percentile(F.when(~event, F.col("background")), 0.5)
-    return ex.groupBy(*keys).agg(
-        F.min("background").alias("floor"), quiet.alias("quiet_level"),
-        F.max(F.when(event, F.col("background"))).alias("event_level"), F.max(F.when(event, F.col("excess"))).alias("event_excess"),
-    ).withColumn("ratio", F.try_divide("event_level", "quiet_level")).withColumn("passes", F.coalesce(F.col("ratio") < 2.5, F.lit(True)))
+    keys = list(keys)
+    quiet = exact_quantiles(ex.filter(~event), keys, "background", [0.5]).select(*keys, F.col("quantile").alias("quiet_level"))
+    out = ex.groupBy(*keys).agg(
+        F.min("background").alias("floor"), F.max(F.when(event, F.col("background"))).alias("event_level"),
+        F.max(F.when(event, F.col("excess"))).alias("event_excess"),
+    )
+    out = (out.join(quiet, keys, "left") if keys else out.join(F.broadcast(quiet), how="left")).select(*keys, "floor", "quiet_level", "event_level", "event_excess")
+    return out.withColumn("ratio", F.try_divide("event_level", "quiet_level")).withColumn("passes", F.coalesce(F.col("ratio") < 2.5, F.lit(True)))

@@ -228,6 +228,41 @@ def block_bootstrap(components: DataFrame, n_boot: int) -> DataFrame:
     return long.groupBy("metric").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"))
 
 
+def both_contingencies(counts: DataFrame, fused: DataFrame, main: str, broad: str, observed: DataFrame, digits: int | None = None) -> DataFrame:
+    """Strict and catalogue-aware contingency with their scores: one row each.
+
+    ``counts``: (tp, fn) of the match against the main catalogue, one row. Strictly every
+    fused event without a main entry is a false alarm; aware ones without any entry are.
+    """
+    alarms = fused.agg(F.count_if(~F.col(main)).alias("strict"), F.count_if(~F.col(main) & ~F.col(broad)).alias("aware"))
+    seconds = observed.agg(F.coalesce(F.sum("gti_seconds"), F.lit(0)).alias("gti_seconds"))
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("fp")) for k in ("strict", "aware")]))
+    rows = alarms.select(kinds).join(F.broadcast(counts)).join(F.broadcast(seconds))
+    tn = true_negatives(F.col("gti_seconds"), F.col("tp") + F.col("fn"), F.col("fp"))
+    return scores(rows.withColumn("tn", tn), digits).select("kind", "tp", "fp", "fn", "tn", "pod", "far", "pofd", "precision", "tss", "hss")
+
+
+def daily_event_components(catalogue: DataFrame, false_alarms: DataFrame, observed: DataFrame) -> DataFrame:
+    """Additive per-day parts of the event contingency, for every observed day.
+
+    ``catalogue``: (day, matched) per catalogue event; ``false_alarms``: (day) per detection
+    that no catalogue explains; ``observed``: (day, gti_seconds).
+    """
+    hits = catalogue.groupBy("day").agg(F.count_if("matched").alias("tp"), F.count_if(~F.col("matched")).alias("fn"))
+    alarms = false_alarms.groupBy("day").agg(F.count("*").alias("fp"))
+    return observed.join(hits, "day", "left").join(alarms, "day", "left").fillna(0, ["tp", "fn", "fp"]).select("day", "tp", "fp", "fn", "gti_seconds")
+
+
+def event_bootstrap(components: DataFrame, n_boot: int, bin_s: int = 360) -> DataFrame:
+    """95 % interval of the event TSS over day-block resamples: one (metric, lo, hi) row."""
+    draws = bootstrap_draws(components, n_boot)
+    sums = draws.join(components, "day").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "gti_seconds")])
+    tn = true_negatives(F.col("gti_seconds"), F.col("tp") + F.col("fn"), F.col("fp"), bin_s)
+    return scores(sums.withColumn("tn", tn)).agg(
+        F.lit("event_tss").alias("metric"), F.percentile("tss", 0.025).alias("lo"), F.percentile("tss", 0.975).alias("hi")
+    )
+
+
 # --- warnings and value ---------------------------------------------------------------
 def lead_times(
     events: DataFrame, forecasts: DataFrame, peak: str, t: str, p: str, thresholds: Mapping[str, float],

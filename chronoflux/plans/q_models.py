@@ -212,10 +212,21 @@ def _(t):
     return out.select("score", F.round("threshold", 9).alias("threshold"), "tp", "fp", "fn", "tn")
 
 
-@query("g11_isotonic_calibration")
+@query("g11_isotonic_calibration", """
+WITH s AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(y) OVER (ORDER BY p) AS hits, sum(n) OVER (ORDER BY p) AS rows
+  FROM (SELECT p, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS n FROM pred WHERE split='VAL' GROUP BY p)),
+-- the fit at i is the largest over a <= i of the least mean of rows a to b over b >= i
+m AS (SELECT a.i AS a, b.i AS b, (b.hits-coalesce(z.hits, 0))/(b.rows-coalesce(z.rows, 0)) AS mean FROM s a LEFT JOIN s z ON z.i = a.i-1 JOIN s b ON b.i >= a.i),
+w AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m),
+f AS (SELECT p, i, lead(p) OVER (ORDER BY p) AS next_p, v, lead(v) OVER (ORDER BY p) AS next_v FROM (SELECT b AS i, max(least) AS v FROM w GROUP BY b) JOIN s USING (i)),
+e AS (SELECT min(p) AS p0, arg_min(v, p) AS v0 FROM f)
+SELECT t.event_id, t.p, round(CASE WHEN t.p < e.p0 THEN e.v0 WHEN f.next_p IS NULL OR t.p = f.p THEN f.v
+  ELSE f.v + (f.next_v-f.v)*(t.p-f.p)/(f.next_p-f.p) END, 9) AS p_cal, t.y
+FROM (SELECT * FROM pred WHERE split='TEST') t ASOF LEFT JOIN f ON t.p >= f.p, e""", "pred")
 def _(t):
     rows = t.pred()
-    return M.fit_isotonic(rows.filter(val()), "p", "y").apply(rows.filter(test()), "p", "p_cal").select("event_id", "p", "p_cal", "y")
+    out = M.fit_isotonic(rows.filter(val()), "p", "y").apply(rows.filter(test()), "p", "p_cal")
+    return out.select("event_id", "p", F.round("p_cal", 9).alias("p_cal"), "y")
 
 
 @query("g12_negative_subsample", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoflux.functions.scalars import floor_div
+from chronoflux.functions.scalars import day_key, floor_div
 from chronoflux.operators import matching as M
 from chronoflux.operators import skill as K
 from chronoflux.operators.rolling import persistence
@@ -113,6 +113,37 @@ def _(t):
     return rows.agg(F.count_if(~F.col("a")).alias("fp_strict"), F.count_if(~F.col("a") & ~F.col("b")).alias("fp_aware"))
 
 
+#: All detections against the catalogue, as group "all"; and who explains each master event.
+ALL_EVENTS = greedy_sql("SELECT 'all' AS g, peak_t AS t FROM det", "SELECT 'all' AS g, peak_t AS t, flare_id AS id, letter FROM flare")
+EXPLAINED = """known AS (SELECT anchor, any_value(master_peak) AS master_peak,
+  bool_or(EXISTS (SELECT 1 FROM flare f WHERE f.peak_t BETWEEN p-180 AND p+180)) AS a,
+  bool_or(EXISTS (SELECT 1 FROM flare2 f WHERE f.peak_t BETWEEN p-180 AND p+180)) AS b
+  FROM (SELECT anchor, master_peak, unnest(member_peaks) AS p FROM master) GROUP BY 1)"""
+
+
+def explained(t):
+    """Master events with the catalogues that explain them: a (main), b (broad)."""
+    rows = M.near_any_member(t.master(), t.flare(), ["anchor"], "member_peaks", "peak_t", MATCH_TOL, EVENT_CHUNK, "a")
+    return M.near_any_member(rows, t.flare2(), ["anchor"], "member_peaks", "peak_t", MATCH_TOL, EVENT_CHUNK, "b")
+
+
+def observed_days(t):
+    """(day, gti_seconds) that any detector observed."""
+    good = t.grid(600).filter("gti").select("k").distinct()
+    return good.groupBy(day_key(F.col("k") * 600).alias("day")).agg((F.count("*") * 600).alias("gti_seconds"))
+
+
+@query("h4b_both_contingencies", f"""
+WITH {ALL_EVENTS}, {EXPLAINED},
+c AS (SELECT count(*) FILTER (matched) AS tp, count(*) FILTER (NOT matched) AS fn FROM events),
+o AS (SELECT count(DISTINCT k)*600 AS gs FROM grid10 WHERE gti),
+f AS (SELECT 'strict' AS kind, count(*) FILTER (NOT a) AS fp FROM known UNION ALL SELECT 'aware', count(*) FILTER (NOT a AND NOT b) FROM known)
+SELECT kind, {SCORE_SQL} FROM (SELECT kind, tp, fp, fn, greatest(0, greatest(0, gs//360-(tp+fn))-fp) AS tn FROM c, o, f)""", "det flare flare2 master grid10")
+def _(t):
+    counts = M.match_counts(M.greedy_match(t.det(), t.flare(), [], "peak_t", "peak_t", MATCH_TOL, EVENT_CHUNK), []).select("tp", "fn")
+    return K.both_contingencies(counts, explained(t), "a", "b", observed_days(t), 9)
+
+
 @query("h5_score_bins", """
 SELECT bin, obs::INT AS obs, pred::INT AS pred, min(bin) OVER (PARTITION BY day_no, seg) AS segment FROM bins""", "bins")
 def _(t):
@@ -257,8 +288,16 @@ def _(t):
 N_BOOT = 2000
 
 
-@query("h16_block_bootstrap", """
-WITH comp AS (SELECT day, least(floor(p*10), 9) AS bin, count(*) FILTER (y=1 AND p>=0.45) AS tp, count(*) FILTER (y=0 AND p>=0.45) AS fp,
+@query("h16_block_bootstrap", "WITH " + ALL_EVENTS + ", " + EXPLAINED + """,
+obs AS (SELECT strftime(make_timestamp(k*600*1000000), '%Y%m%d') AS day, count(*)*600 AS gs FROM (SELECT DISTINCT k FROM grid10 WHERE gti) GROUP BY 1),
+hit AS (SELECT strftime(make_timestamp(t*1000000), '%Y%m%d') AS day, count(*) FILTER (matched) AS tp, count(*) FILTER (NOT matched) AS fn FROM events GROUP BY 1),
+false_alarm AS (SELECT strftime(make_timestamp(master_peak*1000000), '%Y%m%d') AS day, count(*) AS fp FROM known WHERE NOT a AND NOT b GROUP BY 1),
+ec AS (SELECT obs.day, gs, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp FROM obs LEFT JOIN hit USING (day) LEFT JOIN false_alarm USING (day)),
+edays AS (SELECT day, row_number() OVER (ORDER BY day)-1 AS i, count(*) OVER () AS n FROM ec),
+epicks AS (SELECT b, ('0x' || substr(md5(b || '|' || i), 1, 12))::BIGINT % n AS i FROM edays, (SELECT unnest(range(2000)) AS b)),
+et AS (SELECT tp, fn, fp, greatest(0, greatest(0, gs//360-(tp+fn))-fp) AS tn FROM (
+  SELECT b, sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp, sum(gs) AS gs FROM epicks JOIN edays USING (i) JOIN ec USING (day) GROUP BY b)),
+comp AS (SELECT day, least(floor(p*10), 9) AS bin, count(*) FILTER (y=1 AND p>=0.45) AS tp, count(*) FILTER (y=0 AND p>=0.45) AS fp,
   count(*) FILTER (y=1 AND p<0.45) AS fn, count(*) FILTER (y=0 AND p<0.45) AS tn, count(*) AS n, sum(p) AS sp, sum(y) AS sy, sum((p-y)*(p-y)) AS se
   FROM pred WHERE split='TEST' GROUP BY 1, 2),
 days AS (SELECT day, row_number() OVER (ORDER BY day)-1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM comp)),
@@ -266,12 +305,17 @@ picks AS (SELECT b, ('0x' || substr(md5(b || '|' || i), 1, 12))::BIGINT % n AS i
 pb AS (SELECT b, bin, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, sum(c.n) AS n, sum(sp) AS sp, sum(sy) AS sy, sum(se) AS se
   FROM picks JOIN days USING (i) JOIN comp c USING (day) GROUP BY 1, 2),
 pd AS (SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, sum(n) AS n, sum(se) AS se, sum(abs(sy-sp)) AS gap FROM pb GROUP BY 1),
-m AS (SELECT unnest([{'metric': 'tss', 'v': coalesce(tp/nullif(tp+fn,0),0)-coalesce(fp/nullif(fp+tn,0),0)}, {'metric': 'far', 'v': coalesce(fp/nullif(tp+fp,0),0)},
+fm AS (SELECT unnest([{'metric': 'tss', 'v': coalesce(tp/nullif(tp+fn,0),0)-coalesce(fp/nullif(fp+tn,0),0)}, {'metric': 'far', 'v': coalesce(fp/nullif(tp+fp,0),0)},
   {'metric': 'brier', 'v': se/n}, {'metric': 'ece', 'v': gap/n}]) AS s FROM pd)
-SELECT s.metric AS metric, round(quantile_cont(s.v, 0.025), 9) AS lo, round(quantile_cont(s.v, 0.975), 9) AS hi FROM m GROUP BY 1""", "pred")
+SELECT s.metric AS metric, round(quantile_cont(s.v, 0.025), 9) AS lo, round(quantile_cont(s.v, 0.975), 9) AS hi FROM fm GROUP BY 1
+UNION ALL SELECT 'event_tss', round(quantile_cont(v, 0.025), 9), round(quantile_cont(v, 0.975), 9)
+FROM (SELECT coalesce(tp/nullif(tp+fn,0),0)-coalesce(fp/nullif(fp+tn,0),0) AS v FROM et)""", "pred det flare flare2 master grid10")
 def _(t):
     comp = cut_lineage(K.daily_components(t.pred().filter("split = 'TEST'"), "p", "y", WATCH))
-    out = K.block_bootstrap(comp, N_BOOT)
+    events = K.matched_events(t.det(), t.flare(), [], "peak_t", "peak_t", "flare_id", MATCH_TOL, EVENT_CHUNK)
+    alarms = explained(t).filter("NOT a AND NOT b").select(day_key("master_peak").alias("day"))
+    of_events = cut_lineage(K.daily_event_components(events.withColumn("day", day_key("peak_t")), alarms, observed_days(t)))
+    out = K.block_bootstrap(comp, N_BOOT).unionByName(K.event_bootstrap(of_events, N_BOOT))
     return out.select("metric", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
