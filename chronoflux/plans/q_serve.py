@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import day_key, floor_div, utc_of
+from chronoflux.operators import matching as M
 from chronoflux.operators import serve as V
 from chronoflux.operators import skill as K
 from chronoflux.operators.matching import first_within
+from chronoflux.plans.q_skill import ALL_EVENTS, COUNTS_SQL, EXPLAINED, SCORE_SQL, explained, observed_days
 from chronoflux.plans.registry import query
 from chronoflux.plans.tables import CTES, EVENT_CHUNK, MATCH_TOL
 from chronoflux.session import scratch_folder
+from chronoflux.sources.files import write_json
 from chronoflux.streaming import jobs
 
 WATCH, WARNING = 0.45, 0.60
@@ -87,13 +90,14 @@ def _(t):
     leads = lead15(t).select("day", "peak_t", "lead_w", "flagged", "reason", "flare_id")
     # Minute means bound the series of a day to 1,440 points.
     series = t.pred().groupBy("day", (floor_div("t", 60) * 60).alias("t")).agg(F.avg("p").alias("p"))
-    docs = V.replay_days(series, flares, found, leads, "day")
-    def size(c):
-        return F.when(c.isNull(), 0).otherwise(F.size(c))
-    return docs.select(
-        "day", F.size("series").cast("bigint").alias("n_points"), size(F.col("flares")).alias("n_flares"), size(F.col("detections")).alias("n_detections"),
-        size(F.filter("lead_times", lambda x: x["flagged"])).alias("n_flagged"),
-        size(F.filter("lead_times", lambda x: x["reason"] == "no_coverage")).alias("n_no_coverage"),
+    parts = {"series": series, "flares": flares.withColumnRenamed("peak_t", "t"), "detections": found, "lead_times": leads.withColumnRenamed("peak_t", "t")}
+    chunks, manifest = V.replay_days(parts, "day", "t", 3600, ["series"])
+    leads_of = chunks.groupBy("day").agg(
+        F.sum(F.size(F.filter("lead_times", lambda x: x["flagged"]))).alias("n_flagged"),
+        F.sum(F.size(F.filter("lead_times", lambda x: x["reason"] == "no_coverage"))).alias("n_no_coverage"),
+    )
+    return manifest.join(leads_of, "day").select(
+        "day", F.col("n_series").alias("n_points"), *[F.col(c).cast("int").alias(c) for c in ("n_flares", "n_detections", "n_flagged", "n_no_coverage")]
     )
 
 
@@ -130,6 +134,46 @@ def _(t):
     return back.select("catalogue.*", "events.*", "forecast.*")
 
 
+@query("k7b_summary_artefact", f"""
+WITH {ALL_EVENTS}, {EXPLAINED}, te AS (SELECT * FROM pred WHERE split='TEST'),
+sk AS (SELECT {SCORE_SQL} FROM (SELECT {COUNTS_SQL} FROM (SELECT y=1 AS o, p>=0.45 AS p FROM te))),
+bins AS (SELECT bin, avg(p) AS mp, avg(y) AS of, count(*) AS n FROM (SELECT *, least(floor(p*10), 9)::INT AS bin FROM te) GROUP BY 1),
+cls AS (SELECT letter, count(*) FILTER (p>=0.45) AS hit, count(*) AS n FROM te WHERE y=1 AND letter IS NOT NULL GROUP BY 1),
+c AS (SELECT count(*) FILTER (matched) AS tp, count(*) FILTER (NOT matched) AS fn FROM events),
+o AS (SELECT count(DISTINCT k)*600 AS gs FROM grid10 WHERE gti),
+f AS (SELECT 'strict' AS kind, count(*) FILTER (NOT a) AS fp FROM known UNION ALL SELECT 'aware', count(*) FILTER (NOT a AND NOT b) FROM known),
+det2 AS (SELECT kind, {SCORE_SQL} FROM (SELECT kind, tp, fp, fn, greatest(0, greatest(0, gs//360-(tp+fn))-fp) AS tn FROM c, o, f)),
+facts AS (
+  SELECT 'forecast.tp' AS fact, tp::DOUBLE AS value FROM sk UNION ALL SELECT 'forecast.tss', tss FROM sk UNION ALL SELECT 'forecast.hss', hss FROM sk
+  UNION ALL SELECT 'baselines.climatology', avg(y) FROM pred WHERE split='TRAIN'
+  UNION ALL SELECT 'calibration.brier', avg((p-y)*(p-y)) FROM te UNION ALL SELECT 'calibration.ece', sum(abs(of-mp)*n)/sum(n) FROM bins
+  UNION ALL SELECT 'reliability.obs.' || b.bin, of FROM (SELECT unnest(range(10))::INT AS bin) b LEFT JOIN bins USING (bin)
+  UNION ALL SELECT 'per_class.' || letter, hit/n FROM cls UNION ALL SELECT 'detection.' || kind, tss FROM det2
+  UNION ALL SELECT 'operating_points.far_at_watch', count(*) FILTER (p>=0.45 AND y=0)/nullif(count(*) FILTER (p>=0.45), 0) FROM te
+  UNION ALL SELECT 'operating_points.precision_at_warning', count(*) FILTER (p>=0.6 AND y=1)/nullif(count(*) FILTER (p>=0.6), 0) FROM te
+  UNION ALL SELECT 'counts.n_master', count(*) FROM master UNION ALL SELECT 'counts.n_flares', count(*) FROM flare)
+SELECT fact, round(value, 6) AS value FROM facts""", "pred det flare flare2 master grid10")
+def _(t):
+    path = scratch_folder(t.spark) + "/summary"
+    counts = M.match_counts(M.greedy_match(t.det(), t.flare(), [], "peak_t", "peak_t", MATCH_TOL, EVENT_CHUNK), []).select("tp", "fn")
+    detection = K.both_contingencies(counts, explained(t), "a", "b", observed_days(t))
+    split = F.col("split")
+    doc = V.summary_document(t.pred(), split == "TRAIN", split == "TEST", "p", "y", "letter", WATCH, WARNING,
+                             {"n_master": t.master(), "n_flares": t.flare()}, detection)
+    write_json(doc, path)
+    back = t.spark.read.schema(doc.schema).json(path)
+    value = lambda name: F.array(F.struct(F.lit(name).alias("fact"), F.col(name).cast("double").alias("value")))
+    plain = ("forecast.tp", "forecast.tss", "forecast.hss", "baselines.climatology", "calibration.brier", "calibration.ece",
+             "operating_points.far_at_watch", "operating_points.precision_at_warning", "counts.n_master", "counts.n_flares")
+    listed = {"reliability": ("reliability.obs.", "bin", "obs"), "per_class": ("per_class.", "letter", "rate"), "detection": ("detection.", "kind", "tss")}
+
+    def entries(column, prefix, label, number):
+        return F.transform(column, lambda x: F.struct(F.concat(F.lit(prefix), x[label].cast("string")).alias("fact"), x[number].cast("double").alias("value")))
+
+    lists = [entries(c, *names) for c, names in listed.items()]
+    return back.select(F.inline(F.concat(*[value(n) for n in plain], *lists)))
+
+
 @query("k8_set_operations", """
 SELECT 'union' AS op, count(*) AS n FROM (SELECT peak_t FROM flare UNION ALL SELECT peak_t FROM flare2)
 UNION ALL SELECT 'intersect_days', count(*) FROM (SELECT peak_t//86400 FROM flare INTERSECT SELECT peak_t//86400 FROM flare2)
@@ -165,15 +209,14 @@ def _(t):
 
 
 @query("t1_streaming_decimation", """
-WITH b AS (SELECT event_type, t//600*600 AS bin_t, round(avg(value), 8) AS value, count(value) AS n FROM ev GROUP BY 1, 2)
-SELECT * FROM b WHERE bin_t+600 <= (SELECT max(t) FROM ev)-60""", "ev")
+SELECT event_type, t//600*600 AS bin_t, round(avg(value), 8) AS value, count(value) AS n FROM ev GROUP BY 1, 2""", "ev")
 def _(t):
     root = scratch_folder(t.spark)
     src = t.ev().select(utc_of("t").alias("ts"), "event_type", "value")
     src.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(root + "/in")
     stream = jobs.sample_stream(t.spark, root + "/in", "ts timestamp, event_type string, value double")
-    jobs.run_decimation(jobs.decimated(stream, "ts", ["event_type"], "value", "10 minutes"), root + "/out", root + "/ckpt").awaitTermination()
-    out = t.spark.read.schema("event_type string, bin_t bigint, value double, n bigint").parquet(root + "/out")
+    means = jobs.decimated(stream, "ts", ["event_type"], "value", "10 minutes")
+    out = jobs.decimate_all(means, ["event_type"], "value", root + "/out", root + "/tail", root + "/ckpt")
     return out.withColumn("value", F.round("value", 8))
 
 

@@ -47,6 +47,25 @@ def _(t):
     return S.inventory(archive(t), "name", "size")
 
 
+@query("a2b_listed_files", f"SELECT DISTINCT 'day=d' || {DAY_SQL} AS folder, '.parquet' AS extension, TRUE AS has_bytes FROM grid", "grid")
+def _(t):
+    """The files of a written table, found again by listing its folders."""
+    path = scratch_folder(t.spark) + "/days"
+    S.write_days(day_grid(t).withColumn("day", F.concat(F.lit("d"), "day")), path)
+    files = S.list_files(t.spark, path).filter(F.col("folder").startswith("day="))
+    kinds = files.select("folder", S.extension("name").alias("extension"), "size").groupBy("folder", "extension")
+    return kinds.agg((F.sum("size") > 0).alias("has_bytes"))
+
+
+@query("a3b_daily_discovery", """
+SELECT DISTINCT CAST(make_timestamp(t//86400*86400*1000000) AS DATE)::VARCHAR AS date, 'AL1_SLX_L1_' || strftime(make_timestamp(t*1000000), '%Y%m%d') || '_v1.' || version || '.zip' AS name
+FROM (SELECT t, max(event_id%3) OVER (PARTITION BY t//86400) AS version FROM ev)""", "ev")
+def _(t):
+    stamp = F.concat(F.lit("AL1_SLX_L1_"), day_key("t"), F.lit("_v1."), (F.col("event_id") % 3).cast("string"), F.lit(".zip"))
+    names = t.ev().select(F.explode(F.array(stamp, F.concat(F.lit("copy_of_"), stamp))).alias("name"))
+    return S.discover_days(names, "name").select(F.col("date").cast("string").alias("date"), "name")
+
+
 @query("a3_observation_discovery", f"""
 WITH {OBS}, n AS (SELECT *, end_t-start_t AS dur FROM obs WHERE obs_id%10<>0)
 SELECT start_t, duration_s, version FROM (SELECT start_t, dur AS duration_s, version,
@@ -85,6 +104,26 @@ def _(t):
     )
 
 
+@query("a4b_authoritative_csv", """
+SELECT strftime(make_timestamp(peak_t*1000000), '%Y-%m-%d %H:%M:%S') AS peak, letter, round(mag, 2) AS mag, end_t-start_t AS duration_seconds,
+  CASE WHEN flare_id%4<>0 THEN flare_id%9000 END AS noaa_ar, CASE WHEN flare_id%3<>0 THEN (flare_id%90)::DOUBLE END AS lat FROM flare""", "flare", "noaa_ar lat")
+def _(t):
+    path = scratch_folder(t.spark) + "/events"
+    stamp = lambda c: F.date_format(utc_of(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    i = F.col("flare_id")
+    raw = t.flare().select(
+        stamp("start_t").alias("start"), stamp("peak_t").alias("peak"), stamp("end_t").alias("end"),
+        F.concat("letter", F.round("mag", 2).cast("string")).alias("goes_class"), F.lit("1e-5").alias("peak_flux"),
+        F.when(i % 4 != 0, (i % 9000).cast("string")).alias("noaa_ar"), F.lit("1").alias("lon"), F.when(i % 3 != 0, (i % 90).cast("string")).alias("lat"),
+    )
+    S.write_csv(raw, path)
+    out = S.read_events(t.spark, path, S.AUTHORITATIVE_NAMES, drop_without_peak=False)
+    return out.select(
+        F.date_format("peak_utc", "yyyy-MM-dd HH:mm:ss").alias("peak"), F.col("goes_class_letter").alias("letter"),
+        F.col("goes_class_magnitude").alias("mag"), "duration_seconds", "noaa_ar", "lat",
+    )
+
+
 @query("a5_index_csv", """
 WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, round(avg(value), 3) AS v FROM events GROUP BY 1)
 SELECT date, n::DOUBLE AS ssn, v AS std, v AS observed_flux FROM d WHERE date BETWEEN '2024-01-05' AND '2024-01-20'""")

@@ -65,9 +65,17 @@ def inventory(files: DataFrame, name: str, size: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size) of every file below ``path`` without reading contents."""
+    """(folder, name, size) of every file below ``path`` without reading contents; ``folder`` is the one that holds it."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+    part = lambda i: F.url_decode(F.element_at(F.split("path", "/"), i))
+    return df.select(part(-2).alias("folder"), part(-1).alias("name"), F.col("length").alias("size"))
+
+
+def discover_days(files: DataFrame, name: str) -> DataFrame:
+    """(date, name) of the daily archives; of several for a day the last by name."""
+    day = F.to_date(F.regexp_extract(name, DAILY_NAME, 1), "yyyyMMdd")
+    daily = files.filter(F.col(name).rlike(DAILY_NAME)).select(day.alias("date"), name)
+    return daily.groupBy("date").agg(F.max(name).alias(name))
 
 
 def discover(files: DataFrame, name: str) -> DataFrame:
@@ -120,8 +128,8 @@ def read_radio_flux(spark: SparkSession, path: str, first: str, last: str) -> Da
 
 # --- active-region text reports ------------------------------------------------------
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("wholetext", "true").text(path)
-    return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("content"))
+    df = spark.read.text(path, wholetext=True)
+    return df.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("content"))
 
 
 def parse_reports(reports: DataFrame, name: str = "name", content: str = "content") -> DataFrame:

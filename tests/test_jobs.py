@@ -113,3 +113,77 @@ def test_models_are_trained_in_full(spark, monkeypatch):
             entry_module.queries()[name](spark, SMALL)
     assert all(not kw for _, kw in asked) and [len(a) for a, _ in asked] == [4, 5, 5, 4, 6]
     assert list(asked[-1][0][2]) == ["y_15min", "y_30min", "y_60min"]
+
+
+def test_decimation_closes_its_tail_once(spark, tmp_path):
+    """Unsorted and late files, a stop in the middle of windows, and a second run with more input."""
+    from chronoflux.streaming import jobs
+
+    folder = {n: str(tmp_path / n) for n in ("in", "out", "tail", "ckpt")}
+
+    def arrive(rows):
+        df = spark.createDataFrame([(float(s), k, float(v)) for s, k, v in rows], "s double, k string, value double")
+        df.selectExpr("timestamp_seconds(s) AS ts", "k", "value").coalesce(1).write.mode("append").parquet(folder["in"])
+
+    def run():
+        stream = jobs.sample_stream(spark, folder["in"], "ts timestamp, k string, value double")
+        means = jobs.decimated(stream, "ts", ["k"], "value", "10 seconds", "1 minute")
+        out = jobs.decimate_all(means, ["k"], "value", folder["out"], folder["tail"], folder["ckpt"])
+        return {(r.k, r.bin_t): (r.value, r.n) for r in out.collect()}, out.count()
+
+    first = [(t, "a" if t % 3 else "b", t) for t in (3, 1, 12, 9, 45, 47, 30, 31, 44, 2)]
+    arrive(first)
+    bins, n = run()
+    want = {}
+    for t, k, v in first:
+        want.setdefault((k, t // 10 * 10), []).append(v)
+    assert n == len(bins) == len(want) and all(bins[w] == (sum(v) / len(v), len(v)) for w, v in want.items())
+    # a sample within the watermark joins its open window; far ones move the watermark on, later ones than it are dropped
+    second = [(48, "b", 4), (200, "a", 7), (201, "a", 9)]
+    arrive(second)
+    for t, k, v in second:
+        want.setdefault((k, t // 10 * 10), []).append(v)
+    bins, n = run()
+    assert n == len(bins) == len(want) and all(bins[w] == (sum(v) / len(v), len(v)) for w, v in want.items())
+    arrive([(5, "a", 1000)])
+    again, n = run()
+    assert again == bins and n == len(bins)
+
+
+def test_replay_chunks_hold_bounded_lists(spark):
+    from chronoflux.operators import serve as V
+
+    points = spark.createDataFrame([("d1", t, float(t)) for t in range(0, 100, 5)] + [("d2", 130, 1.0)], "day string, t bigint, p double")
+    events = spark.createDataFrame([("d1", 12, "M"), ("d1", 95, "X"), ("d3", 200, "C")], "day string, t bigint, letter string")
+    chunks, manifest = V.replay_days({"series": points, "events": events}, "day", "t", 50, ["series"])
+    got = {(r.day, r.chunk): r for r in chunks.collect()}
+    assert set(got) == {("d1", 0), ("d1", 1), ("d2", 2), ("d3", 4)} and [x.t for x in got["d1", 1].series] == list(range(50, 100, 5))
+    assert [x.letter for x in got["d1", 0].events] == ["M"] and got["d2", 2].events == []
+    assert {r.day: (r.n_chunks, r.n_series, r.n_events) for r in manifest.collect()} == {"d1": (2, 20, 2), "d2": (1, 1, 0)}
+
+
+def test_files_are_listed_and_reports_read(spark, tmp_path):
+    from chronoflux.sources import files as S
+
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "one.fits.gz").write_bytes(b"12345")
+    (tmp_path / "deep" / "two.zip").write_bytes(b"123")
+    (tmp_path / "deep" / "er" / "two (1).zip").write_bytes(b"1")
+    listed = S.list_files(spark, str(tmp_path))
+    assert {(r.folder, r.name, r.size) for r in listed.collect()} == {(tmp_path.name, "one.fits.gz", 5), ("deep", "two.zip", 3), ("er", "two (1).zip", 1)}
+    found = {r.extension: (r.n_files, r.n_bytes, r.n_copies) for r in S.inventory(listed, "name", "size").collect()}
+    assert found == {".fits.gz": (1, 5, 0), ".zip": (1, 3, 1)}
+    report = "I.  Regions with Sunspots.\nNmbr Location  Lo  Area  Z   LL   NN Mag Type\n3576 N10W20 100 0040 Dso 05 03 Beta\nbad line\nII. Regions\n"
+    (tmp_path / "20240105SRS.txt").write_text(report)
+    (tmp_path / "20240106SRS.txt").write_text("I. Regions with Sunspots.\nNmbr Location Lo Area Z LL NN Mag Type\nNone\nII. Rest\n")
+    (tmp_path / "notes.txt").write_text(report)
+    (row,) = S.parse_reports(S.read_reports(spark, f"{tmp_path}/*.txt")).collect()
+    assert (str(row.date), row.noaa_ar, row.lat_hg, row.lon_hg, row.num_spots, row.mag_class) == ("2024-01-05", 3576, 10.0, 20.0, 3, "Beta")
+
+
+def test_daily_archives_are_dated(spark):
+    from chronoflux.sources import files as S
+
+    names = ["AL1_SLX_L1_20240105_v1.0.zip", "al1_slx_l1_20240106_v1.0", "AL1_SLX_L1_20240105_v1.1.zip", "AL1_SLX_L1_2024_v1.0.zip", "other.zip"]
+    rows = S.discover_days(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()
+    assert sorted((str(r.date), r.name) for r in rows) == [("2024-01-05", names[2]), ("2024-01-06", names[1])]
