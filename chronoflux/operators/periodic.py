@@ -7,8 +7,10 @@ all later steps group by keys that start with the window and reuse that partitio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ N_PERIODS = 48
 CONFIDENCE = 0.95
 LOCAL_LEVEL = 2.9957  # half the 95 % point of chi-square with 2 degrees of freedom
 BANDWIDTH = 1.5
-REACH = 5.0  # wavelet support in scales; weights beyond are below 1e-7
+REACH = 8.0  # wavelet support in scales
 
 
 def impulsive_windows(
@@ -167,6 +169,18 @@ def attribution(tier: str) -> Column:
     return F.when(F.col(tier).isin("classic", "intermediate"), "confirmed_regime").otherwise("pending_instrumental")
 
 
+def featured(signals: DataFrame, wid: str, top: int) -> DataFrame:
+    """(pick, wid, period): the strongest signals per regime and overall, and of X-class windows (``has_x``) the
+    strongest and the strongest classic one."""
+    strength = [F.round("gamma", 6).desc(), F.col(wid), F.col("period")]
+    per_regime = Window.partitionBy("regime").orderBy(*strength)
+    picks = signals.withColumn("k", F.row_number().over(per_regime)).filter(F.col("k") <= top).select(F.col("regime").alias("pick"), wid, "period")
+    x_class = signals.filter("has_x")
+    for name, rows, n in (("overall", signals, top), ("featured_x", x_class, 1), ("classic_x", x_class.filter("regime = 'classic'"), 1)):
+        picks = picks.unionByName(rows.orderBy(*strength).limit(n).select(F.lit(name).alias("pick"), wid, "period"))
+    return picks
+
+
 def period_rows(windows: DataFrame, n: str = "n") -> DataFrame:
     """The geometric period grid of every window: (…, r, period)."""
     top = F.least(F.col(n) * PERIOD_SHARE, F.lit(MAX_PERIOD))
@@ -174,22 +188,39 @@ def period_rows(windows: DataFrame, n: str = "n") -> DataFrame:
 
 
 def wavelet_power(rows: DataFrame, wanted: DataFrame, wid: str) -> DataFrame:
-    """Direct complex-Morlet power at the wanted (wid, r, period) rows for every time.
+    """Complex-Morlet power of every window at the wanted (wid, r, period): (wid, r, period, power by time).
 
-    Sample and time meet only inside the wavelet's support and inside one window.
+    A window travels as one row with its samples and its periods, both bounded by the
+    window, and a task works through many windows: one transform of the samples and one
+    of each wavelet give the sums of all times together, without a row per pair.
     """
-    scaled = rows.select(wid, "j", "n", "x").join(wanted.select(wid, "r", "period"), wid)
-    reach = F.ceil(F.col("period") * REACH).cast("int")
-    near = F.sequence(F.greatest(F.lit(0), F.col("j") - reach), F.least(F.col("n") - 1, F.col("j") + reach))
-    pairs = scaled.select("*", F.explode(near).alias("tau"))
-    u = (F.col("j") - F.col("tau")) / F.col("period")
-    weight = F.col("x") * F.exp(-u * u / BANDWIDTH)
-    angle = u * (2 * 3.141592653589793)
-    sums = pairs.groupBy(wid, "r", "period", "tau").agg(
-        F.sum(weight * F.cos(angle)).alias("re"), F.sum(weight * F.sin(angle)).alias("im")
-    )
-    norm = F.lit(3.141592653589793 * BANDWIDTH) * F.col("period")
-    return sums.select(wid, "r", "period", "tau", ((F.col("re") ** 2 + F.col("im") ** 2) / norm).alias("power"))
+    series = rows.groupBy(wid).agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("s")).select(wid, F.col("s.x").alias("x"))
+    asked = wanted.groupBy(wid).agg(F.array_sort(F.collect_list(F.struct("r", "period"))).alias("p"))
+    both = series.join(asked, wid).select(wid, "x", F.col("p.r").alias("r"), F.col("p.period").alias("period"))
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, r, period = (batch.column(c)[i].values for c in ("x", "r", "period"))
+                power = morlet_powers(x.to_numpy(), period.to_numpy())
+                name = pa.array([batch.column(wid)[i].as_py()] * len(r), batch.column(wid).type)
+                yield pa.RecordBatch.from_arrays([name, r, period, pa.array(list(power), pa.list_(pa.float64()))], [wid, "r", "period", "power"])
+
+    key = both.schema[wid].dataType.simpleString()
+    return both.mapInArrow(transform, f"{wid} {key}, r int, period double, power array<double>")
+
+
+def morlet_powers(x: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """Power at each period (rows) and sample of one window; the wavelet ends at ``REACH`` scales."""
+    n = len(x)
+    size = 1 << int(2 * n - 1).bit_length()  # no lag wraps around
+    lag = np.arange(-(n - 1), n)
+    u = lag[None, :] / periods[:, None]
+    wave = np.where(np.abs(lag)[None, :] <= np.ceil(periods * REACH)[:, None], np.exp(-u * u / BANDWIDTH + 2j * np.pi * u), 0)
+    placed = np.zeros((len(periods), size), complex)
+    placed[:, lag % size] = wave
+    sums = np.fft.ifft(np.fft.fft(x, size)[None, :] * np.fft.fft(placed, axis=1), axis=1)[:, :n]
+    return np.abs(sums) ** 2 / (np.pi * BANDWIDTH * periods)[:, None]
 
 
 def signal_times(rows: DataFrame, signals: DataFrame, wid: str) -> DataFrame:
@@ -199,8 +230,8 @@ def signal_times(rows: DataFrame, signals: DataFrame, wid: str) -> DataFrame:
     nearest = grid.groupBy(wid, "found").agg(F.min(F.struct(gap.alias("g"), "r", "period")).alias("b")).select(
         wid, "found", F.col("b.r").alias("r"), F.col("b.period").alias("period"))
     power = wavelet_power(rows, nearest.select(wid, "r", "period").distinct(), wid)
-    best = F.max(F.struct(F.round("power", 8).alias("p"), (-F.col("tau")).alias("t")))
-    times = power.groupBy(wid, "r").agg((-best.getField("t")).alias("tau"))
+    rounded = F.transform("power", lambda p: F.round(p, 8))
+    times = power.select(wid, "r", (F.array_position(rounded, F.array_max(rounded)) - 1).alias("tau"))
     return nearest.join(times, [wid, "r"]).select(wid, F.col("found").alias("period"), "tau")
 
 
@@ -224,9 +255,9 @@ def normalised_map(rows: DataFrame, spectrum: DataFrame, fit: DataFrame, wid: st
     wanted = wanted.withColumn("continuum", F.exp(level(lo) + (level(hi) - level(lo)) * share))
     power = wavelet_power(rows, wanted, wid)
     joined = power.join(wanted.select(wid, "r", "n", "continuum"), [wid, "r"])
-    scale = joined.groupBy(wid, "r", "continuum").agg(F.avg("power").alias("mean_power"))
-    constant = scale.groupBy(wid).agg(F.percentile(F.col("mean_power") / F.col("continuum"), 0.5).alias("k"))
-    out = joined.join(constant, wid)
+    mean_power = F.aggregate("power", F.lit(0.0), lambda a, p: a + p) / F.size("power")
+    constant = F.percentile(mean_power / F.col("continuum"), 0.5).over(Window.partitionBy(wid)).alias("k")
+    out = joined.select("*", constant).select(wid, "r", "period", "n", "continuum", "k", F.posexplode("power").alias("tau", "power"))
     cone = F.greatest(F.lit(MIN_PERIOD), F.least(F.col("tau"), F.col("n") - 1 - F.col("tau")) / F.sqrt(F.lit(2.0)))
     return out.select(
         wid, "r", "period", "tau", (F.col("power") / (F.col("k") * F.col("continuum"))).alias("z"), cone.alias("coi"),

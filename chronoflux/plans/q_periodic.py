@@ -113,7 +113,7 @@ CTES["near_row"] = ("signals", """
 @query("q8_signal_times", """
 SELECT wid, round(found, 8) AS period, arg_max(tau, [round(p, 8), -tau]) AS tau FROM (
   SELECT q.wid, q.found, b.j AS tau, (sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*cos(2*pi()*(a.j-b.j)/per))**2 + sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*sin(2*pi()*(a.j-b.j)/per))**2)/(pi()*1.5*any_value(per)) AS p
-  FROM near_row q JOIN resid a USING (wid) JOIN resid b ON b.wid=a.wid WHERE abs(a.j-b.j) <= ceil(per*5) GROUP BY 1, 2, 3) GROUP BY 1, 2""", "near_row resid")
+  FROM near_row q JOIN resid a USING (wid) JOIN resid b ON b.wid=a.wid WHERE abs(a.j-b.j) <= ceil(per*8) GROUP BY 1, 2, 3) GROUP BY 1, 2""", "near_row resid")
 def _(t):
     residual, _, _, done = tested(t)
     out = P.signal_times(residual, P.periodic_signals(done, W), W)
@@ -128,14 +128,25 @@ def _(t):
     return rows.groupBy("regime", P.attribution("regime").alias("attribution")).agg(F.count("*").alias("n"))
 
 
-@query("q10_normalised_map")
+@query("q10_normalised_map", f"""
+WITH per AS (SELECT w.wid, r, n, 4.0*exp(r/47.0*ln(least(n/3.0, 300)/4.0)) AS per, beta, CASE WHEN lr=-99 THEN 0 ELSE pow(10, lr) END AS ratio, a, (n-1)//2 AS last
+  FROM (SELECT DISTINCT wid, n FROM signals) w JOIN fine USING (wid), (SELECT unnest(range(48)) AS r) WHERE least(n/3.0, 300) > 4),
+ends AS (SELECT *, least(last, greatest(1, floor(n/per)))::DOUBLE AS lo, least(last, least(last, greatest(1, floor(n/per)))+1)::DOUBLE AS hi FROM per),
+cont AS (SELECT *, exp(ln(a*(pow(lo/n, -beta)+ratio)) + (ln(a*(pow(hi/n, -beta)+ratio))-ln(a*(pow(lo/n, -beta)+ratio)))
+  * CASE WHEN hi > lo THEN greatest(0, least(1, ln(n/per/lo)/ln(hi/lo))) ELSE 0 END) AS level FROM ends),
+pw AS (SELECT c.wid, c.r, b.j AS tau, (sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*cos(2*pi()*(a.j-b.j)/per))**2 + sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*sin(2*pi()*(a.j-b.j)/per))**2)/(pi()*1.5*any_value(per)) AS p
+  FROM cont c JOIN resid a USING (wid) JOIN resid b ON b.wid=a.wid WHERE abs(a.j-b.j) <= ceil(per*8) GROUP BY 1, 2, 3),
+k AS (SELECT wid, quantile_cont(m/level, 0.5) AS k FROM (SELECT wid, r, avg(p) AS m FROM pw GROUP BY 1, 2) JOIN cont USING (wid, r) GROUP BY 1)
+SELECT wid, round(per, 8) AS period, round(max(p/(k*level)), 6) AS z_max,
+  count(*) FILTER (p/(k*level) > {P.LOCAL_LEVEL} AND per <= greatest(4.0, least(tau, n-1-tau)/sqrt(2))) AS n_inside, count(*) AS n
+FROM pw JOIN cont USING (wid, r) JOIN k USING (wid) GROUP BY wid, r, per""", "signals fine resid")
 def _(t):
     # Maps are drawn for windows that hold a signal.
     residual, spectrum, fit, done = tested(t)
     wanted = cut_lineage(P.periodic_signals(done, W).select(W).distinct())
     z = P.normalised_map(residual.join(wanted, W, "left_semi"), spectrum.join(wanted, W, "left_semi"), fit, W)
-    return z.groupBy(W, "period").agg(
-        F.max("z").alias("z_max"), F.count_if((F.col("z") > P.LOCAL_LEVEL) & (F.col("period") <= F.col("coi"))).alias("n_inside"),
+    return z.groupBy(W, F.round("period", 8).alias("period")).agg(
+        F.round(F.max("z"), 6).alias("z_max"), F.count_if((F.col("z") > P.LOCAL_LEVEL) & (F.col("period") <= F.col("coi"))).alias("n_inside"),
         F.count("*").alias("n"),
     )
 
@@ -153,13 +164,18 @@ def _(t):
 
 
 @query("q12_featured_picks", """
-WITH r AS (SELECT wid, period, gamma, CASE WHEN period>=16 THEN 'classic' WHEN period>=8 THEN 'intermediate' ELSE 'short' END AS regime FROM signals),
-p AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY round(gamma, 6) DESC, wid, period) AS k1, row_number() OVER (ORDER BY round(gamma, 6) DESC, wid, period) AS k2 FROM r)
-SELECT regime AS pick, wid, round(period, 8) AS period FROM p WHERE k1 <= 3 UNION ALL SELECT 'overall', wid, round(period, 8) FROM p WHERE k2 <= 3""", "signals")
+WITH x AS (SELECT DISTINCT peak_t//86400 AS day FROM flare WHERE letter='X'),
+r AS (SELECT wid, period, gamma, CASE WHEN period>=16 THEN 'classic' WHEN period>=8 THEN 'intermediate' ELSE 'short' END AS regime,
+  split_part(wid, '/', 2)::BIGINT IN (SELECT day FROM x) AS has_x FROM signals),
+p AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY round(gamma, 6) DESC, wid, period) AS k1, row_number() OVER (ORDER BY round(gamma, 6) DESC, wid, period) AS k2 FROM r),
+x1 AS (SELECT * FROM p WHERE has_x ORDER BY round(gamma, 6) DESC, wid, period LIMIT 1),
+x2 AS (SELECT * FROM p WHERE has_x AND regime='classic' ORDER BY round(gamma, 6) DESC, wid, period LIMIT 1)
+SELECT regime AS pick, wid, round(period, 8) AS period FROM p WHERE k1 <= 3 UNION ALL SELECT 'overall', wid, round(period, 8) FROM p WHERE k2 <= 3
+UNION ALL SELECT 'featured_x', wid, round(period, 8) FROM x1 UNION ALL SELECT 'classic_x', wid, round(period, 8) FROM x2""", "signals flare")
 def _(t):
-    rows = cut_lineage(P.periodic_signals(tested(t)[3], W).withColumn("regime", P.regime("period")))
-    strength = [F.round("gamma", 6).desc(), W, "period"]
-    w = Window.partitionBy("regime").orderBy(*strength)
-    per = rows.withColumn("k", F.row_number().over(w)).filter("k <= 3").select(F.col("regime").alias("pick"), W, "period")
-    overall = rows.orderBy(*strength).limit(3).select(F.lit("overall").alias("pick"), W, "period")
-    return per.unionByName(overall).withColumn("period", F.round("period", 8))
+    rows = P.periodic_signals(tested(t)[3], W).withColumn("regime", P.regime("period"))
+    # a window's class is that of the strongest event of its day
+    day = F.split(W, "/")[1].cast("bigint")
+    days = t.flare().filter("letter = 'X'").select(floor_div("peak_t", 86400).alias("day")).distinct()
+    rows = cut_lineage(rows.withColumn("day", day).join(days.withColumn("has_x", F.lit(True)), "day", "left").withColumn("has_x", F.coalesce("has_x", F.lit(False))))
+    return P.featured(rows, W, 3).withColumn("period", F.round("period", 8))

@@ -187,3 +187,28 @@ def test_daily_archives_are_dated(spark):
     names = ["AL1_SLX_L1_20240105_v1.0.zip", "al1_slx_l1_20240106_v1.0", "AL1_SLX_L1_20240105_v1.1.zip", "AL1_SLX_L1_2024_v1.0.zip", "other.zip"]
     rows = S.discover_days(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect()
     assert sorted((str(r.date), r.name) for r in rows) == [("2024-01-05", names[2]), ("2024-01-06", names[1])]
+
+
+def test_wavelet_power_equals_the_direct_sum(spark):
+    rng = np.random.default_rng(7)
+    arrays = {"short": rng.normal(0, 1, 40), "long": rng.normal(0, 1, 333)}
+    rows = windows(spark, arrays).withColumnRenamed("y", "x")
+    wanted = spark.createDataFrame([(w, r, p) for w in arrays for r, p in enumerate((4.0, 9.7, 13.0))], "wid string, r int, period double")
+    found = P.wavelet_power(rows, wanted, "wid").collect()
+    assert len(found) == 6
+    for row in found:
+        x = arrays[row.wid]
+        u = (np.arange(len(x))[None, :] - np.arange(len(x))[:, None]) / row.period
+        wave = np.exp(-u * u / P.BANDWIDTH + 2j * np.pi * u) * (np.abs(u) * row.period <= np.ceil(row.period * P.REACH))
+        np.testing.assert_allclose(row.power, np.abs(wave @ x) ** 2 / (np.pi * P.BANDWIDTH * row.period), rtol=1e-9, atol=1e-12)
+
+
+def test_wavelet_of_a_whole_rise(spark):
+    """1,800 samples at all 48 periods: one row a window and period, the largest power where the wave is."""
+    j = np.arange(1800)
+    x = np.where(np.abs(j - 1200) < 150, np.sin(2 * np.pi * j / 60), 0.0)
+    rows = windows(spark, {"w": x}).withColumnRenamed("y", "x")
+    wanted = P.period_rows(spark.createDataFrame([("w", 1800)], "wid string, n bigint")).select("wid", "r", "period")
+    power = P.wavelet_power(rows, wanted, "wid").collect()
+    best = max(power, key=lambda r: max(r.power))
+    assert len(power) == 48 and abs(best.period - 60) < 6 and abs(int(np.argmax(best.power)) - 1200) < 100
