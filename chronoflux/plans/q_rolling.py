@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from chronoflux.functions.scalars import floor_div
 from chronoflux.operators import rolling as R
-from chronoflux.operators.grid import fill_category
+from chronoflux.operators.grid import densify, extents, fill_category
 from chronoflux.operators.timeline import flag_runs, with_frames
 from chronoflux.plans.registry import query
-from chronoflux.plans.tables import GRID_CHUNK, MIN_QUIET, PAD, WINDOW
+from chronoflux.plans.tables import CTES, GRID_CHUNK, MIN_QUIET, PAD, WINDOW
 
 D = ["detector"]
+FULL_CHUNK = 14_400  # five days of 30-second cells, and twice the wide window
 
 
 def r9(c, name=None):
@@ -82,6 +83,52 @@ def _(t):
     return t.excess().select("detector", "k", "smoothed", "background", r9("sigma"), "excess")
 
 
+# The detector's own settings (70, 1,800, 7,200 and 1,800 cells), on a grid of 30 seconds: a sample
+# holds for an hour at most, so segments last from hours to weeks. Rates are whole numbers, so sums are exact
+# (and no level of up to 70 of them ends between two numbers of 7 digits).
+FINE, HOLD = 30, 120
+CTES["held"] = ("sample span dets", f"""
+  SELECT detector, k, rate, rate IS NOT NULL AS gti FROM (
+    SELECT detector, k, last_value(rate IGNORE NULLS) OVER (PARTITION BY detector ORDER BY k ROWS BETWEEN {HOLD} PRECEDING AND CURRENT ROW) AS rate
+    FROM (SELECT detector, unnest(range(d0*{86400 // FINE}, (d1+1)*{86400 // FINE})) AS k FROM dets, span)
+    LEFT JOIN (SELECT detector, t//{FINE} AS k, round(sum(round(rate*10))/count(*)) AS rate FROM sample GROUP BY 1, 2) USING (detector, k))""")
+CTES["held_smooth"] = ("held", """
+  SELECT *, k - row_number() OVER (PARTITION BY detector, gti ORDER BY k) AS seg, max(CASE WHEN rate>=1500 THEN 1 ELSE 0 END) OVER p AS near,
+    CASE WHEN count(rate) OVER s >= 17 THEN sum(rate) OVER s / count(rate) OVER s END AS smoothed FROM held
+  WINDOW s AS (PARTITION BY detector ORDER BY k ROWS BETWEEN 35 PRECEDING AND 34 FOLLOWING), p AS (PARTITION BY detector ORDER BY k ROWS BETWEEN 1800 PRECEDING AND 1800 FOLLOWING)""")
+_LEVEL = """CASE WHEN gti THEN coalesce(
+    CASE WHEN count(quiet) OVER w1 >= 120 THEN quantile_cont(quiet, {q}) OVER w1 END, CASE WHEN count(quiet) OVER w2 >= 60 THEN quantile_cont(quiet, {q}) OVER w2 END,
+    quantile_cont(quiet, {q}) OVER w3, quantile_cont(smoothed, 0.5) OVER w3) END"""
+_WINDOWS = """WINDOW w1 AS (PARTITION BY detector, gti, seg ORDER BY k ROWS BETWEEN 900 PRECEDING AND 899 FOLLOWING),
+  w2 AS (PARTITION BY detector, gti, seg ORDER BY k ROWS BETWEEN 3600 PRECEDING AND 3599 FOLLOWING), w3 AS (PARTITION BY detector, gti, seg)"""
+
+
+def held(t):
+    """Five series of one cell per 30 seconds, each sample held for an hour at most."""
+    sample = t.sample()
+    cells = sample.groupBy("detector", floor_div("t", FINE).alias("k")).agg(F.round(F.sum(F.round(F.col("rate") * 10)) / F.count("*")).alias("rate"))
+    dense = densify(cells, D, "k", ["rate"], 86_400 // FINE, extents(sample, D, "t", FINE))
+    hold = {"held": lambda w: F.last("rate", ignorenulls=True).over(w.rowsBetween(-HOLD, 0))}
+    rows = with_frames(dense, D, "k", hold, HOLD, 0, 86_400 // FINE)
+    return rows.select("detector", "k", F.col("held").alias("rate"), F.col("held").isNotNull().alias("gti"))
+
+
+@query("e4b_background_full_settings", f"""
+SELECT detector, k, round({_LEVEL.format(q=0.5)}, 7) AS background FROM (SELECT *, CASE WHEN gti AND near=0 THEN smoothed END AS quiet FROM held_smooth) {_WINDOWS}""", "held_smooth", "background")
+def _(t):
+    rows = R.boxcar(held(t), D, "k", "rate", "smoothed", 70, FULL_CHUNK).withColumn("is_event", F.col("rate") >= 1500)
+    out = R.background(rows, D, "k", "smoothed", "gti", "background", 1800, 120, FULL_CHUNK, "is_event", 1800)
+    return out.select("detector", "k", F.round("background", 7).alias("background"))
+
+
+@query("e7b_excess_full_settings", f"""
+SELECT detector, k, round(smoothed, 7) AS smoothed, round(level, 7) AS background, round((smoothed-level)/sqrt(greatest(level, 1)), 7) AS excess
+FROM (SELECT *, {_LEVEL.format(q=0.1)} AS level FROM (SELECT *, CASE WHEN gti THEN smoothed END AS quiet FROM held_smooth) {_WINDOWS})""", "held_smooth", "smoothed background excess")
+def _(t):
+    out = R.compute_excess(held(t), D, "k", "rate", "gti", FULL_CHUNK)
+    return out.select("detector", "k", *[F.round(c, 7).alias(c) for c in ("smoothed", "background", "excess")])
+
+
 TRAILING = {"3": 3, "6": 6, "12": 12, "24": 24}
 
 
