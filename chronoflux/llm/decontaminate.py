@@ -12,8 +12,9 @@ Only DataFrame functions are used. The sketch table is broadcast if its measured
 allows; nothing else is.
 
 Defined cases: null or empty documents and items match nothing; items below five words
-are one shingle and match documents of just these words; rows that repeat an id and text
-give one pair; empty tables give no pairs.
+are one shingle and match documents of just these words; items that share an id are searched
+text by text, and a null item id stays in the result; rows that repeat an id and text give
+one pair; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -51,29 +52,31 @@ def _class(column: int) -> Column:
 
 
 def item_sketches(items: DataFrame) -> DataFrame:
-    """(item_id, hash, need): the smallest hashes of each item, by size class. ``items``: item_id, shingles, n."""
-    hashes = items.select("item_id", "n", F.explode("shingles").alias("s")).select("item_id", "n", F.xxhash64("s").alias("hash"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("hash"))
-    return hashes.select("item_id", "hash", _class(2).alias("need"), _class(1).alias("keep"), rank.alias("rank")).where("rank <= keep").select("item_id", "hash", "need")
+    """(item_key, hash, need): the smallest hashes of each item text, by size class. ``items``: item_key, shingles, n."""
+    hashes = items.select("item_key", "n", F.explode("shingles").alias("s")).select("item_key", "n", F.xxhash64("s").alias("hash"))
+    rank = F.row_number().over(Window.partitionBy("item_key").orderBy("hash"))
+    return hashes.select("item_key", "hash", _class(2).alias("need"), _class(1).alias("keep"), rank.alias("rank")).where("rank <= keep").select("item_key", "hash", "need")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, item_id, n_item_shingles, n_found) of every contained item."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w"))
-    items = items.select("item_id", shingle_texts(F.col("w")).alias("shingles")).select("item_id", "shingles", F.size("shingles").alias("n")).where("n > 0")
-    items = stage_table(items.distinct())
+    named = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w"))
+    named = named.select("item_id", shingle_texts(F.col("w")).alias("shingles")).select("item_id", F.xxhash64("shingles").alias("item_key"), "shingles", F.size("shingles").alias("n")).where("n > 0")
+    named = stage_table(named.distinct())
+    # each text is searched once, whatever ids share it; the ids come back at the end
+    items = named.groupBy("item_key").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n"))
     sketches = stage_table(item_sketches(items))
     body = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("body"))
     cut = body.select("doc_id", "text_hash", words(F.col("body")).alias("w"))
     looked = cut.select("doc_id", "text_hash", F.explode(F.transform(_starts(F.col("w")), lambda i: F.xxhash64(F.array_join(F.slice("w", i, WORDS), " ")))).alias("hash"))
-    hits = looked.join(small(sketches), "hash").groupBy("doc_id", "text_hash", "item_id", "hash").agg(F.first("need").alias("need"))
-    candidates = stage_table(hits.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").select("doc_id", "text_hash", "item_id"))
-    b, c = body.alias("b"), candidates.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("items")).alias("c")
+    hits = looked.join(small(sketches), "hash").groupBy("doc_id", "text_hash", "item_key", "hash").agg(F.max("need").alias("need"))
+    candidates = stage_table(hits.groupBy("doc_id", "text_hash", "item_key").agg(F.count("*").alias("held"), F.max("need").alias("need")).where("held >= need").select("doc_id", "text_hash", "item_key"))
+    b, c = body.alias("b"), candidates.groupBy("doc_id", "text_hash").agg(F.collect_set("item_key").alias("items")).alias("c")
     near = b.join(c, F.col("b.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("b.text_hash") == F.col("c.text_hash")))
     # the words of a candidate are cut once, before they are put together to shingles
     near = near.select("b.doc_id", "b.text_hash", words(F.col("b.body")).alias("w"), "c.items").select("doc_id", "text_hash", "items", shingle_texts(F.col("w")).alias("have"))
-    near = near.select("doc_id", "text_hash", "have", F.explode("items").alias("item_id"))
-    pairs = near.join(items, "item_id").select("doc_id", "text_hash", "item_id", F.col("n").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "have")).alias("n_found"))
+    near = near.select("doc_id", "text_hash", "have", F.explode("items").alias("item_key"))
+    pairs = near.join(named, "item_key").select("doc_id", "text_hash", "item_id", F.col("n").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "have")).alias("n_found"))
     return pairs.where(100 * F.col("n_found") >= percent * F.col("n_item_shingles")).distinct()
 
 

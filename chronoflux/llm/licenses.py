@@ -4,10 +4,10 @@ A template is the text of a notice with its mandatory key phrase in brackets. Th
 holds, for each template, the ``RARE`` words of its key phrase with the highest idf over
 all documents, with their positions. Each occurrence of an index word in a file looks up
 its postings; a posting says where the template would begin. Postings that agree on the
-beginning are intersected by relative position, the key phrase is verified word by word
-there, and the score is the share of template words that stand in their place. A
-template counts from a score of ``LEAST`` on. Base phrases are templates that are all
-key phrase; every place counts.
+beginning are intersected by relative position and the key phrase is verified word by
+word there. A verified key phrase counts, whatever stands around it; the score tells the
+share of template words that stand in their place. Base phrases are templates that are
+all key phrase; every place counts.
 
 Only DataFrame functions are used. Templates are a parameter of fixed size; their idf
 table has one row per template word.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chronoflux.llm.common import lower_ascii, table
 
-RARE, LEAST = 2, 0.5
+RARE = 2
 #: (label, phrase): exact phrases whose places all count
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 #: (label, notice with its key phrase in brackets)
@@ -98,7 +98,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base=BASE,
     places = placed.groupBy("doc_id", "text_hash", "n_words", "template", "start").agg(
         F.count(F.when(F.col("i").isNull(), 1)).alias("copies"), F.count_distinct("at").alias("met"), F.first("need").alias("need"), F.first("label").alias("label"), F.first("base").alias("base"),
         F.first("key_at").alias("key_at"), F.max("verified").alias("verified"), F.max("share").alias("share"))
-    good = F.coalesce(F.col("verified") & (F.col("met") >= F.col("need")) & (F.col("share") >= LEAST), F.lit(False))
+    good = F.coalesce(F.col("verified") & (F.col("met") >= F.col("need")), F.lit(False))
     is_base = good & F.col("base")
     texts = places.groupBy("doc_id", "text_hash", "n_words").agg(
         F.sum("copies").alias("copies"), F.count(F.when(is_base, 1)).alias("n_base"), F.min(F.when(is_base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(is_base, F.col("start"))).cast("long").alias("last_word"),
@@ -121,7 +121,7 @@ t(id, label, base, words, key, key_at) AS (VALUES {rows}),
 p AS (SELECT line, label, base, words, key_at, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = key[1] AND w[i:i + len(key) - 1] = key)) AS i FROM d, t WHERE list_has_all(w, key)),
 s AS (SELECT line, label, base, (i - 1 - key_at) AS start, list_sum(list_transform(range(1, len(words) + 1), lambda j: CASE WHEN i - key_at + j - 1 >= 1 AND w[i - key_at + j - 1] = words[j] THEN 1 ELSE 0 END)) / len(words) AS share FROM p),
 g AS (SELECT line, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
- coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(*) AS n_notices FROM s WHERE share >= {LEAST} GROUP BY line)
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(*) AS n_notices FROM s GROUP BY line)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
  coalesce(score, 0)::DOUBLE AS score, coalesce(n_notices, 0)::BIGINT AS n_notices FROM d LEFT JOIN g USING (line)
 """

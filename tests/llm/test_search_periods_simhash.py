@@ -327,3 +327,26 @@ def test_hot_fingerprint_is_whole(spark):
     rows = [(i, "one text for all of them") for i in range(1, 3000)] + [(i, f"text number {i} of its own kind") for i in range(3000, 3400)]
     got = simhash.near_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and {r["component_id"] for r in got if r["doc_id"] < 3000} == {1}
+
+
+# texts that share a benchmark id, and notices that are only their key phrase
+
+
+def test_items_that_share_an_id_or_have_none_are_found(spark):
+    from chronoflux.llm import decontaminate
+
+    long, short, lone = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 120), ("b", 9), ("c", 11)))
+    items = spark.createDataFrame([(1, long), (1, short), (None, lone), (2, lone)], "item_id long, text string")
+    made = spark.createDataFrame([(10, f"x y z {short} x y z"), (11, f"so {lone} it goes"), (12, f"u {long} v"), (13, "none of them at all here")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_item_shingles"]) for r in decontaminate.find_items(made, items).collect()}
+    assert got == {(10, 1, 5), (11, None, 7), (11, 2, 7), (12, 1, 116)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(made, items).collect()] == [13]
+
+
+def test_a_verified_key_phrase_is_enough(spark):
+    from chronoflux.llm import licenses
+
+    rows = [(1, "licensed under the Mozilla Public License, v. 2.0"), (2, "Permission is hereby granted, free of charge"), (3, "released into the public domain"), (4, "a public domain release")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == [["mpl-2"], ["mit"], ["unlicense"], []]
+    assert all(0 < got[i]["score"] < 0.5 for i in (1, 2, 3))
