@@ -99,35 +99,75 @@ def periodogram(rows: DataFrame, wid: str) -> DataFrame:
 COARSE_BETA = tuple(round(0.5 * k, 1) for k in range(11))
 COARSE_LOG_RATIO = tuple(round(-8 + 0.8 * k, 1) for k in range(16))
 NO_FLOOR = -99.0  # log10 ratio standing for "no white-noise floor"
+NEWTON_STEPS, FIRST_DAMPING = 24, 0.01
 
 
-def _fit(spectrum: DataFrame, wid: str) -> DataFrame:
-    """Best (beta, lr) of the candidates attached to each frequency row; the scale is profiled out."""
-    ratio = F.when(F.col("lr") == NO_FLOOR, 0.0).otherwise(F.pow(F.lit(10.0), F.col("lr")))
-    g = F.pow(F.col("f"), -F.col("beta")) + ratio
-    stats = spectrum.groupBy(wid, "beta", "lr").agg(F.avg(F.col("power") / g).alias("a"), F.avg(F.log(g)).alias("lg"))
-    nll = F.round(F.log("a") + F.col("lg"), 9)
-    best = F.min(F.struct(nll.alias("nll"), "beta", "lr", "a"))
-    return stats.groupBy(wid).agg(best.alias("b")).select(wid, "b.beta", "b.lr", F.col("b.a").alias("a"))
+def red_noise_fit(spectrum: DataFrame, wid: str) -> DataFrame:
+    """Whittle fit of A * (f^-beta + ratio) to each window: (wid, beta, lr, a), ``lr`` the decimal log of the ratio.
 
+    A window is one row with its ordinates, which its length bounds; a task fits many.
+    """
+    lists = spectrum.groupBy(wid).agg(F.array_sort(F.collect_list(F.struct("f", "power"))).alias("s")).select(wid, F.col("s.f").alias("f"), F.col("s.power").alias("power"))
 
-def red_noise_fit(spectrum: DataFrame, wid: str) -> DataFrame:
-    """Whittle fit of A * (f^-beta + ratio) by a coarse grid refined around its best point."""
-    def grid(betas: Column, ratios: Column) -> Column:
-        return F.flatten(F.transform(betas, lambda b: F.transform(ratios, lambda r: F.struct(b.alias("beta"), r.alias("lr")))))
-    betas = F.array(*[F.lit(b) for b in COARSE_BETA])
-    ratios = F.array(*[F.lit(r) for r in (NO_FLOOR, *COARSE_LOG_RATIO)])
-    base = spectrum.select(wid, "f", "power")
-    coarse = _fit(base.select(wid, "f", "power", F.inline(grid(betas, ratios))), wid)
-    fine_b = F.filter(
-        F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda k: F.round(F.col("b0") + k * 0.1, 1)), lambda b: (b >= 0) & (b <= 5)
-    )
-    fine_r = F.when(F.col("r0") == NO_FLOOR, F.array(F.lit(NO_FLOOR))).otherwise(
-        F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda k: F.round(F.col("r0") + k * 0.2, 1))
-    )
-    around = coarse.select(wid, F.col("beta").alias("b0"), F.col("lr").alias("r0"))
-    fine = base.join(around, wid).select(wid, "f", "power", F.inline(grid(fine_b, fine_r)))
-    return _fit(fine, wid)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [whittle_fit(f.values.to_numpy(), p.values.to_numpy()) for f, p in zip(batch.column("f"), batch.column("power"), strict=True)]
+            columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(wid), *columns], [wid, "beta", "lr", "a"])
+
+    return lists.mapInArrow(fit, f"{wid} {lists.schema[wid].dataType.simpleString()}, beta double, lr double, a double")
+
+
+def whittle_fit(f: np.ndarray, power: np.ndarray) -> tuple[float, float, float]:
+    """(beta, lr, a) of least negative log-likelihood, the scale profiled out.
+
+    A coarse grid, a fine one around its best point (of equal points the least), then
+    Newton steps on beta and the log of the ratio. A step is taken only downhill; one that
+    is not is tried again with more damping, which shortens it and turns it to the gradient.
+    """
+
+    def best(betas: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
+        beta, lr = (x.ravel() for x in np.meshgrid(betas, ratios, indexing="ij"))
+        g = f[None, :] ** -beta[:, None] + np.where(lr == NO_FLOOR, 0.0, 10.0**lr)[:, None]
+        nll = np.round(np.log((power / g).mean(1)) + np.log(g).mean(1), 9)
+        i = np.lexsort((lr, beta, nll))[0]
+        return beta[i], lr[i]
+
+    beta, lr = best(np.array(COARSE_BETA), np.array((NO_FLOOR, *COARSE_LOG_RATIO)))
+    betas = np.round(beta + 0.1 * np.arange(-5, 6), 1)
+    ratios = np.array([NO_FLOOR]) if lr == NO_FLOOR else np.round(lr + 0.2 * np.arange(-4, 5), 1)
+    beta, lr = best(betas[(betas >= 0) & (betas <= 5)], ratios)
+    floor, u, log_f = lr != NO_FLOOR, lr * np.log(10.0), np.log(f)
+
+    def level(beta: float, u: float) -> tuple[float, float]:
+        g = f**-beta + (np.exp(u) if floor else 0.0)
+        a = (power / g).mean()
+        return a, np.log(a) + np.log(g).mean()
+
+    a, nll = level(beta, u)
+    damping = FIRST_DAMPING
+    for _ in range(NEWTON_STEPS):
+        p, r = f**-beta, np.exp(u) if floor else 0.0
+        g = p + r
+        q, b1, u1 = power / g, -log_f * p / g, r / g  # first derivatives of log g
+        b2 = log_f**2 * p / g
+        ab, au = -(q * b1).mean() / a, -(q * u1).mean() / a
+        db, du = ab + b1.mean(), au + u1.mean()
+        hbb = (q * (2 * b1 * b1 - b2)).mean() / a - ab * ab + (b2 - b1 * b1).mean() + damping
+        hbu = (2 * q * b1 * u1).mean() / a - ab * au - (b1 * u1).mean()
+        huu = (q * (2 * u1 * u1 - u1)).mean() / a - au * au + (u1 - u1 * u1).mean() + damping
+        det = hbb * huu - hbu * hbu if floor else hbb
+        better = hbb > 0 and det > 0
+        if better:
+            sb = -(huu * db - hbu * du) / det if floor else -db / hbb
+            su = -(hbb * du - hbu * db) / det if floor else 0.0
+            new_b, new_u = min(5.0, max(0.0, beta + min(0.5, max(-0.5, sb)))), u + min(1.0, max(-1.0, su))
+            new_a, new_nll = level(new_b, new_u)
+            better = new_nll < nll
+            if better:
+                beta, u, a, nll = new_b, new_u, new_a, new_nll
+        damping *= 0.125 if better else 8.0
+    return float(beta), float(u / np.log(10.0)) if floor else NO_FLOOR, float(a)
 
 
 def significance(spectrum: DataFrame, fit: DataFrame, wid: str) -> DataFrame:

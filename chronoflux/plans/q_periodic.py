@@ -37,10 +37,30 @@ CTES["coarse"] = ("pgram", _fit.format(src="""SELECT wid, f, power, beta, lr FRO
     (SELECT unnest([""" + ", ".join(str(b) for b in P.COARSE_BETA) + """])::DOUBLE AS beta), (SELECT unnest([-99.0, """ + ", ".join(str(r) for r in P.COARSE_LOG_RATIO) + """])::DOUBLE AS lr) WHERE nf >= 6"""))
 CTES["fine"] = ("coarse pgram", _fit.format(src="""SELECT * FROM (SELECT p.wid, f, power, round(c.beta+bk*0.1, 1) AS beta, CASE WHEN c.lr=-99 THEN -99 ELSE round(c.lr+rk*0.2, 1) END AS lr
     FROM pgram p JOIN coarse c USING (wid), (SELECT unnest(range(-5, 6)) AS bk), (SELECT unnest(range(-4, 5)) AS rk) WHERE c.lr<>-99 OR rk=0) WHERE beta BETWEEN 0 AND 5"""))
-CTES["tested"] = ("fine pgram", """
+CTES["newton0"] = ("fine pgram", f"""
+  SELECT p.wid, any_value(f.beta) AS beta, any_value(f.lr*ln(10)) AS u, any_value(f.lr <> -99) AS has_floor, avg(power/g) AS a, ln(avg(power/g))+avg(ln(g)) AS nll, {P.FIRST_DAMPING}::DOUBLE AS damping
+  FROM (SELECT *, pow(f, -beta)+CASE WHEN lr=-99 THEN 0 ELSE pow(10, lr) END AS g FROM pgram JOIN fine USING (wid)) p JOIN fine f USING (wid) GROUP BY p.wid""")
+for _k in range(P.NEWTON_STEPS):
+    CTES[f"newton{_k + 1}"] = (f"newton{_k} pgram", f"""
+  SELECT wid, CASE WHEN ok THEN b2 ELSE beta END AS beta, CASE WHEN ok THEN u2 ELSE u END AS u, has_floor, CASE WHEN ok THEN a2 ELSE a END AS a, CASE WHEN ok THEN n2 ELSE nll END AS nll,
+    damping * CASE WHEN ok THEN 0.125 ELSE 8.0 END AS damping FROM (SELECT *, fit AND n2 < nll AS ok FROM (
+    SELECT wid, any_value(beta) AS beta, any_value(u) AS u, any_value(has_floor) AS has_floor, any_value(a) AS a, any_value(nll) AS nll, any_value(damping) AS damping, any_value(fit) AS fit, any_value(b2) AS b2,
+      any_value(u2) AS u2, avg(power/g) AS a2, ln(avg(power/g))+avg(ln(g)) AS n2 FROM (
+      SELECT s.*, p.power, pow(p.f, -b2)+CASE WHEN has_floor THEN exp(u2) ELSE 0 END AS g FROM (
+        SELECT *, least(5.0, greatest(0.0, beta+least(0.5, greatest(-0.5, CASE WHEN NOT fit THEN 0 WHEN has_floor THEN -(huu*db-hbu*du)/det ELSE -db/hbb END)))) AS b2,
+          u+least(1.0, greatest(-1.0, CASE WHEN fit AND has_floor THEN -(hbb*du-hbu*db)/det ELSE 0 END)) AS u2 FROM (
+          SELECT *, CASE WHEN has_floor THEN hbb*huu-hbu*hbu ELSE hbb END AS det, hbb > 0 AND CASE WHEN has_floor THEN hbb*huu-hbu*hbu ELSE hbb END > 0 AS fit FROM (
+            SELECT *, ab+gb AS db, au+gu AS du, qbb/a-ab*ab+gbb+damping AS hbb, qbu/a-ab*au-gbu AS hbu, quu/a-au*au+guu+damping AS huu FROM (
+              SELECT wid, any_value(beta) AS beta, any_value(u) AS u, any_value(has_floor) AS has_floor, any_value(a) AS a, any_value(nll) AS nll, any_value(damping) AS damping,
+                -avg(q*b1)/any_value(a) AS ab, -avg(q*u1)/any_value(a) AS au, avg(b1) AS gb, avg(u1) AS gu, avg(q*(2*b1*b1-bb)) AS qbb, avg(2*q*b1*u1) AS qbu, avg(q*(2*u1*u1-u1)) AS quu,
+                avg(bb-b1*b1) AS gbb, avg(b1*u1) AS gbu, avg(u1-u1*u1) AS guu FROM (
+                SELECT *, power/g AS q, -ln(f)*pow(f, -beta)/g AS b1, CASE WHEN has_floor THEN exp(u) ELSE 0 END/g AS u1, ln(f)*ln(f)*pow(f, -beta)/g AS bb FROM (
+                  SELECT n.*, p.f, p.power, pow(p.f, -beta)+CASE WHEN has_floor THEN exp(u) ELSE 0 END AS g FROM newton{_k} n JOIN pgram p USING (wid))) GROUP BY wid)))) s JOIN pgram p USING (wid)) GROUP BY wid))""")
+CTES["fit"] = (f"newton{P.NEWTON_STEPS}", f"SELECT wid, beta, CASE WHEN has_floor THEN u/ln(10) ELSE -99 END AS lr, a FROM newton{P.NEWTON_STEPS}")
+CTES["tested"] = ("fit pgram", """
   SELECT *, least(1, greatest(1e-300, 1-pow(1-exp(-gamma/2), nf))) AS p_global FROM (
     SELECT p.*, f.beta, f.lr, f.a, a*(pow(p.f, -beta)+CASE WHEN lr=-99 THEN 0 ELSE pow(10, lr) END) AS model,
-      2*power/(a*(pow(p.f, -beta)+CASE WHEN lr=-99 THEN 0 ELSE pow(10, lr) END)) AS gamma, -2*ln(1-pow(0.95, 1.0/nf)) AS crit FROM pgram p JOIN fine f USING (wid) WHERE nf >= 6)""")
+      2*power/(a*(pow(p.f, -beta)+CASE WHEN lr=-99 THEN 0 ELSE pow(10, lr) END)) AS gamma, -2*ln(1-pow(0.95, 1.0/nf)) AS crit FROM pgram p JOIN fit f USING (wid) WHERE nf >= 6)""")
 CTES["signals"] = ("tested", """
   SELECT wid, run, arg_max(n::DOUBLE/i, [gamma, -i]) AS period, any_value(n) AS n, max(gamma) AS gamma, arg_max(p_global, [gamma, -i]) AS p_global, arg_max(i, [gamma, -i])::DOUBLE AS n_cycles FROM (
     SELECT *, i-row_number() OVER (PARTITION BY wid ORDER BY i) AS run FROM tested WHERE gamma>crit AND n::DOUBLE/i>=4 AND n::DOUBLE/i<=least(n/3.0, 300)) GROUP BY 1, 2""")
@@ -71,10 +91,10 @@ def _(t):
     return P.periodogram(P.detrend(windows(t), W), W).select(W, "i", F.round("power", 5).alias("power"))
 
 
-@query("q4_red_noise_fit", "SELECT wid, beta, lr, round(a, 4) AS a FROM fine", "fine")
+@query("q4_red_noise_fit", "SELECT wid, round(beta, 6) AS beta, round(lr, 5) AS lr, round(a, 3) AS a FROM fit", "fit")
 def _(t):
     spectrum = cut_lineage(P.periodogram(P.detrend(windows(t), W), W))
-    return P.red_noise_fit(spectrum, W).withColumn("a", F.round("a", 4))
+    return P.red_noise_fit(spectrum, W).select(W, F.round("beta", 6).alias("beta"), F.round("lr", 5).alias("lr"), F.round("a", 3).alias("a"))
 
 
 def tested(t):
@@ -130,7 +150,7 @@ def _(t):
 
 @query("q10_normalised_map", f"""
 WITH per AS (SELECT w.wid, r, n, 4.0*exp(r/47.0*ln(least(n/3.0, 300)/4.0)) AS per, beta, CASE WHEN lr=-99 THEN 0 ELSE pow(10, lr) END AS ratio, a, (n-1)//2 AS last
-  FROM (SELECT DISTINCT wid, n FROM signals) w JOIN fine USING (wid), (SELECT unnest(range(48)) AS r) WHERE least(n/3.0, 300) > 4),
+  FROM (SELECT DISTINCT wid, n FROM signals) w JOIN fit USING (wid), (SELECT unnest(range(48)) AS r) WHERE least(n/3.0, 300) > 4),
 ends AS (SELECT *, least(last, greatest(1, floor(n/per)))::DOUBLE AS lo, least(last, least(last, greatest(1, floor(n/per)))+1)::DOUBLE AS hi FROM per),
 cont AS (SELECT *, exp(ln(a*(pow(lo/n, -beta)+ratio)) + (ln(a*(pow(hi/n, -beta)+ratio))-ln(a*(pow(lo/n, -beta)+ratio)))
   * CASE WHEN hi > lo THEN greatest(0, least(1, ln(n/per/lo)/ln(hi/lo))) ELSE 0 END) AS level FROM ends),
@@ -139,7 +159,7 @@ pw AS (SELECT c.wid, c.r, b.j AS tau, (sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*c
 k AS (SELECT wid, quantile_cont(m/level, 0.5) AS k FROM (SELECT wid, r, avg(p) AS m FROM pw GROUP BY 1, 2) JOIN cont USING (wid, r) GROUP BY 1)
 SELECT wid, round(per, 8) AS period, round(max(p/(k*level)), 6) AS z_max,
   count(*) FILTER (p/(k*level) > {P.LOCAL_LEVEL} AND per <= greatest(4.0, least(tau, n-1-tau)/sqrt(2))) AS n_inside, count(*) AS n
-FROM pw JOIN cont USING (wid, r) JOIN k USING (wid) GROUP BY wid, r, per""", "signals fine resid")
+FROM pw JOIN cont USING (wid, r) JOIN k USING (wid) GROUP BY wid, r, per""", "signals fit resid")
 def _(t):
     # Maps are drawn for windows that hold a signal.
     residual, spectrum, fit, done = tested(t)

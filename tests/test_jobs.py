@@ -212,3 +212,22 @@ def test_wavelet_of_a_whole_rise(spark):
     power = P.wavelet_power(rows, wanted, "wid").collect()
     best = max(power, key=lambda r: max(r.power))
     assert len(power) == 48 and abs(best.period - 60) < 6 and abs(int(np.argmax(best.power)) - 1200) < 100
+
+
+def test_whittle_fit_reaches_the_optimum():
+    """Never above the grid's likelihood, and at the least of a dense search around it."""
+    rng = np.random.default_rng(12)
+    f = np.arange(1, 120) / 240
+
+    def nll(power, beta, lr):
+        g = f**-beta + (0.0 if lr == P.NO_FLOOR else 10.0**lr)
+        return np.log((power / g).mean()) + np.log(g).mean()
+
+    for beta, ratio in ((0.0, 1.0), (1.3, 0.0), (2.0, 5.0), (2.8, 0.3), (1.0, 50.0)):
+        power = (f**-beta + ratio) * rng.exponential(1, len(f))
+        b, lr, a = P.whittle_fit(f, power)
+        found = nll(power, b, lr)
+        grid = [nll(power, x, y) for x in P.COARSE_BETA for y in (P.NO_FLOOR, *P.COARSE_LOG_RATIO)]
+        around = [nll(power, x, y) for x in np.clip(b + np.linspace(-0.3, 0.3, 121), 0, 5) for y in ([lr] if lr == P.NO_FLOOR else lr + np.linspace(-0.5, 0.5, 101))]
+        assert found <= min(grid) + 1e-9 and found <= min(around) + 1e-6 * abs(min(around))
+        assert a == pytest.approx((power / (f**-b + (0.0 if lr == P.NO_FLOOR else 10.0**lr))).mean())
