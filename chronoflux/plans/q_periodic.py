@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -199,3 +201,50 @@ def _(t):
     days = t.flare().filter("letter = 'X'").select(floor_div("peak_t", 86400).alias("day")).distinct()
     rows = cut_lineage(rows.withColumn("day", day).join(days.withColumn("has_x", F.lit(True)), "day", "left").withColumn("has_x", F.coalesce("has_x", F.lit(False))))
     return P.featured(rows, W, 3).withColumn("period", F.round("period", 8))
+
+
+# The same chain on the rises of events: [start, peak] of every catalogue event in each detector, in cells of
+# ten seconds in which a sample holds for ten minutes. Short rises and rises without good time drop out.
+RISE, HOLD = 10, 60
+CTES["ev_win"] = ("flare sample", f"""
+  SELECT wid, row_number() OVER (PARTITION BY wid ORDER BY k)-1 AS j, n, y FROM (
+    SELECT detector||'/'||flare_id AS wid, k, rate AS y, count(*) OVER (PARTITION BY detector, flare_id) AS n
+    FROM (SELECT flare_id, start_t//{RISE} AS lo, peak_t//{RISE} AS hi FROM flare WHERE peak_t//{RISE}-start_t//{RISE} >= {P.MIN_LENGTH})
+    JOIN (SELECT detector, k, arg_max(rate, [t, event_id]) AS rate FROM (SELECT *, t//{RISE}+unnest(range({HOLD})) AS k FROM sample) GROUP BY 1, 2) ON k BETWEEN lo AND hi) WHERE n >= {P.MIN_SAMPLES}""")
+_CHAIN = ("win", "mm", "resid", "pgram", "coarse", "fine", *(f"newton{k}" for k in range(P.NEWTON_STEPS + 1)), "fit", "tested", "signals")
+for _name in _CHAIN[1:]:
+    _needs, _text = CTES[_name]
+    _of_events = lambda text: re.sub(r"(?<=FROM |JOIN )(" + "|".join(_CHAIN) + r")\b", r"ev_\1", text)
+    CTES[f"ev_{_name}"] = (" ".join(f"ev_{n}" if n in _CHAIN else n for n in _needs.split()), _of_events(_text))
+
+
+def rises(t):
+    """Windows of every event and detector."""
+    cell = lambda c: floor_div(c, RISE)
+    held = t.sample().select("detector", "t", "event_id", "rate", F.explode(F.sequence(cell("t"), cell("t") + HOLD - 1)).alias("k"))
+    grid = held.groupBy("detector", "k").agg(F.max_by("rate", F.struct("t", "event_id")).alias("rate")).withColumn("gti", F.lit(True))
+    detectors = t.sample().select("detector").distinct()
+    events = t.flare().select("flare_id", cell("start_t").alias("start"), cell("peak_t").alias("peak"))
+    spans = events.join(F.broadcast(detectors)).withColumn(W, F.concat_ws("/", "detector", F.col("flare_id").cast("string")))  # one row per detector
+    return cut_lineage(P.impulsive_windows(spans, grid, ["detector"], W, "start", "peak", "k", "rate", "gti", 180))
+
+
+@query("q1b_event_windows", "SELECT wid, j::INT AS j, n, round(y, 9) AS y FROM ev_win", "ev_win")
+def _(t):
+    return rises(t).withColumn("y", F.round("y", 9))
+
+
+def event_tests(t):
+    residual = P.detrend(rises(t), W)
+    spectrum = cut_lineage(P.periodogram(residual, W))
+    fit = cut_lineage(P.red_noise_fit(spectrum, W))
+    return P.significance(spectrum, fit, W)
+
+
+@query("q5b_event_significance", """
+SELECT wid, count(*) AS nf, round(max(gamma), 3) AS gamma_max, round(min(p_global), 4) AS p_min, count(*) FILTER (gamma>crit) AS n_significant FROM ev_tested GROUP BY wid""", "ev_tested")
+def _(t):
+    return event_tests(t).groupBy(W).agg(
+        F.count("*").alias("nf"), F.round(F.max("gamma"), 3).alias("gamma_max"), F.round(F.min("p_global"), 4).alias("p_min"),
+        F.count_if(F.col("gamma") > F.col("crit")).alias("n_significant"),
+    )
