@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chronoflux.operators import events as V
+from chronoflux.operators import rolling as R
 from chronoflux.operators.matching import near_any_member
+from chronoflux.plans.q_rolling import FULL_CHUNK, LEVEL_SQL, WINDOWS_SQL, held
 from chronoflux.plans.registry import query
 from chronoflux.session import stage_table
 from chronoflux.plans.tables import (
-    EDGE, EVENT_CHUNK, LINK_GAP, LINK_WINDOW, MATCH_TOL, MAX_SPAN, MIN_RUN, PEAK_SEP,
+    CTES, EDGE, EVENT_CHUNK, LINK_GAP, LINK_WINDOW, MATCH_TOL, MAX_SPAN, MIN_RUN, PEAK_SEP,
     PRE_CELLS, PROMINENCE, THRESHOLD,
 )
 
@@ -193,3 +197,36 @@ def _(t):
         F.max(span).alias("max_peak_span"), F.count_if(span > MAX_SPAN).alias("n_span_violations"),
         F.max("n_members").alias("members_max"), F.round(F.avg("n_members"), 9).alias("members_mean"),
     )
+
+
+# The same detection at its own settings: 60 cells of excess, links of 120, peaks 300 apart, valleys and
+# pre-event levels within 1,800, on the 30-second grid of the background queries.
+FULL = {"min_run": 60, "link_gap": 120, "edge": 1800, "sep": 300, "prominence": 1.0, "pre": 1800, "min_duration": 60}
+CTES["full_ex"] = ("held_smooth", f"""
+  SELECT detector AS series, k, rate, gti, round(smoothed, 7) AS smoothed, round(level, 7) AS background, round((smoothed-level)/sqrt(greatest(level, 1)), 7) AS excess
+  FROM (SELECT *, {LEVEL_SQL.format(q=0.1)} AS level FROM (SELECT *, CASE WHEN gti THEN smoothed END AS quiet FROM held_smooth) {WINDOWS_SQL})""")
+_CHAIN = ("ex", "runs", "merged", "run_rows", "maxima", "spaced", "prominent", "peaks", "bounds", "refined", "events_found")
+_SETTINGS = {
+    "runs": [("HAVING count(*) >= 2", f"HAVING count(*) >= {FULL['min_run']}")], "merged": [("<= 2\n", f"<= {FULL['link_gap']}\n")],
+    "spaced": [("< 3)", f"< {FULL['sep']})")], "bounds": [("peak-12", f"peak-{FULL['edge']}"), ("peak+12", f"peak+{FULL['edge']}")],
+    "refined": [("peak-3)", f"peak-{FULL['sep']})"), ("peak+3)", f"peak+{FULL['sep']})")],
+    "events_found": [("r.start-12", f"r.start-{FULL['pre']}"), (">= 2\n", f">= {FULL['min_duration']}\n")],
+}
+for _name in _CHAIN[1:]:
+    _needs, _text = CTES[_name]
+    for _old, _new in _SETTINGS.get(_name, ()):
+        if _old not in _text:
+            raise ValueError(f"view {_name} has no {_old!r}")
+        _text = _text.replace(_old, _new)
+    _text = re.sub(r"(?<=FROM |JOIN )(" + "|".join(_CHAIN) + r")\b(?! AS)", r"full_\1", _text)
+    _text = re.sub(r"(?<=JOIN )full_ex\s+ON\s+ex\.", "full_ex ex ON ex.", _text)
+    CTES[f"full_{_name}"] = (" ".join(f"full_{n}" if n in _CHAIN else n for n in _needs.split()), _text)
+
+
+@query("f10b_detect_full_settings", """
+SELECT series, start, stop, peak, round(peak_rate, 5) AS peak_rate, round(preflare_bg, 5) AS preflare_bg, round(max_significance, 5) AS max_significance FROM full_events_found""", "full_events_found")
+def _(t):
+    ex = R.compute_excess(held(t), ["detector"], "k", "rate", "gti", FULL_CHUNK).withColumnRenamed("detector", "series")
+    ex = stage_table(ex.withColumns({c: F.round(c, 7) for c in ("smoothed", "background", "excess")}))
+    found = V.detect_from_excess(ex, D, "k", "rate", "gti", [THRESHOLD], size=FULL_CHUNK, **FULL)
+    return found.select("series", "start", F.col("end").alias("stop"), "peak", *[F.round(c, 5).alias(c) for c in ("peak_rate", "preflare_bg", "max_significance")])

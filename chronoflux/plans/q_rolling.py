@@ -96,10 +96,10 @@ CTES["held_smooth"] = ("held", """
   SELECT *, k - row_number() OVER (PARTITION BY detector, gti ORDER BY k) AS seg, max(CASE WHEN rate>=1500 THEN 1 ELSE 0 END) OVER p AS near,
     CASE WHEN count(rate) OVER s >= 17 THEN sum(rate) OVER s / count(rate) OVER s END AS smoothed FROM held
   WINDOW s AS (PARTITION BY detector ORDER BY k ROWS BETWEEN 35 PRECEDING AND 34 FOLLOWING), p AS (PARTITION BY detector ORDER BY k ROWS BETWEEN 1800 PRECEDING AND 1800 FOLLOWING)""")
-_LEVEL = """CASE WHEN gti THEN coalesce(
+LEVEL_SQL = """CASE WHEN gti THEN coalesce(
     CASE WHEN count(quiet) OVER w1 >= 120 THEN quantile_cont(quiet, {q}) OVER w1 END, CASE WHEN count(quiet) OVER w2 >= 60 THEN quantile_cont(quiet, {q}) OVER w2 END,
     quantile_cont(quiet, {q}) OVER w3, quantile_cont(smoothed, 0.5) OVER w3) END"""
-_WINDOWS = """WINDOW w1 AS (PARTITION BY detector, gti, seg ORDER BY k ROWS BETWEEN 900 PRECEDING AND 899 FOLLOWING),
+WINDOWS_SQL = """WINDOW w1 AS (PARTITION BY detector, gti, seg ORDER BY k ROWS BETWEEN 900 PRECEDING AND 899 FOLLOWING),
   w2 AS (PARTITION BY detector, gti, seg ORDER BY k ROWS BETWEEN 3600 PRECEDING AND 3599 FOLLOWING), w3 AS (PARTITION BY detector, gti, seg)"""
 
 
@@ -114,7 +114,7 @@ def held(t):
 
 
 @query("e4b_background_full_settings", f"""
-SELECT detector, k, round({_LEVEL.format(q=0.5)}, 7) AS background FROM (SELECT *, CASE WHEN gti AND near=0 THEN smoothed END AS quiet FROM held_smooth) {_WINDOWS}""", "held_smooth", "background")
+SELECT detector, k, round({LEVEL_SQL.format(q=0.5)}, 7) AS background FROM (SELECT *, CASE WHEN gti AND near=0 THEN smoothed END AS quiet FROM held_smooth) {WINDOWS_SQL}""", "held_smooth", "background")
 def _(t):
     rows = R.boxcar(held(t), D, "k", "rate", "smoothed", 70, FULL_CHUNK).withColumn("is_event", F.col("rate") >= 1500)
     out = R.background(rows, D, "k", "smoothed", "gti", "background", 1800, 120, FULL_CHUNK, "is_event", 1800)
@@ -123,7 +123,7 @@ def _(t):
 
 @query("e7b_excess_full_settings", f"""
 SELECT detector, k, round(smoothed, 7) AS smoothed, round(level, 7) AS background, round((smoothed-level)/sqrt(greatest(level, 1)), 7) AS excess
-FROM (SELECT *, {_LEVEL.format(q=0.1)} AS level FROM (SELECT *, CASE WHEN gti THEN smoothed END AS quiet FROM held_smooth) {_WINDOWS})""", "held_smooth", "smoothed background excess")
+FROM (SELECT *, {LEVEL_SQL.format(q=0.1)} AS level FROM (SELECT *, CASE WHEN gti THEN smoothed END AS quiet FROM held_smooth) {WINDOWS_SQL})""", "held_smooth", "smoothed background excess")
 def _(t):
     out = R.compute_excess(held(t), D, "k", "rate", "gti", FULL_CHUNK)
     return out.select("detector", "k", *[F.round(c, 7).alias(c) for c in ("smoothed", "background", "excess")])
