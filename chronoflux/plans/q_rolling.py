@@ -143,6 +143,22 @@ def _(t):
     return out.select("detector", "k", *[F.round(c, 8).alias(c) for c in out.columns if c.rsplit("_", 1)[-1] in TRAILING])
 
 
+FULL_TRAILING = (300, 900, 1800, 3600)
+OFF_TIE = 3.3e-8  # means of whole numbers often end in 5 at any number of digits; both sides round off that tie
+
+
+@query("e8b_trailing_full_windows", "SELECT detector, k, " + ", ".join(
+    f"round(CASE WHEN count(rate) OVER w{w} >= {w // 2} THEN {agg} OVER w{w} END + {OFF_TIE}, 6) AS {name}_{w}"
+    for w in FULL_TRAILING for name, agg in (("mean", "avg(rate)"), ("std", "stddev_samp(rate)"), ("max", "max(rate)"))
+) + ", round(CASE WHEN count(rate) OVER w900 >= 450 THEN quantile_cont(rate, 0.5) OVER w900 END + 3.3e-8, 6) AS median_900 FROM held WINDOW " + ", ".join(
+    f"w{w} AS (PARTITION BY detector ORDER BY k ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in FULL_TRAILING), "held",
+    " ".join(f"{n}_{w}" for w in FULL_TRAILING for n in ("mean", "std", "max")) + " median_900")
+def _(t):
+    rows = R.trailing_stats(held(t).drop("gti"), D, "k", "rate", {str(w): w for w in FULL_TRAILING}, FULL_CHUNK)
+    rows = R.trailing_stats(rows, D, "k", "rate", {"900": 900}, FULL_CHUNK, ["median"])
+    return rows.select("detector", "k", *[F.round(F.col(c) + OFF_TIE, 6).alias(c) for c in rows.columns if c.split("_")[0] in ("mean", "std", "max", "median")])
+
+
 @query("e9_threshold_crossings", """
 WITH b AS (SELECT detector, k, rate, CASE WHEN count(rate) OVER w >= 12 THEN quantile_cont(rate, 0.5) OVER w END AS bg FROM grid
   WINDOW w AS (PARTITION BY detector ORDER BY k ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
