@@ -167,7 +167,3 @@ def normal_upper_quantile(p: str | Column) -> Column:
     s = r * r
     centre = -(_poly(_ACKLAM_A, s) * r / _poly(_ACKLAM_B, s))
     return F.when(p < 0.02425, tail).otherwise(centre)
-
-
-def rank_struct(*cols: str | Column) -> Column:
-    return F.struct(*[col(c) for c in cols])

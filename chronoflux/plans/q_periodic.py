@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoflux.functions.scalars import floor_div
+from chronoflux.functions.scalars import _ACKLAM_A, _ACKLAM_B, _ACKLAM_C, _ACKLAM_D, floor_div
 from chronoflux.operators import periodic as P
 from chronoflux.plans.registry import query
 from chronoflux.plans.tables import CTES
@@ -122,9 +123,33 @@ def _(t):
     return P.periodic_signals(tested(t)[3], W).select(W, F.round("period", 8).alias("period"), F.round("gamma", 6).alias("gamma"), "n_cycles")
 
 
-@query("q7b_signal_sigma")
+_CHAIN = ("win", "mm", "resid", "pgram", "coarse", "fine", *(f"newton{k}" for k in range(P.NEWTON_STEPS + 1)), "fit", "tested", "signals")
+
+
+def copy_chain(prefix):
+    """The views from windows to signals once more, over the windows of the view ``<prefix>_win``."""
+    for name in _CHAIN[1:]:
+        needs, text = CTES[name]
+        text = re.sub(r"(?<=FROM |JOIN )(" + "|".join(_CHAIN) + r")\b", rf"{prefix}_\1", text)
+        CTES[f"{prefix}_{name}"] = (" ".join(f"{prefix}_{n}" if n in _CHAIN else n for n in needs.split()), text)
+
+
+def upper_quantile_sql(p):
+    """The normal quantile of ``scalars.normal_upper_quantile`` in SQL: the same published approximation."""
+    poly = lambda cs, x: functools.reduce(lambda a, c: f"({a})*{x}+({c!r})", cs[1:], f"({cs[0]!r})")
+    tail = f"-({poly(_ACKLAM_C, 'q')})/({poly(_ACKLAM_D, 'q')})"
+    centre = f"-(({poly(_ACKLAM_A, 's')})*r/({poly(_ACKLAM_B, 's')}))"
+    return f"(SELECT CASE WHEN pp < 0.02425 THEN {tail} ELSE {centre} END FROM (SELECT pp, sqrt(-2*ln(pp)) AS q, pp-0.5 AS r, (pp-0.5)*(pp-0.5) AS s FROM (SELECT {p} AS pp)))"
+
+
+@query("q7b_signal_sigma", f"""
+WITH b AS (SELECT wid, run, min(i) AS i_low, max(i) AS i_high FROM (
+  SELECT wid, i, i-row_number() OVER (PARTITION BY wid ORDER BY i) AS run FROM tested WHERE gamma>crit AND n::DOUBLE/i>=4 AND n::DOUBLE/i<=least(n/3.0, 300)) GROUP BY 1, 2)
+SELECT wid, round(period, 8) AS period, round(p_global, 8) AS p_global, round({upper_quantile_sql("p_global/2")}, 5) AS sigma,
+  round(n::DOUBLE/i_high, 8) AS band_low, round(n::DOUBLE/i_low, 8) AS band_high FROM signals JOIN b USING (wid, run)""", "signals tested")
 def _(t):
-    return P.periodic_signals(tested(t)[3], W).select(W, "period", "p_global", "sigma", "band_low", "band_high")
+    rounded = {"period": 8, "p_global": 8, "sigma": 5, "band_low": 8, "band_high": 8}
+    return P.periodic_signals(tested(t)[3], W).select(W, *[F.round(c, n).alias(c) for c, n in rounded.items()])
 
 
 CTES["near_row"] = ("signals", """
@@ -173,7 +198,14 @@ def _(t):
     )
 
 
-@query("q11_injection_gate")
+CTES["inj_win"] = ("win", """
+  SELECT kind||'|'||wid AS wid, j, n, y + CASE WHEN kind='injected' THEN 60.0*sin(2*pi()*j/12.0) ELSE 0 END AS y FROM win, (SELECT unnest(['control', 'injected']) AS kind)""")
+copy_chain("inj")
+
+
+@query("q11_injection_gate", """
+SELECT split_part(w.wid, '|', 1) AS kind, count(*) AS n_windows, round(avg((s.wid IS NOT NULL)::INT), 9) AS hit_share
+FROM (SELECT DISTINCT wid FROM inj_win) w LEFT JOIN (SELECT DISTINCT wid FROM inj_signals WHERE abs(period-12.0) <= 2.0) s USING (wid) GROUP BY 1""", "inj_win inj_signals")
 def _(t):
     """Share of windows in which an injected 12-cell wave is found, against the windows as they are."""
     rows = windows(t)
@@ -182,7 +214,7 @@ def _(t):
     found = P.periodic_signals(P.search(both, W)[3], W)
     near = found.filter(F.abs(F.col("period") - 12.0) <= 2.0).select(W).distinct().withColumn("hit", F.lit(1))
     share = both.select(W, "n").distinct().join(near, W, "left").withColumn("kind", F.substring_index(W, "|", 1))
-    return share.groupBy("kind").agg(F.count("*").alias("n_windows"), F.avg(F.coalesce("hit", F.lit(0))).alias("hit_share"))
+    return share.groupBy("kind").agg(F.count("*").alias("n_windows"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("hit_share"))
 
 
 @query("q12_featured_picks", """
@@ -211,11 +243,7 @@ CTES["ev_win"] = ("flare sample", f"""
     SELECT detector||'/'||flare_id AS wid, k, rate AS y, count(*) OVER (PARTITION BY detector, flare_id) AS n
     FROM (SELECT flare_id, start_t//{RISE} AS lo, peak_t//{RISE} AS hi FROM flare WHERE peak_t//{RISE}-start_t//{RISE} >= {P.MIN_LENGTH})
     JOIN (SELECT detector, k, arg_max(rate, [t, event_id]) AS rate FROM (SELECT *, t//{RISE}+unnest(range({HOLD})) AS k FROM sample) GROUP BY 1, 2) ON k BETWEEN lo AND hi) WHERE n >= {P.MIN_SAMPLES}""")
-_CHAIN = ("win", "mm", "resid", "pgram", "coarse", "fine", *(f"newton{k}" for k in range(P.NEWTON_STEPS + 1)), "fit", "tested", "signals")
-for _name in _CHAIN[1:]:
-    _needs, _text = CTES[_name]
-    _of_events = lambda text: re.sub(r"(?<=FROM |JOIN )(" + "|".join(_CHAIN) + r")\b", r"ev_\1", text)
-    CTES[f"ev_{_name}"] = (" ".join(f"ev_{n}" if n in _CHAIN else n for n in _needs.split()), _of_events(_text))
+copy_chain("ev")
 
 
 def rises(t):
