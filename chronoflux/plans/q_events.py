@@ -144,7 +144,28 @@ def _(t):
     return found.groupBy("thr", "series").agg(F.count("*").alias("n_runs"))
 
 
-@query("f11b_swept_events")
+_CHAIN = ("ex", "runs", "merged", "run_rows", "maxima", "spaced", "prominent", "peaks", "bounds", "refined", "events_found")
+
+
+def copy_chain(prefix, settings):
+    """The views from excess to events once more, over ``<prefix>_ex``, with other constants: (old, new) per view."""
+    for name in _CHAIN[1:]:
+        needs, text = CTES[name]
+        for old, new in settings.get(name, ()):
+            if old not in text:
+                raise ValueError(f"view {name} has no {old!r}")
+            text = text.replace(old, new)
+        text = re.sub(r"(?<=FROM |JOIN )(" + "|".join(_CHAIN) + r")\b(?! AS)", rf"{prefix}_\1", text)
+        text = re.sub(rf"(?<=JOIN ){prefix}_ex\s+ON\s+ex\.", f"{prefix}_ex ex ON ex.", text)
+        CTES[f"{prefix}_{name}"] = (" ".join(f"{prefix}_{n}" if n in _CHAIN else n for n in needs.split()), text)
+
+
+CTES["sweep_ex"] = ("ex", f"SELECT ex.* REPLACE (thr || '@' || series AS series), thr FROM ex, (SELECT unnest({list(SWEEP)})::DOUBLE AS thr)")
+copy_chain("sweep", {"runs": [("excess >= 2.0", "excess >= thr")]})
+
+
+@query("f11b_swept_events", """
+SELECT split_part(series, '@', 1)::DOUBLE AS thr, split_part(series, '@', 2) AS series, start, stop, peak, duration FROM sweep_events_found""", "sweep_events_found")
 def _(t):
     return swept(t, SWEEP).select("thr", "series", "start", F.col("end").alias("stop"), "peak", "duration")
 
@@ -205,22 +226,12 @@ FULL = {"min_run": 60, "link_gap": 120, "edge": 1800, "sep": 300, "prominence":
 CTES["full_ex"] = ("held_smooth", f"""
   SELECT detector AS series, k, rate, gti, round(smoothed, 7) AS smoothed, round(level, 7) AS background, round((smoothed-level)/sqrt(greatest(level, 1)), 7) AS excess
   FROM (SELECT *, {LEVEL_SQL.format(q=0.1)} AS level FROM (SELECT *, CASE WHEN gti THEN smoothed END AS quiet FROM held_smooth) {WINDOWS_SQL})""")
-_CHAIN = ("ex", "runs", "merged", "run_rows", "maxima", "spaced", "prominent", "peaks", "bounds", "refined", "events_found")
-_SETTINGS = {
+copy_chain("full", {
     "runs": [("HAVING count(*) >= 2", f"HAVING count(*) >= {FULL['min_run']}")], "merged": [("<= 2\n", f"<= {FULL['link_gap']}\n")],
     "spaced": [("< 3)", f"< {FULL['sep']})")], "bounds": [("peak-12", f"peak-{FULL['edge']}"), ("peak+12", f"peak+{FULL['edge']}")],
     "refined": [("peak-3)", f"peak-{FULL['sep']})"), ("peak+3)", f"peak+{FULL['sep']})")],
     "events_found": [("r.start-12", f"r.start-{FULL['pre']}"), (">= 2\n", f">= {FULL['min_duration']}\n")],
-}
-for _name in _CHAIN[1:]:
-    _needs, _text = CTES[_name]
-    for _old, _new in _SETTINGS.get(_name, ()):
-        if _old not in _text:
-            raise ValueError(f"view {_name} has no {_old!r}")
-        _text = _text.replace(_old, _new)
-    _text = re.sub(r"(?<=FROM |JOIN )(" + "|".join(_CHAIN) + r")\b(?! AS)", r"full_\1", _text)
-    _text = re.sub(r"(?<=JOIN )full_ex\s+ON\s+ex\.", "full_ex ex ON ex.", _text)
-    CTES[f"full_{_name}"] = (" ".join(f"full_{n}" if n in _CHAIN else n for n in _needs.split()), _text)
+})
 
 
 @query("f10b_detect_full_settings", """
