@@ -88,8 +88,8 @@ def _(t):
 
 
 @query("i6_coverage_manifest", """
-WITH a AS (SELECT DISTINCT t//86400 AS day_no FROM sample WHERE detector='click' AND rate>250),
-b AS (SELECT DISTINCT t//86400 AS day_no FROM sample WHERE detector='view' AND rate>200),
+WITH a AS (SELECT DISTINCT t//86400+(t//86400%4=0)::INT AS day_no FROM sample WHERE detector='click'),
+b AS (SELECT DISTINCT t//86400+(t//86400%5=0)::INT AS day_no FROM sample WHERE detector='view'),
 g AS (SELECT k//24 AS day_no, count(*) AS n_rows, count(DISTINCT detector) FILTER (gti AND rate>=75) AS n_det,
    count(*) FILTER (gti AND detector='click')*3600 AS soft_gti, count(*) FILTER (gti AND detector<>'click')*3600 AS hard_gti FROM grid GROUP BY 1)
 SELECT day_no, (a.day_no IS NOT NULL)::INT AS has_soft, (b.day_no IS NOT NULL)::INT AS has_hard, n_rows, n_det, soft_gti, hard_gti,
@@ -97,9 +97,11 @@ SELECT day_no, (a.day_no IS NOT NULL)::INT AS has_soft, (b.day_no IS NOT NULL)::
    WHEN a.day_no IS NOT NULL AND b.day_no IS NOT NULL THEN 'build_missing' WHEN a.day_no IS NOT NULL THEN 'solexs_only' WHEN b.day_no IS NOT NULL THEN 'hel1os_only' ELSE 'no_raw_data' END AS notes
 FROM g LEFT JOIN a USING (day_no) LEFT JOIN b USING (day_no)""", "sample grid")
 def _(t):
-    def days(d, low, flag):
-        rows = t.sample().filter((F.col("detector") == d) & (F.col("rate") > low))
-        return rows.select(floor_div("t", 86400).alias("day_no")).distinct().withColumn(flag, F.lit(True))
+    def days(d, every, flag):
+        # raw data of every ``every``-th day stands under the day after it, which leaves days without
+        day = floor_div("t", 86400)
+        rows = t.sample().filter(F.col("detector") == d).select((day + (day % every == 0).cast("int")).alias("day_no"))
+        return rows.distinct().withColumn(flag, F.lit(True))
     cell = F.col("gti")
     g = t.grid().groupBy(floor_div("k", 24).alias("day_no"), "detector").agg(
         F.count("*").alias("r"), F.bool_or(cell & (F.col("rate") >= 75)).alias("p"), (F.count_if(cell) * 3600).alias("s")
@@ -108,7 +110,7 @@ def _(t):
         F.sum(F.when(F.col("detector") == "click", F.col("s")).otherwise(0)).alias("soft_gti"),
         F.sum(F.when(F.col("detector") != "click", F.col("s")).otherwise(0)).alias("hard_gti"),
     )
-    rows = g.join(days("click", 250, "a"), "day_no", "left").join(days("view", 200, "b"), "day_no", "left").fillna(False, ["a", "b"])
+    rows = g.join(days("click", 4, "a"), "day_no", "left").join(days("view", 5, "b"), "day_no", "left").fillna(False, ["a", "b"])
     note = A.coverage_note(F.col("a"), F.col("b"), F.col("day_no") % 3 != 0, F.col("n_det"))
     return rows.select("day_no", F.col("a").cast("int").alias("has_soft"), F.col("b").cast("int").alias("has_hard"), "n_rows", "n_det", "soft_gti", "hard_gti", note.alias("notes"))
 
