@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,12 +72,12 @@ def counts_of(raw: bytes) -> tuple[int, ...]:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` as struct ``row`` beside their counts."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([packed.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def work(batches):
         for b in batches:
-            rows = [counts_of(x) for x in texts_of(b.column("body"))]
+            rows = [counts_of(x) for x in texts_of(pc.struct_field(b.column("row"), text))]  # the text travels once
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([b.column("row"), *cols], ["row", *COUNTS])
 

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from chronoflux.llm.common import table
 from chronoflux.session import scratch_folder, stage_table
 
-BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 200_000, 64
+BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 100_000, 64
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ENCODERS: dict = {}
