@@ -350,3 +350,61 @@ def test_a_verified_key_phrase_is_enough(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["labels"] for i in (1, 2, 3, 4)] == [["mpl-2"], ["mit"], ["unlicense"], []]
     assert all(0 < got[i]["score"] < 0.5 for i in (1, 2, 3))
+
+
+# language mixtures and long repeated texts against brute force
+
+
+def test_mixtures_match_a_slow_fit_and_all_subsets(docs, texts):
+    """Proportions of a much longer EM, and the best of all sets of languages by penalised likelihood."""
+    from itertools import combinations
+
+    from chronoflux.llm import language
+
+    names, p = language.train(docs)
+    ids = [i for i in sorted(texts) if len(language.cells_of((texts[i] or "").encode())) > 20][:60]
+    made = [texts[i].encode() for i in ids] + [(texts[i][:700] + " " + texts[j][:900]).encode() for i, j in zip(ids[:20], ids[20:40], strict=True)]
+    several = 0
+    for raw in made:
+        cells = language.cells_of(raw)
+        count = np.bincount(cells, minlength=language.CELLS)
+        at = np.flatnonzero(count)
+        c, q = count[at].astype(float), p[:, at]
+        share = np.full(len(names), 1 / len(names))
+        for _ in range(3000):
+            each = share[:, None] * q
+            share = each @ (c / each.sum(0)) / c.sum()
+        got, chosen = language.mixture(cells, p)
+        assert np.abs(got - share).max() < 0.02 and int(np.argmax(got)) == int(np.argmax(share))
+        sets = {s: language._fit(q[list(s)], c, 500)[1] - 2.0 * np.log(c.sum()) * (len(s) - 1) for k in range(1, len(names) + 1) for s in combinations(range(len(names)), k)}
+        best = max(sets.values())
+        assert sets[tuple(sorted(chosen))] > best - 0.05 * np.log(c.sum())
+        several += len(chosen) > 1
+    assert several >= 5
+
+
+def test_repeats_across_the_border_of_a_piece(spark):
+    """Texts longer than one piece of the substring sort, with repeats on and beside its border."""
+    from chronoflux.llm import substrings
+
+    rng = random.Random(13)
+    letters = "abcdefghij klmno"
+    text = "".join(rng.choices(letters, k=substrings.PIECE + 3000))
+    part = text[substrings.PIECE - 400 : substrings.PIECE + 300]
+    other = "".join(rng.choices(letters, k=1500)) + part[:450] + "".join(rng.choices(letters, k=900)) + part[250:]
+    again = text[:500] + text[500:] + text[substrings.PIECE - 150 : substrings.PIECE + 150]
+    rows = [(1, text), (2, other), (3, again[-2000:])]
+    seen = Counter()
+    for _, t in rows:
+        b = t.encode()
+        seen.update(b[k : k + 200] for k in range(len(b) - 199))
+    got = {r["doc_id"]: r for r in substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
+    assert got[1]["n_removed"] > 900 and got[3]["n_removed"] > 400
