@@ -199,9 +199,11 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: s
                         names, sizes, held, room, seq = [], [], [], BLOCK_IDS, seq + 1
                     names.append(name), sizes.append(n), held.append(raw + end)
                     room -= n
+            pa.default_memory_pool().release_unused()  # two workers and a JVM share an executor
         if names:
             yield block()
         _ENCODERS[tokenizer].forget()  # an idle worker holds no words
+        pa.default_memory_pool().release_unused()
 
     rows = dealt.mapInArrow(work, "seq long, doc_id array<long>, n_tokens array<long>, n_ids long, ids binary")
     return rows.withColumn("part", F.spark_partition_id())
