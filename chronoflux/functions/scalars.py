@@ -22,6 +22,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over the rows that have both; NaN if either has no spread, null without rows.
+
+    Spark's ``corr`` divides by the spread and fails on zero in ANSI mode.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.when(spread.isNotNull(), F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(float("nan"))))
+
+
 # --- time scales -----------------------------------------------------------
 def mjd_to_unix(mjd: str | Column) -> Column:
     return (col(mjd) - F.lit(MJD_OF_UNIX_EPOCH)) * SECONDS_PER_DAY

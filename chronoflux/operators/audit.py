@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoflux.functions.scalars import SECONDS_PER_DAY, floor_div, utc_of
+from chronoflux.functions.scalars import SECONDS_PER_DAY, correlation, floor_div, utc_of
 from chronoflux.operators.joins import overlap_days
 from chronoflux.operators.timeline import asof, exact_quantiles, explode_interval, gap_runs, range_join, running_sum, with_frames
 
@@ -201,8 +201,11 @@ def change_share(df: DataFrame, keys: Sequence[str], pos: str, features: Sequenc
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str, limit: float = 0.9) -> DataFrame:
-    """|corr(feature, target)| of all features in one aggregation, ranked, suspicious ones flagged."""
-    stats = df.agg(*[F.abs(F.corr(f, target)).alias(f) for f in features])
+    """|corr(feature, target)| of all features in one aggregation, suspicious ones flagged.
+
+    A feature or target without spread has no correlation (NaN), which no limit clears: it is flagged.
+    """
+    stats = df.agg(*[F.abs(correlation(f, target)).alias(f) for f in features])
     long = stats.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in features])))
     return long.withColumn("suspicious", F.coalesce(F.col("r") > limit, F.lit(False)))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoflux.functions.scalars import SECONDS_PER_DAY, floor_div
+from chronoflux.functions.scalars import SECONDS_PER_DAY, correlation, floor_div
 from chronoflux.operators.timeline import asof_both
 
 
@@ -64,7 +64,7 @@ def correlate_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], x: str
     """Correlation on common positions; null below ``minimum`` pairs or without spread."""
     pairs = left.join(right, list(on)).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     stats = pairs.agg(
-        F.count("*").alias("n_common"), F.corr(x, y).alias("__r"),
+        F.count("*").alias("n_common"), correlation(x, y).alias("__r"),
         F.stddev_samp(x).alias("__sx"), F.stddev_samp(y).alias("__sy"),
     )
     ok = (F.col("n_common") >= minimum) & (F.col("__sx") > 0) & (F.col("__sy") > 0)

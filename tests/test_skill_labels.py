@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoflux.functions import scalars as S
+from chronoflux.operators import audit as U
 from chronoflux.operators import features as X
+from chronoflux.operators import joins as J
 from chronoflux.operators import labels as L
 from chronoflux.operators import skill as K
 from chronoflux.sources import files as A
@@ -141,3 +143,15 @@ def test_bootstrap_draws_are_random(spark):
 def test_subsample_takes_large_keys(spark):
     rows = spark.range(200).select((F.col("id") + 4_000_000_000).alias("k"), (F.col("id") % 20 == 0).cast("int").alias("y"))
     assert X.subsample_negatives(rows, "y", "k", 4).groupBy("y").count().orderBy("y").collect()[0]["count"] == 40
+
+
+def test_correlation_without_spread(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 0.0), (2, 2.0, 3.9, 0.0), (3, 3.5, None, 0.0), (4, None, 9.0, 0.0)], "k int, x double, y double, flat double")
+    got = {r.feature: r for r in U.target_correlations(df, ["x", "y"], "flat").collect()}
+    assert all(math.isnan(got[f].r) and got[f].suspicious for f in ("x", "y"))
+    r = U.target_correlations(df.withColumn("z", -F.col("x") ** 2), ["x"], "z").first().r
+    assert r == pytest.approx(abs(np.corrcoef([1, 2, 3.5], [-1, -4, -12.25])[0, 1]))
+    assert U.target_correlations(df.filter("k > 4"), ["x"], "y").first().r is None
+    left, right = df.select("k", "x"), df.select("k", "flat")
+    out = J.correlate_pairs(left, right, ["k"], "x", "flat", minimum=2).first()
+    assert out.n_common == 3 and out.correlation is None
