@@ -17,6 +17,7 @@ from chronoflux.operators.rolling import (
     hardness,
     poisson_sigma,
     rolling_mean,
+    running_difference,
     threshold_crossings,
     trailing_change,
     trailing_counts,
@@ -99,7 +100,7 @@ def event_features(
         F.count("*").alias("__all"), *[F.count_if(F.col("regime") == r).alias(f"__{r}") for r in regimes]
     )
     def build(c: str):
-        return lambda w: F.coalesce(F.sum(c).over(w.rangeBetween(-(recent - 1), 0)), F.lit(0))
+        return lambda w: F.coalesce(running_difference(F.sum(c), w, recent - 1, 0), F.lit(0))
     frames = {"qpp_count": build("__all"), **{f"qpp_count_{r}": build(f"__{r}") for r in regimes}}
     recent_signals = at_positions(at, marks, [], t, frames, recent - 1, 0, size)
     recent_signals = recent_signals.withColumn("qpp_present", (F.col("qpp_count") > 0).cast("int"))

@@ -344,11 +344,11 @@ def trailing_counts(
     grid: DataFrame, events: DataFrame, keys: Sequence[str], grid_pos: str, event_pos: str,
     widths: Mapping[str, int], size: int | None,
 ) -> DataFrame:
-    """Events in (t - w, t] for every row, from one union of positions and shared frames."""
+    """Events in (t - w, t] for every row, from one union of positions and shared running counts."""
     keys = list(keys)
     marks = events.groupBy(*keys, F.col(event_pos).cast("bigint").alias("__pos")).agg(F.count("*").alias("__e"))
     def build(width: int):
-        return lambda w: F.coalesce(F.sum("__e").over(w.rangeBetween(-(width - 1), 0)), F.lit(0))
+        return lambda w: F.coalesce(running_difference(F.sum("__e"), w, width - 1, 0), F.lit(0))
     frames = {n: build(x) for n, x in widths.items()}
     return at_positions(grid, marks, keys, grid_pos, frames, max(widths.values()) - 1, 0, size)
 

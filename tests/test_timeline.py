@@ -272,3 +272,17 @@ def test_a_hot_stretch_of_equal_intervals_is_one_cut(spark):
     hot = spark.range(50_000).select(F.lit(10).alias("lo"), F.lit(200).alias("hi"), "id")
     segments = T.best_segments(hot, [], F.col("lo"), F.col("hi"), F.col("id"), 64).collect()
     assert sorted((r.low, r.high, r.best) for r in segments) == [(10, 63, 49_999), (64, 127, 49_999), (128, 191, 49_999), (192, 200, 49_999)]
+
+
+def test_trailing_counts_run_instead_of_sliding(spark):
+    """A sliding frame is summed anew for every row; running sums cost the same for any width."""
+    rng = np.random.default_rng(8)
+    at, events = np.arange(0, 400, 3), rng.integers(-20, 400, 300)
+    grid = spark.createDataFrame([(int(t),) for t in at] + [(None,)], "t bigint")
+    marks = spark.createDataFrame([(int(p),) for p in events] + [(None,)], "p bigint")
+    out = R.trailing_counts(grid, marks, [], "t", "p", {"n_5": 5, "n_90": 90}, 50)
+    frames = out._jdf.queryExecution().analyzed().toString().split("specifiedwindowframe(")[1:]
+    assert frames and all(f.startswith("RangeFrame, unboundedpreceding$()") for f in frames)
+    for r in out.filter("t IS NOT NULL").collect():
+        assert r.n_5 == int(((events > r.t - 5) & (events <= r.t)).sum())
+        assert r.n_90 == int(((events > r.t - 90) & (events <= r.t)).sum())
