@@ -59,3 +59,24 @@ def test_ablation_has_a_row_per_group_and_target(rows):
     out = M.ablation(data, {"one": ["a"], "both": ["a", "b"]}, ["y", "z"], third == 0, third == 1, third == 2, trees=3, depth=2, patience=2).collect()
     assert sorted((r.features, r.target) for r in out) == [("both", "y"), ("both", "z"), ("one", "y"), ("one", "z")]
     assert all(r.tp + r.fp + r.fn + r.tn == 200 for r in out)
+
+
+def test_one_class_is_boosted_as_one_row(rows, monkeypatch):
+    train, val = F.col("part") == "train", F.col("part") == "val"
+    flat = rows.withColumn("y", F.when(train, F.lit(1)).otherwise(F.col("y")))
+    seen, plain = [], GBTClassifier.fit
+
+    def fit(self, data, *a):
+        seen.append(data.count())
+        return plain(self, data, *a)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    one_sided = M.fit_trees(flat.withColumn("y", F.lit(1)), ["a", "b"], "y", train, val, trees=20, depth=3, patience=4)
+    assert seen == [1] and one_sided.stages[-1].getNumTrees == 20
+    mixed = M.fit_trees(flat, ["a", "b"], "y", train, val, trees=20, depth=3, patience=4)
+    data = M.class_weights(flat, "y", train).filter(train)
+    data = VectorAssembler(inputCols=["a", "c"], outputCol="v").transform(data)
+    n = mixed.stages[-1].getNumTrees
+    whole = plain(GBTClassifier(featuresCol="v", labelCol="y", weightCol="weight", maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=42, maxIter=n), data)
+    want = whole.transform(data).first().probability[1]
+    assert {round(r.p, 12) for r in M.predict(mixed, flat).collect()} == {round(want, 12)}
