@@ -7,15 +7,17 @@ all later steps group by keys that start with the window and reuse that partitio
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronoflux.functions.scalars import geometric_grid, normal_upper_quantile
-from chronoflux.operators.timeline import gap_runs, range_join
+from chronoflux.functions.scalars import floor_div, geometric_grid, normal_upper_quantile
+from chronoflux.operators.timeline import CHUNK, gap_runs, with_chunk
 
 MIN_SAMPLES, MIN_LENGTH = 16, 30
 MIN_PERIOD, MAX_PERIOD, PERIOD_SHARE = 4.0, 300.0, 1 / 3
@@ -31,69 +33,141 @@ def impulsive_windows(
     rate: str, gti: str, bucket: int, min_length: int = MIN_LENGTH, min_samples: int = MIN_SAMPLES,
 ) -> DataFrame:
     """In-GTI samples of [start, peak] of every event, renumbered without gaps."""
+    return series_rows(impulsive_series(events, samples, keys, wid, start, peak, pos, rate, gti, bucket, min_length, min_samples), wid, "y")
+
+
+def impulsive_series(
+    events: DataFrame, samples: DataFrame, keys: Sequence[str], wid: str, start: str, peak: str, pos: str,
+    rate: str, gti: str, bucket: int, min_length: int = MIN_LENGTH, min_samples: int = MIN_SAMPLES,
+) -> DataFrame:
+    """The windows of :func:`impulsive_windows` as one row each: (wid, n, y by position).
+
+    The cells of a time bucket are one list. An event cuts its part out of the list of each
+    bucket it touches, and the parts of a window meet by their bucket: samples travel
+    packed, without a row and a window's name each.
+    """
+    keys = list(keys)
     long_enough = events.filter(F.col(peak) - F.col(start) >= min_length)
     good = samples.filter(F.col(gti) & F.col(rate).isNotNull()).select(*keys, pos, F.col(rate).cast("double").alias("y"))
-    near = range_join(long_enough.select(*keys, wid, start, peak), good, keys, start, peak, pos, bucket)
-    w = Window.partitionBy(wid)
-    rows = near.select(wid, pos, "y", F.count("*").over(w).alias("n"))
-    rows = rows.withColumn("j", F.row_number().over(w.orderBy(pos)) - 1)
-    return rows.filter(F.col("n") >= min_samples).select(wid, "j", "n", "y")
+    home = F.col(CHUNK) * bucket
+    cells = with_chunk(good, pos, bucket).groupBy(*keys, CHUNK).agg(
+        F.array_sort(F.collect_list(F.struct((F.col(pos) - home).cast("int").alias("at"), "y"))).alias("__cells"))
+    first = floor_div(start, bucket)
+    spans = long_enough.select(*keys, wid, start, peak).withColumn(CHUNK, F.explode(F.sequence(first, F.greatest(first, floor_div(peak, bucket)))))
+    inside = F.filter("__cells", lambda c: c["at"].between(F.col(start) - home, F.col(peak) - home))
+    parts = spans.join(cells, [*keys, CHUNK]).select(wid, F.col(CHUNK).alias("chunk"), inside.alias("__in"))
+    parts = parts.filter(F.size("__in") > 0).select(wid, F.struct("chunk", F.col("__in.at").alias("at"), F.col("__in.y").alias("y")).alias("__part"))
+    rows = parts.groupBy(wid).agg(F.array_sort(F.collect_list("__part")).alias("__p"))
+    one_each = F.size(F.array_distinct("__p.chunk")) == F.size("__p")
+    # Spans of one name that share a bucket are merged cell by cell.
+    mixed = F.array_sort(F.flatten(F.transform("__p", lambda p: F.transform(
+        F.arrays_zip(p["at"].alias("at"), p["y"].alias("y")), lambda c: F.struct(p["chunk"].alias("chunk"), c["at"].alias("at"), c["y"].alias("y"))))))
+    y = F.when(one_each, F.flatten("__p.y")).otherwise(F.transform(mixed, lambda c: c["y"]))
+    rows = rows.select(wid, y.alias("y"))
+    return rows.select(wid, F.size("y").cast("bigint").alias("n"), "y").filter(F.col("n") >= min_samples)
+
+
+def series_rows(series: DataFrame, wid: str, value: str) -> DataFrame:
+    """A window's list as rows (wid, j, n, value)."""
+    return series.select(wid, "n", F.posexplode(value).alias("j", value)).select(wid, "j", "n", value)
+
+
+def gather(rows: DataFrame, wid: str, value: str) -> DataFrame:
+    """Rows (wid, j, n, value) as one list per window."""
+    lists = rows.groupBy(wid).agg(F.first("n").cast("bigint").alias("n"), F.array_sort(F.collect_list(F.struct("j", value))).alias("__s"))
+    return lists.select(wid, "n", F.col(f"__s.{value}").cast("array<double>").alias(value))
+
+
+def map_series(series: DataFrame, wid: str, value: str, out: str, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``work`` on the lists of all windows: those of a batch that are equally long are one matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, matrix in matrices(batch.column(value)):
+                done = work(matrix)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(wid).take(at), batch.column("n").take(at), lists_of(done)], [wid, "n", out])
+
+    return series.select(wid, "n", value).mapInArrow(run, f"{wid} {series.schema[wid].dataType.simpleString()}, n bigint, {out} array<double>")
+
+
+def matrices(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and values of the lists of each length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    length = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    start = np.cumsum(length) - length
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        yield rows, flat[start[rows][:, None] + np.arange(n)]
+
+
+def lists_of(matrix: np.ndarray) -> pa.ListArray:
+    rows, n = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
 def detrend(rows: DataFrame, wid: str) -> DataFrame:
-    """Residual after a sliding quadratic fit over about half the window.
+    """Residual after a sliding quadratic fit over about half the window."""
+    return series_rows(detrend_series(gather(rows, wid, "y"), wid), wid, "x")
+
 
-    Prefix sums of y, i*y and i^2*y give the fit around any centre in closed form; rows
+def detrend_series(series: DataFrame, wid: str) -> DataFrame:
+    """Residuals (wid, n, x) of the windows (wid, n, y)."""
+    return map_series(series, wid, "y", "x", residuals)
+
+
+def residuals(y: np.ndarray) -> np.ndarray:
+    """Each row less its sliding quadratic fits.
+
+    Prefix sums of y, i*y and i^2*y give the fit around any centre in closed form; values
     near the ends are evaluated on the first and last full fit.
     """
-    n = F.col("n")
-    half = F.greatest(F.lit(5), F.floor(n / 2))
-    odd = F.when(half % 2 == 0, half + 1).otherwise(half)
-    width = F.least(odd, F.when(n % 2 == 1, n).otherwise(n - 1))
-    w = Window.partitionBy(wid)
-    i = F.col("j").cast("double")
-    mean = F.avg("y").over(w)
-    rows = rows.withColumn("m", F.floor((width - 1) / 2).cast("int")).withColumn("__y", F.col("y") - mean)
-    upto = w.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    y = F.col("__y")
-    rows = rows.select(
-        wid, "j", "n", "m", "__y",
-        F.sum(y).over(upto).alias("p0"), F.sum(y * i).over(upto).alias("p1"), F.sum(y * i * i).over(upto).alias("p2"),
-    ).withColumn("c", F.greatest(F.col("m"), F.least(F.col("j"), F.col("n") - 1 - F.col("m"))).cast("int"))
-    # Each row needs the prefixes at both ends of its fit: arrays of one window, looked up by index.
-    whole = w.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__all", F.collect_list(F.struct("p0", "p1", "p2")).over(whole))
-    hi = F.get("__all", (F.col("c") + F.col("m")).cast("int"))
-    lo = F.get("__all", (F.col("c") - F.col("m") - 1).cast("int"))
-    def span(p: str) -> Column:
-        return hi[p] - F.coalesce(lo[p], F.lit(0.0))
-    rows = rows.select(wid, "j", "n", "m", "c", "__y", span("p0").alias("s0"), span("p1").alias("t1"), span("p2").alias("t2"))
-    m, c = F.col("m").cast("double"), F.col("c").cast("double")
-    s1 = F.col("t1") - c * F.col("s0")
-    s2 = F.col("t2") - 2 * c * F.col("t1") + c * c * F.col("s0")
+    n = y.shape[1]
+    half = max(5, n // 2)
+    width = min(half + 1 if half % 2 == 0 else half, n if n % 2 == 1 else n - 1)
+    m = (width - 1) // 2
+    y = centred(y)
+    j = np.arange(n)
+    c = np.maximum(m, np.minimum(j, n - 1 - m))
+    upto = [np.cumsum(np.concatenate([np.zeros((len(y), 1)), v], 1), 1) for v in (y, y * j, y * j * j)]
+    s0, t1, t2 = (p[:, c + m + 1] - p[:, c - m] for p in upto)
+    s1 = t1 - c * s0
+    s2 = t2 - 2 * c * t1 + c * c * s0
     k2 = m * (m + 1) * (2 * m + 1) / 3
     k4 = k2 * (3 * m * m + 3 * m - 1) / 5
-    size = 2 * m + 1
-    a2 = (s2 - k2 / size * F.col("s0")) / (k4 - k2 * k2 / size)
-    a0 = F.col("s0") / size - a2 * k2 / size
-    k = F.col("j") - c
-    return rows.select(wid, "j", "n", (F.col("__y") - (a0 + s1 / k2 * k + a2 * k * k)).alias("x"))
+    size = 2.0 * m + 1
+    a2 = (s2 - k2 / size * s0) / (k4 - k2 * k2 / size)
+    a0 = s0 / size - a2 * k2 / size
+    k = j - c
+    return y - (a0 + s1 / k2 * k + a2 * k * k)
+
+
+def centred(y: np.ndarray) -> np.ndarray:
+    """Each row less its mean, summed in order."""
+    return y - np.cumsum(y, 1)[:, -1:] / y.shape[1]
 
 
 def periodogram(rows: DataFrame, wid: str) -> DataFrame:
     """|DFT|^2 / n of the centred residual without the DC and Nyquist terms: (wid, n, i, f, power)."""
-    centred = rows.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(wid)))
-    last = F.floor((F.col("n") - 1) / 2).cast("int")
-    pairs = centred.withColumn("i", F.explode(F.sequence(F.lit(1), last)))
-    # The phase is reduced to one turn in whole numbers first, which keeps it exact.
-    turn = F.pmod(F.col("i").cast("bigint") * F.col("j"), F.col("n").cast("bigint")) / F.col("n")
-    angle = turn * (2 * 3.141592653589793)
-    spectrum = pairs.groupBy(wid, "n", "i").agg(
-        ((F.sum(F.col("x") * F.cos(angle)) ** 2 + F.sum(F.col("x") * F.sin(angle)) ** 2) / F.first("n")).alias("power")
-    )
-    positive = spectrum.filter(F.col("power") > 0).withColumn("f", F.col("i") / F.col("n"))
-    nf = F.count("*").over(Window.partitionBy(wid))
-    return positive.withColumn("nf", nf).filter(F.col("nf") >= 6)
+    return spectrum_rows(spectrum_series(gather(rows, wid, "x"), wid), wid)
+
+
+def spectrum_series(series: DataFrame, wid: str) -> DataFrame:
+    """Power by frequency (wid, n, power) of the residuals (wid, n, x)."""
+    return map_series(series, wid, "x", "power", powers)
+
+
+def powers(x: np.ndarray) -> np.ndarray:
+    n = x.shape[1]
+    return np.abs(np.fft.rfft(centred(x), axis=1)[:, 1 : (n - 1) // 2 + 1]) ** 2 / n
+
+
+def spectrum_rows(series: DataFrame, wid: str, *more: str) -> DataFrame:
+    """Positive powers as rows, of windows that have six or more."""
+    nf = F.size(F.filter("power", lambda p: p > 0)).cast("bigint")
+    rows = series.withColumn("nf", nf).filter("nf >= 6").select(wid, "n", "nf", *more, F.posexplode("power").alias("__i", "power"))
+    i = F.col("__i") + 1
+    return rows.filter("power > 0").select(wid, "n", i.alias("i"), "power", (i / F.col("n")).alias("f"), "nf", *more)
 
 
 COARSE_BETA = tuple(round(0.5 * k, 1) for k in range(11))
@@ -108,71 +182,104 @@ def red_noise_fit(spectrum: DataFrame, wid: str) -> DataFrame:
     A window is one row with its ordinates, which its length bounds; a task fits many.
     """
     lists = spectrum.groupBy(wid).agg(F.array_sort(F.collect_list(F.struct("f", "power"))).alias("s")).select(wid, F.col("s.f").alias("f"), F.col("s.power").alias("power"))
+    return fit_lists(lists, wid).drop("f", "power")
+
+
+def fit_series(series: DataFrame, wid: str) -> DataFrame:
+    """The windows (wid, n, power) of six or more positive powers, with their fit (beta, lr, a)."""
+    seen = F.filter(F.transform("power", lambda p, i: F.struct(((i + 1) / F.col("n")).alias("f"), p.alias("power"))), lambda c: c["power"] > 0)
+    lists = series.select(wid, "n", F.col("power").alias("all"), seen.alias("__s")).filter(F.size("__s") >= 6)
+    fitted = fit_lists(lists.select(wid, "n", "all", F.col("__s.f").alias("f"), F.col("__s.power").alias("power")), wid)
+    return fitted.select(wid, "n", F.col("all").alias("power"), "beta", "lr", "a")
+
+
+def fit_lists(lists: DataFrame, wid: str) -> DataFrame:
+    """``lists`` (with f and power) and the fit of each row."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [whittle_fit(f.values.to_numpy(), p.values.to_numpy()) for f, p in zip(batch.column("f"), batch.column("power"), strict=True)]
-            columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(wid), *columns], [wid, "beta", "lr", "a"])
+            found = np.empty((batch.num_rows, 3))
+            for (rows, f), (_, power) in zip(matrices(batch.column("f")), matrices(batch.column("power")), strict=True):
+                kinds, kind = np.unique(f, axis=0, return_inverse=True)
+                for k in range(len(kinds)):
+                    of = np.flatnonzero(kind.ravel() == k)
+                    found[rows[of]] = whittle_fits(kinds[k], power[of])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(found[:, k]) for k in range(3)]], [*batch.schema.names, "beta", "lr", "a"])
 
-    return lists.mapInArrow(fit, f"{wid} {lists.schema[wid].dataType.simpleString()}, beta double, lr double, a double")
+    return lists.mapInArrow(fit, T.StructType([*lists.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("beta", "lr", "a")]]))
 
 
 def whittle_fit(f: np.ndarray, power: np.ndarray) -> tuple[float, float, float]:
-    """(beta, lr, a) of least negative log-likelihood, the scale profiled out.
+    """(beta, lr, a) of one window; see :func:`whittle_fits`."""
+    return tuple(float(v) for v in whittle_fits(f, power[None, :])[0])
+
+
+def whittle_fits(f: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """(beta, lr, a) of least negative log-likelihood per row of ``power``, the scale profiled out.
 
     A coarse grid, a fine one around its best point (of equal points the least), then
     Newton steps on beta and the log of the ratio. A step is taken only downhill; one that
     is not is tried again with more damping, which shortens it and turns it to the gradient.
+    All rows share the frequencies and go through the grids and the steps together.
     """
+    log_f = np.log(f)
 
-    def best(betas: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
-        beta, lr = (x.ravel() for x in np.meshgrid(betas, ratios, indexing="ij"))
+    def best(power: np.ndarray, betas: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        beta, lr = (x.ravel() for x in np.meshgrid(betas, ratios, indexing="ij"))  # rising: of equal points the first is least
         g = f[None, :] ** -beta[:, None] + np.where(lr == NO_FLOOR, 0.0, 10.0**lr)[:, None]
-        nll = np.round(np.log((power / g).mean(1)) + np.log(g).mean(1), 9)
-        i = np.lexsort((lr, beta, nll))[0]
+        nll = np.round(np.log(power @ (1 / g).T / len(f)) + np.log(g).mean(1), 9)
+        i = nll.argmin(1)
         return beta[i], lr[i]
 
-    beta, lr = best(np.array(COARSE_BETA), np.array((NO_FLOOR, *COARSE_LOG_RATIO)))
-    betas = np.round(beta + 0.1 * np.arange(-5, 6), 1)
-    ratios = np.array([NO_FLOOR]) if lr == NO_FLOOR else np.round(lr + 0.2 * np.arange(-4, 5), 1)
-    beta, lr = best(betas[(betas >= 0) & (betas <= 5)], ratios)
-    floor, u, log_f = lr != NO_FLOOR, lr * np.log(10.0), np.log(f)
-
-    def level(beta: float, u: float) -> tuple[float, float]:
-        g = f**-beta + (np.exp(u) if floor else 0.0)
-        a = (power / g).mean()
-        return a, np.log(a) + np.log(g).mean()
-
-    a, nll = level(beta, u)
-    damping = FIRST_DAMPING
+    beta, lr = best(power, np.array(COARSE_BETA), np.array((NO_FLOOR, *COARSE_LOG_RATIO)))
+    starts, start = np.unique(np.stack([beta, lr], 1), axis=0, return_inverse=True)
+    for k, (b, r) in enumerate(starts):
+        of = start.ravel() == k
+        betas = np.round(b + 0.1 * np.arange(-5, 6), 1)
+        ratios = np.array([NO_FLOOR]) if r == NO_FLOOR else np.round(r + 0.2 * np.arange(-4, 5), 1)
+        beta[of], lr[of] = best(power[of], betas[(betas >= 0) & (betas <= 5)], ratios)
+    floor, u = lr != NO_FLOOR, lr * np.log(10.0)
+
+    def parts(beta: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, r = np.exp(-beta[:, None] * log_f), np.where(floor, np.exp(u), 0.0)[:, None]
+        return p, r, p + r
+
+    def level(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = (power / g).mean(1)
+        return a, np.log(a) + np.log(g).mean(1)
+
+    a, nll = level(parts(beta, u)[2])
+    damping = np.full(len(power), FIRST_DAMPING)
     for _ in range(NEWTON_STEPS):
-        p, r = f**-beta, np.exp(u) if floor else 0.0
-        g = p + r
+        p, r, g = parts(beta, u)
         q, b1, u1 = power / g, -log_f * p / g, r / g  # first derivatives of log g
         b2 = log_f**2 * p / g
-        ab, au = -(q * b1).mean() / a, -(q * u1).mean() / a
-        db, du = ab + b1.mean(), au + u1.mean()
-        hbb = (q * (2 * b1 * b1 - b2)).mean() / a - ab * ab + (b2 - b1 * b1).mean() + damping
-        hbu = (2 * q * b1 * u1).mean() / a - ab * au - (b1 * u1).mean()
-        huu = (q * (2 * u1 * u1 - u1)).mean() / a - au * au + (u1 - u1 * u1).mean() + damping
-        det = hbb * huu - hbu * hbu if floor else hbb
-        better = hbb > 0 and det > 0
-        if better:
-            sb = -(huu * db - hbu * du) / det if floor else -db / hbb
-            su = -(hbb * du - hbu * db) / det if floor else 0.0
-            new_b, new_u = min(5.0, max(0.0, beta + min(0.5, max(-0.5, sb)))), u + min(1.0, max(-1.0, su))
-            new_a, new_nll = level(new_b, new_u)
-            better = new_nll < nll
-            if better:
-                beta, u, a, nll = new_b, new_u, new_a, new_nll
-        damping *= 0.125 if better else 8.0
-    return float(beta), float(u / np.log(10.0)) if floor else NO_FLOOR, float(a)
+        ab, au = -(q * b1).mean(1) / a, -(q * u1).mean(1) / a
+        db, du = ab + b1.mean(1), au + u1.mean(1)
+        hbb = (q * (2 * b1 * b1 - b2)).mean(1) / a - ab * ab + (b2 - b1 * b1).mean(1) + damping
+        hbu = (2 * q * b1 * u1).mean(1) / a - ab * au - (b1 * u1).mean(1)
+        huu = (q * (2 * u1 * u1 - u1)).mean(1) / a - au * au + (u1 - u1 * u1).mean(1) + damping
+        det = np.where(floor, hbb * huu - hbu * hbu, hbb)
+        better = (hbb > 0) & (det > 0)
+        safe = np.where(better, det, 1.0)
+        sb = np.where(floor, -(huu * db - hbu * du) / safe, -db / safe)
+        su = np.where(floor, -(hbb * du - hbu * db) / safe, 0.0)
+        new_b = np.where(better, np.clip(beta + np.clip(sb, -0.5, 0.5), 0.0, 5.0), beta)
+        new_u = np.where(better, u + np.clip(su, -1.0, 1.0), u)
+        new_a, new_nll = level(parts(new_b, new_u)[2])
+        better &= new_nll < nll
+        beta, u, a, nll = (np.where(better, new, old) for new, old in ((new_b, beta), (new_u, u), (new_a, a), (new_nll, nll)))
+        damping = damping * np.where(better, 0.125, 8.0)
+    return np.stack([beta, np.where(floor, u / np.log(10.0), NO_FLOOR), a], 1)
 
 
 def significance(spectrum: DataFrame, fit: DataFrame, wid: str) -> DataFrame:
     """gamma = 2 I / S, the global threshold, and the global p-value of every frequency."""
-    rows = spectrum.join(fit, wid)
+    return against_fit(spectrum.join(fit, wid))
+
+
+def against_fit(rows: DataFrame) -> DataFrame:
+    """:func:`significance` of rows that carry their window's fit."""
     ratio = F.when(F.col("lr") == NO_FLOOR, 0.0).otherwise(F.pow(F.lit(10.0), F.col("lr")))
     model = F.col("a") * (F.pow(F.col("f"), -F.col("beta")) + ratio)
     gamma = 2.0 * F.col("power") / model

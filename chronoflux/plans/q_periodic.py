@@ -249,26 +249,24 @@ copy_chain("ev")
 
 
 def rises(t):
-    """Windows of every event and detector."""
+    """Windows of every event and detector, one row each."""
     cell = lambda c: floor_div(c, RISE)
     held = t.sample().select("detector", "t", "event_id", "rate", F.explode(F.sequence(cell("t"), cell("t") + HOLD - 1)).alias("k"))
     grid = held.groupBy("detector", "k").agg(F.max_by("rate", F.struct("t", "event_id")).alias("rate")).withColumn("gti", F.lit(True))
     detectors = t.sample().select("detector").distinct()
     events = t.flare().select("flare_id", cell("start_t").alias("start"), cell("peak_t").alias("peak"))
     spans = events.join(F.broadcast(detectors)).withColumn(W, F.concat_ws("/", "detector", F.col("flare_id").cast("string")))  # one row per detector
-    return cut_lineage(P.impulsive_windows(spans, grid, ["detector"], W, "start", "peak", "k", "rate", "gti", 180))
+    return P.impulsive_series(spans, grid, ["detector"], W, "start", "peak", "k", "rate", "gti", 180)
 
 
 @query("q1b_event_windows", "SELECT wid, j::INT AS j, n, round(y, 9) AS y FROM ev_win", "ev_win")
 def _(t):
-    return rises(t).withColumn("y", F.round("y", 9))
+    return P.series_rows(rises(t), W, "y").withColumn("y", F.round("y", 9))
 
 
 def event_tests(t):
-    residual = P.detrend(rises(t), W)
-    spectrum = cut_lineage(P.periodogram(residual, W))
-    fit = cut_lineage(P.red_noise_fit(spectrum, W))
-    return P.significance(spectrum, fit, W)
+    spectrum = P.spectrum_series(P.detrend_series(rises(t), W), W)
+    return P.against_fit(P.spectrum_rows(P.fit_series(spectrum, W), W, "beta", "lr", "a"))
 
 
 @query("q5b_event_significance", """

@@ -231,3 +231,41 @@ def test_whittle_fit_reaches_the_optimum():
         around = [nll(power, x, y) for x in np.clip(b + np.linspace(-0.3, 0.3, 121), 0, 5) for y in ([lr] if lr == P.NO_FLOOR else lr + np.linspace(-0.5, 0.5, 101))]
         assert found <= min(grid) + 1e-9 and found <= min(around) + 1e-6 * abs(min(around))
         assert a == pytest.approx((power / (f**-b + (0.0 if lr == P.NO_FLOOR else 10.0**lr))).mean())
+
+
+def test_windows_travel_packed(spark):
+    """Windows across bucket borders, with holes and repeated names, without a shuffle of single samples."""
+    rng = np.random.default_rng(6)
+    cells = {(d, int(k)): float(rng.normal()) for d in "ab" for k in range(-20, 200) if rng.random() < 0.9}
+    spans = [("a", "one", -5, 40), ("b", "two", 38, 95), ("a", "short", 10, 20), ("b", "twice", 0, 50), ("b", "twice", 0, 50),
+             ("a", "moved", 120, 160), ("a", "moved", 30, 70), ("a", "gone", 500, 600), ("c", "none", 0, 60), ("a", None, 60, 110)]
+    samples = spark.createDataFrame([(d, k, v, True) for (d, k), v in cells.items()] + [("a", 45, None, True), ("a", 201, 1.0, False)], "d string, k bigint, r double, g boolean")
+    events = spark.createDataFrame(spans, "d string, w string, s bigint, p bigint")
+    out = P.impulsive_windows(events, samples, ["d"], "w", "s", "p", "k", "r", "g", 37, 30, 16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan and "posexplode" in plan
+    want = {}
+    for d, w, s, p in spans:
+        if p - s >= 30:
+            want.setdefault(w, []).extend((k, v) for (e, k), v in cells.items() if e == d and s <= k <= p)
+    want = {w: [v for _, v in sorted(x)] for w, x in want.items() if len(x) >= 16}
+    got = {}
+    for r in out.orderBy("j").collect():
+        assert r.j == len(got.setdefault(r.w, [])) and r.n == len(want[r.w])
+        got[r.w].append(r.y)
+    assert got == want
+
+
+def test_windows_fitted_together_equal_single_fits(spark):
+    rng = np.random.default_rng(7)
+    arrays = {f"w{i}": np.cumsum(rng.normal(0, 1, n)) for i, n in enumerate([31, 32, 40, 40, 40, 57, 58])} | {"flat": np.full(33, 2.0)}
+    series = P.gather(windows(spark, arrays), "wid", "y")
+    spectrum = P.periodogram(P.detrend(windows(spark, arrays), "wid"), "wid")
+    want = P.significance(spectrum, P.red_noise_fit(spectrum, "wid"), "wid").toPandas().sort_values(["wid", "i"])
+    packed = P.fit_series(P.spectrum_series(P.detrend_series(series, "wid"), "wid"), "wid")
+    got = P.against_fit(P.spectrum_rows(packed, "wid", "beta", "lr", "a")).toPandas().sort_values(["wid", "i"])
+    assert list(got["wid"]) == list(want["wid"]) and "flat" not in set(got["wid"]) and got["wid"].nunique() == 7
+    np.testing.assert_allclose(got["gamma"], want["gamma"], rtol=1e-9)
+    for w, part in want.groupby("wid"):
+        single = P.whittle_fit(part["f"].to_numpy(), part["power"].to_numpy())
+        np.testing.assert_allclose(part[["beta", "lr", "a"]].iloc[0].astype(float), single, rtol=1e-6)
