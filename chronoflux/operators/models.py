@@ -55,6 +55,7 @@ def fit_trees(
     Trees are added until ``patience`` of them in a row bring no lower loss (Spark's own
     early stop ends at the first small step). One fitted ensemble serves all its
     prefixes: losses come tree by tree, and the best prefix is kept without another fit.
+    The first fit has few more trees than ``patience``, as many targets settle there.
     Medians that fill gaps are those of the training rows. Training rows of one class
     enter as one row of their weight (:func:`one_class`).
     """
@@ -63,10 +64,10 @@ def fit_trees(
     data = stage_table(filled.transform(data).select("__v", y, "weight", "__val"))
     booster = GBTClassifier(
         featuresCol="__v", labelCol=y, weightCol="weight", maxDepth=depth, stepSize=rate,
-        subsamplingRate=subsample, seed=seed, cacheNodeIds=True, maxMemoryInMB=512,
+        subsamplingRate=subsample, seed=seed, maxMemoryInMB=512,
     )
     fitted, judged = data.filter(~F.col("__val")), data.filter("__val")
-    n = min(trees, 2 * patience)
+    n = min(trees, patience + max(1, patience // 3))
     if one_class(fitted, y):
         merged = fitted.groupBy(y).agg(F.first("__v").alias("__v"), F.sum("weight").alias("weight"))
         fitted, n = stage_table(merged.coalesce(1)), trees
@@ -76,7 +77,7 @@ def fit_trees(
         best, over = least_loss(model.evaluateEachIteration(judged), patience)
         if over or n == trees:
             return PipelineModel([*filled.stages, first_trees(model, best)])
-        n = min(trees, 2 * n)
+        n = min(trees, n * 5 // 2)
 
 
 def one_class(rows: DataFrame, y: str) -> bool:
@@ -173,18 +174,21 @@ def evaluate(rows: DataFrame, p: str, y: str, validation: Column, test: Column)
 
 def ablation(
     rows: DataFrame, groups: dict[str, Sequence[str]], targets: Sequence[str], train: Column, validation: Column, test: Column,
-    parallelism: int = 4, **kw
+    parallelism: int = 9, **kw
 ) -> DataFrame:
     """Boosted trees per feature group and target, calibrated on validation, scored on test.
 
     ``parallelism`` fits run side by side, as their many short jobs leave executors idle.
+    Each is scored in its own thread too: one plan over all scores is planned anew after
+    every stage of any of them.
     """
 
     def one(name: str, target: str) -> DataFrame:
         model = fit_trees(rows, groups[name], target, train, validation, **kw)
         scored = stage_table(predict(model, rows.filter(validation | test), "p_raw"))
         scored = fit_isotonic(scored.filter(validation), "p_raw", target).apply(scored, "p_raw", "p")
-        return evaluate(scored, "p", target, validation, test).withColumns({"features": F.lit(name), "target": F.lit(target)})
+        judged = evaluate(scored, "p", target, validation, test)
+        return stage_table(judged.withColumns({"features": F.lit(name), "target": F.lit(target)}))
 
     tasks = [inheritable_thread_target(rows.sparkSession)(partial(one, name, target)) for target in targets for name in groups]
     with ThreadPool(min(parallelism, len(tasks))) as pool:

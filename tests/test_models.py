@@ -1,5 +1,7 @@
 """Forecast models: prefixes of an ensemble, and what their fits may see."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -80,3 +82,35 @@ def test_one_class_is_boosted_as_one_row(rows, monkeypatch):
     whole = plain(GBTClassifier(featuresCol="v", labelCol="y", weightCol="weight", maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=42, maxIter=n), data)
     want = whole.transform(data).first().probability[1]
     assert {round(r.p, 12) for r in M.predict(mixed, flat).collect()} == {round(want, 12)}
+
+
+def test_a_target_that_settles_at_once_costs_few_trees(rows, monkeypatch):
+    asked, plain = [], GBTClassifier.fit
+
+    def fit(self, data, *a):
+        asked.append((self.getMaxIter(), self.getCacheNodeIds()))
+        return plain(self, data, *a)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    noise = rows.withColumn("y", (F.xxhash64("i") % 2 == 0).cast("int"))
+    M.fit_trees(noise, ["a", "b"], "y", F.col("part") == "train", F.col("part") == "val", trees=40, depth=2, patience=6)
+    assert asked[0] == (8, False)
+    monkeypatch.setattr(M, "least_loss", lambda losses, patience: (len(losses), False))
+    asked.clear()
+    M.fit_trees(rows, ["a", "b"], "y", F.col("part") == "train", F.col("part") == "val", trees=40, depth=1, patience=6)
+    assert [n for n, _ in asked] == [8, 20, 40]
+
+
+def test_all_fits_of_an_ablation_run_side_by_side(rows, monkeypatch):
+    met, plain = threading.Barrier(6), M.fit_trees
+
+    def fit(*a, **kw):
+        met.wait(60)
+        return plain(*a, **kw)
+
+    monkeypatch.setattr(M, "fit_trees", fit)
+    third = F.col("i") % 3
+    groups = {"a": ["a"], "b": ["b"], "both": ["a", "b"]}
+    data = rows.withColumn("z", 1 - F.col("y"))
+    out = M.ablation(data, groups, ["y", "z"], third == 0, third == 1, third == 2, trees=1, depth=1, patience=1).collect()
+    assert len(out) == 6
