@@ -13,8 +13,9 @@ each code, in canonical order.
 
 Texts are cut before runs of white space and before the last space of a run, where the
 byte-level pre-tokenizer cuts too. The distinct parts of a run of texts are looked up once;
-a task remembers the ids of parts it has met (bounded; only saves time) and encodes
-new parts in rows, told apart by the bytes of each id. If a tokenizer file does not allow that cut, whole texts are encoded.
+a worker remembers the ids of words it has met as columns (bounded; only saves time), from
+one task to the next, and encodes new words in rows, told apart by the bytes of each id. If a
+tokenizer file does not allow that cut, whole texts are encoded.
 
 Defined cases: null and empty texts hold only the end id; ids repeat in the order of the
 hash of their texts, null ids come first; an empty table gives empty files.
@@ -36,7 +37,7 @@ from pyspark.sql.window import Window
 from chronoflux.llm.common import table
 from chronoflux.session import scratch_folder, stage_table
 
-BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 100_000, 64
+BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 500_000, 64
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ENCODERS: dict = {}
@@ -63,6 +64,49 @@ class Memory:
         return got
 
 
+def gather(flat: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after the other."""
+    upto = np.cumsum(width)
+    return flat[np.repeat(start - (upto - width), width) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+class Words:
+    """Distinct words and their ids, all in columns: a few dozen bytes a word."""
+
+    def __init__(self, limit: int):
+        self.limit, self.words = limit, pa.array([], pa.string())
+        self.flat, self.width, self.again = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, bool)
+
+    def recall(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, width) of distinct words; ``encode`` gives an order of unknown ones, their ids and widths."""
+        found = pc.index_in(words, value_set=self.words)
+        gaps = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        self.again[np.delete(at, gaps)] = True
+        order, flat, width = encode(words.take(pa.array(gaps)))
+        gaps = gaps[order]
+        at[gaps] = len(self.words) + np.arange(len(gaps))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(gaps))])
+        self.flat, self.width = np.concatenate((self.flat, flat)), np.concatenate((self.width, width))
+        self.again = np.concatenate((self.again, np.zeros(len(gaps), bool)))
+        flat, start, width = self.flat, (np.cumsum(self.width) - self.width)[at], self.width[at]
+        self._forget_rare()
+        return flat, start, width
+
+    def _forget_rare(self) -> None:
+        """Long words go at once; beyond the limit all that were not asked for again."""
+        keep = pc.binary_length(self.words).to_numpy() <= LONGEST
+        if keep.sum() > self.limit:
+            keep &= self.again
+            self.again[:] = False
+            if keep.sum() > self.limit // 2:
+                keep[:] = False
+        if not keep.all():
+            start = np.cumsum(self.width) - self.width
+            self.words, self.flat = self.words.filter(pa.array(keep)), gather(self.flat, start[keep], self.width[keep])
+            self.width, self.again = self.width[keep], self.again[keep]
+
+
 class Encoder:
     """A tokenizer file with the parts it has met."""
 
@@ -84,8 +128,10 @@ class Encoder:
             for piece, i in vocab.items():
                 self.width[i] = own.get(i, len(piece))
 
+        self.spaced = Words(REMEMBERED)
+
     def forget(self) -> None:
-        self.met, self.spaced = Memory(REMEMBERED // 10), Memory(REMEMBERED)
+        self.met = Memory(REMEMBERED // 50)
 
     def _alone(self, parts: list[str]):
         """Ids of each part, encoded by itself."""
@@ -93,29 +139,32 @@ class Encoder:
             for e in self.model.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
-    def _rows(self, parts: list[str], row: int = 256):
-        """Ids of each part that starts with a space and ends otherwise; a row of parts is one text for the library."""
-        for i in range(0, len(parts), row * 64):
-            rows = [parts[k : k + row] for k in range(i, min(i + row * 64, len(parts)), row)]
-            for some, e in zip(rows, self.model.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.cumsum([len(p.encode()) for p in some])
-                upto = np.cumsum(self.width[ids])
-                at = np.searchsorted(upto, ends) + 1
-                if not (len(upto) and np.array_equal(upto[at - 1], ends)):  # bytes unknown to the vocabulary
-                    yield from self._alone(some)
-                    continue
-                raw, lo = ids.tobytes(), 0
-                for hi in (at * 4).tolist():
-                    yield raw[lo:hi]
-                    lo = hi
-
-    def _after_space(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it; no word is empty or white space only."""
-        ragged = [w[-1].isspace() for w in words]
-        solid = self._rows([" " + w for w, r in zip(words, ragged, strict=True) if not r])
-        others = self._alone([" " + w for w, r in zip(words, ragged, strict=True) if r])
-        return [next(others if r else solid) for r in ragged]
+    def _rows(self, words: pa.Array, row: int = 256):
+        """Ids and widths of words with a space before each; a row of words is one text for the library."""
+        for i in range(0, len(words), row * 64):
+            some = words.slice(i, row * 64)
+            cuts = np.append(np.arange(0, len(some), row), len(some)).astype(np.int32)
+            rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), some), " ").to_pylist()
+            coded = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast([" " + r for r in rows], add_special_tokens=False)]
+            size = pc.binary_length(some).to_numpy().astype(np.int64) + 1
+            for lo, hi, ids in zip(cuts, cuts[1:], coded, strict=False):
+                ends, upto = np.cumsum(size[lo:hi]), np.cumsum(self.width[ids])
+                at = np.searchsorted(upto, ends)
+                if len(upto) and upto[-1] == ends[-1] and np.array_equal(upto[at], ends):
+                    yield ids, np.diff(at, prepend=-1)
+                else:  # bytes unknown to the vocabulary
+                    alone = list(self._alone([" " + w for w in some.slice(lo, hi - lo).to_pylist()]))
+                    yield np.frombuffer(b"".join(alone), "<u4"), np.fromiter(map(len, alone), np.int64, len(alone)) // 4
+
+    def _after_space(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order, ids and widths of words with a space before each; no word is empty or white space only."""
+        ragged = pc.utf8_is_space(pc.utf8_slice_codeunits(words, -1)).to_numpy(zero_copy_only=False)
+        order = np.argsort(ragged, kind="stable")
+        alone = list(self._alone([" " + w for w in words.filter(pa.array(ragged)).to_pylist()]))
+        made = [*self._rows(words.filter(pa.array(~ragged)))]
+        made.append((np.frombuffer(b"".join(alone), "<u4"), np.fromiter(map(len, alone), np.int64, len(alone)) // 4))
+        ids, width = (np.concatenate(x) for x in zip(*made, strict=True))
+        return order, ids, width
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers.
@@ -132,22 +181,20 @@ class Encoder:
         later[first[:-1]] = False
         heads = words.take(pa.array(first[:-1])).to_numpy(zero_copy_only=False).tolist()
         coded = words.filter(pa.array(later)).dictionary_encode()
-        vocab, which, sizes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(first) - 1
-        blank = np.fromiter((not w or w.isspace() for w in vocab), bool, len(vocab))
+        vocab, which, sizes = coded.dictionary, coded.indices.to_numpy(), np.diff(first) - 1
+        blank = pc.or_(pc.equal(pc.binary_length(vocab), 0), pc.utf8_is_space(vocab)).to_numpy(zero_copy_only=False)
         blanks = np.concatenate(([0], np.cumsum(blank[which])))[first - np.arange(len(first))]
         odd = (np.diff(blanks) > 0) | (sizes > 0) & np.fromiter((not h or h.isspace() for h in heads), bool, len(heads))
         which, sizes = which[np.repeat(~odd, sizes)], np.where(odd, 0, sizes)
         used = np.zeros(len(vocab), bool)
         used[which] = True
-        number = np.cumsum(used) - 1
-        found = self.spaced.recall([w for w, u in zip(vocab, used.tolist(), strict=True) if u], self._after_space)
-        width = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start, which = np.cumsum(width) - width, number[which]
-        flat, n = np.frombuffer(b"".join(found), "<u4"), width[which]
+        which = (np.cumsum(used) - 1)[which]
+        flat, start, width = self.spaced.recall(vocab.filter(pa.array(used)), self._after_space)
+        n = width[which]
         upto = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])]
+        ids = gather(flat, start[which], n)
         ends = upto[np.cumsum(sizes)].tolist()
-        cut = [_PART.findall(t) if o else [h] if h else [] for t, h, o in zip(texts.to_pylist(), heads, odd.tolist(), strict=True)]
+        cut = [_PART.findall(texts[i].as_py()) if o else [h] if h else [] for i, (h, o) in enumerate(zip(heads, odd.tolist(), strict=True))]
         names = list({p for ps in cut for p in ps})
         met = dict(zip(names, self.met.recall(names, self._alone), strict=True)).__getitem__
         return [b"".join(map(met, ps)) + ids[lo:hi].tobytes() for ps, lo, hi in zip(cut, [0, *ends], ends, strict=False)]
@@ -167,7 +214,8 @@ def runs_of_texts(texts: pa.Array, most: int = 4 << 20):
 
 def planes(ids: np.ndarray) -> bytes:
     """Bytes of 32-bit numbers, all lowest bytes first: compresses better."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    raw = ids.astype("<u4").view(np.uint8)
+    return b"".join(raw[k::4].tobytes() for k in range(4))
 
 
 def numbers(raw: bytes) -> np.ndarray:
@@ -175,7 +223,10 @@ def numbers(raw: bytes) -> np.ndarray:
 
 
 def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """(part, seq, doc_id list, n_tokens list, n_ids, ids) in id order."""
+    """(part, seq, doc_id list, n_tokens list, n_ids, ids, counts) in id order.
+
+    ``counts`` has how often each id stands in the task, as (id, n) on its last block alone.
+    """
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("h", F.xxhash64("body"))
     dealt = body.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "body")
     end = np.array([end_id], "<u4").tobytes()
@@ -184,10 +235,19 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: s
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer)
         names, sizes, held, room, seq = [], [], [], BLOCK_IDS, 0
-        kind = pa.schema([("seq", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("ids", pa.binary())])
+        kind = pa.schema([("seq", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
+        sums = np.zeros(0, np.int64)
 
-        def block():
-            return pa.RecordBatch.from_pydict({"seq": [seq], "doc_id": [names], "n_tokens": [sizes], "n_ids": [sum(sizes)], "ids": [planes(np.frombuffer(b"".join(held), "<u4"))]}, kind)
+        def block(last=False):
+            nonlocal sums
+            ids = np.frombuffer(b"".join(held), "<u4")
+            n = np.bincount(ids)
+            if len(n) > len(sums):
+                sums, n = n, sums
+            sums[: len(n)] += n
+            at = np.flatnonzero(sums) if last else sums[:0]
+            counts = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.StructArray.from_arrays([pa.array(at), pa.array(sums[at])], ["id", "n"]))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([seq], [names], [sizes], [len(ids)], [planes(ids)]), kind, strict=False)] + [counts], schema=kind)
 
         for b in batches:
             for lo, length in runs_of_texts(b.column("body")):
@@ -201,11 +261,11 @@ def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: s
                     room -= n
             pa.default_memory_pool().release_unused()  # two workers and a JVM share an executor
         if names:
-            yield block()
-        _ENCODERS[tokenizer].forget()  # an idle worker holds no words
+            yield block(last=True)
+        _ENCODERS[tokenizer].forget()  # an idle worker holds no parts but the words in columns
         pa.default_memory_pool().release_unused()
 
-    rows = dealt.mapInArrow(work, "seq long, doc_id array<long>, n_tokens array<long>, n_ids long, ids binary")
+    rows = dealt.mapInArrow(work, "seq long, doc_id array<long>, n_tokens array<long>, n_ids long, ids binary, counts array<struct<id:long,n:long>>")
     return rows.withColumn("part", F.spark_partition_id())
 
 
@@ -244,28 +304,27 @@ class Codebook:
         width = np.uint64(1) << (self.most - self.bits).astype(np.uint64)
         self.first = np.concatenate((np.zeros(1, np.uint64), np.cumsum(width)))[:-1]  # left-aligned codes
         self._table: np.ndarray | None = None
-        self._of_id: tuple[np.ndarray, np.ndarray] | None = None
+        self._of_id: np.ndarray | None = None
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of the ids (most significant first) and the bit length of each segment."""
-        if self._of_id is None:  # code and bits of each id
+        if self._of_id is None:  # code of each id, and its bits (lowest 6)
             code = np.zeros(int(self.ids.max()) + 1, np.uint64)
-            code[self.ids] = self.first >> (self.most - self.bits).astype(np.uint64)
-            bits = np.zeros(len(code), np.int64)
-            bits[self.ids] = self.bits
-            self._of_id = code, bits
-        code, n = (x[ids] for x in self._of_id)
+            code[self.ids] = (self.first >> (self.most - self.bits).astype(np.uint64)) << np.uint64(6) | self.bits.astype(np.uint64)
+            self._of_id = code
+        code = self._of_id[ids]
+        n = (code & np.uint64(63)).view(np.int64)
         upto = np.cumsum(n)
         off = upto - n
-        word, shift = off >> 6, 64 - (off & 63) - n
-        fits = shift >= 0
-        head = np.where(fits, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
-        words = np.zeros(int(upto[-1] + 63) // 64 + 1, np.uint64)
-        cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        words[word[cut]] = np.bitwise_or.reduceat(head, cut)
-        over = np.flatnonzero(~fits)
-        words[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: int(upto[-1] + 7) // 8], np.add.reduceat(n, np.arange(0, len(n), SEGMENT))
+        # a code of at most 33 bits that begins in a half word lies in 64 bits from there
+        head = (code >> np.uint64(6)) << (64 - (off & 31) - n).view(np.uint64)
+        half = off >> 5
+        cut = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
+        head, half = np.bitwise_or.reduceat(head, cut), half[cut]
+        halves = np.zeros(int(upto[-1] + 31) // 32 + 2, np.uint32)
+        halves[half] = head >> np.uint64(32)
+        halves[half + 1] |= head.astype(np.uint32)
+        return halves.astype(">u4").tobytes()[: int(upto[-1] + 7) // 8], np.add.reduceat(n, np.arange(0, len(n), SEGMENT))
 
     def table(self) -> np.ndarray:
         """Id and length (lowest 6 bits) for each prefix of the longest code's length."""
@@ -322,18 +381,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     spark = docs.sparkSession
     blocks = stage_table(id_blocks(docs, tokenizer, end_id, doc_id, text))
 
-    def count(batches):
-        sums = np.zeros(0, np.int64)
-        for b in batches:
-            for raw in b.column("ids").to_pylist():
-                n = np.bincount(numbers(raw))
-                if len(n) > len(sums):
-                    sums, n = n, sums
-                sums[: len(n)] += n
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["id", "n"])
-
-    counts = blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = blocks.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("id", "n"))
     bits = code_lengths(n, max_bits)
     spark.createDataFrame([(int(i), int(b)) for b, i in sorted(zip(bits, ids, strict=True))], "id long, bits long").coalesce(1).write.parquet(f"{folder}/codebook")

@@ -409,6 +409,30 @@ def test_encoder_matches_the_library(monkeypatch):
     assert encoder.encode(pa.array([], pa.string())) == []
 
 
+def test_known_words_are_encoded_once_for_a_worker(monkeypatch):
+    """The next task asks the library for new words only; rare and long words do not stay."""
+    monkeypatch.setattr(token_files, "REMEMBERED", 40)
+    encoder, asked = token_files.Encoder(tokenizer_path()), []
+    plain = encoder._after_space
+    monkeypatch.setattr(encoder, "_after_space", lambda words: asked.append(words.to_pylist()) or plain(words))
+    texts = pa.array(["a " + " ".join(f"w{i}" for i in range(12)) + " tail\n x" + " " + "y" * 80, "b w1 w2"])
+    want = encoder.encode(texts)
+    encoder.forget()
+    assert encoder.encode(texts) == want and [len(x) for x in asked] == [15, 1] and asked[1] == ["y" * 80]
+    encoder.encode(pa.array(["c " + " ".join(f"v{i}" for i in range(30))]))
+    assert sorted(encoder.spaced.words.to_pylist()) == sorted([f"w{i}" for i in range(12)] + ["tail\n", "x"])
+    assert encoder.encode(texts) == want == [np.array(e.ids, "<u4").tobytes() for e in encoder.model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+
+
+def test_long_codes_cross_words():
+    bits = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 21])
+    book, ids = token_files.Codebook(np.arange(22), bits), np.random.default_rng(3).integers(0, 22, 1000)
+    plain = "".join(f"{int(book.first[i]) >> (21 - bits[i]):0{bits[i]}b}" for i in ids)
+    raw, check = book.encode(ids)
+    assert "".join(f"{b:08b}" for b in raw)[: len(plain)] == plain and check.sum() == len(plain)
+    assert np.array_equal(book.decode(raw, check, 1000), ids)
+
+
 def test_runs_of_texts_cover_all():
     texts = pa.array(["a" * n for n in (3, 0, 9, 30, 1, 1)])
     assert list(token_files.runs_of_texts(texts, 10)) == [(0, 2), (2, 1), (3, 1), (4, 2)]
