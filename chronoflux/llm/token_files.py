@@ -12,9 +12,11 @@ doc_id and n_tokens lists, n_ids, bits, checkpoints; ``codebook`` with id and bi
 each code, in canonical order.
 
 Texts are cut before runs of white space and before the last space of a run, where the
-byte-level pre-tokenizer cuts too. The distinct parts of a run of texts are looked up once;
+byte-level pre-tokenizer cuts too, and words between letters and punctuation and around a
+single line feed. The distinct parts of a run of texts are looked up once;
 a worker remembers the ids of words it has met as columns (bounded; only saves time), from
-one task to the next, and encodes new words in rows, told apart by the bytes of each id. If a
+one task to the next, and encodes new words in rows, told apart by the bytes of each id. Words
+of letters alone are one pre-token each and go to the tokenizer's model as they are. If a
 tokenizer file does not allow that cut, whole texts are encoded.
 
 Defined cases: null and empty texts hold only the end id; ids repeat in the order of the
@@ -26,6 +28,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,7 @@ BLOCK_IDS, SEGMENT, MAX_BITS, REMEMBERED, LONGEST = 1 << 18, 256, 20, 500_000, 6
 _SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ENCODERS: dict = {}
+OTHER, LETTER, NUMBER, MARK, FEED = range(5)
 
 
 class Memory:
@@ -67,7 +72,42 @@ class Memory:
 def gather(flat: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Stretches of ``flat``, one after the other."""
     upto = np.cumsum(width)
-    return flat[np.repeat(start - (upto - width), width) + np.arange(upto[-1] if len(upto) else 0)]
+    at = np.repeat(start - (upto - width), width)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def kinds_of_characters(marks: str) -> np.ndarray:
+    """LETTER, NUMBER, MARK (of ``marks``), FEED or OTHER for each code point up to 0xFFFF.
+
+    Only what Unicode 3.2 and today's Unicode both call a letter or number is one, so that
+    it does not matter which version the library has.
+    """
+    kinds = np.zeros(1 << 16, np.uint8)
+    for i in range(len(kinds) - 1):  # the last one stands for all that follow
+        a, b = unicodedata.category(chr(i))[0], unicodedata.ucd_3_2_0.category(chr(i))[0]
+        if a == b and a in "LN":
+            kinds[i] = LETTER if a == "L" else NUMBER
+    kinds[[ord(c) for c in marks]] = MARK
+    kinds[ord("\n")] = FEED
+    return kinds
+
+
+def byte_characters() -> np.ndarray:
+    """Code point that stands for each byte in the pieces of a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u4")
+    out[own] = own
+    out[out == 0] = 256 + np.arange(256 - len(own))
+    return out
+
+
+def bytes_of(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Bytes of all strings, one after the other, and where each begins and the last ends."""
+    if not len(words):
+        return b"", np.zeros(1, np.int32)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return (words.buffers()[2] or pa.py_buffer(b""))[int(at[0]) : int(at[-1])].to_pybytes(), at - at[0]
 
 
 class Words:
@@ -79,10 +119,12 @@ class Words:
 
     def recall(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, start, width) of distinct words; ``encode`` gives an order of unknown ones, their ids and widths."""
-        found = pc.index_in(words, value_set=self.words)
-        gaps = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
-        at = found.fill_null(0).to_numpy().astype(np.int64)
-        self.again[np.delete(at, gaps)] = True
+        found = pc.index_in(self.words, value_set=words)  # hashes the fewer words that are asked for
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(words), -1)
+        at[found.drop_null().to_numpy()] = known
+        gaps = np.flatnonzero(at < 0)
+        self.again[known] = True
         order, flat, width = encode(words.take(pa.array(gaps)))
         gaps = gaps[order]
         at[gaps] = len(self.words) + np.arange(len(gaps))
@@ -127,8 +169,15 @@ class Encoder:
             self.width = np.zeros(max(vocab.values()) + 1, np.int64)
             for piece, i in vocab.items():
                 self.width[i] = own.get(i, len(piece))
+            strings = "".join(a["content"] for a in added)
+            self.kinds = kinds_of_characters("".join(c for c in string.punctuation if c != "'" and c not in strings))
+            bpe = d["model"]
+            whole = bpe.get("type") == "BPE" and not any(bpe.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            whole = whole and not any(all(self._kind(a["content"]) == LETTER) for a in added)
+            self.bpe = Tokenizer(self.model.model) if whole else None
+            self.characters = byte_characters()
 
-        self.spaced = Words(REMEMBERED)
+        self.spaced, self.joined = Words(REMEMBERED), Words(REMEMBERED // 5)
 
     def forget(self) -> None:
         self.met = Memory(REMEMBERED // 50)
@@ -139,33 +188,113 @@ class Encoder:
             for e in self.model.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes()
 
-    def _rows(self, words: pa.Array, row: int = 256):
-        """Ids and widths of words with a space before each; a row of words is one text for the library."""
+    def _kind(self, text: str) -> np.ndarray:
+        return self.kinds[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), len(self.kinds) - 1)]
+
+    def _coded(self, rows: list[str], letters: bool) -> list:
+        """Rows as the library encodes them; rows of letters and single spaces without its pre-tokenizer."""
+        if not letters:
+            return self.model.encode_batch_fast(rows, add_special_tokens=False)
+        rows = [self.characters[np.frombuffer(r.encode(), np.uint8)].tobytes().decode("utf-32-le") for r in rows]
+        return self.bpe.encode_batch_fast(rows, add_special_tokens=False)
+
+    def _rows(self, words: pa.Array, letters: bool = False, glue: str = " ", row: int = 256):
+        """Ids and widths of words with a space before each; a row of words is one text for the library.
+
+        With a line feed as ``glue`` the ids are those of the words without it. Where an id ends
+        with each word, no merge crossed a word's end and each is coded as if alone.
+        """
+        apart = glue != " "
         for i in range(0, len(words), row * 64):
             some = words.slice(i, row * 64)
             cuts = np.append(np.arange(0, len(some), row), len(some)).astype(np.int32)
-            rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), some), " ").to_pylist()
-            coded = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast([" " + r for r in rows], add_special_tokens=False)]
+            rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), some), glue).to_pylist()
+            coded = [np.array(e.ids, "<u4") for e in self._coded([glue + r for r in rows], letters)]
             size = pc.binary_length(some).to_numpy().astype(np.int64) + 1
+            if apart:
+                size, cuts = np.stack((np.ones(len(size), np.int64), size - 1), 1).ravel(), cuts * 2
             for lo, hi, ids in zip(cuts, cuts[1:], coded, strict=False):
                 ends, upto = np.cumsum(size[lo:hi]), np.cumsum(self.width[ids])
                 at = np.searchsorted(upto, ends)
                 if len(upto) and upto[-1] == ends[-1] and np.array_equal(upto[at], ends):
-                    yield ids, np.diff(at, prepend=-1)
-                else:  # bytes unknown to the vocabulary
-                    alone = list(self._alone([" " + w for w in some.slice(lo, hi - lo).to_pylist()]))
-                    yield np.frombuffer(b"".join(alone), "<u4"), np.fromiter(map(len, alone), np.int64, len(alone)) // 4
+                    n = np.diff(at, prepend=-1)
+                    yield (ids[np.repeat(np.arange(len(n)) % 2 == 1, n)], n[1::2]) if apart else (ids, n)
+                else:  # bytes unknown to the vocabulary, or a merge over a word's end
+                    lo, hi = (lo // 2, hi // 2) if apart else (lo, hi)
+                    yield self._each([("" if apart else " ") + w for w in some.slice(lo, hi - lo).to_pylist()])
+
+    def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        alone = list(self._alone(parts))
+        return np.frombuffer(b"".join(alone), "<u4"), np.fromiter(map(len, alone), np.int64, len(alone)) // 4
+
+    def _letters(self, words: pa.Array) -> np.ndarray:
+        """Which words are letters alone; no word is empty."""
+        raw, at = bytes_of(words)
+        if not raw or not self.bpe:
+            return np.zeros(len(words), bool)
+        start, kind = self._characters(raw)
+        strange = np.zeros(len(raw), bool)
+        strange[start[kind != LETTER]] = True
+        return ~np.logical_or.reduceat(strange, at[:-1])
 
     def _after_space(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order, ids and widths of words with a space before each; no word is empty or white space only."""
         ragged = pc.utf8_is_space(pc.utf8_slice_codeunits(words, -1)).to_numpy(zero_copy_only=False)
-        order = np.argsort(ragged, kind="stable")
-        alone = list(self._alone([" " + w for w in words.filter(pa.array(ragged)).to_pylist()]))
-        made = [*self._rows(words.filter(pa.array(~ragged)))]
-        made.append((np.frombuffer(b"".join(alone), "<u4"), np.fromiter(map(len, alone), np.int64, len(alone)) // 4))
+        group = np.where(ragged, 2, 1)
+        group[self._letters(words)] = 0
+        order = np.argsort(group, kind="stable")
+        letters, mixed, alone = (words.filter(pa.array(group == g)) for g in range(3))
+        made = [*self._rows(letters, True), *self._rows(mixed), self._each([" " + w for w in alone.to_pylist()])]
         ids, width = (np.concatenate(x) for x in zip(*made, strict=True))
         return order, ids, width
 
+    def _after_cut(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for parts of words with nothing before them."""
+        letters = self._letters(parts)
+        order = np.argsort(~letters, kind="stable")
+        made = [*self._rows(parts.filter(pa.array(letters)), True, "\n"), self._each(parts.filter(pa.array(~letters)).to_pylist())]
+        ids, width = (np.concatenate(x) for x in zip(*made, strict=True))
+        return order, ids, width
+
+    def _characters(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and kind of each character."""
+        start = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        return start, self._kind(raw.decode())
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, width) of distinct words that follow a space.
+
+        Words are cut where the pre-tokenizer always cuts: between letters or numbers and marks, and
+        on both sides of a line feed between two such characters.
+        """
+        raw, at = bytes_of(words)
+        if not raw:
+            return np.empty(0, "<u4"), at[:0], at[:0]
+        start, kind = self._characters(raw)
+        head = np.zeros(len(raw) + 1, bool)  # where words begin
+        head[at] = True
+        inner = ~head[start[1:]]  # between a character and the next, in one word
+        sure = (kind == LETTER) | (kind == NUMBER) | (kind == MARK)
+        cut = inner & sure[:-1] & sure[1:] & ((kind[:-1] == MARK) != (kind[1:] == MARK))
+        feed = np.flatnonzero(kind[1:-1] == FEED) + 1
+        feed = feed[inner[feed - 1] & inner[feed] & sure[feed - 1] & sure[feed + 1]]
+        cut[feed - 1] = cut[feed] = True
+        border = head.copy()
+        border[start[1:][cut]] = True
+        ends = np.flatnonzero(border).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw))
+        first = head[ends[:-1]]
+        spaced, joined = (parts.filter(pa.array(x)).dictionary_encode() for x in (first, ~first))
+        flat, begin, size = self.spaced.recall(spaced.dictionary, self._after_space)
+        more, begin_more, size_more = self.joined.recall(joined.dictionary, self._after_cut)
+        lo, width = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        for x, coded, a, n in ((first, spaced, begin, size), (~first, joined, begin_more + len(flat), size_more)):
+            which = coded.indices.to_numpy()
+            lo[x], width[x] = a[which], n[which]
+        flat = gather(np.concatenate((flat, more)), lo, width)
+        width = np.add.reduceat(width, np.flatnonzero(first))
+        return flat, np.cumsum(width) - width, width
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers.
 
@@ -189,7 +318,7 @@ class Encoder:
         used = np.zeros(len(vocab), bool)
         used[which] = True
         which = (np.cumsum(used) - 1)[which]
-        flat, start, width = self.spaced.recall(vocab.filter(pa.array(used)), self._after_space)
+        flat, start, width = self._words(vocab.filter(pa.array(used)))
         n = width[which]
         upto = np.concatenate(([0], np.cumsum(n)))
         ids = gather(flat, start[which], n)
@@ -214,12 +343,15 @@ def runs_of_texts(texts: pa.Array, most: int = 4 << 20):
 
 def planes(ids: np.ndarray) -> bytes:
     """Bytes of 32-bit numbers, all lowest bytes first: compresses better."""
-    raw = ids.astype("<u4").view(np.uint8)
-    return b"".join(raw[k::4].tobytes() for k in range(4))
+    return b"".join((ids >> k).astype(np.uint8).tobytes() for k in (0, 8, 16, 24))
 
 
 def numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    out = np.zeros(len(raw) // 4, np.uint32)
+    for k, plane in enumerate(np.frombuffer(raw, np.uint8).reshape(4, -1)):
+        if plane.any():
+            out |= plane.astype(np.uint32) << (8 * k)
+    return out
 
 
 def id_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str) -> DataFrame:
@@ -340,15 +472,18 @@ class Codebook:
         table = self.table()
         room = 4 if self.most <= 25 else 8  # bytes that hold a longest code at any bit of the first
         raw = np.frombuffer(bits + bytes(SEGMENT * self.most // 8 + 2 * room), np.uint8)  # a short last segment reads on
-        peeks = np.zeros(len(raw) - room, np.uint32 if room == 4 else np.uint64)
+        kind = np.uint32 if room == 4 else np.uint64
+        peeks = np.zeros(len(raw) - room, kind)
         for k in range(room):
             peeks = peeks << 8 | raw[k : k + len(peeks)]
         at = np.cumsum(checkpoints) - checkpoints
-        shift, mask = 8 * room - self.most, peeks.dtype.type((1 << self.most) - 1)
-        out = np.empty((SEGMENT, len(at)), table.dtype)
-        for i in range(SEGMENT):
-            out[i] = row = table[(peeks[at >> 3] >> (shift - (at & 7)).astype(peeks.dtype)) & mask]
-            at += row & 63
+        out, down = np.empty((SEGMENT, len(at)), table.dtype), kind(8 * room - self.most)
+        word, bit, cell = np.empty(len(at), kind), np.empty(len(at), kind), np.empty(len(at), np.intp)
+        for row in out:
+            np.take(peeks, np.right_shift(at, 3, out=cell), out=word, mode="clip")
+            np.left_shift(word, np.bitwise_and(at, 7, out=bit, casting="unsafe"), out=word)  # bits before the code fall out
+            np.take(table, np.right_shift(word, down, out=cell, casting="unsafe"), out=row, mode="clip")
+            at += np.bitwise_and(row, 63, out=cell, casting="unsafe")
         return (out.T.ravel()[:n_ids] >> 6).astype(np.uint32)
 
 

@@ -424,6 +424,61 @@ def test_known_words_are_encoded_once_for_a_worker(monkeypatch):
     assert encoder.encode(texts) == want == [np.array(e.ids, "<u4").tobytes() for e in encoder.model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
 
 
+def library_ids(model, texts):
+    return [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_are_known_without_marks_and_line_feeds(monkeypatch):
+    """A word met with marks or a line feed beside it is asked for once, without them."""
+    encoder, asked, rows = token_files.Encoder(tokenizer_path()), [], []
+    spaced, joined, coded = encoder._after_space, encoder._after_cut, encoder._coded
+    monkeypatch.setattr(encoder, "_after_space", lambda words: asked.extend(words.to_pylist()) or spaced(words))
+    monkeypatch.setattr(encoder, "_after_cut", lambda parts: asked.extend(parts.to_pylist()) or joined(parts))
+    monkeypatch.setattr(encoder, "_coded", lambda r, letters: rows.append((r, letters)) or coded(r, letters))
+    texts = ["a leau\u00e8 leau\u00e8. leau\u00e8.\nNext (leau\u00e8, \u65e5\u672c. don't it's! x\n\ny", "b leau\u00e8; leau\u00e8\nNext"]
+    assert encoder.encode(pa.array(texts)) == library_ids(encoder.model, texts)
+    assert sorted(asked) == sorted(["leau\u00e8", "leau\u00e8", "Next", ".", ",", ";", "\n", "(", "\u65e5\u672c", "don't", "it's", "!", "x\n\ny"])
+    assert [(sorted(r[0].split()), letters) for r, letters in rows] == [(["leau\u00e8", "\u65e5\u672c"], True), (sorted(["don't", "it's", "x", "y", "("]), False), (["Next", "leau\u00e8"], True)]
+
+
+def test_cut_words_match_the_library():
+    """Letters, numbers, marks, contractions and white space of many kinds beside each other."""
+    encoder, draw = token_files.Encoder(tokenizer_path()), random.Random(4)
+    bits = ["leau", "Word", "\u00e8", "e\u0301", "\u65e5", "\U0001d4d0", "\U00031350", "\u00d7", "\u00bd", "\u0663", "7", ".", ",", "!", "'", "'s", "'ll", "(", ")", "<|endoftext|>", "_", "\u2026", "\u2019", "\n", "\r\n", "\n\n", "\t", "\x85", "\xa0", "\x1c", "\x00", " ", " ", " ", "  "]
+    for _ in range(8):
+        texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(40))) for _ in range(600)]
+        assert encoder.encode(pa.array(texts)) == library_ids(encoder.model, texts)
+
+
+def byte_tokenizer(path, merges=(), added=(), **kinds):
+    """A byte-level file with a few merges."""
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    pieces = [*map(chr, token_files.byte_characters().tolist()), *(a + b for a, b in merges)]
+    model = Tokenizer(models.BPE(vocab={x: i for i, x in enumerate(pieces)}, merges=list(merges), **kinds))
+    model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    model.add_tokens([AddedToken(x, normalized=False) for x in added])
+    model.save(str(path))
+    return str(path)
+
+
+def test_words_are_coded_as_if_alone_with_any_merges(tmp_path):
+    """Merges over a word's end, and added strings of letters or marks, do not reach into rows of words."""
+    texts = ["x aa ba ab. foo a.b\naa, xa.bx foo.foo", "y a b a\nb a"]
+    for i, (merges, added) in enumerate([([("a", "\u0120"), ("a", "\u010a"), ("a", "b")], []), ([("f", "o"), ("fo", "o")], ["foo"]), ([("a", "a")], ["a.b"])]):
+        encoder = token_files.Encoder(byte_tokenizer(tmp_path / f"{i}.json", merges, added))
+        assert encoder.cut and (encoder.bpe is None) == ("foo" in added)
+        assert encoder.encode(pa.array(texts)) == library_ids(encoder.model, texts)
+    whole = token_files.Encoder(byte_tokenizer(tmp_path / "whole.json", [("a", "b")], ignore_merges=True))
+    assert whole.bpe is None and whole.encode(pa.array(texts)) == library_ids(whole.model, texts)
+
+
+def test_planes_of_large_numbers():
+    ids = np.array([0, 1, 255, 256, 65_535, 1 << 16, 1 << 24, (1 << 32) - 1], "<u4")
+    for some in (ids, ids[:3], ids[:0]):
+        assert len(token_files.planes(some)) == 4 * len(some) and np.array_equal(token_files.numbers(token_files.planes(some)), some)
+
+
 def test_long_codes_cross_words():
     bits = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 21])
     book, ids = token_files.Codebook(np.arange(22), bits), np.random.default_rng(3).integers(0, 22, 1000)
